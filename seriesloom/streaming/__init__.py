@@ -1,0 +1 @@
+"""Every input of this engine is a bounded table read in one go, so there is no streaming operator here."""
