@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from seriesloom.functions import linalg as la
 from seriesloom.functions import numeric as nm
 from seriesloom.operators.keys import as_list, series_window
+from seriesloom.session import checkpointed
 
 # The search ranges of the seasonal grid and of the automatic order choice.
 SEASONAL_GRID = {"p": (0, 1, 2), "d": (0, 1, 2), "q": (0, 1, 2), "sp": (0, 1), "sd": (0, 1), "sq": (0, 1), "season": 12}
@@ -197,7 +198,8 @@ def fit_grid(df: DataFrame, key: str | list[str], ts: str, y: str, train: Column
     """Fit every order of the grid for every series.
 
     ``df`` needs ``rn`` (position) per series. Returns (candidates, rows): one row per order, and the variant
-    rows with residuals and regressors that fitted values are computed from.
+    rows with residuals and regressors that fitted values are computed from. Both are
+    materialised, since sums, starting values, fitted values and forecasts all read them.
     """
     key = as_list(key)
     group = [*key, "d", "sd"]
@@ -208,8 +210,9 @@ def fit_grid(df: DataFrame, key: str | list[str], ts: str, y: str, train: Column
     rows = _variant_rows(base, key, ts, "_y", grid)
     rows = _long_ar_residuals(rows, group, ts, grid)
     rows, xs, complete = _regressors(rows, group, ts, grid)
-    fits = _candidates(rows, group, xs, complete, grid)
-    return fits.join(_tail(rows, group, ts, grid), group), rows.withColumn("_complete", complete)
+    rows = checkpointed(rows.withColumn("_complete", complete))
+    fits = _candidates(rows, group, xs, F.col("_complete"), grid)
+    return checkpointed(fits.join(_tail(rows, group, ts, grid), group)), rows
 
 
 def predictions(fits: DataFrame, rows: DataFrame, key: str | list[str], grid: Grid, steps: int) -> DataFrame:

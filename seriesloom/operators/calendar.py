@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from seriesloom.functions import time as tm
 from seriesloom.operators.keys import as_list, one_value, series_window
+from seriesloom.session import checkpointed
 
 
 def month_buckets(df: DataFrame, key: list[str], ts: str, aggs: dict[str, Column]) -> DataFrame:
@@ -24,9 +25,12 @@ def regularise(cells: DataFrame, key: str | list[str], ts: str = "ts", shared_ra
     """Put every series on the full monthly calendar; months without a cell get NULL measures.
 
     ``shared_range`` uses the range of the whole table, otherwise each series keeps its own
-    range. The grid comes from ``sequence``, so no calendar table is joined or crossed.
+    range. The grid comes from ``sequence``, so no calendar table is joined or crossed. The
+    cells are used for the member list, the range and the values, so they are materialised
+    once: the raw rows behind them are read a single time.
     """
     key = as_list(key)
+    cells = checkpointed(cells)
     if shared_range:
         first, last = one_value(cells, F.min(ts)), one_value(cells, F.max(ts))
         members = cells.select(*key).distinct()

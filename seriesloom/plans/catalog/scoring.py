@@ -210,11 +210,12 @@ def family_leaderboard(spark, sf):
 
 _LINE_FOLDS = """
 num AS (SELECT *, row_number() OVER (PARTITION BY member ORDER BY ts) AS i FROM panel),
-lines AS (SELECT member, ts, i, total, regr_intercept(total, i) OVER w AS b0, regr_slope(total, i) OVER w AS b1, lag(total) OVER (PARTITION BY member ORDER BY i) AS prev, lag(total, 12) OVER (PARTITION BY member ORDER BY i) AS prev12
-  FROM num WINDOW w AS (PARTITION BY member ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+fits AS (SELECT f.member, f.i, avg(p.total) AS my, avg(p.i) AS mx, regr_sxy(p.total, p.i) / regr_sxx(p.total, p.i) AS b1
+  FROM num f JOIN num p ON p.member = f.member AND p.i < f.i WHERE f.i > 24 GROUP BY 1, 2),
+lines AS (SELECT *, lag(total) OVER w AS prev, lag(total, 12) OVER w AS prev12 FROM num WINDOW w AS (PARTITION BY member ORDER BY i)),
 folds AS (SELECT member, ts AS fold, 'NAIVE' AS pipeline, total AS actual, prev AS predicted FROM lines WHERE i > 24
   UNION ALL SELECT member, ts, 'SEASONAL', total, prev12 FROM lines WHERE i > 24
-  UNION ALL SELECT member, ts, 'TREND', total, b0 + b1 * i FROM lines WHERE i > 24)
+  UNION ALL SELECT member, ts, 'TREND', total, my + b1 * (i - mx) FROM lines JOIN fits USING (member, i))
 """
 
 _EVALUATORS = {"NAIVE": bt.naive, "SEASONAL": bt.seasonal(12), "TREND": bt.line}
@@ -223,11 +224,11 @@ _EVALUATORS = {"NAIVE": bt.naive, "SEASONAL": bt.seasonal(12), "TREND": bt.line}
 @query(
     "M-25 J-14 F-18 K-05 B-20",
     ctes(b.PANEL, _LINE_FOLDS)
-    + "SELECT member, fold, pipeline, round(predicted, 1) AS predicted, round(abs(predicted - actual), 1) AS abs_error, round(abs(predicted - actual) / actual * 100, 4) AS ape FROM folds",
+    + "SELECT member, fold, pipeline, round(predicted / actual, 8) AS predicted_to_actual, round((predicted - actual) / actual, 8) AS relative_error, round(abs(predicted - actual) / actual * 100, 6) AS ape FROM folds",
 )
 def walk_forward_folds(spark, sf):
     out = bt.walk_forward(bd.filled_panel(spark, sf), "member", "ts", "total", _EVALUATORS, min_train=24)
-    return out.select("member", "fold", "pipeline", rd("predicted", 1).alias("predicted"), rd("abs_error", 1).alias("abs_error"), rd("ape", 4).alias("ape"))
+    return out.select("member", "fold", "pipeline", rd(F.col("predicted") / F.col("actual"), 8).alias("predicted_to_actual"), rd(F.col("error") / F.col("actual"), 8).alias("relative_error"), rd("ape", 6).alias("ape"))
 
 
 @query(

@@ -13,6 +13,7 @@ from seriesloom.operators import regression as rg
 from seriesloom.operators import smoothing as sm
 from seriesloom.operators import splits
 from seriesloom.operators.keys import as_list, series_window
+from seriesloom.session import checkpointed
 
 _COLUMNS = ["model", "params", "split", "rn", "actual", "predicted"]
 
@@ -25,7 +26,8 @@ def _shape(df: DataFrame, key: list[str], model: str, params: str, y: str) -> Da
 
 
 def split_rows(df: DataFrame, key, ts: str, min_rows: int = 48) -> DataFrame:
-    return splits.three_way(df, key, ts, min_rows=min_rows)
+    """Feature rows with their split, materialised once because every candidate model reads them."""
+    return checkpointed(splits.three_way(df, key, ts, min_rows=min_rows))
 
 
 def linear_candidate(rows: DataFrame, key, xs: list[str], y: str) -> DataFrame:
