@@ -305,6 +305,60 @@ def smoothing_grid_search(spark, sf):
     return best.join(sizes, "member").select("member", "alpha", "beta", rd(F.sqrt("sse"), 3).alias("root_sse"), "n_params")
 
 
+_SEASONAL = [{"alpha": 0.3, "beta": 0.05, "phi": 1.0, "gamma": 0.2}]
+
+
+@query(
+    "M-11",
+    ctes(
+        b.PANEL,
+        "num AS (SELECT *, row_number() OVER (PARTITION BY member ORDER BY ts) AS i FROM panel)",
+        "st AS (SELECT member, avg(CASE WHEN i <= 12 THEN total END) AS m1, avg(CASE WHEN i BETWEEN 13 AND 24 THEN total END) AS m2, list(total ORDER BY i) FILTER (WHERE i <= 12) AS y1 FROM num GROUP BY 1)",
+        "h AS (SELECT member, CAST(0 AS BIGINT) AS i, m1 AS l, (m2 - m1) / 12 AS b, list_transform(y1, lambda v: v - m1) AS s, 0.0::DOUBLE AS sse FROM st "
+        "UNION ALL SELECT member, i, nl, 0.05::DOUBLE * (nl - l) + (1 - 0.05::DOUBLE) * b, list_concat(s[2:], [0.2::DOUBLE * (y - nl) + (1 - 0.2::DOUBLE) * s[1]]), sse + (y - (l + b + s[1])) ** 2 FROM "
+        "(SELECT h.member, n.i, h.l, h.b, h.s, h.sse, n.total AS y, 0.3::DOUBLE * (n.total - h.s[1]) + (1 - 0.3::DOUBLE) * (h.l + h.b) AS nl FROM h JOIN num n ON n.member = h.member AND n.i = h.i + 1))",
+    ).replace("WITH ", "WITH RECURSIVE ", 1)
+    + "SELECT member, k AS h, round(l + k * b + s[CAST((k - 1) % 12 + 1 AS INT)], 3) AS predicted, round(sqrt(sse), 3) AS root_sse FROM h, range(1, 25) AS t(k) WHERE i = (SELECT max(i) FROM num)",
+)
+def seasonal_smoothing(spark, sf):
+    """Level, trend and season smoothing with fixed weights, two years ahead."""
+    series = sm.with_grid(sm.as_arrays(bd.filled_panel(spark, sf), "member", "ts", "total"), _SEASONAL)
+    state = sm.holt_winters(series, 12).withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(24))))
+    return state.select("member", big("h").alias("h"), rd(sm.holt_winters_forecast(F.col("h"), 12), 3).alias("predicted"), rd(F.sqrt("sse"), 3).alias("root_sse"))
+
+
+@query(
+    "M-12",
+    ctes(
+        b.PANEL,
+        "num AS (SELECT *, row_number() OVER (PARTITION BY member ORDER BY ts) AS i, count(*) OVER (PARTITION BY member) AS n FROM panel)",
+        "sl AS (SELECT member, regr_slope(total, i) AS b, any_value(n) AS n FROM num GROUP BY 1)",
+        "h AS (SELECT member, i, total AS l FROM num WHERE i = 1 UNION ALL SELECT n.member, n.i, h.l + 0.4::DOUBLE * (n.total - h.l) FROM h JOIN num n ON n.member = h.member AND n.i = h.i + 1)",
+    ).replace("WITH ", "WITH RECURSIVE ", 1)
+    + "SELECT h.member, k AS h, round(l + b / 2 * (k - 1 + 1 / 0.4::DOUBLE - (1 - 0.4::DOUBLE) ** n / 0.4::DOUBLE), 2) AS predicted FROM h JOIN sl USING (member), range(1, 13) AS t(k) WHERE i = n",
+)
+def theta_forecast(spark, sf):
+    """Theta forecast with a fixed smoothing weight and no seasonal adjustment."""
+    series = sm.with_grid(sm.as_arrays(bd.filled_panel(spark, sf), "member", "ts", "total"), [{"alpha": 0.4, "beta": 0.0, "phi": 1.0, "gamma": 0.0}])
+    state = sm.theta(series).withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(12))))
+    return state.select("member", big("h").alias("h"), rd(sm.theta_forecast(F.col("h")), 2).alias("predicted"))
+
+
+@query(
+    "M-12",
+    ctes(
+        b.PANEL,
+        "c AS (SELECT *, (sum(total) OVER w5 + sum(total) OVER w6) / 24 AS cma, count(total) OVER w6 AS k FROM panel WINDOW w5 AS (PARTITION BY member ORDER BY ts ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING), "
+        "w6 AS (PARTITION BY member ORDER BY ts ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING))",
+        "r AS (SELECT member, month(ts) AS month, avg(total / cma) AS raw FROM c WHERE k = 13 GROUP BY 1, 2)",
+    )
+    + "SELECT member, CAST(month AS BIGINT) AS month, round(raw / avg(raw) OVER (PARTITION BY member), 8) AS factor FROM r",
+)
+def seasonal_factors(spark, sf):
+    out = tn.seasonal_factors(bd.filled_panel(spark, sf), "member", "ts", "total", F.lit(True))
+    return out.select("member", big("_month").alias("month"), rd("factor", 8).alias("factor"))
+
+
 @query("M-11 M-12 F-17")
 def smoothing_scores(spark, sf):
     """Seasonal naive, damped trend, trend and season, and theta, each refit for the test part."""
@@ -321,6 +375,26 @@ def smoothing_scores(spark, sf):
 # -- ARIMA family ----------------------------------------------------------------------------------
 
 
+@query(
+    "M-13 M-10",
+    ctes(
+        b.PANEL,
+        "d AS (SELECT member, ts, total, total - lag(total) OVER w AS w0, lag(total) OVER w - lag(total, 2) OVER w AS w1 FROM panel WINDOW w AS (PARTITION BY member ORDER BY ts))",
+        "c AS (SELECT member, sum(CASE WHEN w1 IS NOT NULL THEN w0 * w1 END) / sum(CASE WHEN w1 IS NOT NULL THEN w1 * w1 END) AS phi, max_by(total, ts) AS y, max_by(w0, ts) AS wl FROM d GROUP BY 1)",
+        "r AS (SELECT member, 0 AS h, phi, y, wl FROM c UNION ALL SELECT member, h + 1, phi, y + phi * wl, phi * wl FROM r WHERE h < 6)",
+    ).replace("WITH ", "WITH RECURSIVE ", 1)
+    + "SELECT member, CAST(h AS BIGINT) AS h, round(phi, 8) AS phi, round(y, 3) AS predicted FROM r WHERE h > 0",
+)
+def difference_autoregression(spark, sf):
+    """Order (1,1,0), whose least-squares estimate has a closed form; six months ahead."""
+    rows = splits.ranked(bd.filled_panel(spark, sf), "member", "ts")
+    grid = ar.Grid(p=(1,), d=(1,), q=(0,))
+    fits, detail = ar.fit_grid(rows, "member", "ts", "total", F.lit(True), grid)
+    weights = fits.select("member", F.get("beta", 1).alias("phi"), F.col("_train_n").alias("n"))
+    ahead = ar.predictions(fits, detail, "member", grid, 6).join(weights, "member").where(F.col("rn") > F.col("n"))
+    return ahead.select("member", big(F.col("rn") - F.col("n")).alias("h"), rd("phi", 8).alias("phi"), rd("predicted", 3).alias("predicted"))
+
+
 @query("M-13")
 def arima_scores(spark, sf):
     rows = tn.split_rows(bd.filled_panel(spark, sf), "member", "ts")

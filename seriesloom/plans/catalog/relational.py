@@ -690,3 +690,13 @@ def ratio_held_at_last(spark, sf):
     held = one_value(wide, F.max_by(F.col("urban") / F.col("total"), "ts"))
     absent = shaping.column_or(wide, "median_age", F.lit(None).cast("double"))
     return wide.select("ts", rd(F.col("total") * held).alias("urban_forecast"), absent.alias("median_age"))
+
+
+@query(
+    "B-10",
+    ctes(b.DRIVERS_SQL) + "SELECT ts, round(birth_rate, 8) AS birth_rate, CAST(NULL AS DOUBLE) AS migrants, CAST(NULL AS DOUBLE) AS median_age FROM drv",
+)
+def required_columns(spark, sf):
+    """Columns a model needs but the table lacks are added as NULL."""
+    full = shaping.require_numeric(bd.drivers(spark, sf).select("ts", "birth_rate"), ["birth_rate", "migrants", "median_age"])
+    return full.withColumn("birth_rate", rd("birth_rate", 8))

@@ -98,7 +98,7 @@ def information_criteria(spark, sf):
 
 
 @query(
-    "E-08 E-09 M-22",
+    "E-08 E-09 M-22 K-03",
     ctes(
         b.METRICS,
         "p AS (SELECT member, model, avg(CASE WHEN split = 'TRAIN' THEN mape END) AS tr, avg(CASE WHEN split = 'VAL' THEN mape END) AS va, avg(CASE WHEN split = 'TEST' THEN mape END) AS te FROM mets GROUP BY 1, 2)",
