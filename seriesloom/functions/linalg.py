@@ -27,32 +27,38 @@ def moment_sums(xs: list[Column], y: Column, rows: Column | None = None) -> list
     ]
 
 
-def _solve_one(gram, xty, cols, ridge):
-    k = len(xty)
-    full = np.zeros((k, k))
-    full[np.triu_indices(k)] = gram
-    full = full + np.triu(full, 1).T
-    idx = np.asarray(cols, dtype=int)
-    a, b = full[np.ix_(idx, idx)], np.asarray(xty, dtype=float)[idx]
+def _solve_batch(grams: np.ndarray, xtys: np.ndarray, idx: np.ndarray, ridges: np.ndarray) -> np.ndarray:
+    """Solve the same selection of columns for many rows at once."""
+    n, k = xtys.shape
+    full = np.zeros((n, k, k))
+    upper = np.triu_indices(k)
+    full[:, upper[0], upper[1]] = grams
+    full[:, upper[1], upper[0]] = grams
+    a, b = full[:, idx][:, :, idx], xtys[:, idx]
     # unit diagonal: columns of very different size stay solvable; flat columns get weight 0
-    scale = np.sqrt(np.maximum(np.diag(a), 0.0))
+    scale = np.sqrt(np.maximum(np.diagonal(a, axis1=1, axis2=2), 0.0))
     scale[scale == 0] = 1.0
-    scaled = a / np.outer(scale, scale) + np.diag(np.asarray(ridge, dtype=float)[idx] / scale**2)
-    out = np.zeros(k)
-    out[idx] = np.linalg.lstsq(scaled, b / scale, rcond=_EPS)[0] / scale
+    a = a / (scale[:, :, None] * scale[:, None, :])
+    a[:, np.arange(len(idx)), np.arange(len(idx))] += ridges[:, idx] / scale**2
+    out = np.zeros((n, k))
+    out[:, idx] = np.einsum("nij,nj->ni", np.linalg.pinv(a, rcond=_EPS, hermitian=True), b / scale) / scale
     return out
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def solve_moments(gram: pd.Series, xty: pd.Series, cols: pd.Series, ridge: pd.Series) -> pd.Series:
-    """Coefficients of the selected columns (others 0) for each row; NULL sums give NULL."""
-    out = []
-    for g, b, c, r in zip(gram, xty, cols, ridge):
-        if g is None or not np.all(np.isfinite(np.asarray(g, dtype=float))) or len(c) == 0:
-            out.append(None if g is None or len(c) else np.zeros(len(b)))
-        else:
-            out.append(_solve_one(g, b, c, r))
-    return pd.Series(out)
+    """Coefficients of the selected columns (others 0) for each row; sums with a NULL give NULL."""
+    out = pd.Series([None] * len(gram), dtype=object)
+    chosen = cols.map(lambda c: tuple(int(i) for i in c))
+    usable = xty.map(lambda v: v is not None and bool(np.isfinite(np.asarray(v, dtype=float)).all())) & gram.map(
+        lambda v: v is not None and bool(np.isfinite(np.asarray(v, dtype=float)).all())
+    )
+    for picked, rows in chosen[usable].groupby(chosen[usable]).groups.items():
+        g, b, r = (np.stack([np.asarray(v, dtype=float) for v in c.loc[rows]]) for c in (gram, xty, ridge))
+        solved = _solve_batch(g, b, np.asarray(picked, dtype=int), r) if picked else np.zeros_like(b)
+        for row, beta in zip(rows, solved):
+            out.at[row] = beta
+    return out
 
 
 def solve(k: int, ridge: float = 0.0, unpenalised: int = 0, cols: Column | None = None) -> Column:

@@ -12,13 +12,16 @@ from dataclasses import dataclass
 from functools import reduce
 from itertools import product
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seriesloom.functions import linalg as la
 from seriesloom.functions import numeric as nm
 from seriesloom.operators.keys import as_list, series_window
-from seriesloom.session import checkpointed
+from seriesloom.session import checkpointed, spread
 
 # The search ranges of the seasonal grid and of the automatic order choice.
 SEASONAL_GRID = {"p": (0, 1, 2), "d": (0, 1, 2), "q": (0, 1, 2), "sp": (0, 1), "sd": (0, 1), "sq": (0, 1), "season": 12}
@@ -126,19 +129,17 @@ def _regressors(rows: DataFrame, group: list[str], ts: str, grid: Grid) -> tuple
 def _candidates(rows: DataFrame, group: list[str], xs: list[Column], complete: Column, grid: Grid) -> DataFrame:
     """One row per (series, variant, order) with coefficients, AIC and AICc."""
     sums = rows.groupBy(*group).agg(*la.moment_sums(xs, F.col("w"), complete & F.col("_train")))
-    orders = F.array(
-        *[
-            F.struct(
-                *[F.lit(o[c]).alias(c) for c in ("p", "q", "sp", "sq")],
-                F.array(*[F.lit(i) for i in o["cols"]]).cast("array<int>").alias("_cols"),
-            )
-            for o in grid.orders()
-        ]
+    orders = ", ".join(
+        f"named_struct('p', {o['p']}, 'q', {o['q']}, 'sp', {o['sp']}, 'sq', {o['sq']}, "
+        f"'_cols', CAST(array({', '.join(map(str, o['cols']))}) AS array<int>))"
+        for o in grid.orders()
     )
+    orders = F.expr(f"array({orders})")
     undifferenced = (F.col("d") + F.col("sd")) == 0
     fits = sums.select("*", F.inline(orders)).withColumn(
         "_cols", F.when(undifferenced, F.concat(F.array(F.lit(0)), F.col("_cols"))).otherwise(F.col("_cols"))
     )
+    fits = spread(fits, *group, "p", "q", "sp", "sq")
     k = F.col("p") + F.col("d") + F.col("q") + F.col("sp") + F.col("sd") + F.col("sq") + 1
     fits = fits.withColumn("beta", F.when(F.col("n") > F.size("_cols") + 1, la.solve(len(xs), cols=F.col("_cols"))))
     explained = F.aggregate(F.zip_with("beta", "xty", lambda b, t: b * t), F.lit(0.0), lambda s, v: s + v)
@@ -152,46 +153,68 @@ def _candidates(rows: DataFrame, group: list[str], xs: list[Column], complete: C
     )
 
 
-def _tail(rows: DataFrame, group: list[str], ts: str, grid: Grid) -> DataFrame:
-    """Newest train values each recursion starts from: a fixed number of steps per series."""
-    deepest = max([lag for v in grid.variants() for lag in v["weights"]] + grid.w_lags + grid.e_lags + [1])
-    recent = rows.where(F.col("_train") & (F.col("rn") > F.col("_train_n") - deepest))
-    packed = F.array_sort(F.collect_list(F.struct("rn", F.col("_y").alias("y"), "w", "e")))
+def _depth(grid: Grid) -> int:
+    """Number of past steps a forecast looks back."""
+    return max([lag for v in grid.variants() for lag in v["weights"]] + grid.w_lags + grid.e_lags + [1])
+
+
+def _tail(rows: DataFrame, group: list[str], grid: Grid) -> DataFrame:
+    """Newest train values each forecast starts from, newest first: a fixed number of steps per series."""
+    recent = rows.where(F.col("_train") & (F.col("rn") > F.col("_train_n") - _depth(grid)))
+    packed = F.reverse(F.array_sort(F.collect_list(F.struct("rn", F.col("_y").alias("y"), "w", "e"))))
     return recent.groupBy(*group, "_train_n").agg(packed.alias("_p")).select(
         *group,
         "_train_n",
         F.transform("_p", lambda r: r["y"]).alias("_ys"),
-        F.transform("_p", lambda r: r["w"]).alias("_ws"),
+        F.transform("_p", lambda r: F.coalesce(r["w"], F.lit(0.0))).alias("_ws"),
         F.transform("_p", lambda r: F.coalesce(r["e"], F.lit(0.0))).alias("_es"),
     )
 
 
+def _undo_weights(grid: Grid) -> Column:
+    """Lag weights of the row's differencing variant as a dense array (lag 1 first)."""
+    out = F.lit(None).cast("array<double>")
+    for v in grid.variants():
+        dense = ", ".join(f"{v['weights'].get(lag, 0.0)}D" for lag in range(1, _depth(grid) + 1))
+        out = F.when((F.col("d") == v["d"]) & (F.col("sd") == v["sd"]), F.expr(f"array({dense})")).otherwise(out)
+    return out
+
+
+def _stack(values: pd.Series, width: int) -> np.ndarray:
+    """Rows of arrays as one matrix, cut or zero-padded to ``width``."""
+    out = np.zeros((len(values), width))
+    for i, v in enumerate(values):
+        v = np.asarray(v, dtype=float)[:width]
+        out[i, : len(v)] = v
+    return out
+
+
 def _forecast_path(grid: Grid, steps: int) -> Column:
-    """Fold producing ``steps`` forecasts: next differenced value from the regression, then undo the differencing."""
-    variants = grid.variants()
+    """``steps`` forecasts per candidate, a batch of candidates at a time.
 
-    def past(arr, lag):
-        return F.coalesce(F.try_element_at(arr, F.lit(-lag)), F.lit(0.0))
-
-    def step(s, _):
-        new_w = F.get("beta", 0)
-        for i, lag in enumerate(grid.w_lags, start=1):
-            new_w = new_w + F.get("beta", i) * past(s["w"], lag)
-        for i, lag in enumerate(grid.e_lags, start=1 + len(grid.w_lags)):
-            new_w = new_w + F.get("beta", i) * past(s["e"], lag)
-        undo = F.lit(0.0)
-        for v in variants:
-            here = reduce(lambda a, kv: a + F.lit(kv[1]) * past(s["y"], kv[0]), v["weights"].items(), F.lit(0.0))
-            undo = F.when((F.col("d") == v["d"]) & (F.col("sd") == v["sd"]), here).otherwise(undo)
-        return F.struct(
-            F.concat(s["y"], F.array(new_w - undo)).alias("y"),
-            F.concat(s["w"], F.array(new_w)).alias("w"),
-            F.concat(s["e"], F.array(F.lit(0.0))).alias("e"),
-        )
-
-    start = F.struct(F.col("_ys").alias("y"), F.col("_ws").alias("w"), F.col("_es").alias("e"))
-    end = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step)
-    return F.slice(end["y"], F.size("_ys") + 1, steps)
+    Each step takes the next differenced value from the regression (future shocks are zero) and then undoes
+    the differencing with the newest values.
+    """
+    w_lags, e_lags, depth = grid.w_lags, grid.e_lags, _depth(grid)
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def path(beta: pd.Series, ys: pd.Series, ws: pd.Series, es: pd.Series, undo: pd.Series) -> pd.Series:
+        coef, back = _stack(beta, 1 + len(w_lags) + len(e_lags)), _stack(undo, depth)
+        y, w, e = (_stack(v, depth) for v in (ys, ws, es))
+        out = np.empty((len(beta), steps))
+        for t in range(steps):
+            new_w = coef[:, 0].copy()
+            for i, lag in enumerate(w_lags, start=1):
+                new_w += coef[:, i] * w[:, lag - 1]
+            for i, lag in enumerate(e_lags, start=1 + len(w_lags)):
+                new_w += coef[:, i] * e[:, lag - 1]
+            out[:, t] = new_w - (back * y).sum(axis=1)
+            for past, new in ((y, out[:, t]), (w, new_w), (e, 0.0)):
+                past[:, 1:] = past[:, :-1].copy()
+                past[:, 0] = new
+        return pd.Series(list(out))
+
+    return path("beta", "_ys", "_ws", "_es", _undo_weights(grid))
 
 
 def fit_grid(df: DataFrame, key: str | list[str], ts: str, y: str, train: Column, grid: Grid) -> tuple[DataFrame, DataFrame]:
@@ -207,12 +230,12 @@ def fit_grid(df: DataFrame, key: str | list[str], ts: str, y: str, train: Column
     base = df.withColumns({"_y": F.col(y).cast("double"), "_train": F.coalesce(train, F.lit(False))})
     last = F.max(F.when(F.col("_train"), F.col("rn")))
     base = base.withColumn("_train_n", last.over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    rows = _variant_rows(base, key, ts, "_y", grid)
+    rows = spread(_variant_rows(base, key, ts, "_y", grid), *group)
     rows = _long_ar_residuals(rows, group, ts, grid)
     rows, xs, complete = _regressors(rows, group, ts, grid)
     rows = checkpointed(rows.withColumn("_complete", complete))
     fits = _candidates(rows, group, xs, F.col("_complete"), grid)
-    return checkpointed(fits.join(_tail(rows, group, ts, grid), group)), rows
+    return checkpointed(fits.join(_tail(rows, group, grid), group)), rows
 
 
 def predictions(fits: DataFrame, rows: DataFrame, key: str | list[str], grid: Grid, steps: int) -> DataFrame:

@@ -32,6 +32,10 @@ def one_value(df: DataFrame, c: Column) -> Column:
 
 def literal_rows(rows: list[dict], types: dict[str, str]) -> Column:
     """Fixed parameter rows as an array of structs: exploding it never needs a join."""
-    return F.array(
-        *[F.struct(*[F.lit(r[n]).cast(t).alias(n) for n, t in types.items()]) for r in rows]
-    )
+
+    def cell(value, kind):
+        text = "'" + value.replace("'", "\\'") + "'" if isinstance(value, str) else repr(value)
+        return f"CAST({text} AS {kind})"
+
+    structs = (", ".join(f"'{n}', {cell(r[n], t)}" for n, t in types.items()) for r in rows)
+    return F.expr("array(" + ", ".join(f"named_struct({x})" for x in structs) + ")")

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.operators.keys import as_list, literal_rows
+from seriesloom.session import spread
 
 # Search grid for the smoothing weights (level, trend) and the damping.
 LEVEL_GRID = (0.1, 0.3, 0.5, 0.7, 0.9)
@@ -43,7 +44,10 @@ def as_arrays(df: DataFrame, key: str | list[str], ts: str, value: str, rows: Co
 
 
 def with_grid(series: DataFrame, rows: list[dict]) -> DataFrame:
-    return series.select("*", F.inline(literal_rows(rows, _PARAM_TYPES)))
+    """Every series with every parameter row; the pairs are spread over all tasks."""
+    keys = [c for c in series.columns if c not in ("ys", "tss")]
+    pairs = series.select("*", F.inline(literal_rows(rows, _PARAM_TYPES)))
+    return spread(pairs, *keys, *_PARAM_TYPES) if len(rows) > 1 else pairs
 
 
 def _holt_step(alpha, beta, phi):

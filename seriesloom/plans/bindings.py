@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from seriesloom.functions import time as tm
 from seriesloom.operators import calendar as cal
@@ -13,13 +14,24 @@ from seriesloom.operators import features as ft
 DRIVERS = ["birth_rate", "death_rate", "density", "rural", "urban"]
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
+    """A star-schema table. Its schema is read from the files once and reused, so later reads start no job."""
+    path = f"{sf.rstrip('/')}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
+
+
+def cents(c: str) -> Column:
+    """A two-decimal amount as a whole number, so that sums are exact in any row order and stay in a long."""
+    return F.round(F.col(c) * 100).cast("long")
 
 
-def money(c) -> F.Column:
-    """Exact sum of two-decimal amounts, whatever the order of the rows."""
-    return F.sum(F.col(c).cast("decimal(18,2)"))
+def money(c: str) -> Column:
+    return F.sum(cents(c)) / F.lit(100.0)
 
 
 def _bucket(unit: str):
@@ -27,6 +39,18 @@ def _bucket(unit: str):
     return start(F.col("o_orderdate"))
 
 
+def customer_members(spark: SparkSession, sf: str, level: str = "nation") -> DataFrame:
+    """``c_custkey, member``: the nation or region name of every customer. Nations and regions are fixed small lists."""
+    nations = table(spark, sf, "nation")
+    if level == "region":
+        regions = table(spark, sf, "region")
+        named = nations.join(regions, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.col("r_name").alias("member"))
+    else:
+        named = nations.select("n_nationkey", F.col("n_name").alias("member"))
+    customers = table(spark, sf, "customer").select("c_custkey", "c_nationkey")
+    return customers.join(named, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "member")
+
+
 def member_cells(spark: SparkSession, sf: str, level: str = "nation", unit: str = "month") -> DataFrame:
     """``member, ts, total``: one row per member and bucket that has orders.
 
@@ -37,25 +61,13 @@ def member_cells(spark: SparkSession, sf: str, level: str = "nation", unit: str
         table(spark, sf, "orders")
         .select("o_custkey", _bucket(unit).alias("ts"), "o_totalprice")
         .groupBy("o_custkey", "ts")
-        .agg(money("o_totalprice").alias("amount"))
-    )
-    customers = table(spark, sf, "customer").select("c_custkey", "c_nationkey")
-    nations = table(spark, sf, "nation")
-    if level == "region":
-        names = nations.join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(
-            "n_nationkey", F.col("r_name").alias("member")
-        )
-    else:
-        names = nations.select("n_nationkey", F.col("n_name").alias("member"))
-    per_nation = (
-        per_customer.join(customers, F.col("o_custkey") == F.col("c_custkey"))
-        .groupBy("c_nationkey", "ts")
-        .agg(F.sum("amount").alias("amount"))
+        .agg(F.sum(cents("o_totalprice")).alias("amount"))
     )
+    members = customer_members(spark, sf, level)
     return (
-        per_nation.join(names, F.col("c_nationkey") == F.col("n_nationkey"))
+        per_customer.join(members, F.col("o_custkey") == F.col("c_custkey"))
         .groupBy("member", "ts")
-        .agg(F.sum("amount").cast("double").alias("total"))
+        .agg((F.sum("amount") / F.lit(100.0)).alias("total"))
     )
 
 
@@ -74,7 +86,7 @@ def national(spark: SparkSession, sf: str, unit: str = "month") -> DataFrame:
     sums = (
         table(spark, sf, "orders")
         .groupBy(_bucket(unit).alias("ts"))
-        .agg(money("o_totalprice").cast("double").alias("total"))
+        .agg(money("o_totalprice").alias("total"))
     )
     return sums.select(F.lit("TOTAL").alias("member"), "ts", "total")
 
@@ -84,16 +96,16 @@ def drivers(spark: SparkSession, sf: str, unit: str = "month") -> DataFrame:
     start = {"month": tm.month_start, "year": tm.year_start}[unit]
     n = F.count(F.lit(1))
     returned = F.col("l_returnflag") == "R"
-    price = F.col("l_extendedprice").cast("decimal(18,2)")
+    price = cents("l_extendedprice")
     return (
         table(spark, sf, "lineitem")
         .groupBy(start(F.col("l_shipdate")).alias("ts"))
         .agg(
-            (money("l_discount").cast("double") / n).alias("birth_rate"),
-            (money("l_tax").cast("double") / n).alias("death_rate"),
-            (money("l_quantity").cast("double") / n).alias("density"),
-            F.sum(F.when(returned, price)).cast("double").alias("rural"),
-            F.sum(F.when(~returned, price)).cast("double").alias("urban"),
+            (money("l_discount") / n).alias("birth_rate"),
+            (money("l_tax") / n).alias("death_rate"),
+            (money("l_quantity") / n).alias("density"),
+            (F.sum(F.when(returned, price)) / F.lit(100.0)).alias("rural"),
+            (F.sum(F.when(~returned, price)) / F.lit(100.0)).alias("urban"),
         )
     )
 

@@ -23,6 +23,7 @@ from seriesloom.plans import bindings as bd
 from seriesloom.plans import tuning as tn
 from seriesloom.plans.catalog import base as b
 from seriesloom.plans.catalog.base import big, ctes, query, rd
+from seriesloom.session import checkpointed
 
 def _is_train():
     return F.col("split") == "TRAIN"
@@ -406,7 +407,7 @@ def seasonal_grid_search(spark, sf):
     """All 216 seasonal orders of every member, scored; the best by validation error of each."""
     rows = tn.split_rows(bd.filled_panel(spark, sf), "member", "ts")
     preds = tn.arima_candidates(rows, "member", "ts", "total", ar.seasonal_grid(), "SARIMA", 30)
-    scored = tn.candidate_scores([preds], "member")
+    scored = checkpointed(tn.candidate_scores([preds], "member"))
     sizes = scored.groupBy("member").agg(F.count(F.lit(1)).alias("n_orders"))
     return sel.best_per_member(scored, "member", "params").join(sizes, "member")
 
@@ -566,11 +567,8 @@ p AS (SELECT member, ts, b0 + b1 * (year(ts) + (month(ts) - 1) / 12.0::DOUBLE) A
 )
 def batch_predictions(spark, sf):
     """Every distinct (member, order date) as a request: two total models, their mean, the member share and value."""
-    nations = bd.table(spark, sf, "nation").select("n_nationkey", F.col("n_name").alias("member"))
-    customers = bd.table(spark, sf, "customer").select("c_custkey", "c_nationkey")
     orders = bd.table(spark, sf, "orders").select("o_custkey", F.to_date("o_orderdate").alias("ts")).distinct()
-    named = customers.join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
-    requests = orders.join(named, F.col("o_custkey") == F.col("c_custkey")).select("member", "ts").distinct()
+    requests = orders.join(bd.customer_members(spark, sf), F.col("o_custkey") == F.col("c_custkey")).select("member", "ts").distinct()
     yearly = bd.yearly_national(spark, sf).select(F.lit(1).alias("k"), F.make_date("year", F.lit(1), F.lit(1)).alias("ts"), "total", "year")
     line = tr.linear_trend(yearly, "k", "year", "total", F.lit(True))
     b0, b1 = one_value(line, F.first("intercept")), one_value(line, F.first("slope"))
@@ -596,7 +594,7 @@ def national_lookup(spark, sf):
     """Each order date looked up in the monthly table of shipped value, which starts in 1998."""
     start = F.lit("1998-01-01").cast("timestamp_ntz")
     shipped = bd.table(spark, sf, "lineitem").select("l_shipdate", "l_extendedprice").where(F.col("l_shipdate") >= start)
-    forecast = shipped.groupBy(tm.month_start(F.col("l_shipdate")).alias("ts")).agg(bd.money("l_extendedprice").cast("double").alias("v"))
+    forecast = shipped.groupBy(tm.month_start(F.col("l_shipdate")).alias("ts")).agg(bd.money("l_extendedprice").alias("v"))
     requests = bd.table(spark, sf, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("date_requested"))
     out = fc.lookup_national(requests, forecast, "date_requested", "ts", "v")
     return out.select("o_orderkey", "date_requested", "predicted_value", "status")
@@ -619,8 +617,7 @@ def member_lookup(spark, sf):
     cells = bd.member_cells(spark, sf)
     history = cells.where(F.col("ts") >= F.lit("1996-01-01").cast("date")).withColumnRenamed("total", "population")
     forecast = cells.where(F.col("ts") >= F.lit("1999-07-01").cast("date")).select("member", F.add_months("ts", 12).alias("ts"), "total")
-    nations = bd.table(spark, sf, "nation").select("n_nationkey", F.upper("n_name").alias("member"))
-    named = bd.table(spark, sf, "customer").select("c_custkey", "c_nationkey").join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
+    named = bd.customer_members(spark, sf).withColumn("member", F.upper("member"))
     orders = bd.table(spark, sf, "orders").select("o_custkey", F.to_date("o_orderdate").alias("d")).distinct()
     requests = orders.join(named, F.col("o_custkey") == F.col("c_custkey")).select("member", "d").distinct()
     out = fc.lookup_member(requests, forecast, history, "member", "d", "ts", "total", "population")

@@ -191,13 +191,16 @@ _SPARSE = (
 
 def _sparse_cells(spark, sf):
     per_customer = (
-        bd.table(spark, sf, "orders").groupBy("o_custkey", tm.month_start(F.col("o_orderdate")).alias("ts")).agg(bd.money("o_totalprice").alias("amount"))
+        bd.table(spark, sf, "orders")
+        .groupBy("o_custkey", tm.month_start(F.col("o_orderdate")).alias("ts"))
+        .agg(F.sum(bd.cents("o_totalprice")).alias("amount"))
     )
-    customers = bd.table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
-    nations = bd.table(spark, sf, "nation").select("n_nationkey", "n_name")
-    grouped = per_customer.join(customers, F.col("o_custkey") == F.col("c_custkey")).groupBy("c_nationkey", "c_mktsegment", "ts").agg(F.sum("amount").alias("amount"))
-    named = grouped.join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
-    return named.select(F.concat_ws("/", "n_name", "c_mktsegment").alias("member"), "ts", F.col("amount").cast("double").alias("total"))
+    segments = bd.table(spark, sf, "customer").select("c_custkey", "c_mktsegment")
+    members = bd.customer_members(spark, sf).join(segments, "c_custkey").select(
+        F.col("c_custkey").alias("o_custkey"), F.concat_ws("/", "member", "c_mktsegment").alias("member")
+    )
+    summed = per_customer.join(members, "o_custkey").groupBy("member", "ts").agg(F.sum("amount").alias("amount"))
+    return summed.select("member", "ts", (F.col("amount") / F.lit(100.0)).alias("total"))
 
 
 @query(

@@ -49,7 +49,7 @@ def pruned_scan(spark, sf):
         F.col("o_orderdate") < F.lit("2001-01-01").cast("timestamp_ntz")
     )
     return rows.where(inside).groupBy(big(F.year("o_orderdate")).alias("year")).agg(
-        bd.money("o_totalprice").cast("double").alias("total")
+        bd.money("o_totalprice").alias("total")
     )
 
 
@@ -453,11 +453,9 @@ _REQ = "req AS (SELECT o_orderkey, n_name AS member, CAST(o_orderdate AS DATE) A
 
 def _requests(spark, sf):
     """Every order asks for its nation's series at its own date."""
-    nations = bd.table(spark, sf, "nation").select("n_nationkey", F.col("n_name").alias("member"))
-    customers = bd.table(spark, sf, "customer").select("c_custkey", "c_nationkey")
     orders = bd.table(spark, sf, "orders").select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("ts"))
-    named = customers.join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
-    return orders.join(named, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "member", "ts")
+    members = bd.customer_members(spark, sf)
+    return orders.join(members, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "member", "ts")
 
 
 _QUARTERS = (
@@ -469,7 +467,7 @@ _QUARTERS = (
 
 def _quarters(spark, sf):
     cells = bd.member_cells(spark, sf).where(F.col("ts") >= F.lit("1996-01-01").cast("date"))
-    exact = F.sum(F.col("total").cast("decimal(28,2)")).cast("double")
+    exact = bd.money("total")
     return cells.groupBy("member", F.to_date(F.trunc("ts", "quarter")).alias("ts")).agg(exact.alias("total"))
 
 

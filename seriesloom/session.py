@@ -55,3 +55,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder; never reused, so a rerun cannot read a half-written table."""
     return f"{shared_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+
+
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Hash rows over all shuffle partitions before work that costs far more than its bytes suggest.
+
+    Adaptive execution merges partitions by size, which would run thousands of small model fits in one task; an
+    explicit partition count is kept as it is.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
