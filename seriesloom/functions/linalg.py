@@ -48,17 +48,17 @@ def _solve_batch(grams: np.ndarray, xtys: np.ndarray, idx: np.ndarray, ridges: n
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def solve_moments(gram: pd.Series, xty: pd.Series, cols: pd.Series, ridge: pd.Series) -> pd.Series:
     """Coefficients of the selected columns (others 0) for each row; sums with a NULL give NULL."""
-    out = pd.Series([None] * len(gram), dtype=object)
-    chosen = cols.map(lambda c: tuple(int(i) for i in c))
-    usable = xty.map(lambda v: v is not None and bool(np.isfinite(np.asarray(v, dtype=float)).all())) & gram.map(
-        lambda v: v is not None and bool(np.isfinite(np.asarray(v, dtype=float)).all())
-    )
-    for picked, rows in chosen[usable].groupby(chosen[usable]).groups.items():
-        g, b, r = (np.stack([np.asarray(v, dtype=float) for v in c.loc[rows]]) for c in (gram, xty, ridge))
+    out: list[np.ndarray | None] = [None] * len(gram)
+    batches: dict[tuple, list[int]] = {}
+    for i, (g, b, c) in enumerate(zip(gram, xty, cols)):
+        if g is not None and b is not None and np.isfinite(np.asarray([*g, *b], dtype=float)).all():
+            batches.setdefault(tuple(c), []).append(i)
+    for picked, rows in batches.items():
+        g, b, r = (np.stack([np.asarray(s.iat[i], dtype=float) for i in rows]) for s in (gram, xty, ridge))
         solved = _solve_batch(g, b, np.asarray(picked, dtype=int), r) if picked else np.zeros_like(b)
-        for row, beta in zip(rows, solved):
-            out.at[row] = beta
-    return out
+        for i, beta in zip(rows, solved):
+            out[i] = beta
+    return pd.Series(out, dtype=object)
 
 
 def solve(k: int, ridge: float = 0.0, unpenalised: int = 0, cols: Column | None = None) -> Column:
