@@ -21,6 +21,15 @@ from seriesloom.operators.trend import expanding_line
 Evaluator = Callable[[DataFrame, "str | list[str]", str, str], DataFrame]
 
 
+def expanding(df: DataFrame, key: str | list[str], ts: str, aggs: dict[str, Column]) -> DataFrame:
+    """Aggregates over the training rows of every fold, that is all earlier rows of the series.
+
+    Running aggregates stand in for a join of each fold with its earlier rows, which would emit T*T/2 rows.
+    """
+    past = series_window(key, ts).rowsBetween(Window.unboundedPreceding, -1)
+    return df.withColumns({name: c.over(past) for name, c in aggs.items()})
+
+
 def naive(df: DataFrame, key, ts: str, value: str) -> DataFrame:
     return df.withColumn("predicted", F.lag(value).over(series_window(key, ts)))
 

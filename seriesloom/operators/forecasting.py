@@ -13,6 +13,7 @@ from seriesloom.operators.calendar import month_horizon
 from seriesloom.operators.joins import keep_best
 from seriesloom.operators.keys import as_list, literal_rows, one_value
 from seriesloom.operators.trend import share_forecast
+from seriesloom.session import broadcast_if_small
 
 
 def last_known(df: DataFrame, ts: str, values: list[str]) -> dict[str, Column]:
@@ -80,11 +81,15 @@ def _by_month(df: DataFrame, ts: str) -> DataFrame:
 
 
 def lookup_national(requests: DataFrame, forecast: DataFrame, date: str, ts: str, value: str) -> DataFrame:
-    """Forecast of the month of each requested date; a request without one is marked not found."""
+    """Forecast of the month of each requested date; a request without one is marked not found.
+
+    Of several forecast rows in one month the first counts.
+    """
     asked = _by_month(requests, date)
-    table = _by_month(forecast, ts).select("year", "month", F.col(value).alias("predicted_value"))
+    monthly = _by_month(forecast, ts).select("year", "month", F.col(value).alias("predicted_value"), F.col(ts).alias("_ts"))
+    table = keep_best(monthly, ["year", "month"], F.min_by, F.col("_ts")).drop("_ts")
     found = F.when(F.col("predicted_value").isNull(), "not_found").otherwise("found")
-    return asked.join(table, ["year", "month"], "left").withColumn("status", found)
+    return asked.join(broadcast_if_small(table), ["year", "month"], "left").withColumn("status", found)
 
 
 def lookup_member(
@@ -100,11 +105,11 @@ def lookup_member(
     def side(df, v, kind, prio):
         return _by_month(df, ts).select(
             F.lower(member).alias("_m"), "year", "month", F.col(member).alias("matched_member"),
-            F.lit(kind).alias("value_type"), F.col(v).alias("predicted_value"), F.lit(prio).alias("_prio"),
+            F.lit(kind).alias("value_type"), F.col(v).alias("predicted_value"), F.struct(F.lit(prio), ts).alias("_prio"),
         )
 
     both = side(forecast, value, "forecast", 0).unionByName(side(history, past, "historical_actual", 1))
     table = keep_best(both, keys, F.min_by, F.col("_prio")).drop("_prio")
     asked = _by_month(requests, date).withColumn("_m", F.lower(member))
-    out = asked.join(table, keys, "left").drop("_m")
+    out = asked.join(broadcast_if_small(table), keys, "left").drop("_m")
     return out.withColumn("status", F.when(F.col("predicted_value").isNull(), "not_found").otherwise("found"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.operators.keys import as_list, reverse_window, series_window
+from seriesloom.session import broadcast_if_small
 
 
 def join_chain(first: DataFrame, others: list[DataFrame], on: str | list[str], how: str) -> DataFrame:
@@ -27,13 +28,14 @@ def _timeline(points: DataFrame, data: DataFrame, key: list[str], ts: str, value
     asked = asked.withColumn("_row", F.col("_row").cast(known.schema["_row"].dataType))
     merged = asked.unionByName(known)
     return merged.groupBy(*key, ts).agg(
-        F.any_value("_row", True).alias("_row"), F.bool_or("_ask").alias("_ask")
+        F.max("_row").alias("_row"), F.bool_or("_ask").alias("_ask")
     )
 
 
 def _attach(points: DataFrame, found: DataFrame, key: list[str], ts: str, values: list[str]) -> DataFrame:
+    """Bring the hits, one row per (series, date), back to every request."""
     picked = found.select(*key, ts, F.col("_hit.at").alias("matched_ts"), *[F.col(f"_hit.{v}").alias(v) for v in values])
-    return points.join(picked, [*key, ts], "left")
+    return points.join(broadcast_if_small(picked), [*key, ts], "left")
 
 
 def asof_backward(
@@ -89,14 +91,5 @@ def keep_best(df: DataFrame, key: list[str], pick, order: Column) -> DataFrame:
     return df.groupBy(*key).agg(pick(F.struct(*rest), order).alias("_r")).select(*key, "_r.*")
 
 
-def expanding_folds(df: DataFrame, folds: DataFrame, key: str | list[str], t: str, fold: str) -> DataFrame:
-    """Training rows of every fold: rows of the same series strictly before the fold.
-
-    The result is by definition one row per (fold, earlier row). Back-tests use running
-    windows instead; this form is for members that need the training rows themselves.
-    """
-    return folds.join(df, as_list(key)).where(F.col(t) < F.col(fold))
-
-
 def unpivot(df: DataFrame, ids: list[str], columns: list[str], name: str, value: str) -> DataFrame:
     return df.unpivot(ids, columns, name, value)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from seriesloom.functions import numeric as nm
 from seriesloom.functions import text as tx
 from seriesloom.functions import time as tm
+from seriesloom.operators import backtest as bt
 from seriesloom.operators import calendar as cal
 from seriesloom.operators import features as ft
 from seriesloom.operators import forecasting as fc
@@ -516,10 +517,9 @@ def member_calendar(spark, sf):
     + "SELECT member, CAST(fold AS BIGINT) AS fold, count(*) AS train_rows, round(avg(total), 4) AS train_mean FROM folds JOIN yearly USING (member) WHERE year < fold GROUP BY 1, 2",
 )
 def fold_training_rows(spark, sf):
-    yearly = bd.yearly_members(spark, sf)
-    folds = yearly.where("year >= 1997").select("member", F.col("year").alias("fold"))
-    rows = joins.expanding_folds(yearly, folds, "member", "year", "fold")
-    return rows.groupBy("member", big("fold").alias("fold")).agg(F.count(F.lit(1)).alias("train_rows"), rd(F.avg("total")).alias("train_mean"))
+    stats = {"train_rows": F.count(F.lit(1)), "train_mean": F.avg("total")}
+    folds = bt.expanding(bd.yearly_members(spark, sf), "member", "year", stats).where("year >= 1997")
+    return folds.select("member", big("year").alias("fold"), "train_rows", rd("train_mean").alias("train_mean"))
 
 
 @query(
@@ -599,14 +599,14 @@ def refit_rows(spark, sf):
 
 @query(
     "I-03 I-04",
-    "SELECT o_orderkey, o_totalprice AS value, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE -o_totalprice END AS negative, "
+    "SELECT o_orderkey, o_totalprice AS value, CASE WHEN o_orderpriority IN ('1-URGENT', '5-LOW') THEN NULL ELSE -o_totalprice END AS negative, "
     "CAST(NULL AS DOUBLE) AS status_number, o_totalprice AS coerced FROM orders",
 )
 def numeric_text(spark, sf):
     """Order totals written as text with thousands commas, a typographic minus, percent signs and missing marks."""
     orders = bd.table(spark, sf, "orders")
     grouped = F.format_number(F.col("o_totalprice").cast("decimal(18,2)"), 2)
-    missing = F.when(F.col("o_orderkey") % 14 == 0, "").when(F.col("o_orderkey") % 7 == 0, "None")
+    missing = F.when(F.col("o_orderpriority") == "1-URGENT", "").when(F.col("o_orderpriority") == "5-LOW", "None")
     minus = F.coalesce(missing, F.concat(F.lit(tx.MINUS_SIGN + " "), grouped, F.lit(" %")))
     return orders.select(
         "o_orderkey", tx.to_number(grouped).alias("value"), tx.to_number(minus).alias("negative"),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.functions import text as tx
+from seriesloom.session import checkpointed
 
 # Year bounds that tell a history table from a forecast table.
 HISTORY_FROM = 1955
@@ -86,6 +87,7 @@ def choose_tables(
     first (and ends last). Forecast is the last candidate that reaches far enough, else the first one that
     goes beyond the history table; it may be absent.
     """
+    spans = checkpointed(spans)  # read three times below
     tag = F.struct(*table_key)
     is_history = (F.col("min_year") <= history_from) & F.col("max_year").between(*history_to)
     is_forecast = F.col("max_year") >= forecast_to

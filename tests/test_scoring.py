@@ -97,11 +97,11 @@ def test_ensemble_lies_between_members(spark):
 def test_lookups(spark):
     import datetime as dt
 
-    fcst = spark.createDataFrame([("Ampara", dt.date(2025, 1, 1), 5.0)], "member string, ts date, v double")
-    hist = spark.createDataFrame([("Ampara", dt.date(2025, 1, 1), 4.0), ("Ampara", dt.date(2024, 12, 1), 3.0)], "member string, ts date, p double")
-    req = spark.createDataFrame([(1, "ampara", dt.date(2025, 1, 20)), (2, "AMPARA", dt.date(2024, 12, 2)), (3, "Galle", dt.date(2025, 1, 1))], "id int, member string, d date")
+    fcst = spark.createDataFrame([("Alpha", dt.date(2025, 1, 1), 5.0)], "member string, ts date, v double")
+    hist = spark.createDataFrame([("Alpha", dt.date(2025, 1, 1), 4.0), ("Alpha", dt.date(2024, 12, 1), 3.0)], "member string, ts date, p double")
+    req = spark.createDataFrame([(1, "alpha", dt.date(2025, 1, 20)), (2, "ALPHA", dt.date(2024, 12, 2)), (3, "Beta", dt.date(2025, 1, 1))], "id int, member string, d date")
     got = {r.id: r for r in fc.lookup_member(req, fcst, hist, "member", "d", "ts", "v", "p").collect()}
-    assert (got[1].predicted_value, got[1].value_type, got[1].matched_member) == (5.0, "forecast", "Ampara")
+    assert (got[1].predicted_value, got[1].value_type, got[1].matched_member) == (5.0, "forecast", "Alpha")
     assert (got[2].predicted_value, got[2].value_type) == (3.0, "historical_actual")
     assert (got[3].status, got[3].predicted_value) == ("not_found", None)
 
