@@ -21,7 +21,7 @@ def clean_name(name: str) -> str:
 
 
 def clean_name_col(c: Column) -> Column:
-    text = F.regexp_replace(F.regexp_replace(F.trim(c), "\n", " "), "'", "")
+    text = F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"^\s+|\s+$", ""), "\n", " "), "'", "")
     text = F.regexp_replace(F.regexp_replace(text, "%", "Percent"), r"[ ()/\-,.]", "_")
     return F.regexp_replace(F.regexp_replace(text, "_+", "_"), "^_+|_+$", "")
 
@@ -29,7 +29,8 @@ def clean_name_col(c: Column) -> Column:
 def to_number(c: Column) -> Column:
     """Numeric text with thousands commas, percent signs, blanks or a typographic minus; bad text is NULL."""
     bare = F.translate(F.translate(c, ",% ", ""), MINUS_SIGN, "-")
-    return F.when(bare.isin(*MISSING_TEXT), F.lit(None)).otherwise(bare).try_cast("double")
+    suffixed = bare.rlike(r"[0-9.][dDfF]$")  # Java number suffixes are no part of a number here
+    return coerce(F.when(bare.isin(*MISSING_TEXT) | suffixed, F.lit(None)).otherwise(bare))
 
 
 def coerce(c: Column) -> Column:

@@ -59,6 +59,30 @@ def allocate(
     )
 
 
+def predict_requests(
+    requests: DataFrame, totals: dict[str, DataFrame], shares: DataFrame, member: str = "member", ts: str = "ts"
+) -> DataFrame:
+    """Predictions for a batch of (member, date) requests.
+
+    ``totals`` maps a model name to its predicted total per date (``ts, predicted``); every model becomes a
+    ``total_<name>`` column and their mean the ensemble. ``shares`` holds each member's line (``intercept``,
+    ``slope``) on the fractional year; a member without one gets no share and no value.
+    """
+    tagged = [df.select(ts, F.lit(n).alias("model"), "predicted") for n, df in totals.items()]
+    long = reduce(lambda a, b: a.unionByName(b), tagged)
+    valid = F.when(nm.is_valid(F.col("predicted")), F.col("predicted"))
+    wide = long.groupBy(ts).agg(
+        *[F.max(F.when(F.col("model") == n, valid)).alias(f"total_{n}") for n in totals], F.avg(valid).alias("ensemble")
+    )
+    out = requests.join(broadcast_if_small(wide), ts, "left").join(broadcast_if_small(shares), member, "left")
+    share = F.col("intercept") + F.col("slope") * tm.fractional_year(F.col(ts))
+    return (
+        out.withColumn("proportion", share)
+        .withColumn("member_value", F.col("proportion") * F.col("ensemble"))
+        .drop("intercept", "slope")
+    )
+
+
 def demand(forecast: DataFrame, value: str, rates: dict[str, float]) -> DataFrame:
     """Yearly demand of every item: value times its rate per head."""
     rows = [{"item": k, "rate": v} for k, v in rates.items()]

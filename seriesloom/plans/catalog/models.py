@@ -478,6 +478,55 @@ def member_tuning(spark, sf):
     return sel.member_leaderboard(tn.candidate_scores(parts, "member"), "member")
 
 
+@query(
+    "K-05 E-04 E-19 E-21 J-05 M-01",
+    ctes(
+        b.PANEL,
+        "num AS (SELECT *, row_number() OVER (PARTITION BY member ORDER BY ts) AS rn, count(*) OVER (PARTITION BY member) AS n FROM panel)",
+        "parts AS (SELECT *, CASE WHEN rn <= greatest(1, least(floor(n * 0.8::DOUBLE), n - 1)) THEN 'TRAIN' ELSE 'TEST' END AS split FROM num)",
+        _QUAD,
+        "ln AS (SELECT member, regr_intercept(total, rn) AS b0, regr_slope(total, rn) AS b1 FROM parts WHERE split = 'TRAIN' GROUP BY 1)",
+        "ev AS (SELECT member, 'QUADRATIC' AS model, total AS a, predicted AS p FROM qp WHERE split = 'TEST' UNION ALL SELECT member, 'LINE', total, b0 + b1 * rn FROM parts JOIN ln USING (member) WHERE split = 'TEST')",
+        "rg AS (SELECT member, min(CASE WHEN split = 'TRAIN' THEN ts END) AS train_start, max(CASE WHEN split = 'TRAIN' THEN ts END) AS train_end, min(CASE WHEN split = 'TEST' THEN ts END) AS test_start, max(CASE WHEN split = 'TEST' THEN ts END) AS test_end FROM parts GROUP BY 1)",
+        "sc AS (SELECT member, avg(abs(d)) AS scale FROM (SELECT member, total - lag(total) OVER (PARTITION BY member ORDER BY ts) AS d FROM parts WHERE split = 'TRAIN') GROUP BY 1)",
+    )
+    + "SELECT member, model, round(sqrt(avg((a - p) ** 2)), 2) AS rmse, round(avg(abs((a - p) / a)) * 100, 5) AS mape, round(avg(abs(a - p)) / any_value(scale), 6) AS mase, "
+    "round(1 - sum((a - p) ** 2) / (var_pop(a) * count(*)), 5) AS r2, any_value(train_start) AS train_start, any_value(train_end) AS train_end, any_value(test_start) AS test_start, any_value(test_end) AS test_end "
+    "FROM ev JOIN rg USING (member) JOIN sc USING (member) GROUP BY 1, 2",
+)
+def common_split_evaluation(spark, sf):
+    """Two trend models on the same chronological split of every member."""
+    rows = checkpointed(splits.two_way(bd.filled_panel(spark, sf), "member", "ts", 0.8))
+
+    def quadratic(df):
+        return tr.predict_quadratic(df, tr.quadratic_trend(df, "member", "rn", "total", _is_train()), "member", "rn")
+
+    def line(df):
+        return tr.predict_line(df, tr.linear_trend(df, "member", "rn", "total", _is_train()), "member", "rn")
+
+    out = tn.evaluate(rows, "member", "ts", "total", {"QUADRATIC": quadratic, "LINE": line})
+    return out.select(
+        "member", "model", rd("rmse", 2).alias("rmse"), rd("mape", 5).alias("mape"), rd("mase", 6).alias("mase"), rd("r2", 5).alias("r2"),
+        "train_start", "train_end", "test_start", "test_end",
+    )
+
+
+@query("M-24 M-05 M-08 M-09 M-13 M-14 M-15 E-11")
+def total_tuning(spark, sf):
+    """Every model family on the total series: best setting of each family by validation error, ranked."""
+    rows = tn.split_rows(bd.national_master(spark, sf), "member", "ts")
+    boosted = [_small(p, maxIter=10, stepSize=0.2) for p in te.BOOSTED_GRID]
+    forests = [_small(p, numTrees=10) for p in te.FOREST_GRID]
+    parts = [
+        tn.linear_candidate(rows, "member", _NATIONAL_X, "total"),
+        *tn.tree_candidates(rows, "member", _NATIONAL_X, "total", boosted, forests),
+        tn.arima_candidates(rows, "member", "ts", "total", ar.Grid(), "ARIMA", 30),
+        tn.arima_candidates(rows, "member", "ts", "total", ar.seasonal_grid(), "SARIMA", 30),
+        tn.exogenous_candidate(rows, "member", "ts", bd.DRIVERS, "total", ar.Grid(), 30),
+    ]
+    return sel.best_per_family(tn.candidate_scores(parts, "member"))
+
+
 # -- allocation, prediction, demand, serving -------------------------------------------------------
 
 _SHARE_LINE = """
@@ -569,17 +618,18 @@ def batch_predictions(spark, sf):
     """Every distinct (member, order date) as a request: two total models, their mean, the member share and value."""
     orders = bd.table(spark, sf, "orders").select("o_custkey", F.to_date("o_orderdate").alias("ts")).distinct()
     requests = orders.join(bd.customer_members(spark, sf), F.col("o_custkey") == F.col("c_custkey")).select("member", "ts").distinct()
-    yearly = bd.yearly_national(spark, sf).select(F.lit(1).alias("k"), F.make_date("year", F.lit(1), F.lit(1)).alias("ts"), "total", "year")
-    line = tr.linear_trend(yearly, "k", "year", "total", F.lit(True))
-    b0, b1 = one_value(line, F.first("intercept")), one_value(line, F.first("slope"))
-    held = joins.asof_backward(requests.withColumn("k", F.lit(1)), yearly.select("k", "ts", F.col("total").alias("held")), "k", "ts", ["held"])
-    fy = tm.fractional_year(F.col("ts"))
-    totals = held.withColumn("line", b0 + b1 * fy).withColumn("ensemble", (F.col("line") + F.col("held")) / 2)
+    yearly = bd.yearly_national(spark, sf).select("member", F.make_date("year", F.lit(1), F.lit(1)).alias("ts"), "total", "year")
+    dates = requests.select(F.lit("TOTAL").alias("member"), "ts").distinct()
+    line = tr.linear_trend(yearly, "member", "year", "total", F.lit(True))
+    totals = {
+        "line": tr.predict_line(dates.withColumn("fy", tm.fractional_year(F.col("ts"))), line, "member", "fy").select("ts", "predicted"),
+        "held": joins.asof_backward(dates, yearly, "member", "ts", ["total"]).select("ts", F.col("total").alias("predicted")),
+    }
     shares = tr.linear_trend(_shares(spark, sf), "member", "year", "proportion", F.lit(True))
-    out = totals.join(shares, "member").withColumn("share", F.col("intercept") + F.col("slope") * fy)
+    out = fc.predict_requests(requests, totals, shares)
     return out.select(
-        "member", "ts", rd("line", 0).alias("national_line"), F.col("held").alias("national_held"), rd("ensemble", 0).alias("ensemble"),
-        rd("share", 6).alias("proportion"), rd(F.col("share") * F.col("ensemble"), 0).alias("member_value"),
+        "member", "ts", rd("total_line", 0).alias("national_line"), F.col("total_held").alias("national_held"), rd("ensemble", 0).alias("ensemble"),
+        rd("proportion", 6).alias("proportion"), rd("member_value", 0).alias("member_value"),
     )
 
 

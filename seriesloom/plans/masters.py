@@ -35,6 +35,7 @@ STAT_ALIASES = {
     "Migrants_net": ["Migrants_net_"],
     "Density_P_Km2": ["Density_PKm2", "Density"],
     "Urban_Pop_Percent": ["Urban_Pop"],
+    "World_Share": ["Countrys_Share_of_World_Pop"],
 }
 
 
@@ -104,7 +105,9 @@ def standardise_statistics(raw: DataFrame, extra_key: list[str] | None = None, o
     derived when the table lacks them.
     """
     key = extra_key or []
-    out = shaping.apply_aliases(shaping.clean_headings(raw), STAT_ALIASES)
+    out = shaping.clean_headings(raw)
+    ranks = [c for c in out.columns if c.endswith("Global_Rank")]  # the heading starts with the country's name
+    out = shaping.apply_aliases(out, {**STAT_ALIASES, "Global_Rank": ranks})
     wanted = [c for c in STAT_COLUMNS if c in out.columns]
     keep = [*key, *([order] if order and order not in key else [])]
     out = out.select(*keep, *[tx.to_number(F.col(c)).alias(c) for c in wanted])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable, Iterable
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -12,6 +14,7 @@ from seriesloom.operators import metrics as mt
 from seriesloom.operators import regression as rg
 from seriesloom.operators import smoothing as sm
 from seriesloom.operators import splits
+from seriesloom.operators import trees as te
 from seriesloom.operators.keys import as_list, series_window
 from seriesloom.session import checkpointed
 
@@ -36,6 +39,18 @@ def linear_candidate(rows: DataFrame, key, xs: list[str], y: str) -> DataFrame:
     return _shape(rg.predict(rows, coefs, key, xs), key, "LINEAR", "{}", y)
 
 
+def tree_candidates(
+    rows: DataFrame, key, xs: list[str], y: str, boosted: Iterable[dict] = te.BOOSTED_GRID, forests: Iterable[dict] = te.FOREST_GRID
+) -> list[DataFrame]:
+    """One candidate per setting; the trees of a setting are trained on the train rows of all series together."""
+    key, train, out = as_list(key), rows.where(F.col("split") == "TRAIN"), []
+    for model, fit, grid in (("BOOSTED_TREES", te.fit_boosted, boosted), ("RANDOM_FOREST", te.fit_forest, forests)):
+        for params in grid:
+            scored = te.score(fit(train, xs, y, params), rows, xs)
+            out.append(_shape(scored, key, model, json.dumps(params), y))
+    return out
+
+
 def seasonal_naive_candidate(rows: DataFrame, key, y: str, season: int = 12) -> DataFrame:
     """Validation rows repeat the last train season; test rows repeat the last season of train and validation."""
     key = as_list(key)
@@ -147,3 +162,23 @@ def candidate_scores(preds: list[DataFrame], key) -> DataFrame:
     columns = [*as_list(key), *_COLUMNS]
     merged = reduce(lambda a, b: a.unionByName(b), [p.select(*columns) for p in preds])
     return mt.split_bundle(merged, [*as_list(key), "model", "params"])
+
+
+def evaluate(rows: DataFrame, key, ts: str, y: str, evaluators: dict[str, Callable[[DataFrame], DataFrame]]) -> DataFrame:
+    """Test errors of several models on one common split, with the date ranges they were made from.
+
+    ``rows`` carries ``split`` (TRAIN or TEST). An evaluator returns the same rows with ``predicted``, fitted on
+    the train rows only. MASE is scaled by the train rows.
+    """
+    key = as_list(key)
+    parts = [
+        run(rows).select(*key, F.lit(name).alias("model"), "split", F.col(y).alias("actual"), "predicted")
+        for name, run in evaluators.items()
+    ]
+    test = reduce(lambda a, b: a.unionByName(b), parts).where(F.col("split") == "TEST")
+    train, held = F.when(F.col("split") == "TRAIN", F.col(ts)), F.when(F.col("split") == "TEST", F.col(ts))
+    ranges = rows.groupBy(*key).agg(
+        F.min(train).alias("train_start"), F.max(train).alias("train_end"), F.min(held).alias("test_start"), F.max(held).alias("test_end")
+    )
+    scales = mt.naive_scale(rows.where(F.col("split") == "TRAIN"), key, ts, y)
+    return mt.with_mase(mt.bundle(test, [*key, "model"]), scales, key).join(ranges, key)

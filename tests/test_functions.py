@@ -22,7 +22,7 @@ def test_clean_name_python_and_column_agree(spark):
 
 
 def test_to_number(spark):
-    cases = {"21,763,170": 21763170.0, "0.49 %": 0.49, "−1.2": -1.2, "N.A.": None, "": None, "nan": None, "None": None, "7": 7.0}
+    cases = {"21,763,170": 21763170.0, "0.49 %": 0.49, "−1.2": -1.2, "N.A.": None, "": None, "nan": None, "None": None, "7": 7.0, "NaN": None, "7d": None, "1e3": 1000.0}
     df = spark.createDataFrame([(k,) for k in cases], "s string").select("s", tx.to_number(F.col("s")).alias("v"))
     assert {r.s: r.v for r in df.collect()} == cases
 
