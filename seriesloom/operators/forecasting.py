@@ -13,7 +13,7 @@ from seriesloom.operators.calendar import month_horizon
 from seriesloom.operators.joins import keep_best
 from seriesloom.operators.keys import as_list, literal_rows, one_value
 from seriesloom.operators.trend import share_forecast
-from seriesloom.session import broadcast_if_small
+from seriesloom.session import broadcast_if_small, checkpointed
 
 
 def last_known(df: DataFrame, ts: str, values: list[str]) -> dict[str, Column]:
@@ -44,6 +44,7 @@ def allocate(
     """
     key = as_list(key)
     density, urban = drivers
+    national = checkpointed(national)  # one row per month, looked up four times
     last_ts = one_value(national, F.max(ts))
     last = last_known(national, ts, [total, density])
     urban_share = one_value(national, F.max_by(F.col(urban) / F.col(total), ts))

@@ -10,6 +10,7 @@ from seriesloom.functions import time as tm
 from seriesloom.operators import calendar as cal
 from seriesloom.operators import fill
 from seriesloom.operators import features as ft
+from seriesloom.session import checkpointed
 
 DRIVERS = ["birth_rate", "death_rate", "density", "rural", "urban"]
 
@@ -27,7 +28,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def cents(c: str) -> Column:
     """A two-decimal amount as a whole number, so that sums are exact in any row order and stay in a long."""
-    return F.round(F.col(c) * 100).cast("long")
+    return F.rint(F.col(c) * 100).cast("long")
 
 
 def money(c: str) -> Column:
@@ -76,9 +77,30 @@ def member_panel(spark: SparkSession, sf: str, level: str = "nation") -> DataFra
     return cal.regularise(member_cells(spark, sf, level), "member")
 
 
+def fill_cells(cells: DataFrame) -> DataFrame:
+    """Cells on the calendar with gaps interpolated and edges held."""
+    return fill.interpolate(cal.regularise(cells, "member"), "member", "ts", ["total"], edge="both")
+
+
 def filled_panel(spark: SparkSession, sf: str, level: str = "nation") -> DataFrame:
-    """The panel with gaps interpolated and edges held."""
-    return fill.interpolate(member_panel(spark, sf, level), "member", "ts", ["total"], edge="both")
+    return fill_cells(member_cells(spark, sf, level))
+
+
+def total_of(cells: DataFrame, time: str = "ts") -> DataFrame:
+    """Sum over members per time step, as the one-member series TOTAL, without reading the raw rows again."""
+    return cells.groupBy(time).agg(money("total").alias("total")).select(F.lit("TOTAL").alias("member"), time, "total")
+
+
+def panel_and_total(spark: SparkSession, sf: str, level: str = "nation") -> tuple[DataFrame, DataFrame]:
+    """Filled member panel and the total series, both from one pass over the orders."""
+    cells = checkpointed(member_cells(spark, sf, level))
+    return fill_cells(cells), total_of(cells)
+
+
+def members_and_total(spark: SparkSession, sf: str, level: str = "nation", until: int = 2000) -> tuple[DataFrame, DataFrame]:
+    """Yearly members and yearly total, both from one pass over the orders."""
+    yearly = checkpointed(yearly_members(spark, sf, level, until))
+    return yearly, total_of(yearly, "year")
 
 
 def national(spark: SparkSession, sf: str, unit: str = "month") -> DataFrame:
@@ -132,8 +154,8 @@ def member_master(spark: SparkSession, sf: str, level: str = "nation") -> DataFr
     The total and the drivers have one row per month, so they are far below the broadcast limit
     however much data they were made from; Spark sees their real size at run time.
     """
-    panel = filled_panel(spark, sf, level)
-    nat = national(spark, sf).select("ts", F.col("total").alias("national"))
+    panel, total = panel_and_total(spark, sf, level)
+    nat = total.select("ts", F.col("total").alias("national"))
     wide = panel.join(nat, "ts", "left").join(drivers(spark, sf), "ts", "left")
     wide = ft.proportion(wide, "total", "national")
     wide = ft.add_time_features(wide, "total", "member")

@@ -69,7 +69,7 @@ def quadratic_trend_scores(spark, sf):
 )
 def member_trend_horizon(spark, sf):
     """Quadratic trend of each member, fifteen years ahead, repeated over the months."""
-    yearly = bd.yearly_members(spark, sf)
+    yearly = checkpointed(bd.yearly_members(spark, sf))
     coefs = tr.quadratic_trend(yearly, "member", "year", "total", F.lit(True))
     last = yearly.groupBy("member").agg(F.max("year").alias("last_year"))
     ahead = tr.predict_quadratic(cal.year_horizon(last, "last_year", 15), coefs, "member", "year")
@@ -87,8 +87,9 @@ pick AS (SELECT member, model, val_mape FROM (SELECT *, row_number() OVER (PARTI
 
 
 def _shares(spark, sf):
-    totals = bd.yearly_national(spark, sf).select("year", F.col("total").alias("grand"))
-    rows = ft.proportion(bd.yearly_members(spark, sf).join(totals, "year"), "total", "grand")
+    yearly, total = bd.members_and_total(spark, sf)
+    grand = total.select("year", F.col("total").alias("grand"))
+    rows = checkpointed(ft.proportion(yearly.join(grand, "year"), "total", "grand"))
     return splits.by_year(rows, F.col("year"), 1998, 1999)
 
 
@@ -181,9 +182,10 @@ def pooled_regression(spark, sf):
 )
 def two_feature_regression(spark, sf):
     """Least squares of the share on total and density, scaled by the months before 2000."""
-    nat = bd.national(spark, sf).select("ts", F.col("total").alias("national"))
-    wide = bd.filled_panel(spark, sf).join(nat, "ts", "left").join(bd.drivers(spark, sf).select("ts", "density"), "ts", "left")
-    rows = ft.proportion(wide, "total", "national").na.drop("any")
+    panel, total = bd.panel_and_total(spark, sf)
+    nat = total.select("ts", F.col("total").alias("national"))
+    wide = panel.join(nat, "ts", "left").join(bd.drivers(spark, sf).select("ts", "density"), "ts", "left")
+    rows = checkpointed(ft.proportion(wide, "total", "national").na.drop("any"))
     xs = ["national", "density"]
     coefs = rg.fit(rows, "member", xs, "proportion", F.col("ts") < F.lit("2000-01-01").cast("date"))
     return rg.predict(rows, coefs, "member", xs).select("member", "ts", rd("predicted", 8).alias("predicted"))
@@ -246,10 +248,11 @@ def forest_scores(spark, sf):
 @query("M-10")
 def recursive_tree_forecast(spark, sf):
     """Eight months ahead by boosted trees on their own predictions, all members per step."""
-    rows = ft.add_time_features(bd.filled_panel(spark, sf), "total", "member").na.drop("any")
+    panel = checkpointed(bd.filled_panel(spark, sf))
+    rows = ft.add_time_features(panel, "total", "member").na.drop("any")
     xs = ["lag_1", "lag_12", "month_sin", "month_cos"]
     model = te.fit_boosted(rows.select(*[F.col(x).alias(f"_f_{x}") for x in xs], "total"), [f"_f_{x}" for x in xs], "total", {"maxIter": 8, "maxDepth": 3})
-    state = sm.as_arrays(bd.filled_panel(spark, sf), "member", "ts", "total").select(
+    state = sm.as_arrays(panel, "member", "ts", "total").select(
         "member", F.slice("ys", F.size("ys") - 11, 12).alias("ys"), F.array_max("tss").alias("at")
     )
 
@@ -421,7 +424,7 @@ def exogenous_arima_scores(spark, sf):
 
 def _driver_series(spark, sf):
     long = joins.unpivot(bd.drivers(spark, sf), ["ts"], bd.DRIVERS, "member", "total")
-    return splits.ranked(long, "member", "ts")
+    return checkpointed(splits.ranked(long, "member", "ts"))
 
 
 @query("M-16")
@@ -540,9 +543,10 @@ al AS (SELECT member, ts, lt * (1 + 0.008::DOUBLE * ((ts - lts) / 30.44::DOUBLE)
 
 
 def _allocation(spark, sf):
-    nat = bd.national(spark, sf).join(bd.drivers(spark, sf).select("ts", "density", "urban"), "ts")
+    panel, total = bd.panel_and_total(spark, sf)
+    nat = checkpointed(total.join(bd.drivers(spark, sf).select("ts", "density", "urban"), "ts"))
     shares = ft.proportion(
-        bd.filled_panel(spark, sf).join(nat.select("ts", F.col("total").alias("grand")), "ts", "left"), "total", "grand"
+        panel.join(nat.select("ts", F.col("total").alias("grand")), "ts", "left"), "total", "grand"
     ).withColumn("fy", tm.fractional_year(F.col("ts")))
     coefs = tr.linear_trend(shares, "member", "fy", "proportion", F.lit(True))
     return fc.allocate(coefs, "member", nat, "2001-09-01", "2003-08-01")
@@ -590,7 +594,7 @@ def item_demand(spark, sf):
 )
 def linear_months_between_forecasts(spark, sf):
     """Yearly line forecasts joined to the last actual year and interpolated to months after the cutoff."""
-    yearly = bd.yearly_members(spark, sf)
+    yearly = checkpointed(bd.yearly_members(spark, sf))
     coefs = tr.linear_trend(yearly, "member", "year", "total", F.lit(True))
     last = yearly.groupBy("member").agg(F.max("year").alias("last_year"), F.max_by("total", "year").alias("total"))
     ahead = tr.predict_line(cal.year_horizon(last.select("member", "last_year"), "last_year", 3), coefs, "member", "year", "total")
@@ -617,15 +621,18 @@ p AS (SELECT member, ts, b0 + b1 * (year(ts) + (month(ts) - 1) / 12.0::DOUBLE) A
 def batch_predictions(spark, sf):
     """Every distinct (member, order date) as a request: two total models, their mean, the member share and value."""
     orders = bd.table(spark, sf, "orders").select("o_custkey", F.to_date("o_orderdate").alias("ts")).distinct()
-    requests = orders.join(bd.customer_members(spark, sf), F.col("o_custkey") == F.col("c_custkey")).select("member", "ts").distinct()
-    yearly = bd.yearly_national(spark, sf).select("member", F.make_date("year", F.lit(1), F.lit(1)).alias("ts"), "total", "year")
+    requests = checkpointed(
+        orders.join(bd.customer_members(spark, sf), F.col("o_custkey") == F.col("c_custkey")).select("member", "ts").distinct()
+    )
+    shares_by_year = _shares(spark, sf)
+    yearly = bd.total_of(shares_by_year, "year").select("member", F.make_date("year", F.lit(1), F.lit(1)).alias("ts"), "total", "year")
     dates = requests.select(F.lit("TOTAL").alias("member"), "ts").distinct()
     line = tr.linear_trend(yearly, "member", "year", "total", F.lit(True))
     totals = {
         "line": tr.predict_line(dates.withColumn("fy", tm.fractional_year(F.col("ts"))), line, "member", "fy").select("ts", "predicted"),
         "held": joins.asof_backward(dates, yearly, "member", "ts", ["total"]).select("ts", F.col("total").alias("predicted")),
     }
-    shares = tr.linear_trend(_shares(spark, sf), "member", "year", "proportion", F.lit(True))
+    shares = tr.linear_trend(shares_by_year, "member", "year", "proportion", F.lit(True))
     out = fc.predict_requests(requests, totals, shares)
     return out.select(
         "member", "ts", rd("total_line", 0).alias("national_line"), F.col("total_held").alias("national_held"), rd("ensemble", 0).alias("ensemble"),
@@ -664,7 +671,7 @@ def national_lookup(spark, sf):
 )
 def member_lookup(spark, sf):
     """Upper-case member names and all order dates: forecast first, then history, else not found."""
-    cells = bd.member_cells(spark, sf)
+    cells = checkpointed(bd.member_cells(spark, sf))
     history = cells.where(F.col("ts") >= F.lit("1996-01-01").cast("date")).withColumnRenamed("total", "population")
     forecast = cells.where(F.col("ts") >= F.lit("1999-07-01").cast("date")).select("member", F.add_months("ts", 12).alias("ts"), "total")
     named = bd.customer_members(spark, sf).withColumn("member", F.upper("member"))

@@ -15,6 +15,7 @@ from seriesloom.plans import bindings as bd
 from seriesloom.plans import masters
 from seriesloom.plans.catalog import base as b
 from seriesloom.plans.catalog.base import big, ctes, query, rd
+from seriesloom.session import checkpointed
 
 # -- grouping --------------------------------------------------------------------------------------
 
@@ -128,8 +129,9 @@ def centred_year_features(spark, sf):
 )
 def scaled_features(spark, sf):
     """Scaled by the months before 2000; a constant column stays 0 because its deviation counts as 1."""
-    nat = bd.national(spark, sf).select("ts", F.col("total").alias("national"))
-    wide = bd.filled_panel(spark, sf).join(nat, "ts", "left").withColumn("flat", F.lit(3.0))
+    panel, total = bd.panel_and_total(spark, sf)
+    nat = total.select("ts", F.col("total").alias("national"))
+    wide = panel.join(nat, "ts", "left").withColumn("flat", F.lit(3.0))
     cols = ["total", "national", "flat"]
     stats = ft.scaler(wide, "member", cols, F.col("ts") < F.lit("2000-01-01").cast("date"))
     return ft.standardise(wide, stats, "member", cols).select("member", "ts", *[rd(c, 6).alias(c) for c in cols])
@@ -282,7 +284,7 @@ def three_way_split(spark, sf):
     + "SELECT member, year, split FROM s WHERE member IN (SELECT member FROM ok)",
 )
 def fixed_year_split(spark, sf):
-    rows = splits.by_year(bd.yearly_members(spark, sf), F.col("year"), 1998, 1999)
+    rows = splits.by_year(checkpointed(bd.yearly_members(spark, sf)), F.col("year"), 1998, 1999)
     return splits.members_with_sizes(rows, "member", {"TRAIN": 3, "VAL": 1, "TEST": 1}).select("member", "year", "split")
 
 
@@ -328,14 +330,15 @@ _MONTHLY_ALL = (
 _LAGGED = "nml AS (SELECT *, " + ", ".join(f"lag({d}) OVER (PARTITION BY member ORDER BY ts) AS {d}_lag1" for d in bd.DRIVERS) + " FROM featured)"
 
 
-def _yearly_master(spark, sf):
-    drv = bd.yearly_drivers(spark, sf)
-    parts = [bd.yearly_national(spark, sf).select("year", "total"), *[drv.select("year", d) for d in bd.DRIVERS]]
+def _yearly_master(spark, sf, total=None):
+    total = bd.yearly_national(spark, sf) if total is None else total
+    drv = checkpointed(bd.yearly_drivers(spark, sf))
+    parts = [total.select("year", "total"), *[drv.select("year", d) for d in bd.DRIVERS]]
     return masters.yearly_master(parts, _COLS)
 
 
-def _national_monthly(spark, sf):
-    return masters.monthly_master(_yearly_master(spark, sf), "total", bd.DRIVERS)
+def _national_monthly(spark, sf, total=None):
+    return masters.monthly_master(_yearly_master(spark, sf, total), "total", bd.DRIVERS)
 
 
 @query("M-30 J-02 F-06", ctes(*_YM_PARTS) + "SELECT year, " + ", ".join(f"round({c}, 6) AS {c}" for c in _COLS) + f" FROM {_YM}")
@@ -372,8 +375,9 @@ def national_monthly_master(spark, sf):
     "round(national_lag_12, 3) AS national_lag_12 FROM mm WHERE lag_12 IS NOT NULL AND national_lag_12 IS NOT NULL AND national IS NOT NULL AND national_lag_1 IS NOT NULL",
 )
 def member_monthly_master(spark, sf):
-    nat = _national_monthly(spark, sf).withColumnRenamed("total", "national")
-    out = masters.member_monthly_master(bd.yearly_members(spark, sf), nat, "total", "national")
+    yearly, total = bd.members_and_total(spark, sf)
+    nat = _national_monthly(spark, sf, total).withColumnRenamed("total", "national")
+    out = masters.member_monthly_master(yearly, nat, "total", "national")
     cols = ["total", "national", "lag_1", "lag_12", "national_lag_1", "national_lag_12"]
     return out.select("member", "ts", *[rd(c, 3).alias(c) for c in cols])
 
@@ -409,7 +413,7 @@ _GAPPY = "gy AS (SELECT member, year, total FROM yearly WHERE year <> 1997 AND y
     + "SELECT member, ts, CAST(year(ts) AS BIGINT) AS year, CAST(month(ts) AS BIGINT) AS month, round(total, 4) AS total FROM panel",
 )
 def gappy_years_to_months(spark, sf):
-    gappy = bd.yearly_members(spark, sf).where("year <> 1997 AND year <> 1998")
+    gappy = checkpointed(bd.yearly_members(spark, sf)).where("year <> 1997 AND year <> 1998")
     out = masters.gappy_years_to_months(gappy, "member", "year", ["total"])
     return out.select("member", "ts", big("year").alias("year"), big("month").alias("month"), rd("total").alias("total"))
 
@@ -448,7 +452,7 @@ def evaluation_frame(spark, sf):
 )
 def statistics_table(spark, sf):
     """Yearly totals dressed as a scraped table: decorated headings, text cells, duplicate and blank years."""
-    yearly = bd.yearly_members(spark, sf)
+    yearly = checkpointed(bd.yearly_members(spark, sf))
     text = tx.fixed(F.col("total"), 2)
     dressed = yearly.select(
         "member", F.lit(1).alias("version"), F.col("year").cast("string").alias(" Year "),

@@ -19,7 +19,7 @@ from seriesloom.plans import bindings as bd
 from seriesloom.plans import masters
 from seriesloom.plans.catalog import base as b
 from seriesloom.plans.catalog.base import big, ctes, query, rd
-from seriesloom.session import scratch_path
+from seriesloom.session import checkpointed, scratch_path
 from seriesloom.sources import pages, readers, sinks
 
 # -- scans, sources, sinks -------------------------------------------------------------------------
@@ -141,7 +141,7 @@ def seasonal_rates(spark, sf):
     "SELECT member, round(mae12, 4), 'replaced' FROM m WHERE member IN (SELECT member FROM asia) UNION ALL SELECT 'TOTAL', round(mae, 4), 'added' FROM tot",
 )
 def metric_store_upsert(spark, sf):
-    panel = bd.filled_panel(spark, sf)
+    panel, total = bd.panel_and_total(spark, sf)
 
     def change(df, steps, note):
         return df.withColumn("_d", F.abs(ft.difference("total", "member", "ts", steps))).groupBy("member").agg(
@@ -153,7 +153,7 @@ def metric_store_upsert(spark, sf):
     some = panel.join(asia.select(F.col("n_name").alias("member")), "member", "left_semi")
     store = sinks.KeyedStore(spark, scratch_path(spark, "metrics"), "member")
     store.put(change(panel, 1, "first"))
-    store.put(change(some, 12, "replaced").unionByName(change(bd.national(spark, sf), 1, "added")))
+    store.put(change(some, 12, "replaced").unionByName(change(total, 1, "added")))
     return store.read()
 
 
@@ -176,7 +176,7 @@ def json_records(spark, sf):
 )
 def stored_coefficients(spark, sf):
     """Members with a rising line have a model; the others are skipped when scoring."""
-    yearly = bd.yearly_members(spark, sf)
+    yearly = checkpointed(bd.yearly_members(spark, sf))
     fit = tr.linear_trend(yearly, "member", "year", "total", F.lit(True)).where("slope > 0")
     coefs = sinks.load_model(spark, sinks.save_model(fit, scratch_path(spark, "model")))
     modelled = yearly.join(coefs.select("member"), "member", "left_semi")
@@ -259,8 +259,9 @@ def density_and_urban(spark, sf):
     "(SELECT *, lag(total) OVER (PARTITION BY member ORDER BY ts) AS prev FROM panel) GROUP BY member",
 )
 def last_value_columns(spark, sf):
-    panel = ft.lags(bd.filled_panel(spark, sf), "member", "ts", {"prev": ("total", 1)})
-    held = fc.last_known(bd.national(spark, sf), "ts", ["total"])["total"]
+    filled, total = bd.panel_and_total(spark, sf)
+    panel = ft.lags(filled, "member", "ts", {"prev": ("total", 1)})
+    held = fc.last_known(total, "ts", ["total"])["total"]
     ends = panel.groupBy("member").agg(
         F.max("ts").alias("last_ts"), rd(F.max_by("total", "ts")).alias("last_total"),
         rd(F.min_by("total", "ts")).alias("first_total"), rd(F.max_by("prev", "ts")).alias("second_last"),
@@ -283,8 +284,8 @@ def season_one_hot(spark, sf):
     + "SELECT member, year, round(y.total / n.total, 8) AS proportion FROM yearly y LEFT JOIN ynat n USING (year)",
 )
 def member_share(spark, sf):
-    totals = bd.yearly_national(spark, sf).select("year", F.col("total").alias("grand"))
-    wide = bd.yearly_members(spark, sf).join(totals, "year", "left")
+    yearly, total = bd.members_and_total(spark, sf)
+    wide = yearly.join(total.select("year", F.col("total").alias("grand")), "year", "left")
     return ft.proportion(wide, "total", "grand").select("member", "year", rd("proportion", 8).alias("proportion"))
 
 
@@ -369,13 +370,14 @@ def december_rows(spark, sf):
     ctes(b.CELLS) + "SELECT member, count(*) AS n_rows FROM cells GROUP BY 1 HAVING count(*) >= 78",
 )
 def long_series_only(spark, sf):
-    kept = splits.min_size(bd.member_cells(spark, sf), "member", 78)
+    kept = splits.min_size(checkpointed(bd.member_cells(spark, sf)), "member", 78)
     return kept.groupBy("member").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 @query("C-11", ctes(b.YEARLY) + "SELECT member, year, total FROM yearly WHERE year >= 1996")
 def guarded_rows(spark, sf):
-    return splits.require_rows(bd.yearly_members(spark, sf).where("year >= 1996"), 10, "not enough rows")
+    yearly = checkpointed(bd.yearly_members(spark, sf))
+    return splits.require_rows(yearly.where("year >= 1996"), 10, "not enough rows")
 
 
 @query(
@@ -386,8 +388,9 @@ def guarded_rows(spark, sf):
 )
 def future_part(spark, sf):
     """History extended by a horizon with NULL values; only months after the last observation are kept."""
-    history = bd.member_panel(spark, sf)
-    last = one_value(bd.member_cells(spark, sf), F.max("ts"))
+    cells = checkpointed(bd.member_cells(spark, sf))
+    history = cal.regularise(cells, "member")
+    last = one_value(cells, F.max("ts"))
     members = history.select("member").distinct()
     future = members.select("member", cal.month_grid(F.add_months(last, 1), F.add_months(last, 3)).alias("ts"), F.lit(None).cast("double").alias("total"))
     return history.unionByName(future).where(F.col("ts") > last)
@@ -411,7 +414,7 @@ def complete_years_only(spark, sf):
     + "SELECT year, total, round(birth_rate, 8) AS birth_rate, round(death_rate, 8) AS death_rate, n_events FROM ynat LEFT JOIN ydrv USING (year) LEFT JOIN ev USING (year)",
 )
 def left_join_chain(spark, sf):
-    drv = bd.yearly_drivers(spark, sf)
+    drv = checkpointed(bd.yearly_drivers(spark, sf))
     events = bd.table(spark, sf, "events").groupBy(F.year("ts").alias("year")).agg(F.count(F.lit(1)).alias("n_events"))
     parts = [drv.select("year", rd("birth_rate", 8).alias("birth_rate")), drv.select("year", rd("death_rate", 8).alias("death_rate")), events]
     return joins.join_chain(bd.yearly_national(spark, sf).select("year", "total"), parts, "year", "left")
@@ -433,8 +436,9 @@ def outer_join_chain(spark, sf):
     ctes(b.MEMBER_WIDE) + "SELECT member, ts, round(total, 4) AS total, national, round(birth_rate, 8) AS birth_rate, rural, urban FROM wide",
 )
 def panel_with_drivers(spark, sf):
-    nat = bd.national(spark, sf).select("ts", F.col("total").alias("national"))
-    wide = bd.filled_panel(spark, sf).join(nat, "ts", "left").join(bd.drivers(spark, sf), "ts", "left")
+    panel, total = bd.panel_and_total(spark, sf)
+    nat = total.select("ts", F.col("total").alias("national"))
+    wide = panel.join(nat, "ts", "left").join(bd.drivers(spark, sf), "ts", "left")
     return wide.select("member", "ts", rd("total").alias("total"), "national", rd("birth_rate", 8).alias("birth_rate"), "rural", "urban")
 
 
@@ -444,8 +448,9 @@ def panel_with_drivers(spark, sf):
 )
 def aligned_forecast(spark, sf):
     """Last year's month as the forecast, aligned with the actual by an inner join on the date."""
-    actual = bd.member_cells(spark, sf).withColumnRenamed("total", "actual")
-    forecast = bd.member_cells(spark, sf).select("member", F.add_months("ts", 12).alias("ts"), F.col("total").alias("predicted"))
+    cells = checkpointed(bd.member_cells(spark, sf))
+    actual = cells.withColumnRenamed("total", "actual")
+    forecast = cells.select("member", F.add_months("ts", 12).alias("ts"), F.col("total").alias("predicted"))
     return actual.join(forecast, ["member", "ts"])
 
 
@@ -565,7 +570,7 @@ def first_rows(spark, sf):
     + "SELECT member, ts, total, hi AS rank, 'top' AS side FROM t WHERE hi <= 5 UNION ALL SELECT member, ts, total, lo, 'bottom' FROM t WHERE lo <= 5",
 )
 def top_and_bottom_months(spark, sf):
-    cells = bd.member_cells(spark, sf)
+    cells = checkpointed(bd.member_cells(spark, sf))
     top = ranking.top_k_per_group(cells, "member", [F.desc("total"), F.col("ts")], 5).withColumn("side", F.lit("top"))
     low = ranking.top_k_per_group(cells, "member", [F.col("total"), F.col("ts")], 5).withColumn("side", F.lit("bottom"))
     return top.unionByName(low).withColumn("rank", big("rank"))
@@ -579,7 +584,7 @@ def top_and_bottom_months(spark, sf):
 )
 def history_then_forecast(spark, sf):
     """Forecast rows replace history rows of the same member and year."""
-    yearly = bd.yearly_members(spark, sf)
+    yearly = checkpointed(bd.yearly_members(spark, sf))
     history = yearly.withColumn("source", F.lit("history"))
     forecast = yearly.where("year >= 1999").select("member", (F.col("year") + 1).alias("year"), "total", F.lit("forecast").alias("source"))
     return joins.latest_source_wins([history, forecast], ["member", "year"])
@@ -684,7 +689,7 @@ def params_as_json(spark, sf):
     + "SELECT ts, round(total * (SELECT max_by(urban / total, ts) FROM w), 4) AS urban_forecast, CAST(NULL AS DOUBLE) AS median_age FROM w",
 )
 def ratio_held_at_last(spark, sf):
-    wide = bd.national(spark, sf).join(bd.drivers(spark, sf), "ts")
+    wide = checkpointed(bd.national(spark, sf).join(bd.drivers(spark, sf), "ts"))
     held = one_value(wide, F.max_by(F.col("urban") / F.col("total"), "ts"))
     absent = shaping.column_or(wide, "median_age", F.lit(None).cast("double"))
     return wide.select("ts", rd(F.col("total") * held).alias("urban_forecast"), absent.alias("median_age"))

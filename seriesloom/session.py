@@ -47,10 +47,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """Materialise ``df`` reliably: the result survives lost executors and cuts the lineage."""
+    if getattr(df, "_materialised", False):
+        return df
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    done = df.checkpoint(eager=True)
+    done._materialised = True  # a second operator that needs it materialised takes it as it is
+    return done
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

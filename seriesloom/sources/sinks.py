@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriesloom.operators.joins import upsert
+from seriesloom.session import checkpointed
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> str:
@@ -66,6 +67,7 @@ class KeyedStore:
     def put(self, rows: DataFrame) -> int:
         """Replace rows with the same key, append the others, and publish a new version."""
         old = self.read()
+        rows = checkpointed(rows)  # read by both the anti join and the union
         merged = rows if old is None else upsert(old, rows, self.key)
         v = self.version() + 1
         merged.write.mode("overwrite").parquet(f"{self.base}/version={v:06d}")
