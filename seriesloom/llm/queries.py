@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from seriesloom.llm import packing
+from seriesloom.llm import langid, packing, quality, setjoin, suffixes, toxicity, vectors
 from seriesloom.llm.common import table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -24,3 +24,33 @@ def registered(run: Run) -> Run:
 @registered
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), VOCABULARY)
+
+
+@registered
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@registered
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+@registered
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@registered
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.summary(table(spark, sf_dir, "documents"))
+
+
+@registered
+def op8_near_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setjoin.query_rows(table(spark, sf_dir, "documents"))
+
+
+@registered
+def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
