@@ -1,23 +1,54 @@
-"""A corpus from raw documents to packed training sequences, one operator per stage."""
+"""A corpus from raw documents to packed training sequences, one operator per stage.
+
+Each stage takes all that the one before kept and is written as Parquet before the next one reads it.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from seriesloom.llm import common, packing
+from seriesloom.llm import common, mixing, packing, setjoin, suffixes, toxicity
 from seriesloom.llm.queries import VOCABULARY
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity classifier does not reject; it learns from the marks outside the held-out part."""
+    model = toxicity.trained(docs, common.table(spark, sf_dir, "labels"))
+    return toxicity.scored(docs, model).where("predicted = 0").select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies; texts without words all stay."""
+    return setjoin.one_of_each(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the strings of 200 bytes that occur elsewhere; n_chars follows the text."""
+    return suffixes.without_repeats(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents sampled so that sources, languages and topics meet their target shares."""
+    return mixing.sampled(docs)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the kept documents, placed into training sequences."""
+    """Pieces of the documents, placed into training sequences."""
     return packing.packed(docs, VOCABULARY)
 
 
-STAGES: list[tuple[str, Stage]] = [("pack", pack)]
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", drop_toxic),
+    ("near_copies", drop_near_copies),
+    ("repeats", cut_repeats),
+    ("mixing", mix),
+    ("packing", pack),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,5 +58,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: Tokenizers and fitted weights have no SQL; tests hold each stage against a plain version.
+#: Fitted weights, sampling and tokenizers have no SQL; tests hold each stage against a plain version.
 ORACLE_SQL = None

@@ -7,7 +7,8 @@ and no group depends on the documents' keys. Repeated rows and NULL ids are docu
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -23,7 +24,7 @@ from seriesloom.llm import common
 WINDOW = 2048
 SEPARATOR = 1
 GROUP_ROWS = 8192
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_200_000
 
 PIECE = "start long, doc_tokens long, ids binary"
 
@@ -31,8 +32,8 @@ PIECE = "start long, doc_tokens long, ids binary"
 class WordEncoder:
     """Ids of whole texts for a vocabulary that drops white space: each blank-free chunk is encoded once and remembered.
 
-    Chunks of letters up to U+00FF are lower-cased and cut into the vocabulary's own word units here, and all unseen units of
-    a batch are encoded in one call; the end-of-word ids cut its result. Other chunks go to the tokenizer as they are.
+    Chunks of letters up to U+00FF are lower-cased and cut into the vocabulary's own word units here, which the tokenizer's model then
+    splits; other chunks go through the whole tokenizer.
     """
 
     UNIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -44,51 +45,36 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
-        self.units: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
         self.chunks: dict[str, bytes] = {}
-
-    def _plain(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-
-    def _learn(self, chunks: set[str]) -> None:
-        if len(self.chunks) + len(chunks) > CACHE_WORDS:
-            self.chunks, self.units = {}, {}
-        cut: dict[str, list[str]] = {}
-        for chunk in chunks:
-            if self.ODD.search(chunk):
-                self.chunks[chunk] = self._plain(chunk).tobytes()
-            else:
-                cut[chunk] = self.UNIT.findall(chunk.lower())
-        unseen = list({u for units in cut.values() for u in units} - self.units.keys())
-        for at in range(0, len(unseen), 5000):
-            some = unseen[at : at + 5000]
-            ids = self._plain(" ".join(some))
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) == len(some):
-                data, stops = ids.tobytes(), (4 * stops).tolist()
-                self.units.update(zip(some, map(lambda a, b: data[a:b], [0, *stops], stops), strict=False))
-            else:
-                self.units.update((u, self._plain(u).tobytes()) for u in some)
-        units = self.units
-        for chunk, parts in cut.items():
-            self.chunks[chunk] = units[parts[0]] if len(parts) == 1 else b"".join([units[u] for u in parts])
-
-    def encode(self, texts: Iterable[str | None]) -> list[np.ndarray]:
-        split = [[] if not t else t.split() if not self.ODD_SPACE.search(t) else [c for c in self.BLANK.split(t) if c] for t in texts]
-        unseen: set[str] = set()
-        for words in split:
-            unseen.update(words)
-        unseen -= self.chunks.keys()
-        if unseen:
-            before = len(self.chunks)
-            self._learn(unseen)
-            if len(self.chunks) < before:  # forgotten: the texts' other words are needed again
-                self._learn({w for words in split for w in words} - self.chunks.keys())
-        chunks = self.chunks
-        return [np.frombuffer(b"".join([chunks[w] for w in words]), "<u4") for words in split]
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow U+0100
+        others = [b for b in range(256) if b not in set(plain)]
+        self.signs = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+    def _unit(self, unit: str) -> bytes:
+        signs = unit if unit.isascii() else unit.encode().decode("latin-1").translate(self.signs)
+        return array("I", [t.id for t in self.model.tokenize(signs)]).tobytes()
+
+    def _learn(self, chunk: str) -> bytes:
+        if len(self.chunks) >= CACHE_WORDS:
+            self.chunks.clear()
+        if chunk.isascii() and chunk.isalpha():
+            found = self._unit(chunk.lower())
+        elif self.ODD.search(chunk):
+            found = array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
+        else:
+            found = b"".join([self._unit(u) for u in self.UNIT.findall(chunk.lower())])
+        self.chunks[chunk] = found
+        return found
+
+    def encode(self, text: str | None) -> np.ndarray:
+        if not text:
+            return np.zeros(0, "<u4")
+        if text.isascii() or not self.ODD.search(text):
+            text = text.lower()  # one sign for one sign here
+        words = self.BLANK.split(text) if self.ODD_SPACE.search(text) else text.split()
+        known = self.chunks.get
+        return np.frombuffer(b"".join([known(w) or self._learn(w) for w in words if w]), "<u4")
 
 
 @lru_cache(maxsize=2)
@@ -104,8 +90,8 @@ def token_pieces(docs: DataFrame, vocabulary: str, window: int = WINDOW, separat
         words = encoder(vocabulary)
         for batch in common.pieces(batches):
             rows, starts, totals, ids = [], [], [], []
-            for row, found in enumerate(words.encode(batch.column("text").to_pylist())):
-                found = np.append(found, np.uint32(separator)).astype("<u4")
+            for row, text in enumerate(batch.column("text").to_pylist()):
+                found = np.append(words.encode(text), np.uint32(separator)).astype("<u4")
                 for at in range(0, len(found), window):
                     rows.append(row)
                     starts.append(at)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from seriesloom.llm import langid, packing, quality, setjoin, suffixes, toxicity, vectors
+from seriesloom.llm import fingerprints, langid, licenses, mixing, packing, quality, setjoin, suffixes, toxicity, vectors
 from seriesloom.llm.common import table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -54,3 +54,21 @@ def op8_near_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered
 def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@registered
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
+SQL["op1_fingerprints"] = fingerprints.SQL
+
+
+@registered
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.summary(table(spark, sf_dir, "documents"))
+
+
+@registered
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.summary(table(spark, sf_dir, "documents"))

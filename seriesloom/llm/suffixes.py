@@ -57,12 +57,11 @@ class Rolling:
         np.cumsum(_TABLE[data] * down[: len(data)], out=self.sums[1:])
 
     def at(self, start: np.ndarray, length: int | np.ndarray) -> np.ndarray:
-        turn = len(self.sums) - 1 - start  # to one common power, so that equal strings are equal wherever they stand
-        return common.mixed((self.sums[start + length] - self.sums[start]) * self.up[turn])
+        return common.mixed((self.sums[start + length] - self.sums[start]) * self.up[start])
 
     def all(self, length: int) -> np.ndarray:
         n = len(self.sums) - length
-        return common.mixed((self.sums[length:] - self.sums[:n]) * self.up[len(self.sums) - 1 : len(self.sums) - 1 - n : -1])
+        return common.mixed((self.sums[length:] - self.sums[:n]) * self.up[:n])
 
 
 def least_positions(values: np.ndarray, width: int) -> np.ndarray:
