@@ -1,7 +1,7 @@
 """Document fingerprints after the I-Match method, in DataFrame functions only.
 
 Terms are words in lower case. The lexicon keeps those whose inverse document frequency lies in a band; it is cut into
-randomised subsets of three sizes by a hash of the term. A document's fingerprint has one part per subset: the hash of its sorted distinct terms
+randomised subsets of two sizes by a hash of the term. A document's fingerprint has one part per subset: the hash of its sorted distinct terms
 there, or a blank. Two fingerprints are alike by the share of equal parts among those that are not blank in both.
 
 Documents of at most ``SHORT`` different terms use all their terms; where no term is left, all parts come from the hash of the text. The lexicon has at
@@ -19,10 +19,12 @@ from seriesloom.llm import common
 COMMON = 8  # terms in more than 1 of 8 documents are too common: inverse document frequency below ln 8
 RARE = 1100  # and those in fewer than 1 of 1100 too rare: above ln 1100
 SHORT = 8
-#: Subsets: (classes that a term's hash falls in, classes used); the first two cut the whole lexicon in different ways.
-SUBSETS = ((8, 8), (8, 8), (64, 16), (512, 16))
-PARTS = sum(used for _, used in SUBSETS)
-BLANK = "-" * 8
+#: Cuts of the lexicon: classes that a term's hash falls in. The first 64 classes of a cut are subsets, all of a short text's terms fall in the first cut.
+CUTS = (64, 512)
+USED = 64
+PARTS = USED * len(CUTS)
+DIGITS = 4
+BLANK = "-" * DIGITS
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BUCKETS_PER_PARTITION = 4
 SAMPLE_PER_BUCKET = 32
@@ -37,10 +39,10 @@ def terms(text: Column) -> Column:
 def subset_code(term: Column) -> Column:
     """Classes of a term in the cuts of the lexicon, from its hash."""
     hashed = F.conv(F.substring(F.md5(term.cast("binary")), 1, 15), 16, 10).cast("long")
-    fields, base = [], 1
-    for i, (classes, _) in enumerate(SUBSETS):
-        fields.append(F.pmod(F.shiftright(hashed, base.bit_length() - 1), F.lit(classes)).cast("int").alias(f"c{i}"))
-        base *= classes
+    fields, shift = [], 0
+    for i, classes in enumerate(CUTS):
+        fields.append(F.pmod(F.shiftright(hashed, shift), F.lit(classes)).cast("int").alias(f"c{i}"))
+        shift += classes.bit_length() - 1
     return F.struct(*fields)
 
 
@@ -54,19 +56,25 @@ def lexicon(docs: DataFrame, text: str, common_share: int = COMMON, rare_share:
 
 def _part(used: Column) -> Column:
     """Hash of sorted terms, or a blank."""
-    joined = F.array_join(used, " ")
-    return F.when(F.size(used) == 0, F.lit(BLANK)).otherwise(F.substring(F.md5(joined.cast("binary")), 1, 8))
+    joined = F.array_join(F.transform(used, lambda x: x["term"]), " ")
+    return F.when(F.size(used) == 0, F.lit(BLANK)).otherwise(F.substring(F.md5(joined.cast("binary")), 1, DIGITS))
 
 
-def parts(found: Column, own: Column) -> Column:
-    """Fingerprint parts of an array of (term, code); ``own`` is the hash of the text."""
-    ordered = F.array_sort(found)
-    cuts = []
-    for i, (classes, used) in enumerate(SUBSETS):
-        here = ordered if used == classes else F.filter(ordered, lambda x, i=i, used=used: x["code"][f"c{i}"] < used)
-        members = [F.transform(F.filter(here, lambda x, i=i, k=k: x["code"][f"c{i}"] == k), lambda x: x["term"]) for k in range(used)]
-        cuts += [_part(m) for m in members]
-    return F.when(F.size(found) == 0, F.array_repeat(F.substring(own, 1, 8), PARTS)).otherwise(F.array(*cuts))
+def _between(cut: int, low: int, high: int):
+    return lambda x: (x["code"][f"c{cut}"] >= low) & (x["code"][f"c{cut}"] < high)
+
+
+def with_parts(rows: DataFrame, found: str, own: str, name: str) -> DataFrame:
+    """``rows`` with the fingerprint parts, as ``name``, of the array ``found`` of (term, code); ``own`` is the hash of the text.
+
+    Classes are taken out in two steps, eight at a time first, so that a term is looked at some twenty times for its 128 subsets.
+    """
+    ordered = rows.withColumn("_all", F.array_sort(found))
+    eights = {f"_{i}_{low}": F.filter("_all", _between(i, low, low + 8)) for i in range(len(CUTS)) for low in range(0, USED, 8)}
+    cut = ordered.select("*", *(e.alias(n) for n, e in eights.items()))
+    each = [_part(F.filter(f"_{i}_{k // 8 * 8}", _between(i, k, k + 1))) for i in range(len(CUTS)) for k in range(USED)]
+    parts = F.when(F.size(found) == 0, F.array_repeat(F.substring(own, 1, DIGITS), PARTS)).otherwise(F.array(*each))
+    return cut.select(*rows.columns, parts.alias(name))
 
 
 def likeness(one: Column, two: Column) -> Column:
@@ -141,7 +149,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
         F.collect_list(F.when(plain, used)).alias("found"), F.max(F.when(plain, F.col("own"))).alias("own"),
         F.collect_list(F.when(changed, used)).alias("found_edited"), F.max(F.when(changed, F.col("own"))).alias("own_edited"),
     )
-    marked = grouped.select("bucket", "row", "id", "guard", "n_chars", "edited_sha256", parts(F.col("found"), F.col("own")).alias("a"), parts(F.col("found_edited"), F.col("own_edited")).alias("b"))
+    marked = with_parts(with_parts(grouped, "found", "own", "a"), "found_edited", "own_edited", "b")
     paired = marked.withColumn("c", F.lead("a").over(Window.partitionBy("bucket").orderBy("row"))).where(~F.col("guard"))
     return paired.select(
         F.col("id").alias(key), "n_chars", "edited_sha256", F.array_join("a", "").alias("fingerprint"), F.array_join("b", "").alias("edited_fingerprint"),
@@ -159,16 +167,14 @@ words AS (SELECT doc_id, v, t, list_distinct(regexp_extract_all(translate(t, 'AB
 opened AS (SELECT doc_id, v, len(w) <= 8 AS short, unnest(w) AS term FROM words),
 lex AS (SELECT term FROM opened WHERE v = 0 GROUP BY term HAVING count(*) * 8 <= (SELECT count(*) FROM documents) AND count(*) * 1100 >= (SELECT count(*) FROM documents)),
 used AS (SELECT doc_id, v, term, ('0x' || substring(md5(term), 1, 15))::BIGINT AS h FROM opened WHERE short OR term IN (SELECT term FROM lex)),
-classes AS (SELECT doc_id, v, term, h % 8 AS part FROM used
-  UNION ALL SELECT doc_id, v, term, 8 + (h >> 3) % 8 FROM used
-  UNION ALL SELECT doc_id, v, term, 16 + (h >> 6) % 64 FROM used WHERE (h >> 6) % 64 < 16
-  UNION ALL SELECT doc_id, v, term, 32 + (h >> 12) % 512 FROM used WHERE (h >> 12) % 512 < 16),
-hashes AS (SELECT doc_id, v, part, substring(md5(string_agg(term, ' ' ORDER BY encode(term))), 1, 8) AS s FROM classes GROUP BY ALL),
-grid AS (SELECT w.doc_id, w.v, g.part, CASE WHEN NOT EXISTS (SELECT 1 FROM used u WHERE u.doc_id = w.doc_id AND u.v = w.v) THEN substring(md5(w.t), 1, 8) ELSE coalesce(s, '--------') END AS s
-  FROM words w CROSS JOIN (SELECT unnest(range(48)) AS part) g LEFT JOIN hashes x ON x.doc_id = w.doc_id AND x.v = w.v AND x.part = g.part),
+classes AS (SELECT doc_id, v, term, h % 64 AS part FROM used
+  UNION ALL SELECT doc_id, v, term, 64 + (h >> 6) % 512 FROM used WHERE (h >> 6) % 512 < 64),
+hashes AS (SELECT doc_id, v, part, substring(md5(string_agg(term, ' ' ORDER BY encode(term))), 1, 4) AS s FROM classes GROUP BY ALL),
+grid AS (SELECT w.doc_id, w.v, g.part, CASE WHEN NOT EXISTS (SELECT 1 FROM used u WHERE u.doc_id = w.doc_id AND u.v = w.v) THEN substring(md5(w.t), 1, 4) ELSE coalesce(s, '----') END AS s
+  FROM words w CROSS JOIN (SELECT unnest(range(128)) AS part) g LEFT JOIN hashes x ON x.doc_id = w.doc_id AND x.v = w.v AND x.part = g.part),
 prints AS (SELECT doc_id, v, list(s ORDER BY part) AS p FROM grid GROUP BY ALL),
 near AS (SELECT a.doc_id AS one, a.v AS v1, b.doc_id AS two, b.v AS v2,
-    sum((a.s = b.s AND a.s <> '--------')::INT) / sum((a.s <> '--------' OR b.s <> '--------')::INT)::DOUBLE AS near
+    sum((a.s = b.s AND a.s <> '----')::INT) / sum((a.s <> '----' OR b.s <> '----')::INT)::DOUBLE AS near
   FROM (SELECT doc_id, doc_id AS other, 1 AS ov FROM edits UNION ALL SELECT doc_id, next_id, 0 FROM edits) l
   JOIN grid a ON a.doc_id = l.doc_id AND a.v = 0 JOIN grid b ON b.doc_id = l.other AND b.v = l.ov AND b.part = a.part GROUP BY ALL)
 SELECT e.doc_id, e.n AS n_chars, sha256(e.e) AS edited_sha256, array_to_string(p.p, '') AS fingerprint, array_to_string(q.p, '') AS edited_fingerprint,

@@ -11,7 +11,10 @@ the others. Sampling is a hash of the id and the text against the probability, s
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +25,7 @@ POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.9}
 KEPT_TOKENS = 0.75
 TOLERANCE = 1e-6
 MOST_SWEEPS = 40
+MOST_COMBINATIONS = 20_000
 GRID = 48
 
 
@@ -57,41 +61,81 @@ def own_targets(cells: DataFrame, margin: str, power: float) -> DataFrame:
     """(margin, target): shares in proportion to a power of the tokens' own shares."""
     raised = stored(cells.groupBy(margin).agg(F.sum("tokens").alias("t")).select(margin, F.pow("t", F.lit(power)).alias("t")), "raised")
     total = raised.agg(F.sum("t")).first()[0] or 1.0
-    return stored(raised.select(margin, (F.col("t") / F.lit(total)).alias("target")), "targets")
+    return raised.select(margin, (F.col("t") / F.lit(total)).alias("target"))
 
 
-def raked(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOLERANCE, sweeps: int = MOST_SWEEPS) -> DataFrame:
-    """``cells`` (margins, tokens) with share: raked shares that sum to 1 and meet the targets of every margin.
+def raked(cells: DataFrame, targets: dict[str, DataFrame], wide: str = "source", tolerance: float = TOLERANCE, sweeps: int = MOST_SWEEPS) -> DataFrame:
+    """``cells`` (margins, tokens) with share: raked shares that meet the targets of every margin.
 
-    Each margin has one factor per category; a step sums the cells under the present factors, map-side first, and replaces one margin's
-    factors. ``targets`` need not sum to 1 over the categories that occur.
+    The ``wide`` margin may have any number of categories: its factors stay in Spark, one row per category with its tokens by the
+    combinations of the other margins. A sweep sets these factors in one pass, which also sums the combinations; the other margins' factors follow from
+    these sums on the driver, which holds one number per combination (at most ``MOST_COMBINATIONS``). ``targets`` need not sum to 1 over what occurs.
     """
-    present = {}
-    for margin, target in targets.items():
-        here = target.where(F.col("target") > 0).join(cells.select(margin).distinct(), margin, "left_semi")
-        total = here.agg(F.sum("target")).first()[0] or 1.0
-        present[margin] = stored(here.select(margin, (F.col("target") / F.lit(total)).alias("target")), "targets")
-    factors = {m: t.select(m, F.lit(1.0).alias(f"f_{m}")) for m, t in present.items()}
-
-    def weighted() -> DataFrame:
-        joined = cells
-        for m, f in factors.items():
-            joined = joined.join(f, m)
-        product = F.col("tokens")
-        for m in factors:
-            product = product * F.col(f"f_{m}")
-        return joined.withColumn("share", product)
-
-    for _ in range(sweeps):
-        moved = 0.0
-        for margin, target in present.items():
-            now = weighted().groupBy(margin).agg(F.sum("share").alias("now"))
-            step = stored(target.join(now, margin).join(factors[margin], margin).select(margin, (F.col(f"f_{margin}") * F.col("target") / F.col("now")).alias(f"f_{margin}"), F.abs(F.col("now") / F.col("target") - 1).alias("off")), "factors")
-            moved = max(moved, step.agg(F.max("off")).first()[0] or 0.0)
-            factors[margin] = step.select(margin, f"f_{margin}")
-        if moved < tolerance:
+    narrow = [m for m in targets if m != wide]
+    combinations = sorted(tuple(r) for r in cells.select(*narrow).distinct().limit(MOST_COMBINATIONS + 1).collect())
+    if len(combinations) > MOST_COMBINATIONS:
+        raise ValueError(f"more than {MOST_COMBINATIONS} combinations of {', '.join(narrow)}")
+    place = {c: i for i, c in enumerate(combinations)}
+    size = len(combinations)
+    gathered = cells.groupBy(wide).agg(F.collect_list(F.struct(*narrow, "tokens")).alias("cells")).join(targets[wide].where("target > 0"), wide)
+
+    def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = np.zeros((batch.num_rows, size))
+            for i, found in enumerate(batch.column("cells").to_pylist()):
+                for c in found:
+                    table[i, place[tuple(c[m] for m in narrow)]] = c["tokens"]
+            yield pa.record_batch([batch.column(wide), batch.column("target"), pa.array(list(table), pa.list_(pa.float64()))], names=[wide, "target", "tokens"])
+
+    rows = stored(gathered.mapInArrow(dense, f"{wide} string, target double, tokens array<double>"), "margin")
+    margins = []
+    for m in narrow:
+        at = narrow.index(m)
+        wanted = {r[m]: r["target"] for r in targets[m].where("target > 0").collect()}
+        margins.append((np.array([wanted.get(c[at], 0.0) for c in combinations]), [c[at] for c in combinations]))
+    factor = np.ones(size)
+
+    def factors_of(batch: pa.RecordBatch, now: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        table = batch.column("tokens").flatten().to_numpy().reshape(batch.num_rows, size)
+        weight = table @ now
+        return table, np.divide(batch.column("target").to_numpy(), weight, out=np.zeros(len(weight)), where=weight > 0)
+
+    for _ in range(sweeps if size else 0):
+        now = factor
+
+        def sums(batches: Iterator[pa.RecordBatch], now: np.ndarray = now) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(size)
+            for batch in batches:
+                table, own = factors_of(batch, now)
+                total += own @ table
+            yield pa.record_batch([pa.array(np.arange(size)), pa.array(total)], names=["place", "total"])
+
+        found = rows.mapInArrow(sums, "place long, total double").groupBy("place").agg(F.sum("total").alias("total")).collect()
+        present = np.zeros(size)
+        for r in found:
+            present[r["place"]] = r["total"]
+        for wanted, names in margins:
+            held = {name: 0.0 for name in names}
+            for name, value in zip(names, present * factor, strict=True):
+                held[name] += value
+            total = sum(w for w, name in {name: (w, name) for w, name in zip(wanted, names, strict=True)}.values() if held[name] > 0) or 1.0
+            factor = factor * np.array([w / total / held[name] if held[name] > 0 else 0.0 for w, name in zip(wanted, names, strict=True)])
+        factor = factor / max(factor.max(), 1e-300)
+        if np.abs(factor - now).max() < tolerance:
             break
-    return stored(weighted().select(*cells.columns, "share"), "raked")
+    final = factor
+
+    def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table, own = factors_of(batch, final)
+            share = table * own[:, None] * final[None]
+            row, column = np.nonzero(table)
+            yield pa.record_batch(
+                [batch.column(wide).take(pa.array(row)), *(pa.array([combinations[c][k] for c in column], pa.string()) for k in range(len(narrow))), pa.array(table[row, column].astype(np.int64)), pa.array(share[row, column])],
+                names=[wide, *narrow, "tokens", "share"],
+            )
+
+    return stored(rows.mapInArrow(shares, ", ".join([f"{wide} string", *(f"{m} string" for m in narrow), "tokens long", "share double"])), "raked")
 
 
 def scaled(cells: DataFrame, wanted: float) -> float:
@@ -99,7 +143,9 @@ def scaled(cells: DataFrame, wanted: float) -> float:
     total, least = cells.agg(F.sum("tokens"), F.min(F.col("share") / F.col("tokens"))).first()
     if not total or wanted >= total:
         return math.inf
-    low, high = 0.0, 1.0 / least
+    low, high = 0.0, 1.0 / least if least else math.inf
+    if math.isinf(high):
+        return math.inf
     for _ in range(8):
         at = [low + (high - low) * i / GRID for i in range(GRID + 1)]
         sums = cells.agg(*(F.sum(F.least(F.col("tokens").cast("double"), F.col("share") * F.lit(s))).alias(f"s{i}") for i, s in enumerate(at))).first()
