@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # Square kilometres used when a table carries no density.
 LAND_AREA_KM2 = 62710.0
-# Replacements for an unusable predicted share, and the allowed share range.
+# Replacements for an unusable predicted share, and the range that autoregressive shares are held in.
 SHARE_FILL = {"nan": 0.05, "posinf": 0.3, "neginf": 0.01}
 SHARE_RANGE = (0.01, 0.5)
 # Error size treated as an exploded forecast, floor of the train error, penalty weight.
@@ -42,9 +42,9 @@ def replace_nonfinite(c: Column, nan: float, posinf: float, neginf: float) -> Co
     )
 
 
-def clean_share(c: Column) -> Column:
-    """Predicted share made usable: clip to the allowed range, then replace what is not finite."""
-    bounded = F.when(is_finite(c), clip(c, *SHARE_RANGE)).otherwise(c)
+def clean_share(c: Column, limits: tuple[float, float] | None = None) -> Column:
+    """Predicted share made usable: held inside ``limits`` if there are any, infinite ones too, then what is not finite is replaced."""
+    bounded = c if limits is None else F.when(is_valid(c), clip(c, *limits)).otherwise(c)
     return replace_nonfinite(bounded, **SHARE_FILL)
 
 
@@ -89,10 +89,11 @@ def aicc(aic: Column, n: Column, k: Column) -> Column:
 
 
 def fit_status(train: Column, val: Column) -> Column:
-    """Label from train and validation error: too much bias, too much variance, or good."""
+    """Label from train and validation error: too much bias, too much variance, or good. Any validation error over a train error of 0 is variance."""
+    # The labels.
     return (
         F.when(train > 5, "Underfitting (High Bias)")
-        .when(val / F.nullif(train, F.lit(0.0)) > 5, "Overfitting (High Variance)")
+        .when(((train == 0) & (val > 0)) | (val / F.nullif(train, F.lit(0.0)) > 5), "Overfitting (High Variance)")
         .otherwise("Good Fit")
     )
 

@@ -99,9 +99,10 @@ def year_horizon(last_years: DataFrame, last_year: str, steps: int) -> DataFrame
     )
 
 
-def month_horizon(members: DataFrame, start: str, end: str) -> DataFrame:
-    """Every month of a fixed range for each member row, with its calendar parts."""
-    return members.withColumn("ts", month_grid(F.to_date(F.lit(start)), F.to_date(F.lit(end)))).withColumns(
+def month_horizon(members: DataFrame, start: str | Column, end: str | Column) -> DataFrame:
+    """Every month of a range for each member row, with its calendar parts."""
+    first, last = (F.to_date(F.lit(d)) if isinstance(d, str) else d for d in (start, end))
+    return members.withColumn("ts", month_grid(first, last)).withColumns(
         {
             "year": F.year("ts"),
             "month": F.month("ts"),

@@ -13,7 +13,7 @@ from seriesloom.operators.calendar import month_horizon
 from seriesloom.operators.joins import keep_best
 from seriesloom.operators.keys import as_list, literal_rows, one_value
 from seriesloom.operators.trend import share_forecast
-from seriesloom.session import broadcast_if_small, checkpointed
+from seriesloom.session import checkpointed
 
 
 def last_known(df: DataFrame, ts: str, values: list[str]) -> dict[str, Column]:
@@ -31,13 +31,15 @@ def allocate(
     coefs: DataFrame,
     key: str | list[str],
     national: DataFrame,
-    start: str,
-    end: str,
+    start: str | Column | None = None,
+    end: str | Column | None = None,
+    months: int = 24,
     ts: str = "ts",
     total: str = "total",
     drivers: tuple[str, str] = ("density", "urban"),
+    limits: tuple[float, float] | None = None,
 ) -> DataFrame:
-    """Monthly member forecast over a fixed range: predicted share times a grown total.
+    """Monthly member forecast: predicted share times a grown total, by default for the ``months`` after the last total.
 
     The total grows simply from its last value; density stays at its last value and the urban part keeps its
     last share. Members without a model have no coefficient row and so no forecast.
@@ -48,11 +50,12 @@ def allocate(
     last_ts = one_value(national, F.max(ts))
     last = last_known(national, ts, [total, density])
     urban_share = one_value(national, F.max_by(F.col(urban) / F.col(total), ts))
-    grid = month_horizon(coefs, start, end)
+    first = F.add_months(F.trunc(last_ts, "month"), 1) if start is None else start
+    grid = month_horizon(coefs, first, F.add_months(F.trunc(last_ts, "month"), months) if end is None else end)
     grid = grid.withColumn("national", nm.linear_growth(last[total], tm.months_ahead(F.col("ts"), last_ts)))
     grid = grid.withColumns({density: last[density], urban: urban_share * F.col("national")})
     scored = grid.withColumn("_share", F.col("intercept") + F.col("slope") * F.col("fractional_year"))
-    out = share_forecast(scored, "_share", "national")
+    out = share_forecast(scored, "_share", "national", limits)
     return out.select(
         "ts", *key, "year", "month",
         nm.half_even(F.col("predicted_proportion"), 6).alias("predicted_proportion"),
@@ -75,7 +78,7 @@ def predict_requests(
     wide = long.groupBy(ts).agg(
         *[F.max(F.when(F.col("model") == n, valid)).alias(f"total_{n}") for n in totals], F.avg(valid).alias("ensemble")
     )
-    out = requests.join(broadcast_if_small(wide), ts, "left").join(broadcast_if_small(shares), member, "left")
+    out = requests.join(wide, ts, "left").join(shares, member, "left")
     share = F.col("intercept") + F.col("slope") * tm.fractional_year(F.col(ts))
     return (
         out.withColumn("proportion", share)
@@ -114,7 +117,7 @@ def lookup_national(requests: DataFrame, forecast: DataFrame, date: str, ts: str
     monthly = _by_month(forecast, ts).select("year", "month", F.col(value).alias("predicted_value"), F.col(ts).alias("_ts"))
     table = keep_best(monthly, ["year", "month"], F.min_by, F.col("_ts")).drop("_ts")
     found = F.when(F.col("predicted_value").isNull(), "not_found").otherwise("found")
-    return asked.join(broadcast_if_small(table), ["year", "month"], "left").withColumn("status", found)
+    return asked.join(table, ["year", "month"], "left").withColumn("status", found)
 
 
 def lookup_member(
@@ -136,5 +139,5 @@ def lookup_member(
     both = side(forecast, value, "forecast", 0).unionByName(side(history, past, "historical_actual", 1))
     table = keep_best(both, keys, F.min_by, F.col("_prio")).drop("_prio")
     asked = _by_month(requests, date).withColumn("_m", F.lower(member))
-    out = asked.join(broadcast_if_small(table), keys, "left").drop("_m")
+    out = asked.join(table, keys, "left").drop("_m")
     return out.withColumn("status", F.when(F.col("predicted_value").isNull(), "not_found").otherwise("found"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.functions import numeric as nm
@@ -18,26 +18,30 @@ def with_selection(candidates: DataFrame) -> DataFrame:
     )
 
 
-def _order(*tie: str):
-    return F.struct(F.coalesce("selection_score", F.lit(float("inf"))), "val_rmse", *tie)
+def _missing_last(c: str) -> Column:
+    """A score to sort by: NULL and NaN, as a failed model leaves them, come after every number."""
+    return F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(float("inf"))), F.lit(float("inf")))
+
+
+def _order(*tie: str) -> Column:
+    return F.struct(_missing_last("selection_score"), _missing_last("val_rmse"), *tie)
 
 
 def best_per_family(candidates: DataFrame, tie: str = "params") -> DataFrame:
     """Best whole row per model family, ranked 1..n by score."""
-    best = first_per_group(with_selection(candidates), "model", _order("test_rmse", tie))
-    return global_rank(best, [F.col("selection_score"), F.col("val_rmse"), F.col("model")], "rank_by_val")
+    best = first_per_group(with_selection(candidates), "model", F.struct(_order(), _missing_last("test_rmse"), tie))
+    return global_rank(best, [_missing_last("selection_score"), _missing_last("val_rmse"), F.col("model")], "rank_by_val")
 
 
 def best_per_member(candidates: DataFrame, key: str | list[str], tie: str = "model") -> DataFrame:
-    return first_per_group(with_selection(candidates), as_list(key), _order("test_rmse", tie)).withColumn(
-        "rank_by_val", F.lit(1)
-    )
+    best = first_per_group(with_selection(candidates), as_list(key), F.struct(_order(), _missing_last("test_rmse"), tie))
+    return best.withColumn("rank_by_val", F.lit(1))
 
 
 def member_leaderboard(candidates: DataFrame, key: str | list[str]) -> DataFrame:
     """Best model of each member, and the member's place among all members."""
     best = best_per_member(candidates, key)
-    order = [F.col("selection_score"), F.col("val_rmse"), F.col("test_rmse"), *[F.col(k) for k in as_list(key)]]
+    order = [*(_missing_last(c) for c in ("selection_score", "val_rmse", "test_rmse")), *[F.col(k) for k in as_list(key)]]
     return global_rank(best, order, "overall_rank_by_val")
 
 

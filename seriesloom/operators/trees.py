@@ -24,7 +24,7 @@ SEED = 42
 
 
 def assemble(df: DataFrame, features: list[str]) -> DataFrame:
-    return VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="skip").transform(df)
+    return VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="error").transform(df)
 
 
 def fit_boosted(df: DataFrame, features: list[str], target: str, params: dict, stop_on: str | None = None):

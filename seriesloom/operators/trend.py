@@ -97,8 +97,11 @@ def choose_by_validation(df: DataFrame, key: str | list[str], metric: str, model
     return df.groupBy(*as_list(key)).agg(best.alias("_r")).select(*as_list(key), "_r.*")
 
 
-def share_forecast(df: DataFrame, share: str, total: str) -> DataFrame:
-    """Usable share, and the member value it gives, rounded half-even to whole units."""
-    return df.withColumn("predicted_proportion", nm.clean_share(F.col(share))).withColumn(
+def share_forecast(df: DataFrame, share: str, total: str, limits: tuple[float, float] | None = None) -> DataFrame:
+    """Usable share, and the member value it gives, rounded half-even to whole units.
+
+    Shares of lines and trees are taken as they are; ``limits`` (``numeric.SHARE_RANGE``) hold those of autoregressive models.
+    """
+    return df.withColumn("predicted_proportion", nm.clean_share(F.col(share), limits)).withColumn(
         "predicted_member", nm.half_even(F.col("predicted_proportion") * F.col(total), 0).cast("long")
     )

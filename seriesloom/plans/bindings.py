@@ -4,26 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from seriesloom.functions import time as tm
 from seriesloom.operators import calendar as cal
 from seriesloom.operators import fill
 from seriesloom.operators import features as ft
+from seriesloom.operators.keys import one_value
 from seriesloom.session import checkpointed
 
 DRIVERS = ["birth_rate", "death_rate", "density", "rural", "urban"]
 
 
-_SCHEMAS: dict[str, StructType] = {}
-
-
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A star-schema table. Its schema is read from the files once and reused, so later reads start no job."""
-    path = f"{sf.rstrip('/')}/{name}.parquet"
-    if path not in _SCHEMAS:
-        _SCHEMAS[path] = spark.read.parquet(path).schema
-    return spark.read.schema(_SCHEMAS[path]).parquet(path)
+    """A star-schema table."""
+    return spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
 
 
 def cents(c: str) -> Column:
@@ -52,14 +46,28 @@ def customer_members(spark: SparkSession, sf: str, level: str = "nation") -> Dat
     return customers.join(named, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "member")
 
 
-def member_cells(spark: SparkSession, sf: str, level: str = "nation", unit: str = "month") -> DataFrame:
+def last_complete_year(spark: SparkSession, sf: str) -> Column:
+    """The last year whose December holds an order, as a scalar subquery."""
+    return one_value(table(spark, sf, "orders"), F.year(F.add_months(F.max("o_orderdate"), 1)) - 1)
+
+
+def _orders_until(spark: SparkSession, sf: str, until: int | Column | None) -> DataFrame:
+    """Orders up to the end of a year, by a range on their date that reaches the scan; all of them without a year."""
+    orders = table(spark, sf, "orders")
+    if until is None:
+        return orders
+    after = F.make_date((F.lit(until) if isinstance(until, int) else until) + 1, F.lit(1), F.lit(1))
+    return orders.where(F.col("o_orderdate") < after.cast(orders.schema["o_orderdate"].dataType))
+
+
+def member_cells(spark: SparkSession, sf: str, level: str = "nation", unit: str = "month", until: int | Column | None = None) -> DataFrame:
     """``member, ts, total``: one row per member and bucket that has orders.
 
     Orders are summed per customer and bucket before the customer join, so a customer holding a large part of
     all orders reaches that join as a handful of rows; the member sums are combined map-side again.
     """
     per_customer = (
-        table(spark, sf, "orders")
+        _orders_until(spark, sf, until)
         .select("o_custkey", _bucket(unit).alias("ts"), "o_totalprice")
         .groupBy("o_custkey", "ts")
         .agg(F.sum(cents("o_totalprice")).alias("amount"))
@@ -97,16 +105,16 @@ def panel_and_total(spark: SparkSession, sf: str, level: str = "nation") -> tupl
     return fill_cells(cells), total_of(cells)
 
 
-def members_and_total(spark: SparkSession, sf: str, level: str = "nation", until: int = 2000) -> tuple[DataFrame, DataFrame]:
+def members_and_total(spark: SparkSession, sf: str, level: str = "nation", until: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Yearly members and yearly total, both from one pass over the orders."""
     yearly = checkpointed(yearly_members(spark, sf, level, until))
     return yearly, total_of(yearly, "year")
 
 
-def national(spark: SparkSession, sf: str, unit: str = "month") -> DataFrame:
+def national(spark: SparkSession, sf: str, unit: str = "month", until: int | Column | None = None) -> DataFrame:
     """Sum over all orders per bucket, as the one-member series TOTAL."""
     sums = (
-        table(spark, sf, "orders")
+        _orders_until(spark, sf, until)
         .groupBy(_bucket(unit).alias("ts"))
         .agg(money("o_totalprice").alias("total"))
     )
@@ -132,15 +140,15 @@ def drivers(spark: SparkSession, sf: str, unit: str = "month") -> DataFrame:
     )
 
 
-def yearly_members(spark: SparkSession, sf: str, level: str = "nation", until: int = 2000) -> DataFrame:
-    """``member, year, total`` of complete years."""
-    cells = member_cells(spark, sf, level, "year")
-    return cells.select("member", F.year("ts").alias("year"), "total").where(F.col("year") <= until)
+def yearly_members(spark: SparkSession, sf: str, level: str = "nation", until: int | None = None) -> DataFrame:
+    """``member, year, total`` up to a year, by default the last complete one of the orders."""
+    cells = member_cells(spark, sf, level, "year", last_complete_year(spark, sf) if until is None else until)
+    return cells.select("member", F.year("ts").alias("year"), "total")
 
 
-def yearly_national(spark: SparkSession, sf: str, until: int = 2000) -> DataFrame:
-    rows = national(spark, sf, "year")
-    return rows.select("member", F.year("ts").alias("year"), "total").where(F.col("year") <= until)
+def yearly_national(spark: SparkSession, sf: str, until: int | None = None) -> DataFrame:
+    rows = national(spark, sf, "year", last_complete_year(spark, sf) if until is None else until)
+    return rows.select("member", F.year("ts").alias("year"), "total")
 
 
 def yearly_drivers(spark: SparkSession, sf: str) -> DataFrame:

@@ -95,12 +95,14 @@ def driver_sql(unit: str = "month", name: str = "drv") -> str:
 
 DRIVERS_SQL = driver_sql()
 
+LAST_YEAR = "(SELECT CAST(year(max(o_orderdate) + INTERVAL 1 MONTH) AS INT) - 1 FROM orders)"  # the last complete one
+
 YEARLY = f"""
 yearly AS (SELECT n_name AS member, CAST(year(o_orderdate) AS INT) AS year, {_AMOUNT} AS total
-  {_FROM} WHERE year(o_orderdate) <= 2000 GROUP BY 1, 2)
+  {_FROM} WHERE year(o_orderdate) <= {LAST_YEAR} GROUP BY 1, 2)
 """
 YEARLY_NATIONAL = f"""
-ynat AS (SELECT CAST(year(o_orderdate) AS INT) AS year, {_AMOUNT} AS total FROM orders WHERE year(o_orderdate) <= 2000 GROUP BY 1)
+ynat AS (SELECT CAST(year(o_orderdate) AS INT) AS year, {_AMOUNT} AS total FROM orders WHERE year(o_orderdate) <= {LAST_YEAR} GROUP BY 1)
 """
 YEARLY_DRIVERS = driver_sql("year", "ydrv_") + ", ydrv AS (SELECT CAST(year(ts) AS INT) AS year, * EXCLUDE (ts) FROM ydrv_)"
 

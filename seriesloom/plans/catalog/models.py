@@ -78,7 +78,7 @@ def member_trend_horizon(spark, sf):
 
 
 _SHARES = """
-sh AS (SELECT member, year, y.total / n.total AS proportion, CASE WHEN year <= 1998 THEN 'TRAIN' WHEN year <= 1999 THEN 'VAL' ELSE 'TEST' END AS split FROM yearly y JOIN ynat n USING (year)),
+sh AS (SELECT member, year, y.total / n.total AS proportion, CASE WHEN year <= (SELECT max(year) - 2 FROM ynat) THEN 'TRAIN' WHEN year <= (SELECT max(year) - 1 FROM ynat) THEN 'VAL' ELSE 'TEST' END AS split FROM yearly y JOIN ynat n USING (year)),
 lr AS (SELECT member, regr_intercept(proportion, year) AS i1, regr_slope(proportion, year) AS s1, regr_sxy(proportion, year) / (regr_sxx(proportion, year) + 1.0) AS s2, avg(proportion) AS my, avg(year) AS mx FROM sh WHERE split = 'TRAIN' GROUP BY 1),
 cmp AS (SELECT s.*, 'Linear' AS model, i1 + s1 * year AS predicted FROM sh s JOIN lr USING (member) UNION ALL SELECT s.*, 'Ridge', my - s2 * mx + s2 * year FROM sh s JOIN lr USING (member)),
 vm AS (SELECT member, model, avg(abs((proportion - predicted) / proportion)) * 100 AS val_mape FROM cmp WHERE split = 'VAL' GROUP BY 1, 2),
@@ -90,7 +90,8 @@ def _shares(spark, sf):
     yearly, total = bd.members_and_total(spark, sf)
     grand = total.select("year", F.col("total").alias("grand"))
     rows = checkpointed(ft.proportion(yearly.join(grand, "year"), "total", "grand"))
-    return splits.by_year(rows, F.col("year"), 1998, 1999)
+    last = one_value(total, F.max("year"))
+    return splits.by_year(rows, F.col("year"), last - 2, last - 1)
 
 
 def _share_predictions(spark, sf):
@@ -174,20 +175,20 @@ def pooled_regression(spark, sf):
     ctes(
         b.MEMBER_WIDE,
         "ok AS (SELECT member, ts, proportion AS y, national, density FROM wide WHERE density IS NOT NULL)",
-        "s AS (SELECT member, avg(national) AS m1, stddev_pop(national) AS s1, avg(density) AS m2, stddev_pop(density) AS s2, avg(y) AS my FROM ok WHERE ts < DATE '2000-01-01' GROUP BY 1)",
+        "s AS (SELECT member, avg(national) AS m1, stddev_pop(national) AS s1, avg(density) AS m2, stddev_pop(density) AS s2, avg(y) AS my FROM ok WHERE ts < make_date(" + b.LAST_YEAR + ", 1, 1) GROUP BY 1)",
         "z AS (SELECT member, ts, y, (national - m1) / s1 AS z1, (density - m2) / s2 AS z2, y - my AS yc, my FROM ok JOIN s USING (member))",
-        "g AS (SELECT member, sum(z1 * z1) AS a, sum(z1 * z2) AS c, sum(z2 * z2) AS d, sum(z1 * yc) AS e, sum(z2 * yc) AS f FROM z WHERE ts < DATE '2000-01-01' GROUP BY 1)",
+        "g AS (SELECT member, sum(z1 * z1) AS a, sum(z1 * z2) AS c, sum(z2 * z2) AS d, sum(z1 * yc) AS e, sum(z2 * yc) AS f FROM z WHERE ts < make_date(" + b.LAST_YEAR + ", 1, 1) GROUP BY 1)",
     )
     + "SELECT member, ts, round(my + z1 * (e * d - f * c) / (a * d - c * c) + z2 * (a * f - c * e) / (a * d - c * c), 8) AS predicted FROM z JOIN g USING (member)",
 )
 def two_feature_regression(spark, sf):
-    """Least squares of the share on total and density, scaled by the months before 2000."""
+    """Least squares of the share on total and density, fitted on the months before the last complete year."""
     panel, total = bd.panel_and_total(spark, sf)
     nat = total.select("ts", F.col("total").alias("national"))
     wide = panel.join(nat, "ts", "left").join(bd.drivers(spark, sf).select("ts", "density"), "ts", "left")
     rows = checkpointed(ft.proportion(wide, "total", "national").na.drop("any"))
     xs = ["national", "density"]
-    coefs = rg.fit(rows, "member", xs, "proportion", F.col("ts") < F.lit("2000-01-01").cast("date"))
+    coefs = rg.fit(rows, "member", xs, "proportion", F.col("ts") < F.make_date(bd.last_complete_year(spark, sf), F.lit(1), F.lit(1)))
     return rg.predict(rows, coefs, "member", xs).select("member", "ts", rd("predicted", 8).alias("predicted"))
 
 
@@ -536,9 +537,9 @@ _SHARE_LINE = """
 w AS (SELECT ts, total, density, urban FROM nat JOIN drv USING (ts)),
 lastw AS (SELECT max(ts) AS lts, max_by(total, ts) AS lt, max_by(density, ts) AS ld, max_by(urban / total, ts) AS lu FROM w),
 co AS (SELECT member, regr_intercept(proportion, fy) AS b0, regr_slope(proportion, fy) AS b1 FROM (SELECT member, proportion, year(ts) + (month(ts) - 1) / 12.0::DOUBLE AS fy FROM wide) GROUP BY 1),
-fut AS (SELECT member, b0, b1, CAST(unnest(generate_series(DATE '2001-09-01', DATE '2003-08-01', INTERVAL 1 MONTH)) AS DATE) AS ts FROM co),
+fut AS (SELECT member, b0, b1, CAST(unnest(generate_series((SELECT max(ts) FROM w) + INTERVAL 1 MONTH, (SELECT max(ts) FROM w) + INTERVAL 24 MONTH, INTERVAL 1 MONTH)) AS DATE) AS ts FROM co),
 al AS (SELECT member, ts, lt * (1 + 0.008::DOUBLE * ((ts - lts) / 30.44::DOUBLE)) AS national, ld AS density, lu * (lt * (1 + 0.008::DOUBLE * ((ts - lts) / 30.44::DOUBLE))) AS urban,
-  least(greatest(b0 + b1 * (year(ts) + (month(ts) - 1) / 12.0::DOUBLE), 0.01), 0.5) AS share FROM fut, lastw)
+  b0 + b1 * (year(ts) + (month(ts) - 1) / 12.0::DOUBLE) AS share FROM fut, lastw)
 """
 
 
@@ -549,7 +550,7 @@ def _allocation(spark, sf):
         panel.join(nat.select("ts", F.col("total").alias("grand")), "ts", "left"), "total", "grand"
     ).withColumn("fy", tm.fractional_year(F.col("ts")))
     coefs = tr.linear_trend(shares, "member", "fy", "proportion", F.lit(True))
-    return fc.allocate(coefs, "member", nat, "2001-09-01", "2003-08-01")
+    return fc.allocate(coefs, "member", nat)
 
 
 @query(
@@ -584,13 +585,13 @@ def item_demand(spark, sf):
     ctes(
         b.YEARLY,
         "lt AS (SELECT member, regr_intercept(total, year) AS b0, regr_slope(total, year) AS b1 FROM yearly GROUP BY 1)",
-        "pts AS (SELECT member, year, total FROM yearly WHERE year = 2000 UNION ALL SELECT member, CAST(2000 + h AS INT), b0 + b1 * (2000 + h) FROM lt, range(1, 4) AS t(h))",
+        "pts AS (SELECT member, year, total FROM yearly WHERE year = (SELECT max(year) FROM yearly) UNION ALL SELECT member, CAST(ly + h AS INT), b0 + b1 * (ly + h) FROM lt, (SELECT max(year) AS ly FROM yearly), range(1, 4) AS t(h))",
         "cells AS (SELECT member, CAST(make_date(year, 12, 1) AS DATE) AS ts, total FROM pts)",
         "grid AS (SELECT member, CAST(unnest(generate_series(min(ts), max(ts), INTERVAL 1 MONTH)) AS DATE) AS ts FROM cells GROUP BY 1)",
         "gaps AS (SELECT member, ts, total FROM grid LEFT JOIN cells USING (member, ts))",
         b.interpolated("panel", "gaps", edge="forward"),
     )
-    + "SELECT member, ts, round(total, 0) AS predicted FROM panel WHERE ts >= DATE '2001-01-31'",
+    + "SELECT member, ts, round(total, 0) AS predicted FROM panel WHERE ts >= make_date((SELECT max(year) FROM yearly) + 1, 1, 31)",
 )
 def linear_months_between_forecasts(spark, sf):
     """Yearly line forecasts joined to the last actual year and interpolated to months after the cutoff."""
@@ -601,7 +602,7 @@ def linear_months_between_forecasts(spark, sf):
     anchors = last.select("member", F.col("last_year").alias("year"), "total").unionByName(ahead.select("member", "year", "total"))
     cells = anchors.select("member", tm.month_start(tm.year_end(F.col("year"))).alias("ts"), "total")
     monthly = fill.interpolate(cal.regularise(cells, "member", shared_range=False), "member", "ts", ["total"], edge="forward")
-    return cal.after_last_year(monthly, F.lit(2000)).select("member", "ts", rd("total", 0).alias("predicted"))
+    return cal.after_last_year(monthly, one_value(yearly, F.max("year"))).select("member", "ts", rd("total", 0).alias("predicted"))
 
 
 _BATCH = """
@@ -643,16 +644,17 @@ def batch_predictions(spark, sf):
 @query(
     "M-28 J-11 C-15",
     ctes(
-        "fcst AS (SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS ts, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS v FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-01-01' GROUP BY 1)"
+        "fcst AS (SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS ts, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS v FROM lineitem GROUP BY 1)",
+        "req AS (SELECT o_orderkey, CAST(o_orderdate + CASE WHEN o_orderkey % 4 = 0 THEN INTERVAL 5 YEAR ELSE INTERVAL 0 YEAR END AS DATE) AS d FROM orders)",
     )
-    + "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS date_requested, v AS predicted_value, CASE WHEN v IS NULL THEN 'not_found' ELSE 'found' END AS status FROM orders LEFT JOIN fcst ON year(o_orderdate) = year(ts) AND month(o_orderdate) = month(ts)",
+    + "SELECT o_orderkey, d AS date_requested, v AS predicted_value, CASE WHEN v IS NULL THEN 'not_found' ELSE 'found' END AS status FROM req LEFT JOIN fcst ON year(d) = year(ts) AND month(d) = month(ts)",
 )
 def national_lookup(spark, sf):
-    """Each order date looked up in the monthly table of shipped value, which starts in 1998."""
-    start = F.lit("1998-01-01").cast("timestamp_ntz")
-    shipped = bd.table(spark, sf, "lineitem").select("l_shipdate", "l_extendedprice").where(F.col("l_shipdate") >= start)
+    """Order dates, every fourth five years later, looked up in the monthly table of shipped value."""
+    shipped = bd.table(spark, sf, "lineitem").select("l_shipdate", "l_extendedprice")
     forecast = shipped.groupBy(tm.month_start(F.col("l_shipdate")).alias("ts")).agg(bd.money("l_extendedprice").alias("v"))
-    requests = bd.table(spark, sf, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("date_requested"))
+    later = F.when(F.col("o_orderkey") % 4 == 0, 60).otherwise(0)
+    requests = bd.table(spark, sf, "orders").select("o_orderkey", F.add_months(F.to_date("o_orderdate"), later).alias("date_requested"))
     out = fc.lookup_national(requests, forecast, "date_requested", "ts", "v")
     return out.select("o_orderkey", "date_requested", "predicted_value", "status")
 
@@ -661,21 +663,25 @@ def national_lookup(spark, sf):
     "M-28 J-10 J-11 C-03",
     ctes(
         b.CELLS,
-        "hist AS (SELECT * FROM cells WHERE ts >= DATE '1996-01-01')",
-        "fcst AS (SELECT member, CAST(ts + INTERVAL 12 MONTH AS DATE) AS ts, total FROM cells WHERE ts >= DATE '1999-07-01')",
-        "req AS (SELECT DISTINCT upper(n_name) AS member, CAST(o_orderdate AS DATE) AS d FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)",
+        "hist AS (SELECT * FROM cells)",
+        "fcst AS (SELECT member, CAST(ts + INTERVAL 12 MONTH AS DATE) AS ts, total FROM cells WHERE ts > (SELECT max(ts) FROM cells) - INTERVAL 24 MONTH)",
+        "req AS (SELECT DISTINCT upper(n_name) AS member, CAST(o_orderdate + CASE WHEN o_orderkey % 4 = 0 THEN INTERVAL 18 MONTH ELSE INTERVAL 0 MONTH END AS DATE) AS d FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)",
     )
     + "SELECT r.member, d, coalesce(f.total, h.total) AS predicted_value, CASE WHEN f.total IS NOT NULL THEN 'forecast' WHEN h.total IS NOT NULL THEN 'historical_actual' END AS value_type, "
     "CASE WHEN coalesce(f.total, h.total) IS NULL THEN 'not_found' ELSE 'found' END AS status FROM req r "
     "LEFT JOIN fcst f ON upper(f.member) = r.member AND f.ts = date_trunc('month', d) LEFT JOIN hist h ON upper(h.member) = r.member AND h.ts = date_trunc('month', d)",
 )
 def member_lookup(spark, sf):
-    """Upper-case member names and all order dates: forecast first, then history, else not found."""
+    """Upper-case member names and order dates, every fourth 18 months later: forecast first, then history, else not found.
+
+    The forecast repeats the last two years, one year later.
+    """
     cells = checkpointed(bd.member_cells(spark, sf))
-    history = cells.where(F.col("ts") >= F.lit("1996-01-01").cast("date")).withColumnRenamed("total", "population")
-    forecast = cells.where(F.col("ts") >= F.lit("1999-07-01").cast("date")).select("member", F.add_months("ts", 12).alias("ts"), "total")
+    history = cells.withColumnRenamed("total", "population")
+    forecast = cells.where(F.col("ts") > F.add_months(one_value(cells, F.max("ts")), -24)).select("member", F.add_months("ts", 12).alias("ts"), "total")
     named = bd.customer_members(spark, sf).withColumn("member", F.upper("member"))
-    orders = bd.table(spark, sf, "orders").select("o_custkey", F.to_date("o_orderdate").alias("d")).distinct()
+    later = F.when(F.col("o_orderkey") % 4 == 0, 18).otherwise(0)
+    orders = bd.table(spark, sf, "orders").select("o_custkey", F.add_months(F.to_date("o_orderdate"), later).alias("d")).distinct()
     requests = orders.join(named, F.col("o_custkey") == F.col("c_custkey")).select("member", "d").distinct()
     out = fc.lookup_member(requests, forecast, history, "member", "d", "ts", "total", "population")
     return out.select("member", "d", "predicted_value", "value_type", "status")

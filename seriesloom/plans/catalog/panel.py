@@ -11,6 +11,7 @@ from seriesloom.operators import calendar as cal
 from seriesloom.operators import features as ft
 from seriesloom.operators import fill, ranking, splits
 from seriesloom.operators import smoothing as sm
+from seriesloom.operators.keys import one_value
 from seriesloom.plans import bindings as bd
 from seriesloom.plans import masters
 from seriesloom.plans.catalog import base as b
@@ -107,14 +108,14 @@ def driver_correlations(spark, sf):
 
 @query(
     "E-05",
-    ctes(b.YEARLY, "m AS (SELECT member, avg(year) AS my FROM yearly WHERE year <= 1998 GROUP BY 1)")
+    ctes(b.YEARLY, "m AS (SELECT member, avg(year) AS my FROM yearly WHERE year <= (SELECT max(year) - 2 FROM yearly) GROUP BY 1)")
     + "SELECT member, year, round(year - my, 6) AS year_centered, round((year - my) ** 2, 6) AS year_centered2, lag(total) OVER w AS total_lag1, "
     "lag(total, 2) OVER w AS total_lag2 FROM yearly JOIN m USING (member) WINDOW w AS (PARTITION BY member ORDER BY year)",
 )
 def centred_year_features(spark, sf):
     yearly = bd.yearly_members(spark, sf)
     w = ft.series_window("member", "year")
-    mean = F.avg(F.when(F.col("year") <= 1998, F.col("year"))).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    mean = F.avg(F.when(F.col("year") <= bd.last_complete_year(spark, sf) - 2, F.col("year"))).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     out = ft.yearly_trend_features(yearly, "member", "year", "total", mean)
     return out.select("member", "year", rd("year_centered", 6).alias("year_centered"), rd("year_centered2", 6).alias("year_centered2"), "total_lag1", "total_lag2")
 
@@ -123,17 +124,17 @@ def centred_year_features(spark, sf):
     "E-06",
     ctes(
         b.MEMBER_WIDE,
-        "s AS (SELECT member, avg(total) AS mt, stddev_pop(total) AS st, avg(national) AS mn, stddev_pop(national) AS sn FROM wide WHERE ts < DATE '2000-01-01' GROUP BY 1)",
+        "s AS (SELECT member, avg(total) AS mt, stddev_pop(total) AS st, avg(national) AS mn, stddev_pop(national) AS sn FROM wide WHERE ts < make_date(" + b.LAST_YEAR + ", 1, 1) GROUP BY 1)",
     )
     + "SELECT member, ts, round((total - mt) / st, 6) AS total, round((national - mn) / sn, 6) AS national, 0.0::DOUBLE AS flat FROM wide JOIN s USING (member)",
 )
 def scaled_features(spark, sf):
-    """Scaled by the months before 2000; a constant column stays 0 because its deviation counts as 1."""
+    """Scaled by the months before the last complete year; a constant column stays 0 because its deviation counts as 1."""
     panel, total = bd.panel_and_total(spark, sf)
     nat = total.select("ts", F.col("total").alias("national"))
     wide = panel.join(nat, "ts", "left").withColumn("flat", F.lit(3.0))
     cols = ["total", "national", "flat"]
-    stats = ft.scaler(wide, "member", cols, F.col("ts") < F.lit("2000-01-01").cast("date"))
+    stats = ft.scaler(wide, "member", cols, F.col("ts") < F.make_date(bd.last_complete_year(spark, sf), F.lit(1), F.lit(1)))
     return ft.standardise(wide, stats, "member", cols).select("member", "ts", *[rd(c, 6).alias(c) for c in cols])
 
 
@@ -278,13 +279,15 @@ def three_way_split(spark, sf):
     "F-13 C-10",
     ctes(
         b.YEARLY,
-        "s AS (SELECT *, CASE WHEN year <= 1998 THEN 'TRAIN' WHEN year <= 1999 THEN 'VAL' ELSE 'TEST' END AS split FROM yearly)",
+        "s AS (SELECT *, CASE WHEN year <= (SELECT max(year) - 2 FROM yearly) THEN 'TRAIN' WHEN year <= (SELECT max(year) - 1 FROM yearly) THEN 'VAL' ELSE 'TEST' END AS split FROM yearly)",
         "ok AS (SELECT member FROM s GROUP BY 1 HAVING count(CASE WHEN split = 'TRAIN' THEN 1 END) >= 3 AND count(CASE WHEN split = 'VAL' THEN 1 END) >= 1 AND count(CASE WHEN split = 'TEST' THEN 1 END) >= 1)",
     )
     + "SELECT member, year, split FROM s WHERE member IN (SELECT member FROM ok)",
 )
 def fixed_year_split(spark, sf):
-    rows = splits.by_year(checkpointed(bd.yearly_members(spark, sf)), F.col("year"), 1998, 1999)
+    yearly = checkpointed(bd.yearly_members(spark, sf))
+    last = one_value(yearly, F.max("year"))
+    rows = splits.by_year(yearly, F.col("year"), last - 2, last - 1)
     return splits.members_with_sizes(rows, "member", {"TRAIN": 3, "VAL": 1, "TEST": 1}).select("member", "year", "split")
 
 

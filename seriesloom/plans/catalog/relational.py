@@ -349,14 +349,15 @@ def valid_predictions(spark, sf):
 @query(
     "C-08 M-20 I-12",
     ctes(b.YEARLY)
-    + "SELECT * FROM (SELECT member, CAST(make_date(year + 1, m, 1) AS DATE) AS ts, total AS predicted FROM yearly, range(1, 13) AS t(m) WHERE year = 2000) "
-    "WHERE ts >= DATE '2001-01-31'",
+    + "SELECT * FROM (SELECT member, CAST(make_date(year + 1, m, 1) AS DATE) AS ts, total AS predicted FROM yearly, range(1, 13) AS t(m) WHERE year = (SELECT max(year) FROM yearly)) "
+    "WHERE ts >= make_date((SELECT max(year) FROM yearly) + 1, 1, 31)",
 )
 def flat_months_after_cutoff(spark, sf):
     """Last year's value carried into the next year, from the month after the last observation's year end."""
-    last = bd.yearly_members(spark, sf).where("year = 2000").withColumn("year", F.col("year") + 1)
+    yearly, until = bd.yearly_members(spark, sf), bd.last_complete_year(spark, sf)
+    last = yearly.where(F.col("year") == until).withColumn("year", F.col("year") + 1)
     flat = cal.spread_flat(last.withColumnRenamed("total", "predicted"), "member", "year", "predicted")
-    return cal.after_last_year(flat, F.lit(2000))
+    return cal.after_last_year(flat, until)
 
 
 @query("C-09", ctes(b.PANEL) + "SELECT member, CAST(year(ts) AS BIGINT) AS year, round(total, 4) AS total FROM panel WHERE month(ts) = 12")
@@ -374,10 +375,10 @@ def long_series_only(spark, sf):
     return kept.groupBy("member").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-@query("C-11", ctes(b.YEARLY) + "SELECT member, year, total FROM yearly WHERE year >= 1996")
+@query("C-11", ctes(b.YEARLY) + "SELECT member, year, total FROM yearly")
 def guarded_rows(spark, sf):
     yearly = checkpointed(bd.yearly_members(spark, sf))
-    return splits.require_rows(yearly.where("year >= 1996"), 10, "not enough rows")
+    return splits.require_rows(yearly, 10, "not enough rows")
 
 
 @query(
@@ -398,11 +399,10 @@ def future_part(spark, sf):
 
 @query(
     "C-14 I-13",
-    ctes(b.CELLS) + "SELECT member, ts, total FROM cells WHERE year(ts) >= 1996 AND year(ts) <= 2000",
+    ctes(b.CELLS) + "SELECT member, ts, total FROM cells WHERE year(ts) <= " + b.LAST_YEAR,
 )
 def complete_years_only(spark, sf):
-    year = F.year("ts")
-    return bd.member_cells(spark, sf).where((year >= 1996) & (year <= tm.last_complete_year(2000)))
+    return bd.member_cells(spark, sf).where(F.year("ts") <= bd.last_complete_year(spark, sf))
 
 
 # -- plain joins -----------------------------------------------------------------------------------
@@ -454,12 +454,13 @@ def aligned_forecast(spark, sf):
     return actual.join(forecast, ["member", "ts"])
 
 
-_REQ = "req AS (SELECT o_orderkey, n_name AS member, CAST(o_orderdate AS DATE) AS ts FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)"
+_REQ = "req AS (SELECT o_orderkey, n_name AS member, CAST(CAST(o_orderdate AS DATE) - CASE WHEN o_orderkey % 4 = 0 THEN 400 ELSE 0 END AS DATE) AS ts FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)"
 
 
 def _requests(spark, sf):
-    """Every order asks for its nation's series at its own date."""
-    orders = bd.table(spark, sf, "orders").select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("ts"))
+    """Every order asks for its nation's series at its own date, every fourth 400 days earlier, so that some ask before the first quarter."""
+    day = F.date_sub(F.to_date("o_orderdate"), F.when(F.col("o_orderkey") % 4 == 0, 400).otherwise(0))
+    orders = bd.table(spark, sf, "orders").select("o_orderkey", "o_custkey", day.alias("ts"))
     members = bd.customer_members(spark, sf)
     return orders.join(members, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "member", "ts")
 
@@ -467,12 +468,12 @@ def _requests(spark, sf):
 _QUARTERS = (
     "quarters AS (SELECT n_name AS member, CAST(date_trunc('quarter', o_orderdate) AS DATE) AS ts, "
     "CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total FROM orders JOIN customer ON o_custkey = c_custkey "
-    "JOIN nation ON c_nationkey = n_nationkey WHERE o_orderdate >= TIMESTAMP '1996-01-01' GROUP BY 1, 2)"
+    "JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2)"
 )
 
 
 def _quarters(spark, sf):
-    cells = bd.member_cells(spark, sf).where(F.col("ts") >= F.lit("1996-01-01").cast("date"))
+    cells = bd.member_cells(spark, sf)
     exact = bd.money("total")
     return cells.groupBy("member", F.to_date(F.trunc("ts", "quarter")).alias("ts")).agg(exact.alias("total"))
 
@@ -508,11 +509,12 @@ def backward_asof(spark, sf):
     "J-08 M-19",
     ctes(b.CELLS)
     + "SELECT member, ts, CAST(year(ts) AS BIGINT) AS year, CAST(month(ts) AS BIGINT) AS month, round(year(ts) + (month(ts) - 1) / 12.0::DOUBLE, 8) AS fractional_year FROM "
-    "(SELECT member, CAST(unnest(generate_series(DATE '2001-09-01', DATE '2003-08-01', INTERVAL 1 MONTH)) AS DATE) AS ts FROM (SELECT DISTINCT member FROM cells))",
+    "(SELECT member, CAST(unnest(generate_series((SELECT max(ts) FROM cells) + INTERVAL 1 MONTH, (SELECT max(ts) FROM cells) + INTERVAL 24 MONTH, INTERVAL 1 MONTH)) AS DATE) AS ts FROM (SELECT DISTINCT member FROM cells))",
 )
 def member_calendar(spark, sf):
-    members = bd.member_cells(spark, sf).select("member").distinct()
-    grid = cal.month_horizon(members, "2001-09-01", "2003-08-01")
+    cells = checkpointed(bd.member_cells(spark, sf))
+    last = one_value(cells, F.max("ts"))
+    grid = cal.month_horizon(cells.select("member").distinct(), F.add_months(last, 1), F.add_months(last, 24))
     return grid.select("member", "ts", big("year").alias("year"), big("month").alias("month"), rd("fractional_year", 8).alias("fractional_year"))
 
 
@@ -579,14 +581,14 @@ def top_and_bottom_months(spark, sf):
 @query(
     "H-01 H-02",
     ctes(b.YEARLY)
-    + "SELECT member, year, total, 'history' AS source FROM yearly WHERE year <= 1999 UNION ALL "
-    "SELECT member, year + 1, total, 'forecast' FROM yearly WHERE year >= 1999",
+    + "SELECT member, year, total, 'history' AS source FROM yearly WHERE year < (SELECT max(year) FROM yearly) UNION ALL "
+    "SELECT member, year + 1, total, 'forecast' FROM yearly WHERE year >= (SELECT max(year) - 1 FROM yearly)",
 )
 def history_then_forecast(spark, sf):
     """Forecast rows replace history rows of the same member and year."""
     yearly = checkpointed(bd.yearly_members(spark, sf))
     history = yearly.withColumn("source", F.lit("history"))
-    forecast = yearly.where("year >= 1999").select("member", (F.col("year") + 1).alias("year"), "total", F.lit("forecast").alias("source"))
+    forecast = yearly.where(F.col("year") >= one_value(yearly, F.max("year")) - 1).select("member", (F.col("year") + 1).alias("year"), "total", F.lit("forecast").alias("source"))
     return joins.latest_source_wins([history, forecast], ["member", "year"])
 
 
@@ -651,7 +653,7 @@ def calendar_functions(spark, sf):
     """
 SELECT c_custkey, round(c_acctbal * c_acctbal, 2) AS squared, round(sqrt(abs(c_acctbal)), 6) AS root,
   least(greatest(c_acctbal / 20000.0::DOUBLE, 0.01), 0.5) AS clipped,
-  CASE WHEN c_nationkey = 0 THEN 0.3 WHEN c_nationkey = 1 THEN 0.01 WHEN c_nationkey = 2 THEN 0.05 ELSE least(greatest(c_acctbal / 20000.0::DOUBLE, 0.01), 0.5) END AS share,
+  CASE WHEN c_nationkey = 0 THEN 0.5 WHEN c_nationkey = 1 THEN 0.01 WHEN c_nationkey = 2 THEN 0.05 ELSE least(greatest(c_acctbal / 20000.0::DOUBLE, 0.01), 0.5) END AS share,
   CAST(round_even(c_acctbal, 0) AS DOUBLE) AS whole, CAST(trunc(c_acctbal) AS BIGINT) AS cut, round(c_acctbal * (1 + 0.008::DOUBLE * 12), 4) AS grown
 FROM customer
 """,
@@ -667,7 +669,7 @@ def numeric_functions(spark, sf):
         rd(F.pow(v, F.lit(2.0)), 2).alias("squared"),
         rd(F.sqrt(F.abs(v)), 6).alias("root"),
         nm.clip(v / 20000.0, 0.01, 0.5).alias("clipped"),
-        nm.clean_share(broken).alias("share"),
+        nm.clean_share(broken, nm.SHARE_RANGE).alias("share"),
         nm.half_even(v, 0).alias("whole"),
         nm.truncate(v).alias("cut"),
         rd(nm.linear_growth(v, F.lit(12))).alias("grown"),

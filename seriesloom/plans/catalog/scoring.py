@@ -11,9 +11,11 @@ from seriesloom.operators import metrics as mt
 from seriesloom.operators import ranking
 from seriesloom.operators import selection as sel
 from seriesloom.operators import smoothing as sm
+from seriesloom.operators.keys import one_value
 from seriesloom.plans import bindings as bd
 from seriesloom.plans.catalog import base as b
 from seriesloom.plans.catalog.base import big, ctes, query, rd
+from seriesloom.session import checkpointed
 
 
 @query(
@@ -191,6 +193,25 @@ def member_leaderboard(spark, sf):
     return out.select("member", "model", rd("selection_score", 6).alias("selection_score"), rd("test_mape").alias("test_mape"), "rank_by_val", "overall_rank_by_val")
 
 
+@query(
+    "M-24 G-02",
+    ctes(
+        b.CANDIDATES,
+        "broken AS (SELECT member, model, train_mape, test_rmse, test_mape, CASE WHEN member = (SELECT min(member) FROM cand) OR model = 'NAIVE' THEN NULL ELSE val_mape END AS val_mape, "
+        "CASE WHEN member = (SELECT min(member) FROM cand) OR model = 'NAIVE' THEN NULL ELSE val_rmse END AS val_rmse FROM cand)",
+        "rated AS (SELECT *, coalesce(val_mape * (1 + 0.5 * greatest(0, val_mape / greatest(train_mape, 0.5) - 1)), 'Infinity'::DOUBLE) AS score, coalesce(val_rmse, 'Infinity'::DOUBLE) AS vr FROM broken)",
+        "best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY member ORDER BY score, vr, test_rmse, model) AS k FROM rated) WHERE k = 1)",
+    )
+    + "SELECT member, model, round(val_mape, 4) AS val_mape, row_number() OVER (ORDER BY score, vr, test_rmse, member) AS overall_rank_by_val FROM best",
+)
+def failed_candidates_last(spark, sf):
+    """One model, and all models of the first member, failed on the validation rows: they come after all that did not."""
+    cand = checkpointed(b.candidates(spark, sf))
+    failed = (F.col("member") == one_value(cand, F.min("member"))) | (F.col("model") == "NAIVE")
+    broken = cand.withColumns({c: F.when(~failed, F.col(c)) for c in ("val_mape", "val_rmse")})
+    return sel.member_leaderboard(broken, "member").select("member", "model", rd("val_mape").alias("val_mape"), "overall_rank_by_val")
+
+
 @query(
     "M-24 E-11 F-14",
     ctes(

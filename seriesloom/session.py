@@ -7,7 +7,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def build_session(app: str = "seriesloom", cpus: int | str = 8, shuffle_partitions: int = 8) -> SparkSession:
@@ -20,6 +19,7 @@ def build_session(app: str = "seriesloom", cpus: int | str = 8, shuffle_partitio
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("SERIESLOOM_DRIVER_MEMORY", "8g"))
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -62,16 +62,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 500_000) -> DataFrame:
-    """Lookup side of a join whose other side may be the raw data.
-
-    The lookup is materialised and counted. Up to ``max_rows`` it is broadcast, so that the large side is
-    never shuffled for it; beyond that the join is left to Spark as a shuffled join.
-    """
-    done = checkpointed(df)
-    return F.broadcast(done) if done.count() <= max_rows else done
-
-
 def spread(df: DataFrame, *columns: str) -> DataFrame:
     """Hash rows over all shuffle partitions before work that costs far more than its bytes suggest.
 

@@ -48,10 +48,10 @@ def test_calendar(spark):
 
 def test_numeric(spark):
     inf = float("inf")
-    assert one(spark, nm.clean_share(F.lit(0.9))) == 0.5
-    assert one(spark, nm.clean_share(F.lit(inf))) == 0.3
-    assert one(spark, nm.clean_share(F.lit(-inf))) == 0.01
-    assert one(spark, nm.clean_share(F.lit(float("nan")))) == 0.05
+    assert [one(spark, nm.clean_share(F.lit(v))) for v in (0.9, 0.001, inf, -inf, float("nan"))] == [0.9, 0.001, 0.3, 0.01, 0.05]
+    held = [one(spark, nm.clean_share(F.lit(v), nm.SHARE_RANGE)) for v in (0.9, 0.001, inf, -inf, float("nan"))]
+    assert held == [0.5, 0.01, 0.5, 0.01, 0.05]
+    assert one(spark, nm.fit_status(F.lit(0.0), F.lit(40.0))).startswith("Over") and one(spark, nm.fit_status(F.lit(0.0), F.lit(0.0))) == "Good Fit"
     assert one(spark, nm.half_even(F.lit(2.5), 0)) == 2.0
     assert one(spark, nm.truncate(F.lit(-2.7))) == -2
     assert one(spark, nm.selection_score(F.lit(1.0), F.lit(2.0))) == 3.0
