@@ -1,26 +1,25 @@
 """Seasonal ARIMA by two-stage least squares (Hannan and Rissanen, 1982), for all series and orders at once.
 
-Every order of one differencing variant uses a subset of the same regressors, so the cross products are
-aggregated once per (series, variant) and each order only solves its slice of them. A grid of
-216 orders thus costs 6 aggregations per series. The estimates are least squares, not
-maximum likelihood; seasonal terms enter additively at the season lag.
+A series is one row with its values as an array (bounded by the calendar). It is dealt once per differencing variant; a task fits all orders of
+the variant on the same regressors, forecasts them together and, where the splits are known, scores them, so one row per (series, order)
+leaves it. The solver works on the rows themselves, not on their cross products, and the error is the sum of squared residuals. The
+estimates are least squares, not maximum likelihood; seasonal terms enter additively at the season lag.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 from itertools import product
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seriesloom.functions import linalg as la
 from seriesloom.functions import numeric as nm
-from seriesloom.operators.keys import as_list, series_window
+from seriesloom.operators.keys import as_list
 from seriesloom.session import checkpointed, spread
 
 # The search ranges of the seasonal grid and of the automatic order choice.
@@ -88,69 +87,15 @@ def auto_grid() -> Grid:
     return Grid(g["p"], g["d"], g["q"], g["sp"], g["sd"], g["sq"], g["season"], long_lags=(1, 2, 3, 4, 5, 6))
 
 
-def _variant_rows(df: DataFrame, key: list[str], ts: str, y: str, grid: Grid) -> DataFrame:
-    """Each row once per differencing variant, with the differenced value ``w``."""
-    w = series_window(key, ts)
-    variants = grid.variants()
-    lags = sorted({lag for v in variants for lag in v["weights"]})
-    base = df.withColumns({f"_y{lag}": F.lag(y, lag).over(w) for lag in lags})
-    choices = []
-    for v in variants:
-        diff = reduce(lambda a, kv: a + F.lit(kv[1]) * F.col(f"_y{kv[0]}"), v["weights"].items(), F.col(y))
-        choices.append(F.struct(F.lit(v["d"]).alias("d"), F.lit(v["sd"]).alias("sd"), diff.alias("w")))
-    return base.select(*df.columns, F.inline(F.array(*choices)))
-
-
-def _long_ar_residuals(rows: DataFrame, group: list[str], ts: str, grid: Grid) -> DataFrame:
-    w = series_window(group, ts)
-    names = [f"_l{lag}" for lag in grid.long_ar]
-    rows = rows.withColumns({n: F.lag("w", lag).over(w) for n, lag in zip(names, grid.long_ar)})
-    xs = [F.lit(1.0), *[F.col(n) for n in names]]
-    complete = reduce(lambda a, b: a & b, [F.col(n).isNotNull() for n in names], F.col("w").isNotNull() & F.col("_train"))
-    coefs = (
-        rows.groupBy(*group)
-        .agg(*la.moment_sums(xs, F.col("w"), complete))
-        .where(F.col("n") > 0)
-        .select(*group, la.solve(len(xs)).alias("_ar"))
-    )
-    return rows.join(coefs, group, "left").withColumn("e", F.col("w") - la.dot(F.col("_ar"), xs)).drop(*names, "_ar")
-
-
-def _regressors(rows: DataFrame, group: list[str], ts: str, grid: Grid) -> tuple[DataFrame, list[Column], Column]:
-    w = series_window(group, ts)
-    cols = {f"_w{lag}": F.lag("w", lag).over(w) for lag in grid.w_lags}
-    cols |= {f"_e{lag}": F.lag("e", lag).over(w) for lag in grid.e_lags}
-    rows = rows.withColumns(cols) if cols else rows
-    xs = [F.lit(1.0), *[F.col(c) for c in cols]]
-    complete = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols], F.col("w").isNotNull())
-    return rows, xs, complete
-
-
-def _candidates(rows: DataFrame, group: list[str], xs: list[Column], complete: Column, grid: Grid) -> DataFrame:
-    """One row per (series, variant, order) with coefficients, AIC and AICc."""
-    sums = rows.groupBy(*group).agg(*la.moment_sums(xs, F.col("w"), complete & F.col("_train")))
-    orders = ", ".join(
-        f"named_struct('p', {o['p']}, 'q', {o['q']}, 'sp', {o['sp']}, 'sq', {o['sq']}, "
-        f"'_cols', CAST(array({', '.join(map(str, o['cols']))}) AS array<int>))"
-        for o in grid.orders()
-    )
-    orders = F.expr(f"array({orders})")
-    undifferenced = (F.col("d") + F.col("sd")) == 0
-    fits = sums.select("*", F.inline(orders)).withColumn(
-        "_cols", F.when(undifferenced, F.concat(F.array(F.lit(0)), F.col("_cols"))).otherwise(F.col("_cols"))
-    )
-    fits = spread(fits, *group, "p", "q", "sp", "sq")
-    k = F.col("p") + F.col("d") + F.col("q") + F.col("sp") + F.col("sd") + F.col("sq") + 1
-    fits = fits.withColumn("beta", F.when(F.col("n") > F.size("_cols") + 1, la.solve(len(xs), cols=F.col("_cols"))))
-    explained = F.aggregate(F.zip_with("beta", "xty", lambda b, t: b * t), F.lit(0.0), lambda s, v: s + v)
-    fits = fits.withColumn("sse", F.greatest(F.col("yty") - explained, F.col("yty") * 1e-12))
-    aic = F.col("n") * F.log(F.nullif(F.col("sse"), F.lit(0.0)) / F.col("n")) + 2 * k
-    return (
-        fits.withColumn("aic", aic)
-        .withColumn("aicc", nm.aicc(F.col("aic"), F.col("n"), k))
-        .withColumn("status", F.when(F.col("beta").isNull(), "failed").otherwise("ok"))
-        .drop("gram", "xty", "yty", "_cols")
-    )
+ORDER = ["p", "d", "q", "sp", "sd", "sq"]
+SPLITS = ("TRAIN", "VAL", "TEST")
+SCORES = [f"{s.lower()}_{m}" for s in SPLITS for m in ("rmse", "mae", "mape")]
+
+
+def _lagged(values: np.ndarray, lag: int) -> np.ndarray:
+    out = np.full(len(values), np.nan)
+    out[lag:] = values[:-lag]
+    return out
 
 
 def _depth(grid: Grid) -> int:
@@ -158,107 +103,146 @@ def _depth(grid: Grid) -> int:
     return max([lag for v in grid.variants() for lag in v["weights"]] + grid.w_lags + grid.e_lags + [1])
 
 
-def _tail(rows: DataFrame, group: list[str], grid: Grid) -> DataFrame:
-    """Newest train values each forecast starts from, newest first: a fixed number of steps per series."""
-    recent = rows.where(F.col("_train") & (F.col("rn") > F.col("_train_n") - _depth(grid)))
-    packed = F.reverse(F.array_sort(F.collect_list(F.struct("rn", F.col("_y").alias("y"), "w", "e"))))
-    return recent.groupBy(*group, "_train_n").agg(packed.alias("_p")).select(
-        *group,
-        "_train_n",
-        F.transform("_p", lambda r: r["y"]).alias("_ys"),
-        F.transform("_p", lambda r: F.coalesce(r["w"], F.lit(0.0))).alias("_ws"),
-        F.transform("_p", lambda r: F.coalesce(r["e"], F.lit(0.0))).alias("_es"),
-    )
+def _warm_up(grid: Grid, variant: dict) -> int:
+    """Rows before the first one whose regressors can all be there."""
+    back = max([0, *variant["weights"]])
+    errors = max(grid.long_ar) + max(grid.e_lags) if grid.e_lags else 0
+    return back + max([0, errors, *grid.w_lags])
 
 
-def _undo_weights(grid: Grid) -> Column:
-    """Lag weights of the row's differencing variant as a dense array (lag 1 first)."""
-    out = F.lit(None).cast("array<double>")
-    for v in grid.variants():
-        dense = ", ".join(f"{v['weights'].get(lag, 0.0)}D" for lag in range(1, _depth(grid) + 1))
-        out = F.when((F.col("d") == v["d"]) & (F.col("sd") == v["sd"]), F.expr(f"array({dense})")).otherwise(out)
-    return out
+def _newest(values: np.ndarray, end: int, depth: int) -> np.ndarray:
+    """Values before ``end``, newest first, zero where there are none."""
+    found = np.zeros(depth)
+    some = values[max(0, end - depth) : end][::-1]
+    found[: len(some)] = np.nan_to_num(some, nan=0.0)
+    return found
 
 
-def _stack(values: pd.Series, width: int) -> np.ndarray:
-    """Rows of arrays as one matrix, cut or zero-padded to ``width``."""
-    out = np.zeros((len(values), width))
-    for i, v in enumerate(values):
-        v = np.asarray(v, dtype=float)[:width]
-        out[i, : len(v)] = v
-    return out
+def fit_variant(y: np.ndarray, train_n: int, grid: Grid, variant: dict, extra: int = 0, common: bool = False) -> list[dict]:
+    """All orders of one differencing variant for one series.
 
-
-def _forecast_path(grid: Grid, steps: int) -> Column:
-    """``steps`` forecasts per candidate, a batch of candidates at a time.
-
-    Each step takes the next differenced value from the regression (future shocks are zero) and then undoes
-    the differencing with the newest values.
+    ``y`` holds the series, NaN where a value is missing; the first ``train_n`` rows are learned from. ``predicted`` has one-step fitted values
+    in the train part (NaN while warming up), the forecast path after it, and ``extra`` steps beyond the series. With ``common``
+    all variants learn from the same rows, so that their AIC can be compared.
     """
-    w_lags, e_lags, depth = grid.w_lags, grid.e_lags, _depth(grid)
-
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def path(beta: pd.Series, ys: pd.Series, ws: pd.Series, es: pd.Series, undo: pd.Series) -> pd.Series:
-        coef, back = _stack(beta, 1 + len(w_lags) + len(e_lags)), _stack(undo, depth)
-        y, w, e = (_stack(v, depth) for v in (ys, ws, es))
-        out = np.empty((len(beta), steps))
+    n = len(y)
+    weights = variant["weights"]
+    w = y.copy()
+    for lag, weight in weights.items():
+        w = w + weight * _lagged(y, lag)
+    train = np.arange(n) < train_n
+    long = np.column_stack([np.ones(n), *(_lagged(w, lag) for lag in grid.long_ar)])
+    first = train & np.isfinite(long).all(axis=1) & np.isfinite(w)
+    e = np.full(n, np.nan)
+    if first.any():
+        e = w - long @ np.linalg.lstsq(long[first], w[first], rcond=None)[0]
+    x = np.column_stack([np.ones(n), *(_lagged(w, lag) for lag in grid.w_lags), *(_lagged(e, lag) for lag in grid.e_lags)])
+    complete = np.isfinite(x).all(axis=1) & np.isfinite(w)
+    used = train & complete
+    if common:
+        used &= np.arange(n) >= max(_warm_up(grid, v) for v in grid.variants())
+    n_used, found, orders = int(used.sum()), [], grid.orders()
+    coefs = np.zeros((len(orders), x.shape[1]))
+    for i, order in enumerate(orders):
+        cols = order["cols"] if weights else [0, *order["cols"]]
+        k = order["p"] + variant["d"] + order["q"] + order["sp"] + variant["sd"] + order["sq"] + 1
+        row = {**{c: order[c] for c in ("p", "q", "sp", "sq")}, "d": variant["d"], "sd": variant["sd"], "n": n_used, "status": "failed", "aic": None, "aicc": None, "beta": None, "predicted": None}
+        if n_used > len(cols) + 1:
+            if cols:
+                coefs[i, cols] = np.linalg.lstsq(x[np.ix_(used, cols)], w[used], rcond=None)[0]
+            sse = float(((w[used] - x[used] @ coefs[i]) ** 2).sum())
+            aic = n_used * np.log(sse / n_used) + 2 * k if sse > 0 else -np.inf
+            room = n_used - k - 1
+            row |= {"status": "ok", "aic": aic, "aicc": aic + 2 * k * (k + 1) / room if room > 0 else None, "beta": coefs[i]}
+        found.append(row)
+    ahead = _paths(coefs, grid, weights, y, w, e, train_n, n - train_n + extra)
+    with np.errstate(all="ignore"):
+        fitted = (y - w)[None] + np.nan_to_num(coefs @ np.where(complete, x.T, np.nan), nan=np.nan, posinf=np.nan, neginf=np.nan)
+    for i, row in enumerate(found):
+        if row["status"] == "ok":
+            row["predicted"] = np.concatenate([np.where(complete, fitted[i], np.nan)[:train_n], ahead[i]])
+    return found
+
+
+def _paths(coefs: np.ndarray, grid: Grid, weights: dict, y: np.ndarray, w: np.ndarray, e: np.ndarray, end: int, steps: int) -> np.ndarray:
+    """Forecasts of several orders: the next differenced value from the regression (future shocks are zero), then the differencing undone."""
+    depth, m = _depth(grid), len(coefs)
+    back = np.array([weights.get(lag, 0.0) for lag in range(1, depth + 1)])
+    ys, ws, es = (np.tile(_newest(v, end, depth), (m, 1)) for v in (y, w, e))
+    w_at, e_at = [lag - 1 for lag in grid.w_lags], [lag - 1 for lag in grid.e_lags]
+    split = 1 + len(w_at)
+    out = np.empty((m, steps))
+    with np.errstate(all="ignore"):
         for t in range(steps):
-            new_w = coef[:, 0].copy()
-            for i, lag in enumerate(w_lags, start=1):
-                new_w += coef[:, i] * w[:, lag - 1]
-            for i, lag in enumerate(e_lags, start=1 + len(w_lags)):
-                new_w += coef[:, i] * e[:, lag - 1]
-            out[:, t] = new_w - (back * y).sum(axis=1)
-            for past, new in ((y, out[:, t]), (w, new_w), (e, 0.0)):
+            new_w = coefs[:, 0] + (coefs[:, 1:split] * ws[:, w_at]).sum(axis=1) + (coefs[:, split:] * es[:, e_at]).sum(axis=1)
+            out[:, t] = new_w - ys @ back
+            for past, new in ((ys, out[:, t]), (ws, new_w), (es, 0.0)):
                 past[:, 1:] = past[:, :-1].copy()
                 past[:, 0] = new
-        return pd.Series(list(out))
-
-    return path("beta", "_ys", "_ws", "_es", _undo_weights(grid))
-
+    return out
 
-def fit_grid(df: DataFrame, key: str | list[str], ts: str, y: str, train: Column, grid: Grid) -> tuple[DataFrame, DataFrame]:
-    """Fit every order of the grid for every series.
 
-    ``df`` needs ``rn`` (position) per series. Returns (candidates, rows): one row per order, and the variant
-    rows with residuals and regressors that fitted values are computed from. Both are
-    materialised, since sums, starting values, fitted values and forecasts all read them.
-    """
-    key = as_list(key)
-    group = [*key, "d", "sd"]
-    w = series_window(key, ts)
-    base = df.withColumns({"_y": F.col(y).cast("double"), "_train": F.coalesce(train, F.lit(False))})
-    last = F.max(F.when(F.col("_train"), F.col("rn")))
-    base = base.withColumn("_train_n", last.over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    rows = spread(_variant_rows(base, key, ts, "_y", grid), *group)
-    rows = _long_ar_residuals(rows, group, ts, grid)
-    rows, xs, complete = _regressors(rows, group, ts, grid)
-    rows = checkpointed(rows.withColumn("_complete", complete))
-    fits = _candidates(rows, group, xs, F.col("_complete"), grid)
-    return checkpointed(fits.join(_tail(rows, group, grid), group)), rows
-
-
-def predictions(fits: DataFrame, rows: DataFrame, key: str | list[str], grid: Grid, steps: int) -> DataFrame:
-    """Actual and predicted value of every row: one-step fitted values in the train part (warm-up left
-    out) and the forecast path from the end of the train part afterwards."""
+def split_scores(y: np.ndarray, predicted: np.ndarray, splits: list[str]) -> dict[str, float | None]:
+    """Train, validation and test errors, as ``metrics.split_bundle`` defines them."""
+    labels, scores = np.array(splits), {}
+    with np.errstate(all="ignore"):
+        for name in SPLITS:
+            here = (labels == name) & ~np.isnan(predicted[: len(y)]) & ~np.isnan(y)
+            err, actual = (y - predicted[: len(y)])[here], y[here]
+            usable = np.isfinite(err) & (np.abs(err) <= nm.EXPLODED_ERROR)
+            relative = np.abs(err[actual != 0] / actual[actual != 0])
+            low = name.lower()
+            scores[f"{low}_rmse"] = None if not here.any() else float(np.sqrt((err**2).mean())) if usable.all() else float("inf")
+            scores[f"{low}_mae"] = float(np.abs(err).mean()) if here.any() else None
+            scores[f"{low}_mape"] = float(relative.mean() * 100) if len(relative) else None
+    return scores
+
+
+def fit_grid(df: DataFrame, key: str | list[str], ts: str, y: str, train: Column, grid: Grid, extra: int = 0, common: bool = False, split: str | None = None) -> DataFrame:
+    """One row per (series, order): coefficients, AIC, AICc, status, ``train_n`` and the array ``predicted``, which covers all rows of the series and
+    ``extra`` steps more. With ``split``, the name of a column of TRAIN, VAL and TEST, also the errors of each part."""
     key = as_list(key)
-    group = [*key, "d", "sd"]
-    order = ["p", "d", "q", "sp", "sd", "sq"]
-    names = [f"_w{lag}" for lag in grid.w_lags] + [f"_e{lag}" for lag in grid.e_lags]
-    coefs = fits.where(F.col("status") == "ok").select(*group, "p", "q", "sp", "sq", "beta")
-    fitted = (
-        rows.where(F.col("_train") & F.col("_complete"))
-        .join(coefs, group)
-        .withColumn("predicted", F.col("_y") - F.col("w") + la.dot(F.col("beta"), [F.lit(1.0), *[F.col(n) for n in names]]))
-        .select(*key, *order, "rn", "predicted")
-    )
-    ahead = (
-        fits.where(F.col("status") == "ok")
-        .withColumn("_path", _forecast_path(grid, steps))
-        .select(*key, *order, "_train_n", F.posexplode("_path").alias("_h", "predicted"))
-        .select(*key, *order, (F.col("_train_n") + F.col("_h") + 1).alias("rn"), "predicted")
+    label = F.col(split) if split else F.lit(None).cast("string")
+    item = F.struct(F.col(ts).alias("at"), F.col(y).cast("double").alias("y"), F.coalesce(train, F.lit(False)).alias("train"), label.alias("split"))
+    packed = df.groupBy(*key).agg(F.array_sort(F.collect_list(item)).alias("_rows"))
+    variants = grid.variants()
+    dealt = packed.select(
+        *key, F.transform("_rows", lambda r: r["y"]).alias("_y"), F.size(F.filter("_rows", lambda r: r["train"])).alias("_train_n"),
+        F.transform("_rows", lambda r: r["split"]).alias("_split"), F.explode(F.sequence(F.lit(0), F.lit(len(variants) - 1))).alias("_variant"),
     )
-    return fitted.unionByName(ahead)
+    scores = SCORES if split else []
+    text = ", ".join([*(f"{c} int" for c in ORDER), "n long, status string, aic double, aicc double, beta array<double>, predicted array<double>, train_n int", *(f"{c} double" for c in scores)])
+    schema = T.StructType([*[df.schema[k] for k in key], *T._parse_datatype_string(text).fields])
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, rows = [], []
+            for i in range(batch.num_rows):
+                values = np.array(batch.column("_y")[i].as_py(), dtype=float)
+                train_n = batch.column("_train_n")[i].as_py()
+                labels = batch.column("_split")[i].as_py()
+                for row in fit_variant(values, train_n, grid, variants[batch.column("_variant")[i].as_py()], extra, common):
+                    row["train_n"] = train_n
+                    if split and row["predicted"] is not None:
+                        row |= split_scores(values, row["predicted"], labels)
+                    at.append(i)
+                    rows.append(row)
+            own = [batch.column(k).take(pa.array(at, pa.int64())) for k in key]
+            rest = [pa.array([r.get(c) for r in rows], to_arrow(schema[c].dataType)) for c in schema.names[len(key) :]]
+            yield pa.RecordBatch.from_arrays([*own, *rest], names=schema.names)
+
+    return checkpointed(spread(dealt, *key, "_variant").mapInArrow(fit, schema))
+
+
+def to_arrow(kind: T.DataType) -> pa.DataType:
+    plain = {T.IntegerType(): pa.int32(), T.LongType(): pa.int64(), T.DoubleType(): pa.float64(), T.StringType(): pa.string()}
+    return pa.list_(pa.float64()) if isinstance(kind, T.ArrayType) else plain[kind]
+
+
+def predictions(fits: DataFrame, key: str | list[str]) -> DataFrame:
+    """(key, order, rn, predicted) of every row that has a prediction."""
+    opened = fits.where(F.col("status") == "ok").select(*as_list(key), *ORDER, "train_n", F.posexplode("predicted").alias("_at", "predicted"))
+    return opened.where(~F.isnan("predicted")).select(*as_list(key), *ORDER, "train_n", (F.col("_at") + 1).cast("int").alias("rn"), "predicted")
 
 
 def pick_by_aic(fits: DataFrame, key: str | list[str]) -> DataFrame:

@@ -216,20 +216,14 @@ def recursive_lag_forecast(spark, sf):
 _TREE_X = ["fractional_year", "month_sin", "month_cos", "lag_1", "lag_12", "national_lag_1"]
 
 
-def _small(params, **limits):
-    """A grid setting with fewer trees, for a query that is run often."""
-    return {**params, **limits}
-
-
 @query("M-08")
 def boosted_tree_scores(spark, sf):
     """Boosted trees over all members with early stopping on the validation rows; two settings."""
     rows = _member_rows(spark, sf).withColumn("is_val", F.col("split") == "VAL")
     parts = []
     for params in te.BOOSTED_GRID:
-        use = _small(params, maxIter=12, stepSize=0.2)
-        model = te.fit_boosted(rows.where("split <> 'TEST'"), _TREE_X, "total", use, stop_on="is_val")
-        scored = te.score(model, rows, _TREE_X).withColumn("params", F.lit(f"depth={use['maxDepth']}"))
+        model = te.fit_boosted(rows.where("split <> 'TEST'"), _TREE_X, "total", params, stop_on="is_val")
+        scored = te.score(model, rows, _TREE_X).withColumn("params", F.lit(f"depth={params['maxDepth']}"))
         parts.append(scored.withColumnRenamed("total", "actual"))
     return mt.bundle(parts[0].unionByName(parts[1]), ["params", "split"])
 
@@ -239,9 +233,8 @@ def forest_scores(spark, sf):
     rows = _member_rows(spark, sf)
     parts = []
     for params in te.FOREST_GRID:
-        use = _small(params, numTrees=10)
-        model = te.fit_forest(rows.where(_is_train()), _TREE_X, "total", use)
-        scored = te.score(model, rows, _TREE_X).withColumn("params", F.lit(f"depth={use['maxDepth']}"))
+        model = te.fit_forest(rows.where(_is_train()), _TREE_X, "total", params)
+        scored = te.score(model, rows, _TREE_X).withColumn("params", F.lit(f"depth={params['maxDepth']}"))
         parts.append(scored.withColumnRenamed("total", "actual"))
     return mt.bundle(parts[0].unionByName(parts[1]), ["params", "split"])
 
@@ -394,24 +387,23 @@ def difference_autoregression(spark, sf):
     """Order (1,1,0), whose least-squares estimate has a closed form; six months ahead."""
     rows = splits.ranked(bd.filled_panel(spark, sf), "member", "ts")
     grid = ar.Grid(p=(1,), d=(1,), q=(0,))
-    fits, detail = ar.fit_grid(rows, "member", "ts", "total", F.lit(True), grid)
-    weights = fits.select("member", F.get("beta", 1).alias("phi"), F.col("_train_n").alias("n"))
-    ahead = ar.predictions(fits, detail, "member", grid, 6).join(weights, "member").where(F.col("rn") > F.col("n"))
-    return ahead.select("member", big(F.col("rn") - F.col("n")).alias("h"), rd("phi", 8).alias("phi"), rd("predicted", 3).alias("predicted"))
+    fits = ar.fit_grid(rows, "member", "ts", "total", F.lit(True), grid, extra=6)
+    weights = fits.select("member", F.get("beta", 1).alias("phi"))
+    ahead = ar.predictions(fits, "member").join(weights, "member").where(F.col("rn") > F.col("train_n"))
+    return ahead.select("member", big(F.col("rn") - F.col("train_n")).alias("h"), rd("phi", 8).alias("phi"), rd("predicted", 3).alias("predicted"))
 
 
 @query("M-13")
 def arima_scores(spark, sf):
     rows = tn.split_rows(bd.filled_panel(spark, sf), "member", "ts")
-    return tn.candidate_scores([tn.arima_candidates(rows, "member", "ts", "total", ar.Grid(), "ARIMA", 30)], "member")
+    return tn.arima_candidates(rows, "member", "ts", "total", ar.Grid(), "ARIMA")
 
 
 @query("M-14 E-23 J-09")
 def seasonal_grid_search(spark, sf):
     """All 216 seasonal orders of every member, scored; the best by validation error of each."""
     rows = tn.split_rows(bd.filled_panel(spark, sf), "member", "ts")
-    preds = tn.arima_candidates(rows, "member", "ts", "total", ar.seasonal_grid(), "SARIMA", 30)
-    scored = checkpointed(tn.candidate_scores([preds], "member"))
+    scored = tn.arima_candidates(rows, "member", "ts", "total", ar.seasonal_grid(), "SARIMA")
     sizes = scored.groupBy("member").agg(F.count(F.lit(1)).alias("n_orders"))
     return sel.best_per_member(scored, "member", "params").join(sizes, "member")
 
@@ -419,7 +411,7 @@ def seasonal_grid_search(spark, sf):
 @query("M-15")
 def exogenous_arima_scores(spark, sf):
     rows = _member_rows(spark, sf)
-    preds = tn.exogenous_candidate(rows, "member", "ts", ["national", "density", "urban"], "proportion", ar.Grid(), 30)
+    preds = tn.exogenous_candidate(rows, "member", "ts", ["national", "density", "urban"], "proportion", ar.Grid())
     return tn.candidate_scores([preds], "member")
 
 
@@ -430,19 +422,24 @@ def _driver_series(spark, sf):
 
 @query("M-16")
 def driver_forecasts(spark, sf):
-    """Every driver column as its own series, one ARIMA each; six months ahead of the last observation."""
+    """Every driver column as its own series, one ARIMA each, for the months around the last observation.
+
+    Steps at or before it, and series whose fit failed, take the last value.
+    """
     rows = _driver_series(spark, sf)
-    fits, detail = ar.fit_grid(rows, "member", "ts", "total", F.lit(True), ar.Grid())
+    fits = ar.fit_grid(rows, "member", "ts", "total", F.lit(True), ar.Grid(), extra=6)
     last = rows.groupBy("member").agg(F.max("rn").alias("n"), F.max_by("total", "ts").alias("last_value"))
-    ahead = ar.predictions(fits, detail, "member", ar.Grid(), 6).join(last, "member").where(F.col("rn") > F.col("n"))
-    return ahead.select("member", (F.col("rn") - F.col("n")).alias("h"), F.coalesce("predicted", "last_value").alias("predicted"))
+    asked = last.withColumn("h", F.explode(F.sequence(F.lit(-2), F.lit(6)))).withColumn("rn", F.col("n") + F.col("h"))
+    out = asked.join(ar.predictions(fits, "member").select("member", "rn", "predicted"), ["member", "rn"], "left")
+    value = F.when(F.col("h") > 0, F.coalesce("predicted", "last_value")).otherwise(F.col("last_value"))
+    return out.select("member", "h", value.alias("predicted"))
 
 
 @query("M-17 E-23")
 def automatic_orders(spark, sf):
     """Order of least AIC per region among p, q up to 5 and d up to 2."""
     rows = splits.ranked(bd.filled_panel(spark, sf, "region"), "member", "ts")
-    fits, _ = ar.fit_grid(rows, "member", "ts", "total", F.lit(True), ar.auto_grid())
+    fits = ar.fit_grid(rows, "member", "ts", "total", F.lit(True), ar.auto_grid(), common=True)
     best = ar.pick_by_aic(fits, "member")
     return best.select("member", "p", "d", "q", "n", "aic", "aicc")
 
@@ -475,11 +472,13 @@ def member_tuning(spark, sf):
         tn.seasonal_naive_candidate(rows, "member", "proportion"),
         tn.ets_candidate(rows, "member", "ts", "proportion"),
         tn.theta_candidate(rows, "member", "ts", "proportion"),
-        tn.arima_candidates(rows, "member", "ts", "proportion", ar.Grid(), "ARIMA", 30),
-        tn.arima_candidates(rows, "member", "ts", "proportion", ar.Grid(sp=(1,), sd=(1,), sq=(1,)), "SARIMA", 30),
-        tn.exogenous_candidate(rows, "member", "ts", ["national", "density", "urban"], "proportion", ar.Grid(), 30),
+        tn.exogenous_candidate(rows, "member", "ts", ["national", "density", "urban"], "proportion", ar.Grid()),
+    ]
+    scored = [
+        tn.arima_candidates(rows, "member", "ts", "proportion", ar.Grid(), "ARIMA"),
+        tn.arima_candidates(rows, "member", "ts", "proportion", ar.Grid(sp=(1,), sd=(1,), sq=(1,)), "SARIMA"),
     ]
-    return sel.member_leaderboard(tn.candidate_scores(parts, "member"), "member")
+    return sel.member_leaderboard(tn.candidate_scores(parts, "member", scored), "member")
 
 
 @query(
@@ -519,16 +518,16 @@ def common_split_evaluation(spark, sf):
 def total_tuning(spark, sf):
     """Every model family on the total series: best setting of each family by validation error, ranked."""
     rows = tn.split_rows(bd.national_master(spark, sf), "member", "ts")
-    boosted = [_small(p, maxIter=10, stepSize=0.2) for p in te.BOOSTED_GRID]
-    forests = [_small(p, numTrees=10) for p in te.FOREST_GRID]
     parts = [
         tn.linear_candidate(rows, "member", _NATIONAL_X, "total"),
-        *tn.tree_candidates(rows, "member", _NATIONAL_X, "total", boosted, forests),
-        tn.arima_candidates(rows, "member", "ts", "total", ar.Grid(), "ARIMA", 30),
-        tn.arima_candidates(rows, "member", "ts", "total", ar.seasonal_grid(), "SARIMA", 30),
-        tn.exogenous_candidate(rows, "member", "ts", bd.DRIVERS, "total", ar.Grid(), 30),
+        *tn.tree_candidates(rows, "member", _NATIONAL_X, "total"),
+        tn.exogenous_candidate(rows, "member", "ts", bd.DRIVERS, "total", ar.Grid()),
+    ]
+    scored = [
+        tn.arima_candidates(rows, "member", "ts", "total", ar.Grid(), "ARIMA"),
+        tn.arima_candidates(rows, "member", "ts", "total", ar.seasonal_grid(), "SARIMA"),
     ]
-    return sel.best_per_family(tn.candidate_scores(parts, "member"))
+    return sel.best_per_family(tn.candidate_scores(parts, "member", scored))
 
 
 # -- allocation, prediction, demand, serving -------------------------------------------------------

@@ -42,12 +42,17 @@ def linear_candidate(rows: DataFrame, key, xs: list[str], y: str) -> DataFrame:
 def tree_candidates(
     rows: DataFrame, key, xs: list[str], y: str, boosted: Iterable[dict] = te.BOOSTED_GRID, forests: Iterable[dict] = te.FOREST_GRID
 ) -> list[DataFrame]:
-    """One candidate per setting; the trees of a setting are trained on the train rows of all series together."""
+    """One candidate per setting; the trees of a setting are trained on the train rows of all series together.
+
+    Boosting stops when the validation rows no longer gain from another tree.
+    """
     key, train, out = as_list(key), rows.where(F.col("split") == "TRAIN"), []
-    for model, fit, grid in (("BOOSTED_TREES", te.fit_boosted, boosted), ("RANDOM_FOREST", te.fit_forest, forests)):
-        for params in grid:
-            scored = te.score(fit(train, xs, y, params), rows, xs)
-            out.append(_shape(scored, key, model, json.dumps(params), y))
+    watched = checkpointed(rows.where(F.col("split") != "TEST").withColumn("_is_val", F.col("split") == "VAL"))
+    for params in boosted:
+        model = te.fit_boosted(watched, xs, y, params, stop_on="_is_val")
+        out.append(_shape(te.score(model, rows, xs), key, "BOOSTED_TREES", json.dumps(params), y))
+    for params in forests:
+        out.append(_shape(te.score(te.fit_forest(train, xs, y, params), rows, xs), key, "RANDOM_FOREST", json.dumps(params), y))
     return out
 
 
@@ -125,43 +130,33 @@ def theta_candidate(rows: DataFrame, key, ts: str, y: str, season: int = 12) ->
     return _shape(scored.unionByName(no_fit), key, "THETA", f'{{"period": {season}}}', y)
 
 
-def arima_candidates(
-    rows: DataFrame, key, ts: str, y: str, grid: ar.Grid, model: str, steps: int, keep_aic: bool = False
-) -> DataFrame:
-    """All orders of a grid; each order is its own candidate, named by its parameters."""
+def arima_candidates(rows: DataFrame, key, ts: str, y: str, grid: ar.Grid, model: str) -> DataFrame:
+    """All orders of a grid, each its own candidate named by its parameters, with their errors and information criteria."""
     key = as_list(key)
-    fits, detail = ar.fit_grid(rows, key, ts, y, F.col("split") == "TRAIN", grid)
-    preds = ar.predictions(fits, detail, key, grid, steps)
-    order = ["p", "d", "q", "sp", "sd", "sq"]
+    fits = ar.fit_grid(rows, key, ts, y, F.col("split") == "TRAIN", grid, split="split").where(F.col("status") == "ok")
     params = F.format_string(
-        '{"order": [%d, %d, %d], "seasonal_order": [%d, %d, %d, ' + str(grid.season) + "]}", *[F.col(c) for c in order]
-    )
-    if keep_aic:
-        preds = preds.join(fits.select(*key, *order, "aic", "aicc"), [*key, *order])
-    actual = rows.select(*key, F.col("rn").cast("int").alias("rn"), "split", F.col(y).alias("actual"))
-    joined = preds.join(actual, [*key, "rn"])
-    extra = ["aic", "aicc"] if keep_aic else []
-    return joined.select(
-        *key, F.lit(model).alias("model"), params.alias("params"), "split", "rn", "actual", "predicted", *extra
+        '{"order": [%d, %d, %d], "seasonal_order": [%d, %d, %d, ' + str(grid.season) + "]}", *[F.col(c) for c in ar.ORDER]
     )
+    return fits.select(*key, F.lit(model).alias("model"), params.alias("params"), *ar.SCORES, "aic", "aicc")
 
 
-def exogenous_candidate(rows: DataFrame, key, ts: str, xs: list[str], y: str, grid: ar.Grid, steps: int) -> DataFrame:
+def exogenous_candidate(rows: DataFrame, key, ts: str, xs: list[str], y: str, grid: ar.Grid) -> DataFrame:
     """Regression on the drivers, with the remainder forecast by an ARIMA of the grid's single order."""
     key = as_list(key)
     coefs = rg.fit(rows, key, xs, y, F.col("split") == "TRAIN")
     explained = rg.predict(rows, coefs, key, xs, "_fit").withColumn("_rest", F.col(y) - F.col("_fit"))
-    fits, detail = ar.fit_grid(explained, key, ts, "_rest", F.col("split") == "TRAIN", grid)
-    rest = ar.predictions(fits, detail, key, grid, steps).select(*key, "rn", F.col("predicted").alias("_rest_hat"))
+    fits = ar.fit_grid(explained, key, ts, "_rest", F.col("split") == "TRAIN", grid)
+    rest = ar.predictions(fits, key).select(*key, "rn", F.col("predicted").alias("_rest_hat"))
     joined = explained.join(rest, [*key, "rn"]).withColumn("predicted", F.col("_fit") + F.col("_rest_hat"))
     return _shape(joined, key, "SARIMAX", '{"order": [1, 1, 1]}', y)
 
 
-def candidate_scores(preds: list[DataFrame], key) -> DataFrame:
-    """Train, validation and test errors of every (member, model, params) in one aggregate."""
+def candidate_scores(preds: list[DataFrame], key, scored: list[DataFrame] | None = None) -> DataFrame:
+    """Train, validation and test errors of every (member, model, params) in one aggregate; ``scored`` candidates bring theirs."""
     columns = [*as_list(key), *_COLUMNS]
     merged = reduce(lambda a, b: a.unionByName(b), [p.select(*columns) for p in preds])
-    return mt.split_bundle(merged, [*as_list(key), "model", "params"])
+    counted = mt.split_bundle(merged, [*as_list(key), "model", "params"])
+    return reduce(lambda a, b: a.unionByName(b.select(*counted.columns)), scored or [], counted)
 
 
 def evaluate(rows: DataFrame, key, ts: str, y: str, evaluators: dict[str, Callable[[DataFrame], DataFrame]]) -> DataFrame:

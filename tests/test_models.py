@@ -145,8 +145,8 @@ def hannan_rissanen(y, lags, p, q):
 def test_arima_matches_brute_force(series):
     rows = ranked(series).withColumn("split", F.when(F.col("rn") <= 48, "TRAIN").otherwise("TEST"))
     grid = ar.Grid(p=(1, 2), d=(1,), q=(1,))
-    fits, detail = ar.fit_grid(rows, "member", "ts", "total", train(), grid)
-    preds = ar.predictions(fits, detail, "member", grid, 12).where("member = 'A' AND p = 2").collect()
+    fits = ar.fit_grid(rows, "member", "ts", "total", train(), grid)
+    preds = ar.predictions(fits, "member").where("member = 'A' AND p = 2").collect()
     got = {r.rn: r.predicted for r in preds}
     _, fitted, ahead = hannan_rissanen(np.array(values_of(series[1], "A")[:48]), grid.long_ar, 2, 1)
     assert [got[49 + i] for i in range(12)] == pytest.approx(ahead, rel=1e-6)
@@ -158,8 +158,8 @@ def test_seasonal_differencing_is_undone(spark):
     rows = [("a", dt.date(2000 + i // 12, i % 12 + 1, 1), 10.0 * (i % 12) + 2.0 * i) for i in range(72)]
     df = splits.ranked(spark.createDataFrame(rows, "member string, ts date, total double"), "member", "ts")
     grid = ar.Grid(p=(0,), d=(1,), q=(0,), sd=(1,), season=12)
-    fits, detail = ar.fit_grid(df, "member", "ts", "total", F.col("rn") <= 48, grid)
-    got = {r.rn: r.predicted for r in ar.predictions(fits, detail, "member", grid, 24).where("rn > 48").collect()}
+    fits = ar.fit_grid(df, "member", "ts", "total", F.col("rn") <= 48, grid)
+    got = {r.rn: r.predicted for r in ar.predictions(fits, "member").where("rn > 48").collect()}
     assert [got[i + 1] for i in range(48, 72)] == pytest.approx([r[2] for r in rows[48:]])
 
 
@@ -171,8 +171,9 @@ def test_grid_shapes():
 
 
 def test_automatic_order_has_least_aic(series):
-    fits, _ = ar.fit_grid(ranked(series), "member", "ts", "total", F.lit(True), ar.Grid(p=(0, 1, 2), d=(0, 1), q=(0, 1)))
+    fits = ar.fit_grid(ranked(series), "member", "ts", "total", F.lit(True), ar.Grid(p=(0, 1, 2), d=(0, 1), q=(0, 1)), common=True)
     rows = fits.collect()
+    assert len({r.n for r in rows}) == 1
     best = {r.member: r.aic for r in ar.pick_by_aic(fits, "member").collect()}
     for m in "ABC":
         assert best[m] == min(r.aic for r in rows if r.member == m and r.status == "ok")
@@ -180,10 +181,39 @@ def test_automatic_order_has_least_aic(series):
 
 def test_short_series_fit_fails_as_a_row(spark):
     df = spark.createDataFrame([("a", dt.date(2000, i, 1), float(i * i)) for i in range(1, 5)], "member string, ts date, total double")
-    fits, _ = ar.fit_grid(splits.ranked(df, "member", "ts"), "member", "ts", "total", F.lit(True), ar.Grid())
+    fits = ar.fit_grid(splits.ranked(df, "member", "ts"), "member", "ts", "total", F.lit(True), ar.Grid())
     assert {r.status for r in fits.collect()} <= {"failed"}
 
 
+def test_every_order_on_a_smooth_large_series(spark):
+    """All 216 orders at level 2e7: coefficients, error and AIC are those of a plain fit, and every held-out row is scored."""
+    noise = np.random.default_rng(2).normal(0, 25, 240)
+    y = [float(2e7 * (1.0 + 0.0009 * i) + 300.0 * np.sin(i / 7.0) + 40.0 * (i % 12) + noise[i]) for i in range(240)]
+    rows = [("a", dt.date(1990 + i // 12, i % 12 + 1, 1), v) for i, v in enumerate(y)]
+    split = tn.split_rows(spark.createDataFrame(rows, "member string, ts date, total double"), "member", "ts")
+    grid = ar.seasonal_grid()
+    fits = ar.fit_grid(split, "member", "ts", "total", F.col("split") == "TRAIN", grid, split="split").collect()
+    assert len(fits) == 216 and {r.status for r in fits} == {"ok"}
+    assert all(not np.isnan(r.predicted[-72:]).any() and len(r.predicted) == 240 for r in fits)
+    for r in fits:
+        w = np.array(y)
+        for lag in [1] * r.d + [12] * r.sd:
+            w = np.concatenate([np.full(lag, np.nan), w[lag:] - w[:-lag]])
+        back = [np.concatenate([np.full(k, np.nan), w[:-k]]) for k in grid.long_ar]
+        z = np.column_stack([np.ones(240), *back])
+        ok = np.isfinite(z).all(1) & np.isfinite(w) & (np.arange(240) < 168)
+        e = w - z @ np.linalg.lstsq(z[ok], w[ok], rcond=None)[0]
+        ws = [np.concatenate([np.full(k, np.nan), w[:-k]]) for k in (1, 2, 12)]
+        es = [np.concatenate([np.full(k, np.nan), e[:-k]]) for k in (1, 2, 12)]
+        ok = np.isfinite(np.column_stack([*ws, *es])).all(1) & np.isfinite(w) & (np.arange(240) < 168)
+        chosen = ws[: r.p] + ([ws[2]] if r.sp else []) + es[: r.q] + ([es[2]] if r.sq else [])
+        x = np.column_stack(([np.ones(240)] if r.d + r.sd == 0 else []) + chosen) if chosen or r.d + r.sd == 0 else np.zeros((240, 0))
+        beta = np.linalg.lstsq(x[ok], w[ok], rcond=None)[0] if x.shape[1] else np.zeros(0)
+        sse = float(((w[ok] - x[ok] @ beta) ** 2).sum())
+        k = r.p + r.d + r.q + r.sp + r.sd + r.sq + 1
+        assert r.aic == pytest.approx(ok.sum() * np.log(sse / ok.sum()) + 2 * k, rel=1e-6)
+
+
 def test_piecewise_linear_and_logistic(spark):
     line = [5.0 + 3.0 * i for i in range(40)]
     cap = 1.05 * 100.0
