@@ -1,7 +1,7 @@
 """Licence statements in documents, by a positional index of rare template words.
 
-The postings of the templates say which word stands where. In a document the template words with the highest inverse document frequency are looked up; every
-place of such a word and every posting give a shift of the template against the text, and a shift that enough words agree on is a candidate.
+The postings of the templates say which word stands where. In a document that holds all words of some template's mandatory phrases, the template words with the highest
+inverse document frequency are looked up; every place of such a word and every posting give a shift of the template against the text, and a shift that enough words agree on is a candidate.
 It stands if all mandatory phrases of the template are found at it, word for word; its score is the share of template words at their places.
 Base phrases are found wherever their words stand consecutively.
 
@@ -23,7 +23,6 @@ from pyspark.sql import types as T
 from seriesloom.llm import common
 
 RARE_WORDS = 6
-LEAST_IDF = 1.0
 
 _WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -87,30 +86,32 @@ class Template:
 class Index:
     """Postings of template words by position."""
 
-    def __init__(self, templates: list[Template], idf: dict[bytes, float], rare_words: int = RARE_WORDS, least_idf: float = LEAST_IDF):
+    def __init__(self, templates: list[Template], idf: dict[bytes, float], rare_words: int = RARE_WORDS):
         self.templates, self.rare_words = templates, rare_words
         self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
         for number, template in enumerate(templates):
             for at, word in enumerate(template.words):
                 self.postings[word].append((number, at))
         self.idf = {w: idf.get(w, math.inf) for w in self.postings}
-        self.rare = {w for w in self.postings if self.idf[w] >= least_idf}
+        self.needed = [{w for _, phrase in t.phrases for w in phrase} for t in templates]
 
     def matches(self, words: list[bytes], different: set[bytes]) -> list[tuple[str, int, int, float]]:
         """(label, start, stop, share of template words in place), best first, of the templates that stand in the text."""
-        known = self.rare & different
-        if not known:
+        open_ = {number for number, needed in enumerate(self.needed) if needed <= different}
+        if not open_:
             return []
-        looked_up = set(sorted(known, key=lambda w: (-self.idf[w], w))[: self.rare_words])
+        known = {w for number in open_ for w in self.templates[number].words} & different
+        looked_up = sorted(known, key=lambda w: (-self.idf[w], w))[: self.rare_words]
         votes: Counter[tuple[int, int]] = Counter()
         for word in looked_up:
             for at in places(words, [word]):
                 for number, place in self.postings[word]:
-                    votes[number, at - place] += 1
+                    if number in open_:
+                        votes[number, at - place] += 1
         best: dict[str, tuple[str, int, int, float]] = {}
         for (number, shift), agreed in votes.items():
             template = self.templates[number]
-            if agreed < min(2, sum(w in self.rare for w in template.words)):
+            if agreed < min(2, len(template.words)):
                 continue
             if any(shift + at < 0 or tuple(words[shift + at : shift + at + len(phrase)]) != phrase for at, phrase in template.phrases):
                 continue
