@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 # Characters a table heading may carry that become one underscore.
 HEADING_PUNCTUATION = " ()/-,."
+_PUNCTUATION = "[" + re.escape(HEADING_PUNCTUATION) + "]"
 # Texts that stand for a missing number.
 MISSING_TEXT = ("", "nan", "None")
 MINUS_SIGN = "−"
@@ -17,12 +18,12 @@ MINUS_SIGN = "−"
 def clean_name(name: str) -> str:
     """Heading to column name. Python twin of :func:`clean_name_col`, for schema work on the driver."""
     text = name.strip().replace("\n", " ").replace("'", "").replace("%", "Percent")
-    return re.sub(r"_+", "_", re.sub(r"[ ()/\-,.]", "_", text)).strip("_")
+    return re.sub(r"_+", "_", re.sub(_PUNCTUATION, "_", text)).strip("_")
 
 
 def clean_name_col(c: Column) -> Column:
     text = F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"^\s+|\s+$", ""), "\n", " "), "'", "")
-    text = F.regexp_replace(F.regexp_replace(text, "%", "Percent"), r"[ ()/\-,.]", "_")
+    text = F.regexp_replace(F.regexp_replace(text, "%", "Percent"), _PUNCTUATION, "_")
     return F.regexp_replace(F.regexp_replace(text, "_+", "_"), "^_+|_+$", "")
 
 
@@ -54,7 +55,3 @@ def percent(c: Column, digits: int) -> Column:
 def table_row(*cells: Column) -> Column:
     """One line of a pipe table."""
     return F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
-
-
-def csv_row(*cells: Column) -> Column:
-    return F.concat_ws(",", *[c.cast("string") for c in cells])

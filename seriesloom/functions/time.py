@@ -38,10 +38,6 @@ def parse_date(text: Column, fmt: str | None = None) -> Column:
     return F.to_date(F.try_to_timestamp(text, F.lit(fmt)) if fmt else F.try_to_timestamp(text))
 
 
-def year_suffix_text(year: Column, suffix: str) -> Column:
-    return F.concat(year.cast("string"), F.lit(suffix))
-
-
 def month_text(year: Column, month: Column) -> Column:
     return F.concat(year.cast("string"), F.lit("-"), F.lpad(month.cast("string"), 2, "0"), F.lit("-01"))
 

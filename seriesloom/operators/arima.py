@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from itertools import product
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -234,6 +235,23 @@ def fit_grid(df: DataFrame, key: str | list[str], ts: str, y: str, train: Column
     return checkpointed(spread(dealt, *key, "_variant").mapInArrow(fit, schema))
 
 
+def one_step(grid: Grid):
+    """Column function: the value after an array of values, by the grid's single order fitted on all of them."""
+    if len(grid.variants()) != 1 or len(grid.orders()) != 1:
+        raise ValueError("one order only")
+
+    @F.pandas_udf(T.DoubleType())
+    def ahead(values: pd.Series) -> pd.Series:
+        found = []
+        for v in values:
+            y = np.asarray(v, dtype=float)
+            fit = fit_variant(y, len(y), grid, grid.variants()[0], extra=1)[0]
+            found.append(fit["predicted"][-1] if fit["status"] == "ok" else None)
+        return pd.Series(found, dtype=float)
+
+    return ahead
+
+
 def to_arrow(kind: T.DataType) -> pa.DataType:
     plain = {T.IntegerType(): pa.int32(), T.LongType(): pa.int64(), T.DoubleType(): pa.float64(), T.StringType(): pa.string()}
     return pa.list_(pa.float64()) if isinstance(kind, T.ArrayType) else plain[kind]

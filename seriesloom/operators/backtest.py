@@ -13,10 +13,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seriesloom.operators import arima as ar
 from seriesloom.operators import smoothing as sm
 from seriesloom.operators.keys import as_list, series_window
 from seriesloom.operators.metrics import residuals
 from seriesloom.operators.trend import expanding_line
+from seriesloom.session import spread
 
 Evaluator = Callable[[DataFrame, "str | list[str]", str, str], DataFrame]
 
@@ -52,6 +54,37 @@ def line(df: DataFrame, key, ts: str, value: str) -> DataFrame:
     return expanding_line(_numbered(df, key, ts), key, "_i", value).drop("_i")
 
 
+def lag_line(df: DataFrame, key, ts: str, value: str) -> DataFrame:
+    """Regression on the previous value, refitted for every fold on all earlier pairs by running sums.
+
+    Values are taken from the series' first one, so that the sums stay small.
+    """
+    w = series_window(key, ts)
+    past = w.rowsBetween(Window.unboundedPreceding, -1)
+    base = df.withColumn("_y", F.col(value) - F.first(value).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    base = base.withColumn("_x", F.lag("_y").over(w))
+    x, y = F.col("_x"), F.when(F.col("_x").isNotNull(), F.col("_y"))
+    base = base.withColumns({"_n": F.count(y).over(past).cast("double"), "_sx": F.sum(x).over(past), "_sy": F.sum(y).over(past), "_sxx": F.sum(x * x).over(past), "_sxy": F.sum(x * y).over(past)})
+    n, sx, sy = F.col("_n"), F.col("_sx"), F.col("_sy")
+    slope = (n * F.col("_sxy") - sx * sy) / F.nullif(n * F.col("_sxx") - sx * sx, F.lit(0.0))
+    ahead = (sy - slope * sx) / F.nullif(n, F.lit(0.0)) + slope * x + (F.col(value) - F.col("_y"))
+    return base.withColumn("predicted", ahead).drop("_y", "_x", "_n", "_sx", "_sy", "_sxx", "_sxy")
+
+
+def arima_refit(grid: ar.Grid, min_train: int) -> Evaluator:
+    """One order refitted for every fold on its earlier rows: the folds of a series are dealt to tasks, each fits its prefix of the array."""
+
+    def run(df: DataFrame, key, ts: str, value: str) -> DataFrame:
+        keys = as_list(key)
+        item = F.struct(F.col(ts).alias("t"), F.col(value).cast("double").alias("y"))
+        packed = df.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("_rows")).where(F.size("_rows") > min_train)
+        dealt = packed.select(*keys, F.transform("_rows", lambda r: r["y"]).alias("_ys"), F.posexplode(F.transform("_rows", lambda r: r["t"])).alias("_at", ts)).where(F.col("_at") >= min_train)
+        fold = ar.one_step(grid)(F.slice("_ys", F.lit(1), F.col("_at")))
+        return df.join(spread(dealt, *keys, ts).select(*keys, ts, fold.alias("predicted")), [*keys, ts], "left")
+
+    return run
+
+
 def holt_refit(grid: list[dict]) -> Evaluator:
     """Trend smoothing whose parameters are chosen anew for every fold by the squared error so far.
 
@@ -80,7 +113,9 @@ def holt_refit(grid: list[dict]) -> Evaluator:
 DEFAULT_EVALUATORS: dict[str, Evaluator] = {
     "NAIVE": naive,
     "TREND": line,
+    "REGRESSION": lag_line,
     "HOLT": holt_refit(sm.param_rows(damped=True)),
+    "ARIMA": arima_refit(ar.Grid(), 10),
 }
 
 

@@ -29,7 +29,10 @@ def mae(a: Column, p: Column) -> Column:
 
 
 def mape(a: Column, p: Column, zero: str = "skip") -> Column:
-    """``skip`` leaves rows with actual 0 out, ``error`` lets the division fail."""
+    """``skip`` leaves rows with actual 0 out, ``error`` lets the division fail, ``unguarded`` counts them as infinite (no number if the error is 0 too)."""
+    if zero == "unguarded":
+        at_zero = F.when(p == 0, F.lit(float("nan"))).otherwise(F.lit(_INF))
+        return F.avg(F.when(a == 0, at_zero).otherwise(F.abs((a - p) / F.nullif(a, F.lit(0.0))))) * 100
     base = F.nullif(a, F.lit(0.0)) if zero == "skip" else a
     return F.avg(F.abs((a - p) / base)) * 100
 

@@ -18,7 +18,7 @@ CHANGEPOINT_RANGE = 0.8
 CAP_FACTOR = 1.05
 
 _MODEL = T.StructType(
-    [T.StructField("beta", T.ArrayType(T.DoubleType())), T.StructField("knots", T.ArrayType(T.DoubleType()))]
+    [T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("beta", "knots", "extra", "mu", "sd")]
 )
 
 
@@ -27,19 +27,24 @@ def _hinges(t: np.ndarray, knots: np.ndarray) -> np.ndarray:
 
 
 @F.pandas_udf(_MODEL)
-def fit_hinges(ys: pd.Series, changepoints: pd.Series, ridge: pd.Series) -> pd.DataFrame:
-    """Ridge fit of hinge features on time scaled to [0, 1]; level and base slope carry no penalty."""
+def fit_hinges(ys: pd.Series, changepoints: pd.Series, ridge: pd.Series, extra: pd.Series) -> pd.DataFrame:
+    """Ridge fit of hinge features on time scaled to [0, 1], and of standardised extra regressors; level and base slope carry no penalty."""
     out = []
-    for y, wanted, penalty in zip(ys, changepoints, ridge):
+    for y, wanted, penalty, columns in zip(ys, changepoints, ridge, extra):
         y = np.asarray(y, dtype=float)
         t = np.arange(len(y)) / max(len(y) - 1, 1)
         usable = int(np.floor(len(y) * CHANGEPOINT_RANGE))
         count = max(min(int(wanted), usable - 1), 0)
         knots = t[np.linspace(0, max(usable - 1, 0), count + 1).round().astype(int)[1:]] if count else np.empty(0)
-        x = _hinges(t, knots)
-        weights = np.diag([0.0, 0.0, *[float(penalty)] * len(knots)])
-        out.append((np.linalg.lstsq(x.T @ x + weights, x.T @ y, rcond=None)[0], knots))
-    return pd.DataFrame(out, columns=["beta", "knots"])
+        z = np.array([np.asarray(c, dtype=float) for c in columns]).reshape(len(columns), len(y)).T
+        mu, sd = z.mean(axis=0), z.std(axis=0)
+        sd[sd == 0] = 1.0
+        x = np.column_stack([_hinges(t, knots), (z - mu) / sd])
+        weights = np.diag([0.0, 0.0, *[float(penalty)] * (x.shape[1] - 2)])
+        beta = np.linalg.lstsq(x.T @ x + weights, x.T @ y, rcond=None)[0]
+        split = 2 + len(knots)
+        out.append((beta[:split], knots, beta[split:], mu, sd))
+    return pd.DataFrame(out, columns=["beta", "knots", "extra", "mu", "sd"])
 
 
 def trend_at(t: Column) -> Column:
@@ -50,24 +55,29 @@ def trend_at(t: Column) -> Column:
     return F.get("m.beta", 0) + F.get("m.beta", 1) * t + F.aggregate(bends, F.lit(0.0), lambda s, v: s + v)
 
 
-def fit_trend(series: DataFrame, growth: str = "linear", changepoints: int = CHANGEPOINTS, prior_scale: float = 0.8) -> DataFrame:
-    """Add model struct ``m`` (and ``cap``) to one-row-per-series arrays ``ys``.
+def fit_trend(
+    series: DataFrame, growth: str = "linear", changepoints: int = CHANGEPOINTS, prior_scale: float = 0.8, regressors: list[str] | None = None
+) -> DataFrame:
+    """Add model struct ``m`` (and ``cap``) to one-row-per-series arrays ``ys``; ``regressors`` name arrays alongside ``ys``.
 
     ``prior_scale`` plays the usual role: larger lets the trend bend more. Logistic growth fits
     the log odds of the value below the cap of 1.05 times the maximum.
     """
     if growth not in ("linear", "logistic"):
         raise ValueError("growth must be 'linear' or 'logistic'")
+    extra = F.array(*regressors) if regressors else F.array().cast("array<array<double>>")
     series = series.withColumn("cap", F.array_max("ys") * F.lit(CAP_FACTOR))
     target = F.col("ys")
     if growth == "logistic":
         target = F.transform("ys", lambda v: F.log(F.greatest(v, F.lit(1e-9)) / (F.col("cap") - v)))
-    return series.withColumn("m", fit_hinges(target, F.lit(changepoints), F.lit(1.0 / prior_scale))).withColumn(
+    return series.withColumn("m", fit_hinges(target, F.lit(changepoints), F.lit(1.0 / prior_scale), extra)).withColumn(
         "n_obs", F.size("ys")
     )
 
 
-def forecast(model: DataFrame, position: Column, growth: str = "linear") -> Column:
-    """Prediction at 0-based ``position`` on the series' own time axis."""
+def forecast(model: DataFrame, position: Column, growth: str = "linear", values: list[Column] | None = None) -> Column:
+    """Prediction at 0-based ``position`` on the series' own time axis, with the regressors' ``values`` there."""
     raw = trend_at(position / F.greatest(F.col("n_obs") - 1, F.lit(1)))
+    for i, v in enumerate(values or []):
+        raw = raw + F.get("m.extra", i) * (v - F.get("m.mu", i)) / F.get("m.sd", i)
     return F.col("cap") / (1 + F.exp(-raw)) if growth == "logistic" else raw

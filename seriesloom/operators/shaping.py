@@ -72,8 +72,17 @@ def drop_incomplete(df: DataFrame, subset: list[str] | None = None) -> DataFrame
     return df.na.drop("any", subset=subset)
 
 
-def profile(df: DataFrame, name: str, time_col: str | None = None) -> DataFrame:
-    """One row per table: rows, columns, non-null cells, and the year range where there is a time column."""
+def first_rows_text(df: DataFrame, order: str, rows: int) -> Column:
+    """The first rows by ``order`` as text, cells joined by a bar and rows by a semicolon, as a scalar subquery; every task keeps only ``rows`` rows."""
+    head = df.orderBy(order).limit(rows)
+    line = F.struct(F.col(order).alias("o"), F.concat_ws("|", *[F.col(c).cast("string") for c in df.columns]).alias("t"))
+    packed = F.transform(F.array_sort(F.collect_list(line)), lambda r: r["t"])
+    return head.agg(F.array_join(packed, ";").alias("v")).scalar()
+
+
+def profile(df: DataFrame, name: str, time_col: str | None = None, order: str | None = None, rows: int = 3) -> DataFrame:
+    """One row per table: rows, columns, non-null cells, the first rows by ``order``, and the year range where there is a time column."""
+    first = first_rows_text(df, order, rows) if order else F.lit(None).cast("string")
     year = F.year(time_col) if time_col else F.lit(None).cast("int")
     cells = sum((F.count(c) for c in df.columns), F.lit(0))
     return df.agg(
@@ -84,4 +93,4 @@ def profile(df: DataFrame, name: str, time_col: str | None = None) -> DataFrame:
         cells.cast("long").alias("filled_cells"),
         F.min(year).cast("long").alias("min_year"),
         F.max(year).cast("long").alias("max_year"),
-    )
+    ).withColumn("first_rows", first)

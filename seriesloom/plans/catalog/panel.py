@@ -83,15 +83,16 @@ def column_summary(spark, sf):
     "SELECT 'orders' AS table_name, count(*) AS n_rows, 6 AS n_columns, "
     "'o_orderkey,o_custkey,o_orderstatus,o_totalprice,o_orderdate,o_orderpriority' AS columns, "
     "count(o_orderkey) + count(o_custkey) + count(o_orderstatus) + count(o_totalprice) + count(o_orderdate) + count(o_orderpriority) AS filled_cells, "
-    "min(year(o_orderdate)) AS min_year, max(year(o_orderdate)) AS max_year FROM orders "
+    "min(year(o_orderdate)) AS min_year, max(year(o_orderdate)) AS max_year, (SELECT string_agg(concat_ws('|', o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority), ';' ORDER BY o_orderkey) FROM (SELECT * FROM orders ORDER BY o_orderkey LIMIT 3)) AS first_rows FROM orders "
     "UNION ALL SELECT 'customer', count(*), 5, 'c_custkey,c_name,c_nationkey,c_acctbal,c_mktsegment', "
-    "count(c_custkey) + count(c_name) + count(c_nationkey) + count(c_acctbal) + count(c_mktsegment), NULL, NULL FROM customer",
+    "count(c_custkey) + count(c_name) + count(c_nationkey) + count(c_acctbal) + count(c_mktsegment), NULL, NULL, "
+    "(SELECT string_agg(concat_ws('|', c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment), ';' ORDER BY c_custkey) FROM (SELECT * FROM customer ORDER BY c_custkey LIMIT 3)) FROM customer",
 )
 def table_profile(spark, sf):
     from seriesloom.operators.shaping import profile
 
-    orders = profile(bd.table(spark, sf, "orders"), "orders", "o_orderdate")
-    return orders.unionByName(profile(bd.table(spark, sf, "customer"), "customer"))
+    orders = profile(bd.table(spark, sf, "orders"), "orders", "o_orderdate", "o_orderkey")
+    return orders.unionByName(profile(bd.table(spark, sf, "customer"), "customer", order="c_custkey"))
 
 
 @query(

@@ -78,7 +78,8 @@ r AS (SELECT page_id, table_id, unnest(l) AS body, unnest(range(len(l))) AS row_
     (SELECT page_id, table_id, regexp_extract_all(body, '(?is)<li(?:\s[^>]*)?>(.*?)</li>', 1) AS l FROM t)),
 c AS (SELECT page_id, table_id, row_no, regexp_extract_all(body, '(?is)<a(?:\s[^>]*)?>(.*?)</a>', 1) AS l FROM r)
 SELECT page_id, table_id, row_no, CAST(len(l) AS BIGINT) AS n_cells,
-  array_to_string(list_transform(l, lambda x: trim(regexp_replace(x, '<[^>]*>', '', 'g'))), '|') AS cells FROM c
+  array_to_string(list_transform(l, lambda x: trim(replace(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(x, '<[^>]*>', '', 'g'),
+    '&nbsp;', ' '), '&#160;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&minus;', '−'), '&amp;', '&'))), '|') AS cells FROM c
 """,
 )
 def page_list_rows(spark, sf):

@@ -55,9 +55,12 @@ def monthly_master(yearly: DataFrame, target: str, drivers: list[str]) -> DataFr
     return ft.driver_lags(featured, "member", "ts", drivers).na.drop("any")
 
 
-def member_monthly_master(members: DataFrame, national: DataFrame, target: str, national_target: str) -> DataFrame:
-    """Member years to months, the national master joined on the month, grouped features and national lags."""
-    monthly = cal.yearly_to_monthly(members, "member", "year", [target])
+def member_monthly_master(members: DataFrame, national: DataFrame, target: str, national_target: str, measures: list[str] | None = None) -> DataFrame:
+    """Member years to months, the national master joined on the month, grouped features and national lags.
+
+    ``measures`` are further columns of the members brought to months beside the target, on which the features are built.
+    """
+    monthly = cal.yearly_to_monthly(members, "member", "year", [target, *(measures or [])])
     nat = national.drop("year", "month", "member", "lag_1", "lag_12", "rolling_mean_3", "fractional_year", "month_sin", "month_cos")
     wide = ft.add_time_features(monthly.join(nat, "ts", "left"), target, "member")
     out = ft.lags(wide, "member", "ts", {"national_lag_1": (national_target, 1), "national_lag_12": (national_target, 12)})

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "seriesloom", cpus: int | str = 8, shuffle_partitions: int = 8) -> SparkSession:
-    """Local session for tests and the bench; on a cluster the submitting side supplies the session."""
-    return (
+    """Local session for tests and the bench; on a cluster the submitting side supplies the session and calls ``ship_package``."""
+    spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -24,6 +26,22 @@ def build_session(app: str = "seriesloom", cpus: int | str = 8, shuffle_partitio
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+    ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, whose Python workers load its functions by module name.
+
+    Needed wherever the package is not installed on the workers; does nothing the second time.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_seriesloom_sent", False):
+        return
+    root = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="seriesloom-package-")
+    context.addPyFile(shutil.make_archive(f"{folder}/seriesloom", "zip", root.parent, root.name))
+    context._seriesloom_sent = True
 
 
 def shared_dir(spark: SparkSession) -> str:

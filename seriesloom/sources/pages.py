@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.functions import text as tx
@@ -15,6 +17,15 @@ FORECAST_TO = 2040
 MIN_YEARS = 3
 
 
+# The character references that cell texts commonly hold; the ampersand itself comes last.
+REFERENCES = {"&nbsp;": " ", "&#160;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&minus;": "−", "&amp;": "&"}
+
+
+def decoded(text: Column) -> Column:
+    """Text with its character references resolved."""
+    return reduce(lambda t, pair: F.replace(t, F.lit(pair[0]), F.lit(pair[1])), REFERENCES.items(), text)
+
+
 def _block(tag: str) -> str:
     return rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)</{tag}>"
 
@@ -25,14 +36,14 @@ def extract_rows(
     """One row per table row of each page: ``page_id, table_id, row_no, cells``.
 
     ``table_id`` and ``row_no`` count from 0 within their page and table. Tags inside a cell
-    are removed and blanks trimmed.
+    are removed, character references resolved and blanks trimmed.
     """
     tables = pages.select(page_id, F.posexplode(F.regexp_extract_all(F.col(html), F.lit(_block(table)), 1)).alias("table_id", "_t"))
     rows = tables.select(
         page_id, "table_id", F.posexplode(F.regexp_extract_all("_t", F.lit(_block(row)), 1)).alias("row_no", "_r")
     )
     cells = F.regexp_extract_all("_r", F.lit(_block(cell)), 1)
-    plain = F.transform(cells, lambda c: F.trim(F.regexp_replace(c, r"<[^>]*>", "")))
+    plain = F.transform(cells, lambda c: F.trim(decoded(F.regexp_replace(c, r"<[^>]*>", ""))))
     return rows.select(page_id, "table_id", "row_no", plain.alias("cells"))
 
 

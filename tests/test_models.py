@@ -6,6 +6,7 @@ from conftest import values_of
 from pyspark.sql import functions as F
 
 from seriesloom.operators import arima as ar
+from seriesloom.operators import backtest as bt
 from seriesloom.operators import piecewise as pw
 from seriesloom.operators import regression as rg
 from seriesloom.operators import smoothing as sm
@@ -281,3 +282,27 @@ def test_seasonal_naive_test_part_uses_validation(series):
     y = values_of(series[1], "A")
     assert got[("A", 43)] == y[42 - 12] and got[("A", 49)] == y[48 - 12] and got[("A", 60)] == y[59 - 12]
     assert got[("A", 5)] is None
+
+
+def test_fold_refits_equal_a_refit_of_each_prefix(series):
+    df = series[0].where("member = 'B'")
+    y = np.array(values_of(series[1], "B"))
+    grid = ar.Grid()
+    line = {r.ts: r.predicted for r in bt.lag_line(df, "member", "ts", "total").collect()}
+    step = {r.ts: r.predicted for r in bt.arima_refit(grid, 30)(df, "member", "ts", "total").collect()}
+    for i, (_, ts, _) in enumerate([r for r in series[1] if r[0] == "B"]):
+        if i >= 5:
+            p = np.polyfit(y[: i - 1], y[1:i], 1)
+            assert line[ts] == pytest.approx(np.polyval(p, y[i - 1]), rel=1e-8)
+        if i >= 30:
+            assert step[ts] == pytest.approx(ar.fit_variant(y[:i], i, grid, grid.variants()[0], extra=1)[0]["predicted"][-1])
+
+
+def test_piecewise_regressors(spark):
+    rng = np.random.default_rng(3)
+    z = rng.normal(size=60)
+    y = 3.0 + 0.2 * np.arange(60) + 5.0 * z
+    df = spark.createDataFrame([("a", [float(v) for v in y], [float(v) for v in z])], "k string, ys array<double>, zs array<double>")
+    m = pw.fit_trend(df, "linear", changepoints=0, prior_scale=1e9, regressors=["zs"])
+    got = m.select(pw.forecast(m, F.lit(70), "linear", [F.lit(2.0)]).alias("v")).first().v
+    assert got == pytest.approx(3.0 + 0.2 * 70 + 10.0, rel=1e-6)

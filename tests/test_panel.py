@@ -130,6 +130,8 @@ def test_require_rows(spark, series):
     assert splits.require_rows(df, 10, "too small").count() == 180
     with pytest.raises(Exception, match="too small"):
         splits.require_rows(df, 1000, "too small").collect()
+    with pytest.raises(Exception, match="too small"):
+        splits.require_rows(df.where("1 = 0"), 10, "too small").collect()
 
 
 def test_min_size_and_members_with_sizes(spark):

@@ -1,9 +1,11 @@
+import datetime as dt
 import math
 
 import pytest
 from conftest import values_of
 from pyspark.sql import functions as F
 
+from seriesloom.functions import numeric as nm
 from seriesloom.operators import backtest as bt
 from seriesloom.operators import forecasting as fc
 from seriesloom.operators import metrics as mt
@@ -115,4 +117,22 @@ def test_allocation_formula(spark):
     grown = 1000.0 * (1 + 0.008 * (31 / 30.44))
     assert len(out) == 4 and out[0].national == pytest.approx(grown) and out[0].density == 4.0
     assert out[0].urban == pytest.approx(grown / 4) and out[0].predicted_member == round(grown / 4)
-    assert out[2].predicted_proportion == 0.5
+    assert out[2].predicted_proportion == 0.9
+    held = fc.allocate(coefs, "member", nat, limits=nm.SHARE_RANGE).orderBy("member", "ts").collect()
+    assert len(held) == 48 and held[24].predicted_proportion == 0.5 and held[0].ts == dt.date(2025, 1, 1)
+
+
+def test_allocation_of_many_members_adds_up(spark):
+    nat = spark.createDataFrame([(dt.date(2024, 12, 1), 1e6, 4.0, 1.0)], "ts date, total double, density double, urban double")
+    coefs = spark.range(1000).select(F.concat(F.lit("m"), "id").alias("member"), F.lit(0.001).alias("intercept"), F.lit(0.0).alias("slope"))
+    out = fc.allocate(coefs, "member", nat, months=1).agg(F.sum("predicted_member").alias("s"), F.max("national").alias("n")).first()
+    assert out.s == pytest.approx(out.n, rel=1e-3)
+
+
+def test_failed_models_rank_last(spark):
+    rows = [("a", "X", "{}", 1.0, None, None, 2.0), ("a", "Y", "{}", 1.0, 4.0, 4.0, 2.0), ("b", "X", "{}", 1.0, float("nan"), float("nan"), 2.0), ("c", "X", "{}", 1.0, 3.0, 3.0, 2.0)]
+    df = spark.createDataFrame(rows, "member string, model string, params string, train_mape double, val_mape double, val_rmse double, test_rmse double")
+    board = {r.member: (r.model, r.overall_rank_by_val) for r in sel.member_leaderboard(df, "member").collect()}
+    assert board == {"c": ("X", 1), "a": ("Y", 2), "b": ("X", 3)}
+    families = {r.model: r.rank_by_val for r in sel.best_per_family(df.where("member <> 'c'")).collect()}
+    assert families == {"Y": 1, "X": 2}

@@ -74,3 +74,24 @@ def test_formats_and_records(spark):
 def test_shared_dir_follows_the_session(spark):
     configured = spark.conf.get("spark.checkpoint.dir", None)
     assert shared_dir(spark) == (configured or spark.sparkContext.getCheckpointDir() or shared_dir(spark))
+
+
+def test_workers_get_the_package(tmp_path):
+    """A query solved in numpy runs from a folder that does not hold the package."""
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    script = tmp_path / "job.py"
+    root = Path(__file__).resolve().parents[1]
+    script.write_text(
+        f"import sys\nsys.path.insert(0, {str(root)!r})\n"
+        "from pyspark.sql import functions as F\nfrom seriesloom.operators import regression as rg\nfrom seriesloom.session import build_session\n"
+        "spark = build_session('ship', 2, 2)\n"
+        "df = spark.createDataFrame([('a', float(i), 3.0 * i + 1) for i in range(9)], 'k string, x double, y double')\n"
+        "row = rg.fit(df, 'k', ['x'], 'y', F.lit(True)).first()\nassert row.status == 'ok', row\nprint('fitted', row.n)\nspark.stop()\n"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=200)
+    assert "fitted 9" in done.stdout, done.stderr[-2000:]
