@@ -460,6 +460,146 @@ def piecewise_trend_scores(spark, sf):
     return mt.bundle(parts[0].unionByName(parts[1]), ["growth", "split"])
 
 
+# -- small settings of the same fits, which SQL can state -------------------------------------------
+
+
+@query(
+    "M-13 M-16",
+    ctes(
+        b.PANEL,
+        "d AS (SELECT member, ts, total, total - lag(total) OVER o AS w FROM panel WINDOW o AS (PARTITION BY member ORDER BY ts))",
+        "l AS (SELECT *, lag(w) OVER (PARTITION BY member ORDER BY ts) AS w1 FROM d)",
+        "a AS (SELECT member, regr_intercept(w, w1) AS c0, regr_slope(w, w1) AS c1 FROM l GROUP BY 1)",
+        "e AS (SELECT l.*, w - c0 - c1 * w1 AS e FROM l JOIN a USING (member))",
+        "x AS (SELECT *, lag(e) OVER (PARTITION BY member ORDER BY ts) AS e1 FROM e)",
+        "s AS (SELECT member, sum(w1 * w1) AS p, sum(w1 * e1) AS q, sum(e1 * e1) AS r, sum(w * w1) AS u, sum(w * e1) AS v FROM x WHERE e1 IS NOT NULL GROUP BY 1)",
+        "f AS (SELECT member, (u * r - v * q) / (p * r - q * q) AS phi, (p * v - q * u) / (p * r - q * q) AS theta FROM s)",
+        "z AS (SELECT member, max_by(total, ts) AS y0, max_by(w, ts) AS w0, max_by(e, ts) AS e0 FROM x GROUP BY 1)",
+        "r AS (SELECT member, 1 AS h, phi, theta, phi * w0 + theta * e0 AS w, y0 + phi * w0 + theta * e0 AS y FROM f JOIN z USING (member) "
+        "UNION ALL SELECT member, h + 1, phi, theta, phi * w, y + phi * w FROM r WHERE h < 8)",
+    ).replace("WITH ", "WITH RECURSIVE ", 1)
+    + "SELECT member, CAST(h AS BIGINT) AS h, round(phi, 6) AS phi, round(theta, 6) AS theta, round(y, 2) AS predicted FROM r",
+)
+def one_of_each_arima(spark, sf):
+    """Order (1,1,1) whose shocks come from one long lag; eight months ahead."""
+    rows = splits.ranked(bd.filled_panel(spark, sf), "member", "ts")
+    fits = ar.fit_grid(rows, "member", "ts", "total", F.lit(True), ar.Grid(long_lags=(1,)), extra=8)
+    weights = fits.select("member", F.get("beta", 1).alias("phi"), F.get("beta", 2).alias("theta"))
+    ahead = ar.predictions(fits, "member").where("rn > train_n").join(weights, "member")
+    return ahead.select("member", big(F.col("rn") - F.col("train_n")).alias("h"), rd("phi", 6).alias("phi"), rd("theta", 6).alias("theta"), rd("predicted", 2).alias("predicted"))
+
+
+@query(
+    "M-14 M-17 E-23",
+    ctes(
+        b.PANEL,
+        "d AS (SELECT member, ts, total AS y, lag(total) OVER o AS y1, total - lag(total) OVER o AS w, lag(total) OVER o - lag(total, 2) OVER o AS w1 FROM panel WINDOW o AS (PARTITION BY member ORDER BY ts))",
+        "u AS (SELECT * FROM d WHERE w1 IS NOT NULL)",
+        "s AS (SELECT member, count(*) AS n, var_pop(y) * count(*) AS a, regr_syy(y, y1) - regr_sxy(y, y1) ** 2 / regr_sxx(y, y1) AS b, sum(w * w) AS c, sum(w * w) - sum(w * w1) ** 2 / sum(w1 * w1) AS e FROM u GROUP BY 1)",
+        "o AS (SELECT member, n, 0 AS p, 0 AS d, a AS sse, 1 AS k FROM s UNION ALL SELECT member, n, 1, 0, b, 2 FROM s UNION ALL SELECT member, n, 0, 1, c, 2 FROM s UNION ALL SELECT member, n, 1, 1, e, 3 FROM s)",
+    )
+    + "SELECT member, p, d, n, round(n * ln(sse / n) + 2 * k, 4) AS aic, round(n * ln(sse / n) + 2 * k + 2.0::DOUBLE * k * (k + 1) / (n - k - 1), 4) AS aicc FROM o",
+)
+def orders_by_aic(spark, sf):
+    """Four orders on one common sample, with their information criteria."""
+    rows = splits.ranked(bd.filled_panel(spark, sf), "member", "ts")
+    fits = ar.fit_grid(rows, "member", "ts", "total", F.lit(True), ar.Grid(p=(0, 1), d=(0, 1), q=(0,)), common=True)
+    return fits.select("member", "p", "d", "n", rd("aic").alias("aic"), rd("aicc").alias("aicc"))
+
+
+_CRAMER = """
+det AS (SELECT member, a11 * (a22 * a33 - a23 * a23) - a12 * (a12 * a33 - a23 * a13) + a13 * (a12 * a23 - a22 * a13) AS d,
+  b1 * (a22 * a33 - a23 * a23) - a12 * (b2 * a33 - a23 * b3) + a13 * (b2 * a23 - a22 * b3) AS d1,
+  a11 * (b2 * a33 - a23 * b3) - b1 * (a12 * a33 - a23 * a13) + a13 * (a12 * b3 - b2 * a13) AS d2,
+  a11 * (a22 * b3 - b2 * a23) - a12 * (a12 * b3 - b2 * a13) + b1 * (a12 * a23 - a22 * a13) AS d3 FROM g)
+"""
+
+
+@query(
+    "M-04",
+    ctes(
+        b.MEMBER_WIDE,
+        "ok AS (SELECT member, ts, proportion AS y, national AS x1, density AS x2, urban AS x3, ts < make_date(" + b.LAST_YEAR + ", 1, 1) AS tr FROM wide WHERE density IS NOT NULL AND urban IS NOT NULL)",
+        "m AS (SELECT member, avg(x1) AS m1, stddev_pop(x1) AS s1, avg(x2) AS m2, stddev_pop(x2) AS s2, avg(x3) AS m3, stddev_pop(x3) AS s3, avg(y) AS my FROM ok WHERE tr GROUP BY 1)",
+        "z AS (SELECT member, ts, tr, y - my AS yc, my, (x1 - m1) / s1 AS z1, (x2 - m2) / s2 AS z2, (x3 - m3) / s3 AS z3 FROM ok JOIN m USING (member))",
+        "g AS (SELECT member, sum(z1 * z1) AS a11, sum(z1 * z2) AS a12, sum(z1 * z3) AS a13, sum(z2 * z2) AS a22, sum(z2 * z3) AS a23, sum(z3 * z3) AS a33, sum(z1 * yc) AS b1, sum(z2 * yc) AS b2, sum(z3 * yc) AS b3 FROM z WHERE tr GROUP BY 1)",
+        _CRAMER,
+    )
+    + "SELECT member, ts, round(my + (z1 * d1 + z2 * d2 + z3 * d3) / d, 7) AS predicted FROM z JOIN det USING (member)",
+)
+def three_feature_regression(spark, sf):
+    """Least squares of the share on total, density and urban value, fitted on the months before the last complete year."""
+    panel, total = bd.panel_and_total(spark, sf)
+    nat = total.select("ts", F.col("total").alias("national"))
+    wide = panel.join(nat, "ts", "left").join(bd.drivers(spark, sf).select("ts", "density", "urban"), "ts", "left")
+    rows = checkpointed(ft.proportion(wide, "total", "national").na.drop("any"))
+    xs = ["national", "density", "urban"]
+    coefs = rg.fit(rows, "member", xs, "proportion", F.col("ts") < F.make_date(bd.last_complete_year(spark, sf), F.lit(1), F.lit(1)))
+    return rg.predict(rows, coefs, "member", xs).select("member", "ts", rd("predicted", 7).alias("predicted"))
+
+
+@query(
+    "M-18",
+    ctes(
+        b.PANEL,
+        "num AS (SELECT member, ts, total AS y, row_number() OVER (PARTITION BY member ORDER BY ts) - 1 AS i, count(*) OVER (PARTITION BY member) AS n FROM panel)",
+        "t AS (SELECT *, i / (n - 1)::DOUBLE AS t, greatest(i / (n - 1)::DOUBLE - (floor(n * 0.8::DOUBLE) - 1) / (n - 1)::DOUBLE, 0) AS h FROM num)",
+        "g AS (SELECT member, count(*)::DOUBLE AS a11, sum(t) AS a12, sum(h) AS a13, sum(t * t) AS a22, sum(t * h) AS a23, sum(h * h) + 1.25::DOUBLE AS a33, sum(y) AS b1, sum(t * y) AS b2, sum(h * y) AS b3 FROM t GROUP BY 1)",
+        _CRAMER,
+    )
+    + "SELECT member, ts, round((d1 + t * d2 + h * d3) / d, 1) AS predicted FROM t JOIN det USING (member)",
+)
+def one_bend_trend(spark, sf):
+    """Piecewise trend with one changepoint."""
+    rows = splits.ranked(bd.filled_panel(spark, sf), "member", "ts")
+    model = pw.fit_trend(sm.as_arrays(rows, "member", "ts", "total"), "linear", changepoints=1)
+    value = pw.forecast(model, F.col("rn") - 1, "linear")
+    return rows.join(model.select("member", "m", "cap", "n_obs"), "member").select("member", "ts", rd(value, 1).alias("predicted"))
+
+
+@query(
+    "M-08 M-09",
+    ctes(
+        b.PANEL,
+        "m AS (SELECT month(ts) AS m, total AS y FROM panel)",
+        "c AS (SELECT s, avg(CASE WHEN m <= s THEN y END) AS lo, avg(CASE WHEN m > s THEN y END) AS hi, coalesce(var_pop(CASE WHEN m <= s THEN y END) * count(CASE WHEN m <= s THEN 1 END), 0) + "
+        "coalesce(var_pop(CASE WHEN m > s THEN y END) * count(CASE WHEN m > s THEN 1 END), 0) AS sse FROM m, range(1, 12) AS t(s) GROUP BY 1)",
+        "best AS (SELECT * FROM c ORDER BY sse LIMIT 1)",
+    )
+    + "SELECT model, CAST(mo AS BIGINT) AS month, round(CASE WHEN mo <= s THEN lo ELSE hi END, 2) AS predicted FROM best, range(1, 13) AS t(mo), (VALUES ('boosted'), ('forest')) AS k(model)",
+)
+def one_split_trees(spark, sf):
+    """One tree of depth one on the calendar month over all members: its split is the one that leaves the least squared error."""
+    rows = checkpointed(bd.filled_panel(spark, sf).select(F.month("ts").cast("double").alias("month"), "total"))
+    months = rows.select("month").distinct()
+    boosted = te.fit_boosted(rows, ["month"], "total", {"maxIter": 1, "maxDepth": 1})
+    forest = te.fit_forest(rows, ["month"], "total", {"numTrees": 1, "maxDepth": 1, "bootstrap": False})
+    parts = [te.score(m, months, ["month"]).select(F.lit(n).alias("model"), big("month").alias("month"), rd("predicted", 2).alias("predicted")) for n, m in (("boosted", boosted), ("forest", forest))]
+    return parts[0].unionByName(parts[1])
+
+
+@query(
+    "M-15",
+    ctes(
+        b.MEMBER_WIDE,
+        "num AS (SELECT member, ts, proportion AS y, national AS x, row_number() OVER (PARTITION BY member ORDER BY ts) AS rn, count(*) OVER (PARTITION BY member) AS n FROM wide)",
+        "parts AS (SELECT *, rn <= greatest(24, floor(n * 0.7::DOUBLE)) AS tr FROM num WHERE n >= 48)",
+        "co AS (SELECT member, regr_intercept(y, x) AS a, regr_slope(y, x) AS c FROM parts WHERE tr GROUP BY 1)",
+        "re AS (SELECT member, ts, rn, tr, y, a + c * x AS f, y - a - c * x AS r FROM parts JOIN co USING (member))",
+        "d AS (SELECT *, lag(r) OVER o AS r1, r - lag(r) OVER o AS w, lag(r) OVER o - lag(r, 2) OVER o AS w1 FROM re WINDOW o AS (PARTITION BY member ORDER BY rn))",
+        "ph AS (SELECT member, sum(w * w1) / sum(w1 * w1) AS phi FROM d WHERE tr AND w1 IS NOT NULL GROUP BY 1)",
+    )
+    + "SELECT member, CAST(rn AS BIGINT) AS rn, round(f + r1 + phi * w1, 8) AS predicted FROM d JOIN ph USING (member) WHERE tr AND w1 IS NOT NULL",
+)
+def regression_with_arima_rest(spark, sf):
+    """Share regressed on the total, its remainder by order (1,1,0): one-step values of the train part."""
+    panel, total = bd.panel_and_total(spark, sf)
+    wide = ft.proportion(panel.join(total.select("ts", F.col("total").alias("national")), "ts", "left"), "total", "national")
+    rows = tn.split_rows(wide.select("member", "ts", "national", "proportion"), "member", "ts")
+    out = tn.exogenous_candidate(rows, "member", "ts", ["national"], "proportion", ar.Grid(q=(0,)))
+    return out.where("split = 'TRAIN'").select("member", big("rn").alias("rn"), rd("predicted", 8).alias("predicted"))
+
+
 # -- tuning as a whole -----------------------------------------------------------------------------
 
 
