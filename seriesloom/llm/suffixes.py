@@ -31,6 +31,9 @@ SEGMENT = 1 << 20
 MOST_CONTEXTS = 50_000  # different contexts of one token that are sorted in one task
 SLICE = 8
 CHUNK_WINDOWS = 1_500_000
+CROWD_PART = 16  # one in so many texts is looked at for crowded tokens
+MOST_CROWDED = 10_000
+LEAST_CROWD = 50
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _TABLE = common.mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
@@ -106,6 +109,16 @@ def anchors(data: np.ndarray, length: int = LENGTH, token: int = TOKEN):
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
+def _merged(starts: list[int], stops: list[int]) -> list[tuple[int, int]]:
+    runs: list[tuple[int, int]] = []
+    for start, stop in sorted(zip(starts, stops, strict=True)):
+        if runs and start <= runs[-1][1]:
+            runs[-1] = (runs[-1][0], max(stop, runs[-1][1]))
+        else:
+            runs.append((start, stop))
+    return runs
+
+
 def _bytes(value: pa.Scalar) -> np.ndarray:
     return np.frombuffer(value.as_buffer(), np.uint8) if value.is_valid else np.zeros(0, np.uint8)
 
@@ -114,29 +127,69 @@ def _large(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(name).cast(pa.large_binary())
 
 
+FOUND = "text_key long, token long, context long, first long, strings short, back short, inside boolean, stop long"
+
+
 def found_anchors(texts: DataFrame, length: int) -> DataFrame:
-    """``texts``: (text_key, text)."""
+    """Anchors of (text_key, text) rows, one for each different context of a text; ``inside``: the text holds that context twice.
+
+    What such contexts cover is known without any other text and comes as rows of its own: no token, but ``first`` and ``stop``.
+    """
+
+    def of_text(key: int, data: np.ndarray) -> list[np.ndarray]:
+        first, count, anchor, token, context = anchors(data, length)
+        _, one, times = np.unique(context, return_index=True, return_counts=True)
+        order = np.argsort(context, kind="stable")
+        again = np.zeros(len(first), bool)
+        again[order] = np.repeat(times, times) > 1
+        spans = _merged(first[again].tolist(), (first[again] + count[again] - 1 + length).tolist())
+        n, m = len(one), len(spans)
+        starts, stops = np.array([x for x, _ in spans], np.int64), np.array([y for _, y in spans], np.int64)
+        zero = np.zeros(m, np.int64)
+        return [
+            np.full(n + m, key, np.int64), np.concatenate([token[one].view(np.int64), zero]), np.concatenate([context[one].view(np.int64), zero]), np.concatenate([first[one], starts]),
+            np.concatenate([count[one], zero]).astype(np.int16), np.concatenate([(anchor - first)[one], zero]).astype(np.int16), np.concatenate([times > 1, zero > 0]), np.concatenate([np.full(n, -1), stops]),
+        ]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.pieces(batches):
-            keys, columns = batch.column("text_key").to_numpy(), []
-            for key, value in zip(keys, _large(batch, "text"), strict=True):
-                first, count, anchor, token, context = anchors(_bytes(value), length)
-                columns.append((np.full(len(first), key, np.int64), token.view(np.int64), context.view(np.int64), first, count.astype(np.int16), (anchor - first).astype(np.int16)))
-            if columns:
-                yield pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*columns, strict=True)], names=["text_key", "token", "context", "first", "strings", "back"])
+            columns = [of_text(key, _bytes(value)) for key, value in zip(batch.column("text_key").to_pylist(), _large(batch, "text"), strict=True)]
+            joined = [np.concatenate(c) for c in zip(*columns, strict=True)]
+            if joined:
+                yield pa.record_batch([*map(pa.array, joined[:7]), pa.array(joined[7], mask=joined[7] < 0)], names=["text_key", "token", "context", "first", "strings", "back", "inside", "stop"])
 
-    return texts.mapInArrow(cut, "text_key long, token long, context long, first long, strings short, back short")
+    return texts.mapInArrow(cut, FOUND)
+
+
+def crowded_tokens(found: DataFrame, part: int = CROWD_PART, most: int = MOST_CROWDED) -> DataFrame:
+    """Tokens that hold more than 1 in ``most`` of the anchors of a sample of texts; fewer than ``most`` by that rule."""
+    sample = found.where(F.pmod(F.xxhash64("text_key"), F.lit(part)) == 0)
+    total = sample.count()
+    return found.sparkSession.createDataFrame(
+        sample.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > max(LEAST_CROWD, total // most)).select("token").collect(), "token long"
+    )
 
 
 def meeting_anchors(found: DataFrame) -> DataFrame:
-    """Anchors whose token occurs again, with ``copies`` of their context, ``contexts`` of their token, and ``lead`` for one row of each context."""
-    dealt = found.repartition(common.shuffle_count(found.sparkSession), "token")
+    """Anchors of a written table whose token occurs again, with ``copies`` of their context, ``contexts`` of their token, and ``lead`` for one row of each context.
+
+    Most tokens have a few anchors, and one shuffle by token brings these together. The anchors of crowded tokens stay where they
+    are: they are counted map-side by context and by token, and the counts are joined back.
+    """
+    crowded = F.broadcast(crowded_tokens(found))
+    dealt = found.join(crowded, "token", "left_anti").repartition(common.shuffle_count(found.sparkSession), "token")
     alike = Window.partitionBy("token", "context")
-    numbered = dealt.withColumn("lead", F.row_number().over(alike.orderBy("text_key", "first")) == 1).withColumn("copies", F.count("*").over(alike))
+    numbered = dealt.withColumn("lead", F.row_number().over(alike.orderBy("text_key", "first")) == 1).withColumn("copies", F.count("*").over(alike) + F.max(F.col("inside").cast("long")).over(alike))
     together = Window.partitionBy("token")
     counted = numbered.withColumn("contexts", F.sum(F.col("lead").cast("long")).over(together)).withColumn("_all", F.count("*").over(together))
-    return counted.where("_all > 1").drop("_all")
+    few = counted.where("_all > 1").drop("_all")
+    many = found.join(crowded, "token", "left_semi")
+    twice = F.count("*") + F.max(F.col("inside").cast("long"))
+    contexts = common.stored(many.groupBy("token", "context").agg(twice.alias("copies"), F.min(F.struct("text_key", "first")).alias("_lead")), "contexts_of_crowds")
+    tokens = contexts.groupBy("token").agg(F.count("*").alias("contexts"), F.sum("copies").alias("_all")).where("_all > 1").drop("_all")
+    back = many.join(contexts.join(tokens, "token"), ["token", "context"])
+    lead = (F.col("text_key") == F.col("_lead.text_key")) & (F.col("first") == F.col("_lead.first"))
+    return few.unionByName(back.withColumn("lead", lead).drop("_lead"))
 
 
 def _context_rows(texts: DataFrame, wanted: DataFrame, length: int, most: int) -> DataFrame:
@@ -272,24 +325,16 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, most: int = MOST_CONT
 
     ``texts``: (text_key, text), one row per document, equal texts having equal keys.
     """
-    hits = common.stored(meeting_anchors(found_anchors(texts, length)), "anchors")
+    found = common.stored(found_anchors(texts, length), "found")
+    own = found.where("stop IS NOT NULL").select("text_key", F.col("first").alias("start"), "stop")
+    hits = common.stored(meeting_anchors(found.where("stop IS NULL").drop("stop")), "anchors")
     once = texts.groupBy("text_key").agg(F.first("text").alias("text"))
-    candidates = common.stored(once.join(hits.select("text_key").distinct(), "text_key", "left_semi"), "texts")
-    full = hits.where("copies > 1").select("text_key", F.col("first").alias("start"), (F.col("first") + F.col("strings") - 1 + length).alias("stop")).distinct()
+    candidates = common.stored(once.join(hits.select("text_key").union(own.select("text_key")).distinct(), "text_key", "left_semi"), "texts")
+    full = hits.where("copies > 1").select("text_key", F.col("first").alias("start"), (F.col("first") + F.col("strings") - 1 + length).alias("stop")).union(own).distinct()
     contexts = common.stored(_context_rows(candidates, hits.where("lead AND contexts > 1"), length, most), "contexts")
     return full.union(sorted_buckets(contexts, length)), candidates
 
 
-def _merged(starts: list[int], stops: list[int]) -> list[tuple[int, int]]:
-    runs: list[tuple[int, int]] = []
-    for start, stop in sorted(zip(starts, stops, strict=True)):
-        if runs and start <= runs[-1][1]:
-            runs[-1] = (runs[-1][0], max(stop, runs[-1][1]))
-        else:
-            runs.append((start, stop))
-    return runs
-
-
 def text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
