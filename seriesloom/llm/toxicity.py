@@ -86,7 +86,8 @@ class Lexicon:
 def associated_terms(sample: DataFrame, most: int = MOST_TERMS, least: int = LEAST_ROWS) -> list[tuple[str, int, int]]:
     """(term, rows, toxic rows) of the terms most tied to the mark, by the likelihood ratio of their counts.
 
-    Terms are counted within each batch first, then summed by Spark; the ``most`` strongest come back.
+    Terms are counted within each batch first, then summed by Spark; the ``most`` strongest come back. The ratio must exceed what the strongest
+    of so many terms would show by chance.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,14 +103,16 @@ def associated_terms(sample: DataFrame, most: int = MOST_TERMS, least: int = LEA
     if not total["toxic"] or total["toxic"] == total["n"]:
         return []
     rate = total["toxic"] / total["n"]
-    counts = sample.select("text", "y").mapInArrow(count, "term string, n long, toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
+    summed = sample.select("text", "y").mapInArrow(count, "term string, n long, toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
+    counts = common.stored(summed.where(F.col("n") >= least), "terms")
+    chance = float(np.log(max(2, counts.count())))
 
     def part(seen, expected):
         return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
 
     n, toxic = F.col("n"), F.col("toxic")
     tie = part(toxic, n * rate) + part(n - toxic, n * (1 - rate))
-    strongest = counts.where((toxic >= least) & (toxic > 3 * rate * n)).withColumn("tie", tie).orderBy(F.desc("tie"), "term").limit(most)
+    strongest = counts.where((toxic >= least) & (toxic > 3 * rate * n)).withColumn("tie", tie).where(F.col("tie") > chance).orderBy(F.desc("tie"), "term").limit(most)
     return [(r["term"], r["n"], r["toxic"]) for r in strongest.collect()]
 
 
@@ -152,6 +155,7 @@ class LabelModel:
 
     def posterior(self, table: np.ndarray) -> np.ndarray:
         logs = np.log(self.rates[1] / self.rates[0])
+        logs[:, 1] = 0.0  # no vote is no evidence
         margin = np.log(self.prior / (1 - self.prior)) + (self.share * np.take_along_axis(logs[None], (table[:, :, None] + 1).astype(int), 2)[:, :, 0]).sum(axis=1)
         return 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
 
@@ -179,9 +183,11 @@ def label_model(table: np.ndarray, accuracy: float = MARK_ACCURACY, rounds: int
             centred = (table - mean) * np.sqrt(w)[:, None]
             spread = centred.T @ centred
             scale = np.sqrt(np.maximum(np.diag(spread), 1e-9))
-            correlation += np.abs(spread / scale[:, None] / scale[None]) * w.sum() / n
+            within = np.abs(spread / scale[:, None] / scale[None])
+            within[within < max(0.1, 4 / np.sqrt(w.sum() + 1))] = 0  # what so many rows show by chance
+            correlation += within * w.sum() / n
         np.fill_diagonal(correlation, 0)
-        share = 1 / (1 + np.where(correlation > 0.1, correlation, 0).sum(axis=1))
+        share = 1 / (1 + correlation.sum(axis=1))
         share[-1] = 1.0
         model = LabelModel(prior, rates, share)
         new = model.posterior(table)
@@ -191,7 +197,7 @@ def label_model(table: np.ndarray, accuracy: float = MARK_ACCURACY, rounds: int
     return model
 
 
-def linear_fit(features: list[list[int]], target: np.ndarray, size: int, penalty: float = 2e-4, steps: int = 400) -> tuple[np.ndarray, float]:
+def linear_fit(features: list[list[int]], target: np.ndarray, size: int, penalty: float = 1e-4, steps: int = 1500) -> tuple[np.ndarray, float]:
     """Logistic regression of posterior labels on sets of features, by accelerated gradient steps."""
     rows = np.repeat(np.arange(len(features)), [len(f) for f in features])
     columns = np.fromiter((c for f in features for c in f), np.int64, len(rows))
