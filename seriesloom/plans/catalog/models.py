@@ -241,11 +241,12 @@ def forest_scores(spark, sf):
 
 @query("M-10")
 def recursive_tree_forecast(spark, sf):
-    """Eight months ahead by boosted trees on their own predictions, all members per step."""
+    """A year ahead by boosted trees on their own predictions, all members per step; boosting stops early on the last part of each series."""
     panel = checkpointed(bd.filled_panel(spark, sf))
-    rows = ft.add_time_features(panel, "total", "member").na.drop("any")
+    rows = splits.three_way(ft.add_time_features(panel, "total", "member").na.drop("any"), "member", "ts").withColumn("is_val", F.col("split") != "TRAIN")
     xs = ["lag_1", "lag_12", "month_sin", "month_cos"]
-    model = te.fit_boosted(rows.select(*[F.col(x).alias(f"_f_{x}") for x in xs], "total"), [f"_f_{x}" for x in xs], "total", {"maxIter": 8, "maxDepth": 3})
+    named = rows.select(*[F.col(x).alias(f"_f_{x}") for x in xs], "total", "is_val")
+    model = te.fit_boosted(checkpointed(named), [f"_f_{x}" for x in xs], "total", te.BOOSTED_GRID[1], stop_on="is_val")
     state = sm.as_arrays(panel, "member", "ts", "total").select(
         "member", F.slice("ys", F.size("ys") - 11, 12).alias("ys"), F.array_max("tss").alias("at")
     )
@@ -253,7 +254,7 @@ def recursive_tree_forecast(spark, sf):
     def inputs(ys, at):
         return {"lag_1": F.element_at(ys, -1), "lag_12": F.element_at(ys, -12), "month_sin": tm.month_sin(at), "month_cos": tm.month_cos(at)}
 
-    return te.recursive_forecast(model, state, inputs, 8, lambda at: F.add_months(at, 1))
+    return te.recursive_forecast(model, state, inputs, 12, lambda at: F.add_months(at, 1))
 
 
 # -- smoothing -------------------------------------------------------------------------------------
