@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.operators.keys import as_list, reverse_window, series_window
+from seriesloom.operators.keys import as_list, one_value, reverse_window, series_window
+from seriesloom.session import checkpointed
 
 
 def join_chain(first: DataFrame, others: list[DataFrame], on: str | list[str], how: str) -> DataFrame:
@@ -15,26 +16,29 @@ def join_chain(first: DataFrame, others: list[DataFrame], on: str | list[str], h
     return reduce(lambda a, b: a.join(b, as_list(on), how), others, first)
 
 
-def _timeline(points: DataFrame, data: DataFrame, key: list[str], ts: str, values: list[str]) -> DataFrame:
-    """Distinct requested dates and data dates of each series on one line.
+def _days(data: DataFrame, ts: str) -> tuple[Column, Column]:
+    """The day before the first data date and the last one: a request outside has the same hit as one at the nearer end."""
+    return one_value(data, F.date_sub(F.min(ts), 1)), one_value(data, F.max(ts))
 
-    Requests are reduced to distinct (series, date) first, so a series asked for a billion times
-    still brings at most one row per calendar date into its window.
+
+def _timeline(data: DataFrame, key: list[str], ts: str, values: list[str]) -> DataFrame:
+    """Every series on every day between these ends, with the data row of the day if there is one.
+
+    The line is bounded by the calendar and made from the data alone, so the requests, however many, are read once and joined on equality.
     """
-    row = F.struct(F.col(ts).alias("at"), *values)
-    asked = points.select(*key, ts).distinct().withColumn("_row", F.lit(None)).withColumn("_ask", F.lit(True))
-    known = data.select(*key, ts, row.alias("_row"), F.lit(False).alias("_ask"))
-    asked = asked.withColumn("_row", F.col("_row").cast(known.schema["_row"].dataType))
-    merged = asked.unionByName(known)
-    return merged.groupBy(*key, ts).agg(
-        F.max("_row").alias("_row"), F.bool_or("_ask").alias("_ask")
-    )
+    first, last = _days(data, ts)
+    row = F.max(F.struct(F.col(ts).alias("at"), *values)).alias("_row")
+    known = data.groupBy(*key, ts).agg(row)
+    days = data.select(*key).distinct().withColumn(ts, F.explode(F.sequence(first, last)))
+    return days.join(known, [*key, ts], "left")
 
 
-def _attach(points: DataFrame, found: DataFrame, key: list[str], ts: str, values: list[str]) -> DataFrame:
-    """Bring the hits, one row per (series, date), back to every request."""
-    picked = found.select(*key, ts, F.col("_hit.at").alias("matched_ts"), *[F.col(f"_hit.{v}").alias(v) for v in values])
-    return points.join(picked, [*key, ts], "left")
+def _attach(points: DataFrame, data: DataFrame, found: DataFrame, key: list[str], ts: str, values: list[str]) -> DataFrame:
+    """Bring the hits, one row per (series, day), to every request."""
+    first, last = _days(data, ts)
+    picked = found.select(*key, F.col(ts).alias("_day"), F.col("_hit.at").alias("matched_ts"), *[F.col(f"_hit.{v}").alias(v) for v in values])
+    asked = points.withColumn("_day", F.least(F.greatest(F.col(ts), first), last))
+    return asked.join(picked, [*key, "_day"], "left").select(*points.columns, "matched_ts", *values)
 
 
 def asof_backward(
@@ -42,17 +46,19 @@ def asof_backward(
 ) -> DataFrame:
     """Last data row at or before each requested date; with ``else_first`` the earliest row when there is none."""
     key = as_list(key)
-    line = _timeline(points, data, key, ts, values)
+    data = checkpointed(data)  # read four times below
+    line = _timeline(data, key, ts, values)
     hit = F.last("_row", True).over(series_window(key, ts))
     if else_first:
         hit = F.coalesce(hit, F.last("_row", True).over(reverse_window(key, ts)))
-    return _attach(points, line.withColumn("_hit", hit).where("_ask"), key, ts, values)
+    return _attach(points, data, line.withColumn("_hit", hit), key, ts, values)
 
 
 def asof_nearest(points: DataFrame, data: DataFrame, key: str | list[str], ts: str, values: list[str]) -> DataFrame:
     """Data row closest in days to each requested date; the earlier row wins at equal distance."""
     key = as_list(key)
-    line = _timeline(points, data, key, ts, values).withColumns(
+    data = checkpointed(data)
+    line = _timeline(data, key, ts, values).withColumns(
         {
             "_before": F.last("_row", True).over(series_window(key, ts)),
             "_after": F.last("_row", True).over(reverse_window(key, ts)),
@@ -63,7 +69,7 @@ def asof_nearest(points: DataFrame, data: DataFrame, key: str | list[str], ts: s
     hit = F.when(F.col("_before").isNull(), F.col("_after")).when(
         F.col("_after").isNull() | (back <= ahead), F.col("_before")
     ).otherwise(F.col("_after"))
-    return _attach(points, line.withColumn("_hit", hit).where("_ask"), key, ts, values)
+    return _attach(points, data, line.withColumn("_hit", hit), key, ts, values)
 
 
 def upsert(store: DataFrame, rows: DataFrame, key: str | list[str]) -> DataFrame:
