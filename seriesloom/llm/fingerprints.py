@@ -4,7 +4,7 @@ Terms are words in lower case. The lexicon keeps those whose inverse document fr
 randomised subsets of two sizes by a hash of the term. A document's fingerprint has one part per subset: the hash of its sorted distinct terms
 there, or a blank. Two fingerprints are alike by the share of equal parts among those that are not blank in both.
 
-Documents of at most ``SHORT`` different terms use all their terms; where no term is left, all parts come from the hash of the text. The lexicon has at
+Documents of at most ``SHORT`` different terms use all their terms; where no term is in a subset, all parts come from the hash of the text. The lexicon has at
 most (mean terms of a document) x ``RARE`` terms, however many documents there are, so it is broadcast. NULL texts are empty ones. Order for the next
 document: doc_id descending, NULL ids last, equal ids by a hash of the text; repeated rows follow each other.
 """
@@ -19,9 +19,9 @@ from seriesloom.llm import common
 COMMON = 8  # terms in more than 1 of 8 documents are too common: inverse document frequency below ln 8
 RARE = 1100  # and those in fewer than 1 of 1100 too rare: above ln 1100
 SHORT = 8
-#: Cuts of the lexicon: classes that a term's hash falls in. The first 64 classes of a cut are subsets, all of a short text's terms fall in the first cut.
+#: Cuts of the lexicon: classes that a term's hash falls in; the first 32 of each cut are its subsets. In short texts all terms fall in subsets of the first cut.
 CUTS = (64, 512)
-USED = 64
+USED = 32
 PARTS = USED * len(CUTS)
 DIGITS = 4
 BLANK = "-" * DIGITS
@@ -36,45 +36,43 @@ def terms(text: Column) -> Column:
     return F.array_remove(F.array_distinct(F.split(common.ascii_lower_col(text), NOT_WORD)), "")
 
 
-def subset_code(term: Column) -> Column:
-    """Classes of a term in the cuts of the lexicon, from its hash."""
+def subset_code(term: Column, short: bool = False) -> Column:
+    """Classes of a term in the cuts of the lexicon, from its hash, and which eight a class belongs to."""
     hashed = F.conv(F.substring(F.md5(term.cast("binary")), 1, 15), 16, 10).cast("long")
-    fields, shift = [], 0
-    for i, classes in enumerate(CUTS):
-        fields.append(F.pmod(F.shiftright(hashed, shift), F.lit(classes)).cast("int").alias(f"c{i}"))
-        shift += classes.bit_length() - 1
-    return F.struct(*fields)
+    first = F.pmod(hashed, F.lit(USED if short else CUTS[0])).cast("int")
+    second = F.pmod(F.shiftright(hashed, CUTS[0].bit_length() - 1), F.lit(CUTS[1])).cast("int")
+    return F.struct(first.alias("c0"), F.shiftright(first, 3).alias("e0"), second.alias("c1"), F.shiftright(second, 3).alias("e1"))
 
 
 def lexicon(docs: DataFrame, text: str, common_share: int = COMMON, rare_share: int = RARE) -> DataFrame:
-    """(term, code) of the terms inside the band."""
+    """(term, code) of the terms inside the band that are in a subset."""
     counts = docs.select(F.explode(terms(F.coalesce(F.col(text), F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     total = docs.agg(F.count("*").alias("total"))
     inside = counts.join(F.broadcast(total), (F.col("df") * common_share <= F.col("total")) & (F.col("df") * rare_share >= F.col("total")))
-    return inside.select("term", subset_code(F.col("term")).alias("code"))
+    return inside.select("term", subset_code(F.col("term")).alias("code")).where((F.col("code.c0") < USED) | (F.col("code.c1") < USED))
 
 
 def _part(used: Column) -> Column:
     """Hash of sorted terms, or a blank."""
-    joined = F.array_join(F.transform(used, lambda x: x["term"]), " ")
+    joined = F.array_join(F.array_sort(F.transform(used, lambda x: x["term"])), " ")
     return F.when(F.size(used) == 0, F.lit(BLANK)).otherwise(F.substring(F.md5(joined.cast("binary")), 1, DIGITS))
 
 
-def _between(cut: int, low: int, high: int):
-    return lambda x: (x["code"][f"c{cut}"] >= low) & (x["code"][f"c{cut}"] < high)
+def _cut_parts(found: Column, cut: int) -> Column:
+    """Parts of one cut's subsets. Classes are taken out eight at a time first, so that a term is looked at some ten times."""
+    eights = F.transform(F.sequence(F.lit(0), F.lit(USED // 8 - 1)), lambda g: F.filter(found, lambda x: x["code"][f"e{cut}"] == g))
 
+    def of_eight(group: Column, g: Column) -> Column:
+        return F.transform(F.sequence(g * 8, g * 8 + 7), lambda k: _part(F.filter(group, lambda x: x["code"][f"c{cut}"] == k)))
 
-def with_parts(rows: DataFrame, found: str, own: str, name: str) -> DataFrame:
-    """``rows`` with the fingerprint parts, as ``name``, of the array ``found`` of (term, code); ``own`` is the hash of the text.
+    return F.flatten(F.transform(eights, of_eight))
 
-    Classes are taken out in two steps, eight at a time first, so that a term is looked at some twenty times for its 128 subsets.
-    """
-    ordered = rows.withColumn("_all", F.array_sort(found))
-    eights = {f"_{i}_{low}": F.filter("_all", _between(i, low, low + 8)) for i in range(len(CUTS)) for low in range(0, USED, 8)}
-    cut = ordered.select("*", *(e.alias(n) for n, e in eights.items()))
-    each = [_part(F.filter(f"_{i}_{k // 8 * 8}", _between(i, k, k + 1))) for i in range(len(CUTS)) for k in range(USED)]
-    parts = F.when(F.size(found) == 0, F.array_repeat(F.substring(own, 1, DIGITS), PARTS)).otherwise(F.array(*each))
-    return cut.select(*rows.columns, parts.alias(name))
+
+def parts(found: Column, own: Column) -> Column:
+    """Fingerprint parts of an array of (term, code); ``own`` is the hash of the text."""
+    second = F.filter(found, lambda x: x["code"]["c1"] < USED)
+    cuts = F.concat(_cut_parts(found, 0), _cut_parts(second, 1))
+    return F.when(F.size(found) == 0, F.array_repeat(F.substring(own, 1, DIGITS), PARTS)).otherwise(cuts)
 
 
 def likeness(one: Column, two: Column) -> Column:
@@ -142,14 +140,16 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     ).select("*", (F.size("words") <= SHORT + 1).alias("short"), F.explode("words").alias("term")).drop("words")
     known = lexicon(docs, text)
     met = opened.join(F.broadcast(known), "term", "left").where("term = '' OR short OR code IS NOT NULL")
-    used = F.when(F.col("term") != "", F.struct("term", F.coalesce("code", subset_code(F.col("term"))).alias("code")))
+    used = F.when(F.col("term") != "", F.struct("term", F.when(F.col("short"), subset_code(F.col("term"), True)).otherwise(F.col("code")).alias("code")))
+    once = F.col("term") == ""  # the texts' hashes travel with one row of each text only
+    slim = met.select("bucket", "row", "id", "guard", "n_chars", "edit", used.alias("used"), F.when(once, F.col("own")).alias("own"), F.when(once, F.col("sha")).alias("sha"))
     plain, changed = ~F.col("edit"), F.col("edit")
-    grouped = met.groupBy("bucket", "row").agg(
+    grouped = slim.groupBy("bucket", "row").agg(
         F.first("id").alias("id"), F.first("guard").alias("guard"), F.first("n_chars").alias("n_chars"), F.max("sha").alias("edited_sha256"),
-        F.collect_list(F.when(plain, used)).alias("found"), F.max(F.when(plain, F.col("own"))).alias("own"),
-        F.collect_list(F.when(changed, used)).alias("found_edited"), F.max(F.when(changed, F.col("own"))).alias("own_edited"),
+        F.collect_list(F.when(plain, F.col("used"))).alias("found"), F.max(F.when(plain, F.col("own"))).alias("own"),
+        F.collect_list(F.when(changed, F.col("used"))).alias("found_edited"), F.max(F.when(changed, F.col("own"))).alias("own_edited"),
     )
-    marked = with_parts(with_parts(grouped, "found", "own", "a"), "found_edited", "own_edited", "b")
+    marked = grouped.select("bucket", "row", "id", "guard", "n_chars", "edited_sha256", parts(F.col("found"), F.col("own")).alias("a"), parts(F.col("found_edited"), F.col("own_edited")).alias("b"))
     paired = marked.withColumn("c", F.lead("a").over(Window.partitionBy("bucket").orderBy("row"))).where(~F.col("guard"))
     return paired.select(
         F.col("id").alias(key), "n_chars", "edited_sha256", F.array_join("a", "").alias("fingerprint"), F.array_join("b", "").alias("edited_fingerprint"),
@@ -166,12 +166,12 @@ texts AS (SELECT doc_id, 0 AS v, t FROM edits UNION ALL SELECT doc_id, 1, e FROM
 words AS (SELECT doc_id, v, t, list_distinct(regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM texts),
 opened AS (SELECT doc_id, v, len(w) <= 8 AS short, unnest(w) AS term FROM words),
 lex AS (SELECT term FROM opened WHERE v = 0 GROUP BY term HAVING count(*) * 8 <= (SELECT count(*) FROM documents) AND count(*) * 1100 >= (SELECT count(*) FROM documents)),
-used AS (SELECT doc_id, v, term, ('0x' || substring(md5(term), 1, 15))::BIGINT AS h FROM opened WHERE short OR term IN (SELECT term FROM lex)),
-classes AS (SELECT doc_id, v, term, h % 64 AS part FROM used
-  UNION ALL SELECT doc_id, v, term, 64 + (h >> 6) % 512 FROM used WHERE (h >> 6) % 512 < 64),
+hashed AS (SELECT doc_id, v, term, short, ('0x' || substring(md5(term), 1, 15))::BIGINT AS h FROM opened WHERE short OR term IN (SELECT term FROM lex)),
+used AS (SELECT doc_id, v, term, CASE WHEN short THEN h % 32 ELSE h % 64 END AS c0, (h >> 6) % 512 AS c1 FROM hashed WHERE short OR h % 64 < 32 OR (h >> 6) % 512 < 32),
+classes AS (SELECT doc_id, v, term, c0 AS part FROM used WHERE c0 < 32 UNION ALL SELECT doc_id, v, term, 32 + c1 FROM used WHERE c1 < 32),
 hashes AS (SELECT doc_id, v, part, substring(md5(string_agg(term, ' ' ORDER BY encode(term))), 1, 4) AS s FROM classes GROUP BY ALL),
 grid AS (SELECT w.doc_id, w.v, g.part, CASE WHEN NOT EXISTS (SELECT 1 FROM used u WHERE u.doc_id = w.doc_id AND u.v = w.v) THEN substring(md5(w.t), 1, 4) ELSE coalesce(s, '----') END AS s
-  FROM words w CROSS JOIN (SELECT unnest(range(128)) AS part) g LEFT JOIN hashes x ON x.doc_id = w.doc_id AND x.v = w.v AND x.part = g.part),
+  FROM words w CROSS JOIN (SELECT unnest(range(64)) AS part) g LEFT JOIN hashes x ON x.doc_id = w.doc_id AND x.v = w.v AND x.part = g.part),
 prints AS (SELECT doc_id, v, list(s ORDER BY part) AS p FROM grid GROUP BY ALL),
 near AS (SELECT a.doc_id AS one, a.v AS v1, b.doc_id AS two, b.v AS v2,
     sum((a.s = b.s AND a.s <> '----')::INT) / sum((a.s <> '----' OR b.s <> '----')::INT)::DOUBLE AS near

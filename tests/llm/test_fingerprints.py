@@ -27,14 +27,15 @@ def brute(rows):
 
     def parts(text):
         found = words(text)
-        used = found if len(found) <= fp.SHORT else found & lexicon
-        if not used:
+        short = len(found) <= fp.SHORT
+        hashes = {w: int(md5(w.encode()).hexdigest()[:15], 16) for w in (found if short else found & lexicon)}
+        cuts = [{w: h % (32 if short else 64) for w, h in hashes.items()}, {w: (h >> 6) % 512 for w, h in hashes.items()}]
+        if all(c >= 32 for cut in cuts for c in cut.values()):
             return [md5(text.encode()).hexdigest()[: fp.DIGITS]] * fp.PARTS
         out = []
-        for shift, classes in ((0, 64), (6, 512)):
-            cut = {w: (int(md5(w.encode()).hexdigest()[:15], 16) >> shift) % classes for w in used}
+        for cut in cuts:
             for k in range(fp.USED):
-                here = sorted((w for w in used if cut[w] == k), key=lambda w: w.encode())
+                here = sorted((w for w in cut if cut[w] == k), key=lambda w: w.encode())
                 out.append(md5(" ".join(here).encode()).hexdigest()[: fp.DIGITS] if here else fp.BLANK)
         return out
 
