@@ -47,8 +47,8 @@ def subset_code(term: Column, short: bool = False) -> Column:
 def lexicon(docs: DataFrame, text: str, common_share: int = COMMON, rare_share: int = RARE) -> DataFrame:
     """(term, code) of the terms inside the band that are in a subset."""
     counts = docs.select(F.explode(terms(F.coalesce(F.col(text), F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    total = docs.agg(F.count("*").alias("total"))
-    inside = counts.join(F.broadcast(total), (F.col("df") * common_share <= F.col("total")) & (F.col("df") * rare_share >= F.col("total")))
+    total = docs.count()
+    inside = counts.where((F.col("df") * common_share <= total) & (F.col("df") * rare_share >= total))
     return inside.select("term", subset_code(F.col("term")).alias("code")).where((F.col("code.c0") < USED) | (F.col("code.c1") < USED))
 
 
