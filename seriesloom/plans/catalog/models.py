@@ -781,6 +781,45 @@ def batch_predictions(spark, sf):
     )
 
 
+@query(
+    "M-27 M-04 J-07 E-24 J-16",
+    ctes(
+        b.MEMBER_WIDE,
+        "ok AS (SELECT member, ts, proportion AS y, national AS x1, density AS x2, urban AS x3, TRUE AS tr FROM wide WHERE density IS NOT NULL AND urban IS NOT NULL AND national IS NOT NULL)",
+        "m AS (SELECT member, avg(x1) AS m1, stddev_pop(x1) AS s1, avg(x2) AS m2, stddev_pop(x2) AS s2, avg(x3) AS m3, stddev_pop(x3) AS s3, avg(y) AS my FROM ok GROUP BY 1)",
+        "z AS (SELECT member, y - my AS yc, (x1 - m1) / s1 AS z1, (x2 - m2) / s2 AS z2, (x3 - m3) / s3 AS z3 FROM ok JOIN m USING (member))",
+        "g AS (SELECT member, sum(z1 * z1) AS a11, sum(z1 * z2) AS a12, sum(z1 * z3) AS a13, sum(z2 * z2) AS a22, sum(z2 * z3) AS a23, sum(z3 * z3) AS a33, sum(z1 * yc) AS b1, sum(z2 * yc) AS b2, sum(z3 * yc) AS b3 FROM z GROUP BY 1)",
+        _CRAMER,
+        "req AS (SELECT DISTINCT n_name AS member, CAST(o_orderdate AS DATE) AS ts FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)",
+        "w AS (SELECT n.ts, n.total AS national, d.density, d.urban FROM nat n JOIN drv d USING (ts))",
+        "asof_day AS (SELECT ts, coalesce((SELECT max(w.ts) FROM w WHERE w.ts <= r.ts), (SELECT min(w.ts) FROM w)) AS m FROM (SELECT DISTINCT ts FROM req) r)",
+        "ln AS (SELECT regr_intercept(national, epoch(CAST(ts AS TIMESTAMP)) / 86400) AS b0, regr_slope(national, epoch(CAST(ts AS TIMESTAMP)) / 86400) AS b1 FROM w)",
+        "v AS (SELECT a.ts, w.national, w.density, w.urban, b0 + b1 * (epoch(CAST(a.ts AS TIMESTAMP)) / 86400) AS line FROM asof_day a JOIN w ON w.ts = a.m, ln)",
+    )
+    + "SELECT r.member, r.ts, round(line, 0) AS total_line, round(v.national, 0) AS total_held, round((line + v.national) / 2, 0) AS ensemble, "
+    "round(my + ((v.national - m1) / s1 * d1 + (v.density - m2) / s2 * d2 + (v.urban - m3) / s3 * d3) / d, 6) AS proportion FROM req r JOIN v ON v.ts = r.ts JOIN m ON m.member = r.member JOIN det ON det.member = r.member",
+)
+def driver_share_predictions(spark, sf):
+    """Every distinct (member, order date): two models of the total, their mean, and the share regressed on total, density and urban value as of that date."""
+    panel, total = bd.panel_and_total(spark, sf)
+    nat = total.select("ts", F.col("total").alias("national"))
+    drivers = bd.drivers(spark, sf).select("ts", "density", "urban")
+    known = checkpointed(nat.join(drivers, "ts").withColumns({"member": F.lit("TOTAL"), "day": F.datediff("ts", F.lit("1970-01-01").cast("date")).cast("double")}))
+    rows = checkpointed(ft.proportion(panel.join(known.drop("member", "day"), "ts"), "total", "national").na.drop("any"))
+    xs = ["national", "density", "urban"]
+    shares = rg.fit(rows, "member", xs, "proportion", F.lit(True))
+    orders = bd.table(spark, sf, "orders").select("o_custkey", F.to_date("o_orderdate").alias("ts")).distinct()
+    requests = checkpointed(orders.join(bd.customer_members(spark, sf), F.col("o_custkey") == F.col("c_custkey")).select("member", "ts").distinct())
+    dates = requests.select(F.lit("TOTAL").alias("member"), "ts").distinct()
+    held = joins.asof_backward(dates, known, "member", "ts", xs).withColumn("day", F.datediff("ts", F.lit("1970-01-01").cast("date")).cast("double"))
+    line = tr.linear_trend(known, "member", "day", "national", F.lit(True))
+    models = tr.predict_line(held, line, "member", "day", "total_line").withColumn("total_held", F.col("national")).drop("member", "day", "matched_ts")
+    long = models.select("ts", F.explode(F.array(F.struct(F.col("total_line").alias("predicted")), F.struct(F.col("total_held").alias("predicted")))).alias("p")).select("ts", "p.predicted")
+    mean = fc.ensemble(long, ["ts"]).select("ts", "ensemble")
+    out = rg.predict(requests.join(models.join(mean, "ts"), "ts"), shares, "member", xs, "proportion")
+    return out.select("member", "ts", *[rd(c, 0).alias(c) for c in ("total_line", "total_held", "ensemble")], rd("proportion", 6).alias("proportion"))
+
+
 @query(
     "M-28 J-11 C-15",
     ctes(
