@@ -102,6 +102,7 @@ def profiles(docs: DataFrame, text: str, lang: str, learn: Column, dimensions: i
                 total += counts[codes[at : at + 4096]].astype(np.float64) @ vectors.rows(codes[at : at + 4096]).astype(np.float64)
             yield pa.record_batch([pa.array([name]), pa.array([total.tolist()], pa.list_(pa.float64()))], names=["lang", "bundle"])
 
+    common.short_batches(docs.sparkSession)
     rows = docs.where(learn & F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
     sums = rows.mapInArrow(partial, "lang string, bundle array<double>").select("lang", F.posexplode("bundle").alias("dim", "value"))
     found = sums.groupBy("lang", "dim").agg(F.sum("value").alias("value")).toPandas()

@@ -134,6 +134,7 @@ def document_frequencies(docs: DataFrame, vocabulary: set[bytes], text: str = "t
                 seen.update(vocabulary & set(words_of(t)))
         yield pa.record_batch([pa.array([b"", *seen.keys()], pa.binary()), pa.array([total, *seen.values()], pa.int64())], names=["word", "n"])
 
+    common.short_batches(docs.sparkSession)
     counts = {bytes(r["word"]): r["n"] for r in docs.select(text).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
     total = counts.pop(b"", 0)
     return {w: math.log(total / n) for w, n in counts.items() if n}

@@ -24,7 +24,7 @@ from seriesloom.llm import common
 WINDOW = 2048
 SEPARATOR = 1
 GROUP_ROWS = 8192
-CACHE_WORDS = 1_200_000
+CACHE_WORDS = 500_000
 
 PIECE = "start long, doc_tokens long, ids binary"
 
@@ -84,6 +84,7 @@ def encoder(path: str) -> WordEncoder:
 
 def token_pieces(docs: DataFrame, vocabulary: str, window: int = WINDOW, separator: int = SEPARATOR) -> DataFrame:
     """(doc_id, start, doc_tokens, ids): every document's ids, little-endian unsigned 32-bit, cut into full windows and one rest."""
+    common.short_batches(docs.sparkSession)
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *T._parse_datatype_string(PIECE).fields])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -24,7 +24,7 @@ from seriesloom.llm import common
 
 SAMPLE_ROWS = 12_000
 BUCKETS = 1 << 18
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 PENALTY = 1.0
 EPOCHS = 12
 
@@ -160,6 +160,7 @@ def sample_rows(sample: DataFrame) -> tuple[list[np.ndarray], np.ndarray]:
             grams = [ngrams(t) for t in batch.column("text").to_pylist()]
             yield pa.record_batch([batch.column("_id"), batch.column("y"), pa.array(grams, pa.list_(pa.int32()))], names=["_id", "y", "grams"])
 
+    common.short_batches(sample.sparkSession)
     schema = T.StructType([sample.schema["_id"], T.StructField("y", T.IntegerType()), T.StructField("grams", T.ArrayType(T.IntegerType()))])
     found = sample.mapInArrow(cut, schema).toArrow().sort_by("_id")
     return [np.asarray(g, np.int32) for g in found["grams"].to_numpy()], found["y"].to_numpy().astype(int)
@@ -167,6 +168,7 @@ def sample_rows(sample: DataFrame) -> tuple[list[np.ndarray], np.ndarray]:
 
 def scored(docs: DataFrame, model: Model, cut: float, text: str = "text") -> DataFrame:
     """``docs`` with score and predicted (1 from ``cut`` on)."""
+    common.short_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c not in ("score", "predicted")]
     schema = T.StructType([*[docs.schema[c] for c in kept], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 

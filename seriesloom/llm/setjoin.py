@@ -4,8 +4,8 @@ A document is the set of hashes of its distinct 5-word shingles. Equal sets are
 tokens: with all tokens in one global order, frequent ones last, two sets that reach the threshold share a token among their first
 n - ceil(t n) + 1. Lists are skipped by size and position: a pair in a list is looked at only if what follows the two positions can
 still reach the overlap asked for. Answers are derived from similar sets: every list first compares its members with one pivot, the set that shares
-most, and what is linked to it is one class; only sets of different classes are compared further, at first one per class, then more, until
-none is left untested. A parity bitmap per set bounds the symmetric difference from below and so clears most pairs without their texts.
+most, and what is linked to it is one class; only sets of different classes are compared further, at first as few as could join the classes,
+then all that are left. A parity bitmap per set bounds the symmetric difference from below and so clears most pairs without their texts.
 
 The order of tokens comes from a bounded sample of documents; it decides the work, not the result. Texts without words have no set and link with
 nothing; texts of fewer than five words are one shingle. NULL ids have no say in a class's smallest id; repeated rows share a set.
@@ -28,11 +28,16 @@ from seriesloom.llm.components import components
 
 WORDS = 5
 PERCENT = 80
-BITS = 1024
+LEAST_BITS, MOST_BITS = 1 << 10, 1 << 15
 SAMPLE_DOCS = 20_000
 FREQUENT = 8  # documents of the sample
 MOST_FREQUENT = 200_000
-CACHE_WORDS = 400_000
+PLACE_BITS = 32
+FILTER_BITS = 20  # of a text's hash: at most 2 ** 20 values are broadcast to leave out texts that no pair needs
+LEAST_CROWD = 50
+MOST_CROWDED = 10_000
+BLOCK_ROWS = 2048
+CACHE_WORDS = 150_000
 
 
 class WordHashes(dict):
@@ -66,12 +71,25 @@ def set_number(tokens: np.ndarray) -> int:
     return int(common.mixed(np.array([mixed.sum() + np.uint64(len(tokens))], np.uint64)).view(np.int64)[0])
 
 
-def bitmap(tokens: np.ndarray, bits: int = BITS) -> bytes:
-    """Parity of the tokens that fall on each bit: two bitmaps differ in at most as many bits as the sets do in tokens."""
+def bitmap(tokens: np.ndarray) -> bytes:
+    """Parity of the tokens that fall on each bit: two bitmaps differ in at most as many bits as the sets do in tokens.
+
+    There are about twice as many bits as tokens, a power of two, so that few differences cancel out.
+    """
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << int(2 * len(tokens) - 1).bit_length()))
     counts = np.bincount((common.mixed(tokens + _ODD) % np.uint64(bits)).astype(np.int64), minlength=bits)
     return np.packbits((counts & 1).astype(np.uint8)).tobytes()
 
 
+def _folded(bitmaps: list[bytes], size: int) -> np.ndarray:
+    """Bitmaps of equal length brought to ``size`` bytes, as rows of words; the parities of halves add up."""
+    table = np.frombuffer(b"".join(bitmaps), np.uint8).reshape(len(bitmaps), -1)
+    while table.shape[1] > size:
+        half = table.shape[1] // 2
+        table = table[:, :half] ^ table[:, half:]
+    return np.ascontiguousarray(table).view(np.uint64)
+
+
 def _least_overlap(n_a, n_b, percent: int):
     """Smallest intersection of sets of these sizes that reaches the threshold: 100 i >= percent (n_a + n_b - i)."""
     return -(-percent * (n_a + n_b) // (100 + percent))
@@ -79,6 +97,7 @@ def _least_overlap(n_a, n_b, percent: int):
 
 def frequent_tokens(docs: DataFrame, text: str, words: int, sample: int = SAMPLE_DOCS, least: int = FREQUENT, most: int = MOST_FREQUENT) -> np.ndarray:
     """Sorted hashes of shingles in ``least`` or more documents of a sample, at most ``most``; only the order of tokens rests on them."""
+    common.short_batches(docs.sparkSession)
     total = docs.count()
     part = docs.select(F.col(text).alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(max(1, total // max(1, sample)))) == 0)
 
@@ -95,12 +114,13 @@ def frequent_tokens(docs: DataFrame, text: str, words: int, sample: int = SAMPLE
 
 
 def document_sets(docs: DataFrame, kept: list[str], text: str, frequent: np.ndarray, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """``kept`` columns with n, set, bits and prefix (the tokens that go into lists, in the global order); set is NULL without words."""
-    schema = T.StructType([*[docs.schema[c] for c in kept], *T._parse_datatype_string("n long, set long, bits binary, prefix array<long>").fields])
+    """``kept`` columns with n, set, bits, prefix (the tokens that go into lists, in the global order) and rare, how many of
+    these are not frequent; set is NULL without words."""
+    schema = T.StructType([*[docs.schema[c] for c in kept], *T._parse_datatype_string("n long, set long, bits binary, prefix array<long>, rare int").fields])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.pieces(batches):
-            n, sets, bits, prefix = [], [], [], []
+            n, sets, bits, prefix, rare = [], [], [], [], []
             for t in batch.column(text).to_pylist():
                 tokens = shingles(t, words)
                 n.append(len(tokens))
@@ -108,6 +128,7 @@ def document_sets(docs: DataFrame, kept: list[str], text: str, frequent: np.ndar
                     sets.append(None)
                     bits.append(None)
                     prefix.append(None)
+                    rare.append(0)
                     continue
                 sets.append(set_number(tokens))
                 bits.append(bitmap(tokens))
@@ -115,17 +136,87 @@ def document_sets(docs: DataFrame, kept: list[str], text: str, frequent: np.ndar
                 late = np.zeros(len(tokens), bool)
                 if len(frequent):
                     late = frequent[np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)] == tokens
-                prefix.append(np.concatenate([tokens[~late][:size], tokens[late]])[:size].view(np.int64))
-            yield pa.record_batch([*[batch.column(c) for c in kept], pa.array(n, pa.int64()), pa.array(sets, pa.int64()), pa.array(bits, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))], names=schema.names)
+                early = tokens[~late][:size]
+                prefix.append(np.concatenate([early, tokens[late]])[:size].view(np.int64))
+                rare.append(len(early))
+            columns = [pa.array(n, pa.int64()), pa.array(sets, pa.int64()), pa.array(bits, pa.binary()), pa.array(prefix, pa.list_(pa.int64())), pa.array(rare, pa.int32())]
+            yield pa.record_batch([*[batch.column(c) for c in kept], *columns], names=schema.names)
 
     return docs.select(*dict.fromkeys([*kept, text])).mapInArrow(cut, schema)
 
 
 def inverted_lists(sets: DataFrame) -> DataFrame:
-    """(token, set, n, pos, members) of all lists with two sets or more."""
-    spread = sets.where("set IS NOT NULL").select("set", "n", F.posexplode("prefix").alias("pos", "token")).repartition(common.shuffle_count(sets.sparkSession), "token")
-    once = spread.groupBy("token", "set").agg(F.min("n").alias("n"), F.min("pos").alias("pos"))  # copies have one place in a list
-    return once.withColumn("members", F.count("*").over(Window.partitionBy("token"))).where("members > 1")
+    """(token, set, n, pos) of all lists with two sets or more. ``sets`` is a written table with a row number ``_row``.
+
+    Copies in great number are left out before anything is dealt: a set with more than 1 in ``MOST_CROWDED`` of all rows, of which there are fewer
+    than ``MOST_CROWDED``, keeps its first row. Rare tokens meet in one shuffle by token; frequent ones are counted map-side.
+    """
+    total = sets.count()
+    copied = sets.where("set IS NOT NULL").groupBy("set").agg(F.count("*").alias("_n"), F.min("_row").alias("_first")).where(F.col("_n") > max(LEAST_CROWD, total // MOST_CROWDED))
+    first = sets.join(F.broadcast(copied), "set", "left").where("set IS NOT NULL AND (_first IS NULL OR _first = _row)")
+    spread = first.select("set", "n", "rare", F.posexplode("prefix").alias("pos", "token"))
+    placed = (F.shiftleft("n", PLACE_BITS) + F.col("pos")).alias("place")  # one number to deal instead of two
+
+    def once(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("token", "set").agg(F.min("place").alias("place"))  # copies have one place in a list
+
+    dealt = once(spread.where("pos < rare").select("token", "set", placed).repartition(common.shuffle_count(sets.sparkSession), "token"))
+    few = dealt.withColumn("_members", F.count("*").over(Window.partitionBy("token"))).where("_members > 1").drop("_members")
+    crowd = common.stored(once(spread.where("pos >= rare").select("token", "set", placed)), "frequent")
+    shared = crowd.groupBy("token").agg(F.count("*").alias("_members")).where("_members > 1").select("token")
+    both = few.unionByName(crowd.join(shared, "token"))
+    return both.select("token", "set", F.shiftright("place", PLACE_BITS).alias("n"), F.col("place").bitwiseAND((1 << PLACE_BITS) - 1).alias("pos"))
+
+
+def different_lists(lists: DataFrame) -> DataFrame:
+    """(token, set, n, pos): lists of the same members become one, with each member's first position in any of them.
+
+    Near copies share a hundred lists; a pair that an earlier position lets through in one of them is let through here.
+    """
+    members = lists.groupBy("token").agg(F.bit_xor(F.xxhash64("set")).alias("_x"), F.bit_xor(F.xxhash64("set", F.lit(1))).alias("_y"), F.count("*").alias("_n"))
+    named = lists.join(members.select("token", F.xxhash64("_x", "_y", "_n").alias("_list")), "token")
+    return named.groupBy(F.col("_list").alias("token"), "set").agg(F.min("n").alias("n"), F.min("pos").alias("pos"))
+
+
+def _open_pairs(table: pa.Table, percent: int, forest: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers (i, j) of pairs of different classes in a block of a list whose bitmaps do not rule them out.
+
+    ``forest``: only as many as join the classes that such pairs connect.
+    """
+    n, pos, part = (table[c].to_numpy() for c in ("n", "pos", "part"))
+    low, high = table["low"][0].as_py(), table["high"][0].as_py()
+    bits = table["bits"].to_pylist()
+    sizes = np.array([len(b) for b in bits])
+    label = np.unique(table["class"].to_numpy(), return_inverse=True)[1]
+    found_i: list[int] = []
+    found_j: list[int] = []
+    for size in np.unique(sizes[part == low]).tolist():
+        first = np.flatnonzero((part == low) & (sizes == size))
+        for other in (size // 2, size, size * 2):  # sets of further lengths cannot reach the threshold
+            second = np.flatnonzero((part == high) & (sizes == other))
+            if not len(second):
+                continue
+            one, two = (_folded([bits[i] for i in at], min(size, other)) for at in (first, second))
+            step = max(1, (1 << 21) // (len(second) * two.shape[1]))
+            for at in range(0, len(first), step):
+                rows = first[at : at + step]
+                need = _least_overlap(n[rows][:, None], n[second][None], percent)
+                reach = np.minimum((n - pos)[rows][:, None], (n - pos)[second][None]) >= need
+                differ = np.bitwise_count(one[at : at + step][:, None] ^ two[None]).sum(axis=2, dtype=np.int64)
+                open_ = reach & (differ <= n[rows][:, None] + n[second][None] - 2 * need)
+                if low == high:
+                    open_ &= rows[:, None] < second[None]
+                for k in np.flatnonzero(open_.any(axis=1)).tolist():
+                    i = int(rows[k])
+                    near = second[open_[k]]
+                    near = near[label[near] != label[i]]
+                    if forest and len(near):
+                        groups, single = np.unique(label[near], return_index=True)
+                        near = near[single]
+                        label[np.isin(label, groups)] = label[i]
+                    found_i += [i] * len(near)
+                    found_j += near.tolist()
+    return np.array(found_i, np.int64), np.array(found_j, np.int64)
 
 
 def _can_reach(n_a: Column, n_b: Column, pos_a: Column, pos_b: Column, percent: int) -> Column:
@@ -135,21 +226,18 @@ def _can_reach(n_a: Column, n_b: Column, pos_a: Column, pos_b: Column, percent:
 
 
 class Join:
-    """State of one join: lists, the sets in them, their texts, the pairs tested so far and the classes."""
+    """State of one join: lists, the sets in them, the pairs tested so far and the classes."""
 
     def __init__(self, docs: DataFrame, sets: DataFrame, key: Column, text: str, words: int, percent: int):
         self.words, self.percent = words, percent
-        self.lists = common.stored(inverted_lists(sets), "lists")
-        shared = self.lists.groupBy("set").agg(F.avg("members").alias("score"))
+        self.lists = common.stored(different_lists(common.stored(inverted_lists(sets), "lists")), "different")
+        sizes = self.lists.groupBy("token").agg(F.count("*").alias("members"))
+        shared = self.lists.join(sizes, "token").groupBy("set").agg(F.avg("members").alias("score"))
         first = F.min(F.struct("_key", "_text")).alias("first")
         self.members = common.stored(
             sets.where("set IS NOT NULL").groupBy("set").agg(first, F.min("n").alias("n"), F.min("bits").alias("bits")).join(shared, "set").select("set", "n", "bits", "score", "first.*"), "members"
         )
-        source = docs.select(key.alias("_key"), F.xxhash64(text).alias("_text"), F.col(text).alias("text"))
-        wanted = self.members.select("set", F.col("_key").alias("_k"), F.col("_text").alias("_t"))
-        self.texts = common.stored(
-            source.join(wanted, (F.col("_text") == F.col("_t")) & F.col("_key").eqNullSafe(F.col("_k"))).select("set", "text").dropDuplicates(["set"]), "texts"
-        )
+        self.source = docs.select(key.alias("_key"), F.xxhash64(text).alias("_text"), F.col(text).alias("text"))
         self.links: DataFrame | None = None
         self.tested: DataFrame | None = None
         self.classes: DataFrame | None = None
@@ -160,26 +248,47 @@ class Join:
         named = self.classes.select(F.col("id").alias("set"), F.col("root").alias("class"))
         return lists.join(named, "set", "left").withColumn("class", F.coalesce("class", "set"))
 
-    def test(self, pairs: DataFrame) -> bool:
-        """Compare pairs (a, b) of sets, a < b, first by bitmap, then by their texts; True if any pair was left to look at."""
-        percent, words = self.percent, self.words
-        fresh = pairs if self.tested is None else pairs.join(self.tested, ["a", "b"], "left_anti")
+    def texts_of(self, pairs: DataFrame) -> DataFrame:
+        """(set, text) of the sets in pairs, one text each. A short hash, with a bounded number of values, keeps most other texts out of the shuffle."""
+        sets = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
+        wanted = common.stored(self.members.select("set", F.col("_key").alias("_k"), F.col("_text").alias("_t")).join(sets, "set"), "wanted")
+
+        def short(c: str) -> Column:
+            return F.shiftrightunsigned(c, 64 - FILTER_BITS).cast("int").alias("_short")
+
+        few = self.source.withColumn("_short", short("_text")).join(F.broadcast(wanted.select(short("_t")).distinct()), "_short", "left_semi")
+        found = few.join(wanted, (F.col("_text") == F.col("_t")) & F.col("_key").eqNullSafe(F.col("_k")))
+        return common.stored(found.select("set", "text").dropDuplicates(["set"]), "texts")
+
+    def bounded(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that their bitmaps do not rule out."""
+        percent = self.percent
         bits = self.members.select("set", "n", "bits")
         one = bits.select(F.col("set").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
         two = bits.select(F.col("set").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
 
-        def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("bits_a", "bits_b"))
+                x, y = batch.column("bits_a").to_pylist(), batch.column("bits_b").to_pylist()
                 n_a, n_b = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
-                differ = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
-                open_ = differ <= n_a + n_b - 2 * _least_overlap(n_a, n_b, percent)
-                yield pa.record_batch([batch.column("a"), batch.column("b"), pa.array(open_)], names=["a", "b", "open"])
-
-        checked = common.stored(fresh.join(one, "a").join(two, "b").mapInArrow(bounded, "a long, b long, open boolean"), "pairs")
-        left, right = (self.texts.select(F.col("set").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
+                differ = np.zeros(batch.num_rows, np.int64)
+                kinds: dict[tuple[int, int], list[int]] = {}
+                for i, (u, v) in enumerate(zip(x, y, strict=True)):
+                    kinds.setdefault((len(u), len(v)), []).append(i)
+                for (u, v), at in kinds.items():
+                    differ[at] = np.bitwise_count(_folded([x[i] for i in at], min(u, v)) ^ _folded([y[i] for i in at], min(u, v))).sum(axis=1, dtype=np.int64)
+                yield batch.select(["a", "b"]).filter(pa.array(differ <= n_a + n_b - 2 * _least_overlap(n_a, n_b, percent)))
+
+        return pairs.join(one, "a").join(two, "b").mapInArrow(check, "a long, b long")
+
+    def test(self, pairs: DataFrame) -> None:
+        """Compare the sets of pairs (a, b), a < b, by their texts, and bring the classes up to date."""
+        percent, words = self.percent, self.words
+        fresh = common.stored(pairs if self.tested is None else pairs.join(self.tested, ["a", "b"], "left_anti"), "pairs")
+        texts = self.texts_of(fresh)
+        left, right = (texts.select(F.col("set").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
 
         def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kept: dict[int, np.ndarray] = {}
@@ -200,54 +309,73 @@ class Join:
                     linked.append(100 * both >= percent * (len(x) + len(y) - both))
                 yield pa.record_batch([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
-        exact = common.stored(checked.where("open").select("a", "b").join(left, "a").join(right, "b").mapInArrow(compared, "a long, b long, linked boolean"), "compared")
+        exact = common.stored(fresh.join(left, "a").join(right, "b").mapInArrow(compared, "a long, b long, linked boolean"), "compared")
         found = exact.where("linked").select("a", "b")
         self.links = found if self.links is None else self.links.union(found)
-        seen = checked.select("a", "b")
-        self.tested = seen if self.tested is None else self.tested.union(seen)
-        some = bool(checked.take(1))
-        if some and found.take(1):
+        self.tested = fresh if self.tested is None else self.tested.union(fresh)
+        if found.take(1):
             self.classes = common.stored(components(self.links), "classes")
-        return some
-
-    def against_pivots(self, turn: int) -> None:
-        """Test every set with the pivot that it shares most lists with."""
-        lists = self.with_class(self.lists)
-        score = self.members.select("set", F.col("score") if turn == 0 else F.pmod(F.xxhash64("set", F.lit(turn)), F.lit(1 << 30)).cast("double").alias("score"))
-        rated = lists.join(score, "set")
-        head = F.max(F.struct("score", "set", "class", "n", "pos")).alias("head")
-        pivots = rated.groupBy("token").agg(head, F.min("class").alias("_low"), F.max("class").alias("_high")).where("_low < _high").select("token", "head")
-        met = lists.join(pivots, "token").where((F.col("class") != F.col("head.class")) & _can_reach(F.col("n"), F.col("head.n"), F.col("pos"), F.col("head.pos"), self.percent))
+
+    def against_pivots(self) -> None:
+        """Test every set with the pivot that it shares most lists with; a list's pivot is the set whose lists are longest."""
+        rated = self.lists.join(self.members.select("set", "score"), "set")
+        pivots = rated.groupBy("token").agg(F.max(F.struct("score", "set", "n", "pos")).alias("head"))
+        met = self.lists.join(pivots, "token").where((F.col("set") != F.col("head.set")) & _can_reach(F.col("n"), F.col("head.n"), F.col("pos"), F.col("head.pos"), self.percent))
         shares = met.groupBy("set", F.col("head.set").alias("pivot")).agg(F.count("*").alias("shared"))
         best = shares.groupBy("set").agg(F.max(F.struct("shared", "pivot")).alias("best"))
-        self.test(best.select(F.least("set", "best.pivot").alias("a"), F.greatest("set", "best.pivot").alias("b")).distinct())
+        self.test(self.bounded(best.select(F.least("set", "best.pivot").alias("a"), F.greatest("set", "best.pivot").alias("b")).distinct()))
+
+    def across_classes(self, forest: bool) -> None:
+        """Test pairs of different classes that meet in a list: with ``forest`` only what could join the classes, else all that are left.
 
-    def across_classes(self, each: int) -> bool:
-        """Test up to ``each`` further pairs of every set with every other class that it meets in a list."""
+        A list is compared in blocks of bounded size by its bitmaps, and only pairs that these leave open come out.
+        """
+        percent = self.percent
         named = self.with_class(self.lists)
-        mixed = named.groupBy("token").agg(F.min("class").alias("_low"), F.max("class").alias("_high")).where("_low < _high").select("token")
-        open_lists = common.stored(named.join(mixed, "token").select("token", "set", "n", "pos", "class"), "open")
-        one = open_lists.select("token", *(F.col(c).alias(f"{c}_a") for c in ("set", "n", "pos", "class")))
-        two = open_lists.select("token", *(F.col(c).alias(f"{c}_b") for c in ("set", "n", "pos", "class")))
-        ahead = _can_reach(F.col("n_a"), F.col("n_b"), F.col("pos_a"), F.col("pos_b"), self.percent)
-        met = one.join(two, "token").where((F.col("set_a") < F.col("set_b")) & (F.col("class_a") != F.col("class_b")) & ahead)
-        pairs = met.groupBy(F.col("set_a").alias("a"), F.col("set_b").alias("b")).agg(F.count("*").alias("shared"), F.first("class_b").alias("class_b"))
-        pairs = pairs if self.tested is None else pairs.join(self.tested, ["a", "b"], "left_anti")
-        place = F.row_number().over(Window.partitionBy("a", "class_b").orderBy(F.desc("shared"), "b"))
-        return self.test(pairs.withColumn("_place", place).where(F.col("_place") <= each).select("a", "b"))
+        mixed = named.groupBy("token").agg(F.min("class").alias("_low"), F.max("class").alias("_high"), F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("_blocks")).where("_low < _high")
+        rows = named.join(mixed.select("token", "_blocks"), "token").join(self.members.select("set", "bits"), "set")
+        parted = rows.withColumn("part", F.pmod(F.xxhash64("set"), F.col("_blocks")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+        paired = parted.select("token", F.least("part", "_other").alias("low"), F.greatest("part", "_other").alias("high"), "part", "set", "class", "n", "pos", "bits")
+        key = ["token", "low", "high"]
+        dealt = paired.repartition(common.shuffle_count(self.lists.sparkSession), *key).sortWithinPartitions(*key, "set")
+
+        def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+            held: list[pa.RecordBatch] = []
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                columns = [batch.column(c).to_numpy() for c in key]
+                edges = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in columns])) + 1
+                if held and any(held[-1].column(c)[-1].as_py() != batch.column(c)[0].as_py() for c in key):
+                    yield pa.Table.from_batches(held)
+                    held = []
+                for start, stop in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows], strict=True):
+                    held.append(batch.slice(start, stop - start))
+                    if stop < batch.num_rows:
+                        yield pa.Table.from_batches(held)
+                        held = []
+            if held:
+                yield pa.Table.from_batches(held)
+
+        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for table in blocks(batches):
+                i, j = _open_pairs(table, percent, forest)
+                sets = table["set"].to_numpy()
+                if len(i):
+                    yield pa.record_batch([pa.array(np.minimum(sets[i], sets[j])), pa.array(np.maximum(sets[i], sets[j]))], names=["a", "b"])
+
+        self.test(dealt.mapInArrow(compare, "a long, b long").distinct())
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(key, n_shingles, set, component_id, text_hash) for every row; set and component's other members are NULL without words."""
     frequent = frequent_tokens(docs, text, words)
     rows = docs.select(F.col(key).alias("_key"), F.xxhash64(text).alias("_text"), F.col(text).alias("text"))
-    sets = common.stored(document_sets(rows, ["_key", "_text"], "text", frequent, words, percent), "sets")
+    sets = common.stored(document_sets(rows, ["_key", "_text"], "text", frequent, words, percent).withColumn("_row", F.monotonically_increasing_id()), "sets")
     join = Join(docs, sets, F.col(key), text, words, percent)
-    for turn in range(3):
-        join.against_pivots(turn)
-    each = 1
-    while join.across_classes(each):
-        each *= 8
+    join.against_pivots()
+    join.across_classes(forest=True)
+    join.across_classes(forest=False)
     named = sets.select("_key", "_text", "n", "set")
     if join.classes is None:
         named = named.withColumn("root", F.col("set"))

@@ -14,7 +14,7 @@ Texts are known by a 64-bit hash; NULL and empty texts have no bytes, texts shor
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -30,7 +30,7 @@ TOKEN = 32
 SEGMENT = 1 << 20
 MOST_CONTEXTS = 50_000  # different contexts of one token that are sorted in one task
 SLICE = 8
-CHUNK_WINDOWS = 1_500_000
+CHUNK_WINDOWS = 250_000
 CROWD_PART = 16  # one in so many texts is looked at for crowded tokens
 MOST_CROWDED = 10_000
 LEAST_CROWD = 50
@@ -158,6 +158,7 @@ def found_anchors(texts: DataFrame, length: int) -> DataFrame:
             if joined:
                 yield pa.record_batch([*map(pa.array, joined[:7]), pa.array(joined[7], mask=joined[7] < 0)], names=["text_key", "token", "context", "first", "strings", "back", "inside", "stop"])
 
+    common.short_batches(texts.sparkSession)
     return texts.mapInArrow(cut, FOUND)
 
 
@@ -340,7 +341,8 @@ def text_key(text: Column) -> Column:
 
 
 def kept_bytes(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
-    """(text_key, removed, kept) of every different text that loses bytes: spans as an array of (start, stop), and the remaining bytes."""
+    """(text_key, removed, kept, text) of every different text that loses bytes: spans as an array of (start, stop), the remaining bytes,
+    and these as text, without the characters that a span cut in two."""
     texts = docs.select(text_key(F.col(text)).alias("text_key"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
     spans, candidates = repeated_spans(texts, length)
     runs = spans.groupBy("text_key").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
@@ -354,9 +356,10 @@ def kept_bytes(docs: DataFrame, text: str = "text", length: int = LENGTH) -> Dat
                 edges = [0, *(e for run in merged for e in run), len(data)]
                 kept.append(b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
                 removed.append([{"start": a, "stop": b} for a, b in merged])
-            yield pa.record_batch([batch.column("text_key"), pa.array(removed, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array(kept, pa.binary())], names=["text_key", "removed", "kept"])
+            spans = pa.array(removed, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))
+            yield pa.record_batch([batch.column("text_key"), spans, pa.array(kept, pa.binary()), pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())], names=["text_key", "removed", "kept", "text"])
 
-    return candidates.join(runs, "text_key").select("text_key", "text", "spans").mapInArrow(drop, "text_key long, removed array<struct<start: long, stop: long>>, kept binary")
+    return candidates.join(runs, "text_key").select("text_key", "text", "spans").mapInArrow(drop, "text_key long, removed array<struct<start: long, stop: long>>, kept binary, text string")
 
 
 def summary(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -371,14 +374,8 @@ def summary(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     )
 
 
-def without_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, decode: Callable[[Column], Column] | None = None) -> DataFrame:
+def without_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
     """``docs`` with the repeated bytes taken out of their texts; a character cut in two goes as a whole. All rows stay, also those left empty."""
-    taken = kept_bytes(docs, text, length)
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.pieces(batches):
-            yield pa.record_batch([batch.column("text_key"), pa.array([v.as_py().decode("utf-8", "ignore") for v in _large(batch, "kept")], pa.string())], names=["text_key", "_kept"])
-
-    left = common.stored(taken.select("text_key", "kept").mapInArrow(read, "text_key long, _kept string"), "left")
-    joined = docs.withColumn("_text_key", text_key(F.col(text))).join(left.withColumnRenamed("text_key", "_text_key"), "_text_key", "left")
+    left = common.stored(kept_bytes(docs, text, length).select(F.col("text_key").alias("_text_key"), F.col("text").alias("_kept")), "left")
+    joined = docs.withColumn("_text_key", text_key(F.col(text))).join(left, "_text_key", "left")
     return joined.withColumn(text, F.when(F.col("_kept").isNotNull(), F.col("_kept")).otherwise(F.col(text))).select(*docs.columns)

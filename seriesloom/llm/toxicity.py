@@ -29,7 +29,7 @@ MOST_TERMS = 4096
 LEXICON_VOTERS = 48
 LEAST_ROWS = 3
 MARK_ACCURACY = 0.97
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 
 _WORD = regex.compile(r"[^\W\d_]+")
 _PATTERNS = {
@@ -99,6 +99,7 @@ def associated_terms(sample: DataFrame, most: int = MOST_TERMS, least: int = LEA
             toxic = [seen[1][t] for t in terms]
             yield pa.record_batch([pa.array(terms, pa.string()), pa.array([seen[0][t] + x for t, x in zip(terms, toxic, strict=True)], pa.int64()), pa.array(toxic, pa.int64())], names=["term", "n", "toxic"])
 
+    common.short_batches(sample.sparkSession)
     total = sample.agg(F.count("*").alias("n"), F.sum("y").alias("toxic")).first()
     if not total["toxic"] or total["toxic"] == total["n"]:
         return []
@@ -254,6 +255,7 @@ def fit(sample: DataFrame) -> Model:
 
 def scored(docs: DataFrame, model: Model, cut: float = 0.5, text: str = "text") -> DataFrame:
     """``docs`` with score and predicted (1 from ``cut`` on); columns of these names are replaced."""
+    common.short_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c not in ("score", "predicted")]
     schema = T.StructType([*[docs.schema[c] for c in kept], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 

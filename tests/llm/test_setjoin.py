@@ -57,3 +57,17 @@ def test_empty_table(no_docs):
 @pytest.mark.parametrize("n", [1, 2, 5, 9, 10, 11, 600])
 def test_prefix_length(n):
     assert setjoin.prefix_length(n) == n - -(-4 * n // 5) + 1 == n + 80 * -n // 100 + 1
+
+
+def test_bitmaps_bound_the_difference():
+    import numpy as np
+
+    rnd = np.random.default_rng(1)
+    for n in (3, 500, 520, 3000, 40_000):
+        a = rnd.integers(0, 2**63, n).astype(np.uint64)
+        b = np.concatenate([a[: n - n // 9], rnd.integers(0, 2**63, n // 5).astype(np.uint64)])
+        x, y = setjoin.bitmap(a), setjoin.bitmap(b)
+        size = min(len(x), len(y))
+        differ = int(np.bitwise_count(setjoin._folded([x], size) ^ setjoin._folded([y], size)).sum())
+        true = len(np.setxor1d(a, b))
+        assert differ <= true and (n > 16_000 or differ >= 0.6 * true)
