@@ -43,10 +43,11 @@ def short_batches(spark: SparkSession) -> None:
 
 
 def pieces(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Arrow batches cut into short ones, so that Python copies of long texts stay few at a time."""
+    """Arrow batches cut into short ones, so that Python copies of long texts stay few at a time; at the end Arrow gives its free memory back."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()
 
 
 def ascii_lower(text: str) -> str:

@@ -100,6 +100,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, window: int = WINDOW, separat
                     ids.append(found[at : at + window].tobytes())
             keys = batch.column("doc_id").take(pa.array(rows, pa.int64()))
             yield pa.record_batch([keys, pa.array(starts, pa.int64()), pa.array(totals, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "start", "doc_tokens", "ids"])
+        words.chunks.clear()  # workers live on for other stages
 
     return docs.select("doc_id", "text").mapInArrow(cut, schema)
 
