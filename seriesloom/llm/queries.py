@@ -72,3 +72,8 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.summary(table(spark, sf_dir, "documents"))
+
+
+SQL["op5_repeats"] = suffixes.SQL
+SQL["op8_near_documents"] = setjoin.SQL
+SQL["op10_near_vectors"] = vectors.SQL

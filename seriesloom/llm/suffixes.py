@@ -379,3 +379,18 @@ def without_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH) -
     left = common.stored(kept_bytes(docs, text, length).select(F.col("text_key").alias("_text_key"), F.col("text").alias("_kept")), "left")
     joined = docs.withColumn("_text_key", text_key(F.col(text))).join(left, "_text_key", "left")
     return joined.withColumn(text, F.when(F.col("_kept").isNotNull(), F.col("_kept")).otherwise(F.col(text))).select(*docs.columns)
+
+
+#: The same in SQL, over the hexadecimal digits of the bytes; ids are unique in the table.
+SQL = r"""
+WITH d AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents),
+p AS (SELECT doc_id, h, unnest(range(greatest(0, len(h) // 2 - 199))) AS p FROM d),
+k AS (SELECT doc_id, p, md5_number(substr(h, CAST(2 * p + 1 AS BIGINT), 400)) AS k FROM p),
+rep AS (SELECT doc_id, p FROM (SELECT *, count(*) OVER (PARTITION BY k) AS n FROM k) WHERE n > 1),
+runs AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM (SELECT *, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 200 THEN 0 ELSE 1 END AS new FROM rep)),
+spans AS (SELECT doc_id, min(p) AS s, max(p) + 200 AS e FROM runs GROUP BY doc_id, run),
+edges AS (SELECT doc_id, e AS s, lead(s, 1, 1000000000) OVER (PARTITION BY doc_id ORDER BY s) AS e FROM (SELECT doc_id, s, e FROM spans UNION ALL SELECT doc_id, -1, 0 FROM d)),
+kept AS (SELECT doc_id, string_agg(substr(h, CAST(2 * s + 1 AS BIGINT), CAST(2 * (least(e, len(h) // 2) - s) AS BIGINT)), '' ORDER BY s) AS h FROM edges JOIN d USING (doc_id) WHERE least(e, len(h) // 2) > s GROUP BY 1)
+SELECT d.doc_id, CAST(len(d.h) // 2 AS BIGINT) AS n_bytes, CAST(len(d.h) // 2 - coalesce(len(kept.h), 0) // 2 AS BIGINT) AS n_removed, (SELECT count(*) FROM spans s WHERE s.doc_id = d.doc_id) AS n_spans,
+  sha256(unhex(coalesce(kept.h, ''))) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+"""
