@@ -24,7 +24,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     It cuts the lineage, survives lost executors, keeps column pruning, and gives Spark the size for its joins.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
