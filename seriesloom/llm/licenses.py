@@ -1,8 +1,8 @@
 """Licence statements in documents, by a positional index of rare template words.
 
-The postings of the templates say which word stands where. In a document that holds all words of some template's mandatory phrases, the template words with the highest
-inverse document frequency are looked up; every place of such a word and every posting give a shift of the template against the text, and a shift that enough words agree on is a candidate.
-It stands if all mandatory phrases of the template are found at it, word for word; its score is the share of template words at their places.
+The postings say at which place of which template a word stands. Each template has one: the word of its mandatory phrases with the highest inverse document
+frequency. In a document that holds all words of a template's mandatory phrases, every place of that word gives a shift of the template against the text. The template stands
+there if all its mandatory phrases are found at the shift, word for word, so no statement is missed; all places where it stands are returned, scored by the share of template words at their places.
 Base phrases are found wherever their words stand consecutively.
 
 NULL texts are empty; texts without words or licences have no labels and score 0. Repeated rows are alike; other columns are not looked at.
@@ -22,8 +22,6 @@ from pyspark.sql import types as T
 
 from seriesloom.llm import common
 
-RARE_WORDS = 6
-
 _WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 # Base phrases and their labels.
@@ -84,42 +82,31 @@ class Template:
 
 
 class Index:
-    """Postings of template words by position."""
+    """Postings of the rarest mandatory word of every template."""
 
-    def __init__(self, templates: list[Template], idf: dict[bytes, float], rare_words: int = RARE_WORDS):
-        self.templates, self.rare_words = templates, rare_words
+    def __init__(self, templates: list[Template], idf: dict[bytes, float]):
+        self.templates = templates
         self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
         for number, template in enumerate(templates):
-            for at, word in enumerate(template.words):
-                self.postings[word].append((number, at))
-        self.idf = {w: idf.get(w, math.inf) for w in self.postings}
+            mandatory = [(idf.get(w, math.inf), w, at + i) for at, phrase in template.phrases for i, w in enumerate(phrase)]
+            _, word, place = max(mandatory)
+            self.postings[word].append((number, place))
         self.needed = [{w for _, phrase in t.phrases for w in phrase} for t in templates]
 
     def matches(self, words: list[bytes], different: set[bytes]) -> list[tuple[str, int, int, float]]:
-        """(label, start, stop, share of template words in place), best first, of the templates that stand in the text."""
-        open_ = {number for number, needed in enumerate(self.needed) if needed <= different}
-        if not open_:
-            return []
-        known = {w for number in open_ for w in self.templates[number].words} & different
-        looked_up = sorted(known, key=lambda w: (-self.idf[w], w))[: self.rare_words]
-        votes: Counter[tuple[int, int]] = Counter()
-        for word in looked_up:
-            for at in places(words, [word]):
-                for number, place in self.postings[word]:
-                    if number in open_:
-                        votes[number, at - place] += 1
-        best: dict[str, tuple[str, int, int, float]] = {}
-        for (number, shift), agreed in votes.items():
-            template = self.templates[number]
-            if agreed < min(2, len(template.words)):
-                continue
-            if any(shift + at < 0 or tuple(words[shift + at : shift + at + len(phrase)]) != phrase for at, phrase in template.phrases):
-                continue
-            share = sum(0 <= shift + i < len(words) and words[shift + i] == w for i, w in enumerate(template.words)) / len(template.words)
-            match = (template.label, max(0, shift), min(len(words), shift + len(template.words)), share)
-            if template.label not in best or (match[3], -match[1]) > (best[template.label][3], -best[template.label][1]):
-                best[template.label] = match
-        return sorted(best.values(), key=lambda m: (-m[3], m[0]))
+        """(label, start, stop, share of template words in place), best first, of every place where a template stands in the text."""
+        best: dict[tuple[str, int, int], float] = {}
+        for word in self.postings.keys() & different:
+            open_ = [(number, place) for number, place in self.postings[word] if self.needed[number] <= different]
+            for at in places(words, [word]) if open_ else ():
+                for number, place in open_:
+                    template, shift = self.templates[number], at - place
+                    if any(shift + i < 0 or tuple(words[shift + i : shift + i + len(phrase)]) != phrase for i, phrase in template.phrases):
+                        continue
+                    share = sum(0 <= shift + i < len(words) and words[shift + i] == w for i, w in enumerate(template.words)) / len(template.words)
+                    stands = (template.label, max(0, shift), min(len(words), shift + len(template.words)))
+                    best[stands] = max(share, best.get(stands, 0.0))
+        return sorted(((*stands, share) for stands, share in best.items()), key=lambda m: (-m[3], m[0], m[1], m[2]))
 
 
 def document_frequencies(docs: DataFrame, vocabulary: set[bytes], text: str = "text") -> dict[bytes, float]:

@@ -1,3 +1,4 @@
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -53,5 +54,40 @@ def test_spans(spark):
     assert (match.label, match.start, match.stop, match.share) == ("gpl-3", 2, 14, 1.0)
 
 
+STATEMENTS = [text for _, text, _ in licenses.TEMPLATES]
+
+
+def plain_matches(text):
+    """Every template at every shift."""
+    words, found = licenses.words_of(text), {}
+    for t in (licenses.Template.of(*t) for t in licenses.TEMPLATES):
+        for shift in range(-len(t.words), len(words)):
+            if all(shift + at >= 0 and tuple(words[shift + at : shift + at + len(p)]) == p for at, p in t.phrases):
+                share = sum(0 <= shift + i < len(words) and words[shift + i] == w for i, w in enumerate(t.words)) / len(t.words)
+                key = (t.label, max(0, shift), min(len(words), shift + len(t.words)))
+                found[key] = max(share, found.get(key, 0))
+    return sorted((*k, v) for k, v in found.items())
+
+
+def test_several_licences_under_skewed_frequencies(spark):
+    """Two to five statements in a text, also cut or repeated; all words of one, then of another template are rare."""
+    rnd = random.Random(3)
+    texts = [f"{STATEMENTS[9]}. It is {STATEMENTS[7]}."]
+    texts += [" and ".join(s if rnd.random() < 0.7 else s.rsplit(" ", 1)[0] for s in rnd.choices(STATEMENTS, k=rnd.randrange(2, 6))) for _ in range(40)]
+    frequent = [" ".join(s.split()[::-1]) for i, s in enumerate(STATEMENTS) if i not in (9, 11, 12)]
+    docs = spark.createDataFrame(list(enumerate(texts + frequent * 30)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in licenses.scan(docs).where(F.col("doc_id") < len(texts)).collect()}
+    assert {m.label for m in rows[0].matches} == {"bsd", "lgpl"}
+    for i, text in enumerate(texts):
+        assert sorted(map(tuple, rows[i].matches)) == plain_matches(text)
+    known = [licenses.Template.of(*t) for t in licenses.TEMPLATES]
+    vocabulary = sorted({w for t in known for w in t.words})
+    for _ in range(20):
+        index = licenses.Index(known, {w: rnd.expovariate(1) for w in vocabulary})
+        for text in texts:
+            words = licenses.words_of(text)
+            assert sorted(index.matches(words, set(words))) == plain_matches(text)
+
+
 def test_empty_table(no_docs):
     assert licenses.summary(no_docs).collect() == []
