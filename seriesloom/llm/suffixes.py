@@ -31,7 +31,7 @@ SEGMENT = 1 << 20
 MOST_CONTEXTS = 50_000  # different contexts of one token that are sorted in one task
 SLICE = 8
 CHUNK_WINDOWS = 250_000
-CROWD_PART = 16  # one in so many texts is looked at for crowded tokens
+CROWD_PART = 16  # one in so many anchors is looked at for crowded tokens
 MOST_CROWDED = 10_000
 LEAST_CROWD = 50
 
@@ -163,8 +163,8 @@ def found_anchors(texts: DataFrame, length: int) -> DataFrame:
 
 
 def crowded_tokens(found: DataFrame, part: int = CROWD_PART, most: int = MOST_CROWDED) -> DataFrame:
-    """Tokens that hold more than 1 in ``most`` of the anchors of a sample of texts; fewer than ``most`` by that rule."""
-    sample = found.where(F.pmod(F.xxhash64("text_key"), F.lit(part)) == 0)
+    """Tokens that hold more than 1 in ``most`` of a sample of anchors; fewer than ``most`` by that rule. Every copy of a text is drawn for itself."""
+    sample = found.sample(1 / part, seed=7)
     total = sample.count()
     return found.sparkSession.createDataFrame(
         sample.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > max(LEAST_CROWD, total // most)).select("token").collect(), "token long"
@@ -174,8 +174,8 @@ def crowded_tokens(found: DataFrame, part: int = CROWD_PART, most: int = MOST_CR
 def meeting_anchors(found: DataFrame) -> DataFrame:
     """Anchors of a written table whose token occurs again, with ``copies`` of their context, ``contexts`` of their token, and ``lead`` for one row of each context.
 
-    Most tokens have a few anchors, and one shuffle by token brings these together. The anchors of crowded tokens stay where they
-    are: they are counted map-side by context and by token, and the counts are joined back.
+    Most tokens have a few anchors, and one shuffle by token brings these together. The anchors of crowded tokens are counted map-side,
+    first the copies of a text, which become one row, then by context and by token, and the counts are joined back.
     """
     crowded = F.broadcast(crowded_tokens(found))
     dealt = found.join(crowded, "token", "left_anti").repartition(common.shuffle_count(found.sparkSession), "token")
@@ -184,11 +184,13 @@ def meeting_anchors(found: DataFrame) -> DataFrame:
     together = Window.partitionBy("token")
     counted = numbered.withColumn("contexts", F.sum(F.col("lead").cast("long")).over(together)).withColumn("_all", F.count("*").over(together))
     few = counted.where("_all > 1").drop("_all")
-    many = found.join(crowded, "token", "left_semi")
-    twice = F.count("*") + F.max(F.col("inside").cast("long"))
+    same = [F.first(c).alias(c) for c in ("first", "strings", "back")]
+    many = found.join(crowded, "token", "left_semi").groupBy("text_key", "token", "context").agg(*same, F.max("inside").alias("inside"), F.count("*").alias("_rows"))
+    many = common.stored(many, "crowds")
+    twice = F.sum("_rows") + F.max(F.col("inside").cast("long"))
     contexts = common.stored(many.groupBy("token", "context").agg(twice.alias("copies"), F.min(F.struct("text_key", "first")).alias("_lead")), "contexts_of_crowds")
     tokens = contexts.groupBy("token").agg(F.count("*").alias("contexts"), F.sum("copies").alias("_all")).where("_all > 1").drop("_all")
-    back = many.join(contexts.join(tokens, "token"), ["token", "context"])
+    back = many.drop("_rows").join(contexts.join(tokens, "token"), ["token", "context"])
     lead = (F.col("text_key") == F.col("_lead.text_key")) & (F.col("first") == F.col("_lead.first"))
     return few.unionByName(back.withColumn("lead", lead).drop("_lead"))
 

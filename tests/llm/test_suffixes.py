@@ -53,6 +53,24 @@ def test_crowded_tokens_are_sliced(spark, monkeypatch):
     assert spans[3] == spans[50_000]
 
 
+def test_copies_have_one_lead(spark, monkeypatch):
+    """Tokens of a copied text are crowded however its key falls, and each of its contexts is read once."""
+    rnd = random.Random(9)
+    bases = ["".join(rnd.choice("abcdefgh ") for _ in range(600)) for _ in range(4)]
+    texts = spark.createDataFrame(enumerate(bases), "n long, text string").crossJoin(spark.range(2000)).select(suffixes.text_key(F.col("text")).alias("text_key"), F.col("text").cast("binary").alias("text"))
+    found = suffixes.found_anchors(texts, 200).where("stop IS NULL").drop("stop").localCheckpoint()
+    crowded = suffixes.crowded_tokens(found)
+    assert crowded.count() == found.select("token").distinct().count()
+    monkeypatch.setattr(suffixes, "crowded_tokens", lambda _: crowded)
+    rows = [(i, bases[0]) for i in range(40)] + [(50, bases[0][:400] + "x" + bases[0][401:])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    keyed = docs.select(suffixes.text_key(F.col("text")).alias("text_key"), F.col("text").cast("binary").alias("text"))
+    hits = suffixes.meeting_anchors(suffixes.found_anchors(keyed, 200).where("stop IS NULL").drop("stop").localCheckpoint())
+    assert {r["count"] for r in hits.where("lead").groupBy("token", "context").count().collect()} == {1}
+    assert {r.copies for r in hits.collect()} <= {1, 40, 41}
+    check(docs, rows)
+
+
 def test_segments_of_long_texts(spark, monkeypatch):
     rnd = random.Random(4)
     data = np.frombuffer(bytes(rnd.choice(b"abcdef") for _ in range(5000)), np.uint8)
