@@ -5,15 +5,14 @@ Every byte covered by a string of ``length`` bytes that also starts anywhere els
 Suffixes are sorted not at every byte but at anchors that any two equal strings share: of a string's 32-byte tokens the one with the smallest hash, the leftmost of
 equals. All strings with one anchor are read from one stretch of text around it, its context. Anchors are dealt by their leading
 token; a stretch that occurs twice there covers all its strings. What differs is fetched as bytes, range-partitioned by leading token with sampled
-splitters, and each bucket sorts the strings by multikey quicksort (token, offset, hashes of the two halves); equal neighbours repeat. A token
-with very many different contexts is cut into slices of a few offsets, dealt by the bytes that a slice's strings share, so that equal strings still meet.
+splitters, and each bucket sorts the strings by multikey quicksort (token, offset, hashes of the two halves); equal neighbours repeat. The strings of a
+token with very many different contexts do not meet in one task: they are counted map-side by the same four values, and the counts are joined back.
 
 Texts are known by a 64-bit hash; NULL and empty texts have no bytes, texts shorter than ``length`` lose none. Repeated rows repeat each other in full.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,7 +28,7 @@ LENGTH = 200
 TOKEN = 32
 SEGMENT = 1 << 20
 MOST_CONTEXTS = 50_000  # different contexts of one token that are sorted in one task
-SLICE = 8
+HOT_COPIES = 10_000  # strings with more copies are joined by broadcast: fewer than 1 in so many
 CHUNK_WINDOWS = 250_000
 CROWD_PART = 16  # one in so many anchors is looked at for crowded tokens
 MOST_CROWDED = 10_000
@@ -195,9 +194,14 @@ def meeting_anchors(found: DataFrame) -> DataFrame:
     return few.unionByName(back.withColumn("lead", lead).drop("_lead"))
 
 
-def _context_rows(texts: DataFrame, wanted: DataFrame, length: int, most: int) -> DataFrame:
-    """Bytes around the wanted anchors; those of crowded tokens in slices of offsets, dealt by the bytes all strings of a slice share."""
-    asked = wanted.groupBy("text_key").agg(F.collect_list(F.struct("token", "first", "strings", "back", (F.col("contexts") > most).alias("sliced"), (F.col("copies") > 1).alias("whole"))).alias("asked"))
+def _asked(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(text_key, text, asked) of the texts that hold wanted anchors."""
+    asked = wanted.groupBy("text_key").agg(F.collect_list(F.struct("token", "first", "strings", "back", (F.col("copies") > 1).alias("whole"))).alias("asked"))
+    return texts.join(asked, "text_key").select("text_key", "text", "asked")
+
+
+def _context_rows(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
+    """Bytes around the wanted anchors."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.pieces(batches, 128):
@@ -205,30 +209,56 @@ def _context_rows(texts: DataFrame, wanted: DataFrame, length: int, most: int) -
             for key, value, asked_here in zip(batch.column("text_key").to_pylist(), _large(batch, "text"), batch.column("asked").to_pylist(), strict=True):
                 data = value.as_py()
                 for x in asked_here:
-                    step = SLICE if x["sliced"] else x["strings"]
-                    for at in range(0, x["strings"], step):
-                        n = min(step, x["strings"] - at)
-                        start = x["first"] + at
-                        offset = at - x["back"]  # of the first string, from the anchor
-                        if x["sliced"]:  # slices start at fixed offsets from the anchor
-                            raise_to = -(offset % SLICE) % SLICE
-                            cuts = [0, *range(raise_to or SLICE, n, SLICE), n]
-                        else:
-                            cuts = [0, n]
-                        for low, high in zip(cuts, cuts[1:], strict=False):
-                            block = (offset + low) // SLICE if x["sliced"] else 0
-                            shared = 0
-                            if x["sliced"]:  # the bytes of every string with an offset in this block
-                                core_at = start + low - (offset + low) + block * SLICE + SLICE - 1
-                                core = data[core_at : core_at + length - SLICE + 1]
-                                shared = int.from_bytes(hashlib.blake2b(core, digest_size=8).digest(), "little", signed=True)
-                            rows.append((x["token"], block, shared, key, start + low, high - low, offset + low, x["whole"], data[start + low : start + high - 1 + length]))
-            columns = list(zip(*rows, strict=True)) or [()] * 9
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["token", "block", "shared", "text_key", "start", "strings", "offset", "whole", "bytes"])
-
-    joined = texts.join(asked, "text_key").select("text_key", "text", "asked")
-    return joined.mapInArrow(cut, "token long, block int, shared long, text_key long, start long, strings int, offset int, whole boolean, bytes binary")
+                    rows.append((x["token"], key, x["first"], x["strings"], -x["back"], x["whole"], data[x["first"] : x["first"] + x["strings"] - 1 + length]))
+            columns = list(zip(*rows, strict=True)) or [()] * 7
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["token", "text_key", "start", "strings", "offset", "whole", "bytes"])
+
+    return _asked(texts, wanted).mapInArrow(cut, "token long, text_key long, start long, strings int, offset int, whole boolean, bytes binary")
+
+
+def _string_rows(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
+    """Every string at the wanted anchors: token, offset from the anchor, and the hashes of its halves."""
+    half = length // 2
+    names = ["token", "offset", "high", "low", "text_key", "start", "whole"]
+
+    def hashed(held: list[tuple]) -> pa.RecordBatch:
+        token, key, first, count, offset, whole, data = ([x[i] for x in held] for i in range(7))
+        size = np.array(count) - 1 + length
+        row = np.repeat(np.arange(len(held)), count)
+        within = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        at = np.repeat(np.cumsum(size) - size, count) + within
+        rolling = Rolling(np.frombuffer(b"".join(data), np.uint8))
+        columns = [np.array(token, np.int64)[row], (np.array(offset)[row] + within).astype(np.int32), rolling.at(at, half).view(np.int64), rolling.at(at + half, length - half).view(np.int64)]
+        columns += [np.array(key, np.int64)[row], np.array(first, np.int64)[row] + within, np.array(whole, bool)[row]]
+        return pa.record_batch([pa.array(c) for c in columns], names=names)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        windows = 0
+        for batch in common.pieces(batches, 128):
+            for key, value, asked_here in zip(batch.column("text_key").to_pylist(), _large(batch, "text"), batch.column("asked").to_pylist(), strict=True):
+                data = value.as_py()
+                for x in asked_here:
+                    held.append((x["token"], key, x["first"], x["strings"], -x["back"], x["whole"], data[x["first"] : x["first"] + x["strings"] - 1 + length]))
+                    windows += x["strings"]
+                    if windows >= CHUNK_WINDOWS:
+                        yield hashed(held)
+                        held, windows = [], 0
+        if held:
+            yield hashed(held)
+
+    return _asked(texts, wanted).mapInArrow(cut, "token long, offset int, high long, low long, text_key long, start long, whole boolean")
+
+
+def counted_strings(strings: DataFrame, length: int, hot: int = HOT_COPIES) -> DataFrame:
+    """Spans of the strings of a written table that occur twice. No task holds the copies of one string: they are counted map-side, and those of frequent ones stay where they are."""
+    alike = ["token", "offset", "high", "low"]
+    twice = common.stored(strings.groupBy(*alike).agg(F.count("*").alias("n")).where("n > 1"), "repeated_strings")
+    frequent = F.broadcast(twice.where(F.col("n") > hot).drop("n"))
+    left = strings.where("NOT whole")
+    hits = left.join(frequent, alike, "left_semi").union(left.join(frequent, alike, "left_anti").join(twice.where(F.col("n") <= hot).drop("n"), alike, "left_semi"))
+    return hits.select("text_key", "start", (F.col("start") + length).alias("stop"))
 
 
 def multikey_order(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -279,24 +309,24 @@ def _spans(keys: np.ndarray, begin: np.ndarray, length: int) -> pa.RecordBatch:
 
 def sorted_buckets(contexts: DataFrame, length: int) -> DataFrame:
     """Spans of the strings that occur in two contexts of a token."""
-    dealt = contexts.repartitionByRange(common.shuffle_count(contexts.sparkSession), "token", "block", "shared").sortWithinPartitions("token", "block", "shared")
+    dealt = contexts.repartitionByRange(common.shuffle_count(contexts.sparkSession), "token").sortWithinPartitions("token")
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-        """Whole groups of a token (and slice), some at a time."""
+        """Whole groups of a token, some at a time; a group that is not whole yet is looked at again when it has doubled."""
         held: list[pa.RecordBatch] = []
-        windows = 0
+        windows, due = 0, CHUNK_WINDOWS
         for batch in common.pieces(batches, 2048):
             held.append(batch)
             windows += int(np.sum(batch.column("strings").to_numpy()))
-            if windows >= CHUNK_WINDOWS:
+            if windows >= due:
                 table = pa.Table.from_batches(held).combine_chunks()
-                last = [table[c][-1] for c in ("token", "block", "shared")]
-                same = np.logical_and.reduce([table[c].to_numpy() == v.as_py() for c, v in zip(("token", "block", "shared"), last, strict=True)])
-                cut = int(np.argmax(same))
+                tokens = table["token"].to_numpy()
+                cut = int(np.argmax(tokens == tokens[-1]))
                 if cut:
                     yield table.slice(0, cut)
                 held = table.slice(cut).combine_chunks().to_batches()
                 windows = int(np.sum(table["strings"].to_numpy()[cut:]))
+                due = max(CHUNK_WINDOWS, 2 * windows)
         if held:
             yield pa.Table.from_batches(held).combine_chunks()
 
@@ -334,8 +364,13 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, most: int = MOST_CONT
     once = texts.groupBy("text_key").agg(F.first("text").alias("text"))
     candidates = common.stored(once.join(hits.select("text_key").union(own.select("text_key")).distinct(), "text_key", "left_semi"), "texts")
     full = hits.where("copies > 1").select("text_key", F.col("first").alias("start"), (F.col("first") + F.col("strings") - 1 + length).alias("stop")).union(own).distinct()
-    contexts = common.stored(_context_rows(candidates, hits.where("lead AND contexts > 1"), length, most), "contexts")
-    return full.union(sorted_buckets(contexts, length)), candidates
+    leads = hits.where("lead AND contexts > 1")
+    contexts = common.stored(_context_rows(candidates, leads.where(F.col("contexts") <= most), length), "contexts")
+    spans = full.union(sorted_buckets(contexts, length))
+    crowds = leads.where(F.col("contexts") > most)
+    if not crowds.isEmpty():
+        spans = spans.union(counted_strings(common.stored(_string_rows(candidates, crowds, length), "strings"), length))
+    return spans, candidates
 
 
 def text_key(text: Column) -> Column:

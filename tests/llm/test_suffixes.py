@@ -53,6 +53,33 @@ def test_crowded_tokens_are_sliced(spark, monkeypatch):
     assert spans[3] == spans[50_000]
 
 
+def test_no_group_of_a_crowded_token_is_sorted_whole(spark, monkeypatch):
+    """A passage between different surroundings: no more than ``most`` contexts of one token meet, and the spans stay exact."""
+    rnd = random.Random(12)
+    passage = "".join(rnd.choice("abcdefgh ") for _ in range(230))
+    rows = [(i, "".join(rnd.choice("abc") for _ in range(300)) + passage + "".join(rnd.choice("abc") for _ in range(300))) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    largest, sort, spans = [], suffixes.sorted_buckets, suffixes.repeated_spans
+
+    def watched(contexts, length):
+        group = [c for c in ("token", "block", "shared") if c in contexts.columns]
+        largest.append(max([r["count"] for r in contexts.groupBy(*group).count().collect()], default=0))
+        return sort(contexts, length)
+
+    monkeypatch.setattr(suffixes, "sorted_buckets", watched)
+    monkeypatch.setattr(suffixes, "repeated_spans", lambda texts, length: spans(texts, length, 3))
+    check(docs, rows)
+    assert largest and max(largest) <= 3
+
+
+@pytest.mark.parametrize("hot", [3, 10_000])
+def test_counted_strings(spark, hot):
+    rows = [(1, 0, 5, 6, i, 10 * i, i == 0) for i in range(9)] + [(1, 1, 5, 6, 20, 7, False), (2, 0, 5, 7, 21, 8, False), (2, 0, 5, 7, 22, 9, False)]
+    strings = spark.createDataFrame(rows, "token long, offset int, high long, low long, text_key long, start long, whole boolean")
+    got = {tuple(r) for r in suffixes.counted_strings(strings, 200, hot).collect()}
+    assert got == {(i, 10 * i, 10 * i + 200) for i in range(1, 9)} | {(21, 8, 208), (22, 9, 209)}
+
+
 def test_copies_have_one_lead(spark, monkeypatch):
     """Tokens of a copied text are crowded however its key falls, and each of its contexts is read once."""
     rnd = random.Random(9)
