@@ -6,7 +6,7 @@ each voter's rates in both classes and the voters' correlations within a class,
 classifier over the lexicon and the patterns is then trained on the model's posterior labels and scores all documents.
 
 Fitted on at most ``SAMPLE_ROWS`` labelled rows, with at most ``MOST_TERMS`` terms. A NULL or empty text has no terms and gets the
-classifier's constant, which is below one half; without labelled rows of both classes every document scores 0.
+classifier's constant; without labelled rows of both classes every document scores 0.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ MOST_TERMS = 4096
 LEXICON_VOTERS = 48
 LEAST_ROWS = 3
 MARK_ACCURACY = 0.97
+LEAST_ODDS = 3  # odds of the mark on rows with a term, against its odds on all rows
 CACHE_WORDS = 200_000
 
 _WORD = regex.compile(r"[^\W\d_]+")
@@ -113,7 +114,7 @@ def associated_terms(sample: DataFrame, most: int = MOST_TERMS, least: int = LEA
 
     n, toxic = F.col("n"), F.col("toxic")
     tie = part(toxic, n * rate) + part(n - toxic, n * (1 - rate))
-    strongest = counts.where((toxic >= least) & (toxic > 3 * rate * n)).withColumn("tie", tie).where(F.col("tie") > chance).orderBy(F.desc("tie"), "term").limit(most)
+    strongest = counts.where((toxic >= least) & (toxic * (1 - rate) > LEAST_ODDS * rate * (n - toxic))).withColumn("tie", tie).where(F.col("tie") > chance).orderBy(F.desc("tie"), "term").limit(most)
     return [(r["term"], r["n"], r["toxic"]) for r in strongest.collect()]
 
 
@@ -231,8 +232,6 @@ def fit(sample: DataFrame) -> Model:
     """``sample``: a bounded, written table (_id, text, y)."""
     found = associated_terms(sample)
     terms = [t for t, _, _ in found]
-    if not terms:
-        return Model([], np.zeros(len(PATTERN_NAMES)), -40.0)
     lexicon_terms = list(terms)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,7 +245,10 @@ def fit(sample: DataFrame) -> Model:
     schema = T.StructType([sample.schema["_id"], T.StructField("y", T.IntegerType()), T.StructField("hits", numbers), T.StructField("patterns", numbers)])
     rows = sample.mapInArrow(read, schema).toArrow().sort_by("_id")
     hits, patterns = rows["hits"].to_pylist(), rows["patterns"].to_pylist()
-    table = votes(hits, patterns, rows["y"].to_numpy().astype(int), voter_terms(found))
+    marks = rows["y"].to_numpy().astype(int)
+    if len(np.unique(marks)) < 2:
+        return Model([], np.zeros(len(PATTERN_NAMES)), -40.0)
+    table = votes(hits, patterns, marks, voter_terms(found))
     target = np.clip(label_model(table).posterior(table), 1e-4, 1 - 1e-4)
     size = len(terms) + len(PATTERN_NAMES)
     weight, bias = linear_fit([h + [len(terms) + p for p in ps] for h, ps in zip(hits, patterns, strict=True)], target, size)

@@ -90,6 +90,24 @@ def test_without_labels(spark, odd_docs, no_docs):
     assert langid.identify(no_docs).collect() == []
 
 
+@pytest.mark.parametrize("share", [0.05, 0.35, 0.6])
+def test_toxic_shares(spark, share):
+    """Held-out toxic rows are found at every share of the mark, and few others."""
+    rnd = np.random.default_rng(11)
+    names = ["".join(rnd.choice(list("abcdefghijklmnop"), 7)) for _ in range(312)]
+    bad, plain = names[:12], names[12:]
+    rows = []
+    for i in range(2000):
+        toxic = int(rnd.random() < share)
+        words = list(rnd.choice(plain, 25)) + [w for w in bad if rnd.random() < (0.3 if toxic else 0.005)]
+        rows.append((i, " ".join(map(str, rnd.permutation(words))), toxic))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    got = toxicity.classify(docs, _labels(spark, [(i, 0, y) for i, _, y in rows])).where("held_out").toPandas()
+    truth = np.array([rows[i][2] for i in got["doc_id"]])
+    found = got["predicted"].to_numpy()
+    assert found[truth == 1].mean() > 0.85 and found[truth == 0].mean() < 0.15
+
+
 def test_trigrams_and_bundles():
     assert len(langid.trigrams(None)) == len(langid.trigrams(" 12 .")) == 0
     assert langid.trigrams("Ab, c").tolist() == langid.trigrams("ab c").tolist() == [0 * 4096 + 1 * 64 + 2, 1 * 4096 + 2 * 64, 3 * 64]
