@@ -29,7 +29,3 @@ def series(spark):
             ts = dt.date(2000 + i // 12, i % 12 + 1, 1)
             rows.append((member, ts, 100.0 + 20 * k + 0.8 * i + 6 * ((i % 12) - 5) * (k + 1) / 3 + rnd.uniform(-4, 4)))
     return spark.createDataFrame(rows, "member string, ts date, total double"), rows
-
-
-def values_of(rows, member):
-    return [r[2] for r in rows if r[0] == member]

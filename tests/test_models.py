@@ -2,7 +2,7 @@ import datetime as dt
 
 import numpy as np
 import pytest
-from conftest import values_of
+from series_values import values_of
 from pyspark.sql import functions as F
 
 from seriesloom.operators import arima as ar
