@@ -37,7 +37,7 @@ class WordEncoder:
     """
 
     UNIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-    ODD = regex.compile(r"[^\u0000-ÿ]|[\u0000-\u001f\u0085]|<\|")
+    ODD = regex.compile(r"[^\u0000-ÿ]|[\u0000-\u001f\u007f\u0085]|<\|")
     ODD_SPACE = regex.compile(r"[\u001c-\u001f]")
     BLANK = regex.compile(r"[^\S\u001c-\u001f]+")
 

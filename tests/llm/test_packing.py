@@ -32,6 +32,16 @@ def test_encoder_equals_tokenizer(tokenizer, odd_rows):
         assert words.encode(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_every_sign_up_to_latin_extended(tokenizer):
+    rnd = random.Random(6)
+    signs = [chr(c) for c in range(0x180)]
+    words = packing.WordEncoder(PATH)
+    texts = [f"{a}{x}{b}" for x in signs for a, b in (("", ""), ("a", "b"), ("", "Ês"), ("é", ","), ("1 ", " 2"))]
+    texts += ["".join(rnd.choice(signs) for _ in range(40)) for _ in range(1500)]
+    for text in texts:
+        assert words.encode(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids, ascii(text)
+
+
 def test_encoder_forgets(monkeypatch, tokenizer):
     monkeypatch.setattr(packing, "CACHE_WORDS", 5)
     words = packing.WordEncoder(PATH)
