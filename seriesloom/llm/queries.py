@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from seriesloom.llm import fingerprints, langid, licenses, mixing, packing, quality, setjoin, suffixes, toxicity, vectors
+from seriesloom.llm import centroids, fingerprints, langid, licenses, mixing, packing, quality, setjoin, shards, suffixes, toxicity, tries, vectors
 from seriesloom.llm.common import table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -77,3 +77,27 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["op5_repeats"] = suffixes.SQL
 SQL["op8_near_documents"] = setjoin.SQL
 SQL["op10_near_vectors"] = vectors.SQL
+
+
+@registered
+def op11_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.summary(table(spark, sf_dir, "documents"))
+
+
+SQL["op11_shards"] = shards.SQL
+
+
+@registered
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clusters(table(spark, sf_dir, "embeddings"))
+
+
+SQL["op12_centroids"] = centroids.SQL
+
+
+@registered
+def op13_tries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.summary(table(spark, sf_dir, "conversations"))
+
+
+SQL["op13_tries"] = tries.SQL
