@@ -64,3 +64,43 @@ def test_draws_are_uniform(spark):
 
 def test_empty_table(no_docs):
     assert mixing.summary(no_docs).collect() == []
+
+
+def test_counts_on_bytes_equal_columns(spark, odd_rows):
+    rnd = random.Random(3)
+    texts = [r[1] for r in odd_rows] + ["".join(rnd.choice("ab |*#AB\u00e9\u65e5\n\t\x0b\x1f\u00a0") for _ in range(rnd.randrange(0, 600))) for _ in range(200)]
+    texts += ["| a " * 40, "*$%" * 9 + "abc" * 20, "ABC abc " * 60, None, "", " ", "a"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, text string")
+    want = {r.i: (r.n, r.t) for r in df.select("i", mixing.tokens_of(F.col("text")).alias("n"), mixing.topic_of(F.col("text")).alias("t")).collect()}
+    got = {r.row.i: (r.tokens, r.topic) for r in mixing.with_features(df, "text", ["i"]).collect()}
+    assert got == want
+
+
+def test_user_columns_of_any_name(odd_docs):
+    names = ["_rate", "_kept", "_tokens", "rate", "tokens", "topic", "row", "kept", "share", "drawn", "probability"]
+    docs = odd_docs.withColumns({c: F.lit(f"mine {c}") for c in names})
+    out = mixing.sampled(docs)
+    assert out.columns == docs.columns
+    rows = out.collect()
+    assert rows and all(r[c] == f"mine {c}" for r in rows for c in names)
+    once = mixing.sampled(odd_docs).toPandas()
+    assert sorted(map(str, once["doc_id"])) == sorted(str(r.doc_id) if r.doc_id is not None else "nan" for r in rows) or len(once) == len(rows)
+
+
+def test_joins_rake_like_the_driver(spark, monkeypatch):
+    rnd = random.Random(7)
+    cells = spark.createDataFrame([(s, la, t, rnd.randrange(5, 90)) for s in "abcd" for la in ("en", "fr") for t in ("x", "y", "z")], "source string, lang string, topic string, tokens long")
+    targets = {m: mixing.own_targets(cells, m, p) for m, p in mixing.POWERS.items()}
+    one = {r[:3]: r[4] for r in map(tuple, mixing.raked(cells, targets).collect())}
+    monkeypatch.setattr(mixing, "MOST_COMBINATIONS", 2)
+    found = mixing.raked(cells, targets)
+    two = {r[:3]: r[4] for r in map(tuple, found.collect())}
+    assert mixing.margin_gap(found, targets) < 1e-4
+    total = sum(one.values())
+    assert {k: v / total for k, v in one.items()} == pytest.approx(two, rel=1e-3)
+
+
+def test_targets_out_of_reach_are_reported(spark):
+    cells = spark.createDataFrame([("a", "en", "x", 10), ("b", "fr", "y", 10)], "source string, lang string, topic string, tokens long")
+    targets = {m: spark.createDataFrame([(k, 0.2), (v, 0.8)] if m != "lang" else [(k, 0.7), (v, 0.3)], f"{m} string, target double") for m, (k, v) in {"source": "ab", "lang": ("en", "fr"), "topic": "xy"}.items()}
+    assert mixing.margin_gap(mixing.raked(cells, targets), targets) > 0.1
