@@ -1,20 +1,21 @@
-"""Tree ensembles trained on all series together, and their recursive forecasts."""
+"""Settings of tree ensembles, bagged trees trained on all series together, and step-by-step recursive forecasts of any fitted model. Boosted trees are in ``boosting``."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seriesloom.operators.boosting import Setting
 from seriesloom.session import checkpointed
 
 # The boosted and bagged settings that are tried.
 BOOSTED_GRID = (
-    {"maxIter": 800, "maxDepth": 1, "stepSize": 0.02, "subsamplingRate": 0.8, "minInstancesPerNode": 8},
-    {"maxIter": 1200, "maxDepth": 2, "stepSize": 0.01, "subsamplingRate": 0.8, "minInstancesPerNode": 10},
+    Setting(rounds=800, depth=1, step=0.02, row_share=0.8, feature_share=0.8, least_rows=8),
+    Setting(rounds=1200, depth=2, step=0.01, row_share=0.8, feature_share=0.8, least_rows=10),
 )
 FOREST_GRID = (
     {"numTrees": 200, "maxDepth": 4, "minInstancesPerNode": 8},
@@ -27,14 +28,6 @@ def assemble(df: DataFrame, features: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="error").transform(df)
 
 
-def fit_boosted(df: DataFrame, features: list[str], target: str, params: dict, stop_on: str | None = None):
-    """Gradient-boosted trees; ``stop_on`` names a boolean column whose true rows decide early stopping."""
-    model = GBTRegressor(featuresCol="_x", labelCol=target, seed=SEED, **params)
-    if stop_on:
-        model = model.setValidationIndicatorCol(stop_on)
-    return model.fit(assemble(df, features))
-
-
 def fit_forest(df: DataFrame, features: list[str], target: str, params: dict):
     return RandomForestRegressor(featuresCol="_x", labelCol=target, seed=SEED, **params).fit(assemble(df, features))
 

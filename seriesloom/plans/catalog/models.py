@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from seriesloom.functions import numeric as nm
 from seriesloom.functions import time as tm
 from seriesloom.operators import arima as ar
+from seriesloom.operators import boosting as bo
 from seriesloom.operators import calendar as cal
 from seriesloom.operators import features as ft
 from seriesloom.operators import fill, joins, ranking, splits
@@ -218,14 +219,38 @@ _TREE_X = ["fractional_year", "month_sin", "month_cos", "lag_1", "lag_12", "nati
 
 @query("M-08")
 def boosted_tree_scores(spark, sf):
-    """Boosted trees over all members with early stopping on the validation rows; two settings."""
+    """Boosted trees over all members that stop when the validation rows gain no more; errors and number of kept trees of two settings."""
     rows = _member_rows(spark, sf).withColumn("is_val", F.col("split") == "VAL")
     parts = []
-    for params in te.BOOSTED_GRID:
-        model = te.fit_boosted(rows.where("split <> 'TEST'"), _TREE_X, "total", params, stop_on="is_val")
-        scored = te.score(model, rows, _TREE_X).withColumn("params", F.lit(f"depth={params['maxDepth']}"))
+    for setting, model in zip(te.BOOSTED_GRID, bo.fit(rows.where("split <> 'TEST'"), _TREE_X, "total", te.BOOSTED_GRID, "is_val"), strict=True):
+        scored = bo.scored(rows, model).withColumns({"params": F.lit(f"depth={setting.depth}"), "n_trees": F.lit(len(model.roots)).cast("long")})
         parts.append(scored.withColumnRenamed("total", "actual"))
-    return mt.bundle(parts[0].unionByName(parts[1]), ["params", "split"])
+    return mt.bundle(parts[0].unionByName(parts[1]), ["params", "n_trees", "split"])
+
+
+def _round_sql(number: int, before: str) -> str:
+    """One round of boosting with trees of one split on month and year, leaf penalty 1 and step 0.5."""
+    sums = ", ".join(
+        f"sum(CASE WHEN {f} <= s THEN r END) AS gl, count(CASE WHEN {f} <= s THEN 1 END) AS nl, sum(CASE WHEN {f} > s THEN r END) AS gr, count(CASE WHEN {f} > s THEN 1 END) AS nr" for f in ("m",)
+    )
+    halves = [f"SELECT '{f}' AS f, s, {sums.replace('CASE WHEN m ', f'CASE WHEN {f} ')} FROM {before}, (SELECT DISTINCT {f} AS s FROM {before}) GROUP BY s" for f in ("m", "yr")]
+    return f"""
+c{number} AS ({' UNION ALL '.join(halves)}),
+b{number} AS (SELECT f, s, 0.5 * gl / (nl + 1) AS vl, 0.5 * gr / (nr + 1) AS vr FROM c{number} WHERE nl > 0 AND nr > 0 ORDER BY gl * gl / (nl + 1) + gr * gr / (nr + 1) DESC, f, s LIMIT 1),
+r{number} AS (SELECT x.m, x.yr, x.y, x.r - CASE WHEN (f = 'm' AND m <= s) OR (f = 'yr' AND yr <= s) THEN vl ELSE vr END AS r FROM {before} x, b{number})
+"""
+
+
+@query(
+    "M-08",
+    ctes(b.PANEL, "r0 AS (SELECT CAST(month(ts) AS DOUBLE) AS m, CAST(year(ts) AS DOUBLE) AS yr, total AS y, total - avg(total) OVER () AS r FROM panel)", _round_sql(1, "r0"), _round_sql(2, "r1"))
+    + "SELECT CAST(m AS BIGINT) AS month, CAST(yr AS BIGINT) AS year, round(any_value(y - r), 3) AS predicted FROM r2 GROUP BY m, yr",
+)
+def two_round_boosting(spark, sf):
+    """Two trees of one split each on month and year, grown on all members."""
+    rows = bd.filled_panel(spark, sf).select(F.month("ts").cast("double").alias("m"), F.year("ts").cast("double").alias("yr"), "total")
+    model = bo.fit(rows, ["m", "yr"], "total", [bo.Setting(rounds=2, depth=1, step=0.5)])[0]
+    return bo.scored(rows.select("m", "yr").distinct(), model).select(big("m").alias("month"), big("yr").alias("year"), rd("predicted", 3).alias("predicted"))
 
 
 @query("M-09")
@@ -241,20 +266,12 @@ def forest_scores(spark, sf):
 
 @query("M-10")
 def recursive_tree_forecast(spark, sf):
-    """A year ahead by boosted trees on their own predictions, all members per step; boosting stops early on the last part of each series."""
+    """Eleven years ahead by boosted trees on their own predictions, all months of all members in one pass; boosting stops early on the last part of each series."""
     panel = checkpointed(bd.filled_panel(spark, sf))
     rows = splits.three_way(ft.add_time_features(panel, "total", "member").na.drop("any"), "member", "ts").withColumn("is_val", F.col("split") != "TRAIN")
-    xs = ["lag_1", "lag_12", "month_sin", "month_cos"]
-    named = rows.select(*[F.col(x).alias(f"_f_{x}") for x in xs], "total", "is_val")
-    model = te.fit_boosted(checkpointed(named), [f"_f_{x}" for x in xs], "total", te.BOOSTED_GRID[1], stop_on="is_val")
-    state = sm.as_arrays(panel, "member", "ts", "total").select(
-        "member", F.slice("ys", F.size("ys") - 11, 12).alias("ys"), F.array_max("tss").alias("at")
-    )
-
-    def inputs(ys, at):
-        return {"lag_1": F.element_at(ys, -1), "lag_12": F.element_at(ys, -12), "month_sin": tm.month_sin(at), "month_cos": tm.month_cos(at)}
-
-    return te.recursive_forecast(model, state, inputs, 12, lambda at: F.add_months(at, 1))
+    model = bo.fit(rows, ["lag_1", "lag_12", "month_sin", "month_cos"], "total", [te.BOOSTED_GRID[1]], "is_val")[0]
+    state = sm.as_arrays(panel, "member", "ts", "total").select("member", F.slice("ys", F.size("ys") - 11, 12).alias("ys"), F.array_max("tss").alias("at"))
+    return bo.recursive_forecast(model, state, {"lag_1": 1, "lag_12": 12}, {"month_sin": tm.month_sin, "month_cos": tm.month_cos}, 132, lambda at, h: F.add_months(at, h))
 
 
 # -- smoothing -------------------------------------------------------------------------------------
@@ -573,9 +590,10 @@ def one_split_trees(spark, sf):
     """One tree of depth one on the calendar month over all members: its split is the one that leaves the least squared error."""
     rows = checkpointed(bd.filled_panel(spark, sf).select(F.month("ts").cast("double").alias("month"), "total"))
     months = rows.select("month").distinct()
-    boosted = te.fit_boosted(rows, ["month"], "total", {"maxIter": 1, "maxDepth": 1})
+    boosted = bo.fit(rows, ["month"], "total", [bo.Setting(rounds=1, depth=1, step=1.0, leaf_penalty=0.0)])[0]
     forest = te.fit_forest(rows, ["month"], "total", {"numTrees": 1, "maxDepth": 1, "bootstrap": False})
-    parts = [te.score(m, months, ["month"]).select(F.lit(n).alias("model"), big("month").alias("month"), rd("predicted", 2).alias("predicted")) for n, m in (("boosted", boosted), ("forest", forest))]
+    scored = {"boosted": bo.scored(months, boosted), "forest": te.score(forest, months, ["month"])}
+    parts = [df.select(F.lit(n).alias("model"), big("month").alias("month"), rd("predicted", 2).alias("predicted")) for n, df in scored.items()]
     return parts[0].unionByName(parts[1])
 
 

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterable
+from dataclasses import asdict
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriesloom.operators import arima as ar
+from seriesloom.operators import boosting as bo
 from seriesloom.operators import metrics as mt
 from seriesloom.operators import regression as rg
 from seriesloom.operators import smoothing as sm
@@ -40,17 +42,17 @@ def linear_candidate(rows: DataFrame, key, xs: list[str], y: str) -> DataFrame:
 
 
 def tree_candidates(
-    rows: DataFrame, key, xs: list[str], y: str, boosted: Iterable[dict] = te.BOOSTED_GRID, forests: Iterable[dict] = te.FOREST_GRID
+    rows: DataFrame, key, xs: list[str], y: str, boosted: Iterable[bo.Setting] = te.BOOSTED_GRID, forests: Iterable[dict] = te.FOREST_GRID
 ) -> list[DataFrame]:
     """One candidate per setting; the trees of a setting are trained on the train rows of all series together.
 
-    Boosting stops when the validation rows no longer gain from another tree.
+    Boosting ends when the validation rows have not gained for ``boosting.PATIENCE`` trees, and keeps the trees up to the best.
     """
     key, train, out = as_list(key), rows.where(F.col("split") == "TRAIN"), []
-    watched = checkpointed(rows.where(F.col("split") != "TEST").withColumn("_is_val", F.col("split") == "VAL"))
-    for params in boosted:
-        model = te.fit_boosted(watched, xs, y, params, stop_on="_is_val")
-        out.append(_shape(te.score(model, rows, xs), key, "BOOSTED_TREES", json.dumps(params), y))
+    boosted = list(boosted)
+    watched = rows.where(F.col("split") != "TEST").withColumn("_is_val", F.col("split") == "VAL")
+    for setting, model in zip(boosted, bo.fit(watched, xs, y, boosted, "_is_val") if boosted else [], strict=True):
+        out.append(_shape(bo.scored(rows, model), key, "BOOSTED_TREES", json.dumps(asdict(setting) | {"trees": len(model.roots)}), y))
     for params in forests:
         out.append(_shape(te.score(te.fit_forest(train, xs, y, params), rows, xs), key, "RANDOM_FOREST", json.dumps(params), y))
     return out
