@@ -47,6 +47,52 @@ def test_asof_nearest_matches_brute_force(asof_data):
         assert got[n] == want
 
 
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz", "date"])
+@pytest.mark.parametrize("spread", [1, 600, 43_000])
+def test_asof_at_any_precision(spark, kind, spread):
+    """Times within a day, NULL times, equal data times, spans of up to 120 years, requests far outside: as brute force."""
+    rnd = random.Random(spread)
+    zero = dt.datetime(1900, 1, 1)
+
+    def moment():
+        t = zero + dt.timedelta(days=rnd.randrange(spread), microseconds=rnd.randrange(86_400_000_000))
+        return t.date() if kind == "date" else t
+
+    data = [(k, moment(), float(i)) for i, k in enumerate(["a"] * 40 + ["b"] * 3)] + [("a", None, -1.0), ("c", None, -2.0)]
+    data += [(data[0][0], data[0][1], 99.0), (None, moment(), 5.0)]
+    asked = [(n, rnd.choice(["a", "a", "a", "b", "c", "none", None]), rnd.choice([moment(), moment(), None, data[n % 40][1]])) for n in range(300)]
+    far = dt.datetime(1700, 1, 1), dt.datetime(2400, 1, 1)
+    asked += [(1000 + i, "a", t.date() if kind == "date" else t) for i, t in enumerate(far)]
+    points = spark.createDataFrame(asked, f"id int, k string, ts {kind}")
+    table = spark.createDataFrame(data, f"k string, ts {kind}, v double")
+    best = {}
+    for k, t, v in data:
+        if t is not None and k is not None:
+            best[k, t] = max(v, best.get((k, t), v))
+    back = {r.id: (r.matched_ts, r.v) for r in joins.asof_backward(points, table, "k", "ts", ["v"]).collect()}
+    strict = {r.id: (r.matched_ts, r.v) for r in joins.asof_backward(points, table, "k", "ts", ["v"], else_first=False).collect()}
+    near = {r.id: (r.matched_ts, r.v) for r in joins.asof_nearest(points, table, "k", "ts", ["v"]).collect()}
+    for n, k, t in asked:
+        rows = sorted((u, v) for (kk, u), v in best.items() if kk == k) if t is not None else []
+        before = [r for r in rows if r[0] <= t]
+        assert strict[n] == (before[-1] if before else (None, None))
+        assert back[n] == (before[-1] if before else rows[0] if rows else (None, None))
+        assert near[n] == (min(rows, key=lambda r: (abs(r[0] - t), r[0])) if rows else (None, None))
+    assert len(back) == len(asked)
+
+
+def test_asof_dates_against_timestamps(spark):
+    points = spark.createDataFrame([(1, "k", dt.date(2020, 1, 2)), (2, "k", dt.date(2020, 1, 1))], "id int, k string, ts date")
+    data = spark.createDataFrame([("k", dt.datetime(2020, 1, 1, 9), 1.0), ("k", dt.datetime(2020, 1, 2, 1), 2.0)], "k string, ts timestamp, v double")
+    assert {r.id: r.v for r in joins.asof_backward(points, data, "k", "ts", ["v"], else_first=False).collect()} == {1: 1.0, 2: None}
+    assert {r.id: r.v for r in joins.asof_nearest(points, data, "k", "ts", ["v"]).collect()} == {1: 2.0, 2: 1.0}
+
+
+def test_asof_joins_once(spark, asof_data):
+    plan = joins.asof_nearest(asof_data[0], asof_data[1], "k", "ts", ["v"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1
+
+
 def test_upsert_and_latest_source(spark):
     old = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
     new = spark.createDataFrame([("b", 9), ("c", 3)], "k string, v int")
