@@ -389,14 +389,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one document of each class: that of the smallest id, of its texts the one with the smallest hash; texts without words all stay."""
+    names = common.unused(docs, "_text_hash", "_copy", "_stay_key", "_stay_text", "_stay_all")
+    hashed, copied, own, own_text, whole = names
     found = common.stored(near_duplicates(docs, key, text), "classes_of_rows")
-    alone = found.where("root IS NULL").select(F.col(key).alias("_key"), F.col("text_hash").alias("_text"), F.lit(True).alias("_all"))
-    first = found.where("root IS NOT NULL").groupBy("root").agg(F.min(F.struct(F.col(key).isNull().alias("_none"), F.col(key).alias("_key"), F.col("text_hash").alias("_text"))).alias("f"))
-    stay = first.select("f._key", "f._text", F.lit(False).alias("_all")).union(alone).distinct()
-    marked = docs.withColumn("_text_hash", F.xxhash64(text))
-    joined = marked.join(stay, (F.col("_text_hash") == F.col("_text")) & F.col(key).eqNullSafe(F.col("_key")))
-    copy = F.row_number().over(Window.partitionBy(F.col("_text_hash"), F.col(key)).orderBy(F.lit(0)))
-    return joined.withColumn("_copy", copy).where("_all OR _copy = 1").select(*docs.columns)
+    alone = found.where("root IS NULL").select(F.col(key).alias(own), F.col("text_hash").alias(own_text), F.lit(True).alias(whole))
+    first = found.where("root IS NOT NULL").groupBy("root").agg(F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col("text_hash").alias("text"))).alias("f"))
+    stay = first.select(F.col("f.key").alias(own), F.col("f.text").alias(own_text), F.lit(False).alias(whole)).union(alone).distinct()
+    marked = docs.withColumn(hashed, F.xxhash64(text))
+    joined = marked.join(stay, (F.col(hashed) == F.col(own_text)) & F.col(key).eqNullSafe(F.col(own)))
+    copy = F.row_number().over(Window.partitionBy(F.col(hashed), F.col(key)).orderBy(F.lit(0)))
+    return joined.withColumn(copied, copy).where(F.col(whole) | (F.col(copied) == 1)).select(*docs.columns)
 
 
 def query_rows(docs: DataFrame) -> DataFrame:

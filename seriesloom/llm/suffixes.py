@@ -413,9 +413,10 @@ def summary(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 def without_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
     """``docs`` with the repeated bytes taken out of their texts; a character cut in two goes as a whole. All rows stay, also those left empty."""
-    left = common.stored(kept_bytes(docs, text, length).select(F.col("text_key").alias("_text_key"), F.col("text").alias("_kept")), "left")
-    joined = docs.withColumn("_text_key", text_key(F.col(text))).join(left, "_text_key", "left")
-    return joined.withColumn(text, F.when(F.col("_kept").isNotNull(), F.col("_kept")).otherwise(F.col(text))).select(*docs.columns)
+    key, kept = common.unused(docs, "_text_key", "_kept")
+    left = common.stored(kept_bytes(docs, text, length).select(F.col("text_key").alias(key), F.col("text").alias(kept)), "left")
+    joined = docs.withColumn(key, text_key(F.col(text))).join(left, key, "left")
+    return joined.withColumn(text, F.when(F.col(kept).isNotNull(), F.col(kept)).otherwise(F.col(text))).select(*docs.columns)
 
 
 #: The same in SQL, over the hexadecimal digits of the bytes; ids are unique in the table.

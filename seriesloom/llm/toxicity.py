@@ -270,6 +270,19 @@ def scored(docs: DataFrame, model: Model, cut: float = 0.5, text: str = "text")
     return docs.select(*kept).mapInArrow(score, schema)
 
 
+def not_toxic(docs: DataFrame, model: Model, cut: float = 0.5, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score below ``cut``, with all their columns as they are."""
+    common.short_batches(docs.sparkSession)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon = Lexicon(model.terms)
+        for batch in common.pieces(batches):
+            scores = np.array([model.score(lexicon, t) for t in batch.column(text).to_pylist()], float)
+            yield batch.filter(pa.array(scores < cut))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def trained(docs: DataFrame, labels: DataFrame, parts: int = 5, rest: int = 0, most: int = SAMPLE_ROWS) -> Model:
     return fit(common.stored(common.labelled(docs, labels, "toxic", parts, rest, most), "toxic_sample"))
 

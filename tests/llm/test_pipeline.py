@@ -6,6 +6,7 @@ from collections import Counter
 import public_tokenizers
 import pytest
 from brute import near_documents, repeated_bytes, shingle_set
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
@@ -87,6 +88,22 @@ def test_stages(spark, corpus):
     assert packed["length"].sum() == total and packed.groupby("sequence_id")["length"].sum().max() <= 2048
 
 
+@pytest.mark.parametrize("stage", [n for n, _ in cp.STAGES])
+def test_stages_keep_user_columns(spark, corpus, stage):
+    path, _ = corpus
+    names = ["score", "predicted", "_key", "_text", "_rate", "_kept", "_text_key", "_text_hash", "_copy", "_all", "_id", "set", "token", "row", "tokens", "start", "length", "sequence_id", "_row", "root"]
+    docs = common.table(spark, path, "documents")
+    wide = docs.drop("n_chars").withColumns({c: F.concat(F.lit(f"{c} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))) for c in names})
+    out = dict(cp.STAGES)[stage](spark, wide, path)
+    rows = out.collect()
+    assert rows
+    if stage != "packing":
+        assert out.columns == wide.columns
+        assert all(r[c] == f"{c} of {'none' if r.doc_id is None else r.doc_id}" for r in rows for c in names)
+        plain = dict(cp.STAGES)[stage](spark, docs, path)
+        assert Counter(str((r.doc_id, r.text)) for r in plain.collect()) == Counter(str((r.doc_id, r.text)) for r in rows)
+
+
 def test_run_is_the_stages(spark, corpus):
     path, _ = corpus
     one = entry.queries()["pipeline"](spark, path).toPandas()
@@ -107,5 +124,5 @@ def test_empty_corpus(spark, tmp_path):
 
 def test_contract():
     runs, sql = entry.queries(), entry.oracle_sql()
-    assert "pipeline" in runs and [sum(n.startswith(f"op{k}_") for n in runs) for k in range(1, 11)] == [1] * 10
+    assert "pipeline" in runs and [sum(n.startswith(f"op{k}_") for n in runs) for k in range(1, 14)] == [1] * 13
     assert set(sql) <= set(runs)
