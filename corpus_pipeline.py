@@ -1,6 +1,6 @@
 """A corpus from raw documents to packed training sequences, one operator per stage.
 
-Each stage takes all that the one before kept and is written as Parquet before the next one reads it.
+Each stage takes all that the one before kept and is written as Parquet before the next one reads it. Further columns of the documents, of any name, pass through all stages but the last as they are.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier does not reject; it learns from the marks outside the held-out part."""
     model = toxicity.trained(docs, common.table(spark, sf_dir, "labels"))
-    return toxicity.scored(docs, model).where("predicted = 0").select(*docs.columns)
+    return toxicity.not_toxic(docs, model)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,8 +28,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the strings of 200 bytes that occur elsewhere; n_chars follows the text."""
-    return suffixes.without_repeats(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    """Documents without the strings of 200 bytes that occur elsewhere; n_chars, where there is such a column, follows the text."""
+    cut = suffixes.without_repeats(docs)
+    if "n_chars" not in docs.columns:
+        return cut
+    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
