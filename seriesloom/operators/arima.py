@@ -1,9 +1,9 @@
-"""Seasonal ARIMA by two-stage least squares (Hannan and Rissanen, 1982), for all series and orders at once.
+"""Seasonal ARIMA for all series and orders at once: by conditional sums of squares (``css``), or by two-stage least squares (Hannan and Rissanen, 1982).
 
 A series is one row with its values as an array (bounded by the calendar). It is dealt once per differencing variant; a task fits all orders of
 the variant on the same regressors, forecasts them together and, where the splits are known, scores them, so one row per (series, order)
-leaves it. The solver works on the rows themselves, not on their cross products, and the error is the sum of squared residuals. The
-estimates are least squares, not maximum likelihood; seasonal terms enter additively at the season lag.
+leaves it. Two-stage least squares is linear: the solver works on the rows themselves, not on their cross products, and seasonal terms enter additively at the season lag; every order has an estimate. Conditional
+sums of squares have multiplicative seasonal terms, and orders that do not converge to a stationary and invertible fit are marked so. Neither is maximum likelihood.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seriesloom.functions import numeric as nm
+from seriesloom.operators import css
 from seriesloom.operators.keys import as_list
 from seriesloom.session import checkpointed, spread
 
@@ -199,10 +200,11 @@ def split_scores(y: np.ndarray, predicted: np.ndarray, splits: list[str]) -> dic
     return scores
 
 
-def fit_grid(df: DataFrame, key: str | list[str], ts: str, y: str, train: Column, grid: Grid, extra: int = 0, common: bool = False, split: str | None = None) -> DataFrame:
+def fit_grid(df: DataFrame, key: str | list[str], ts: str, y: str, train: Column, grid: Grid, extra: int = 0, common: bool = False, split: str | None = None, method: str = "two_stage") -> DataFrame:
     """One row per (series, order): coefficients, AIC, AICc, status, ``train_n`` and the array ``predicted``, which covers all rows of the series and
-    ``extra`` steps more. With ``split``, the name of a column of TRAIN, VAL and TEST, also the errors of each part."""
+    ``extra`` steps more. With ``split``, the name of a column of TRAIN, VAL and TEST, also the errors of each part. ``method`` is "two_stage" or "css"."""
     key = as_list(key)
+    one_variant = {"two_stage": fit_variant, "css": css.fit_variant}[method]
     label = F.col(split) if split else F.lit(None).cast("string")
     item = F.struct(F.col(ts).alias("at"), F.col(y).cast("double").alias("y"), F.coalesce(train, F.lit(False)).alias("train"), label.alias("split"))
     packed = df.groupBy(*key).agg(F.array_sort(F.collect_list(item)).alias("_rows"))
@@ -222,7 +224,7 @@ def fit_grid(df: DataFrame, key: str | list[str], ts: str, y: str, train: Column
                 values = np.array(batch.column("_y")[i].as_py(), dtype=float)
                 train_n = batch.column("_train_n")[i].as_py()
                 labels = batch.column("_split")[i].as_py()
-                for row in fit_variant(values, train_n, grid, variants[batch.column("_variant")[i].as_py()], extra, common):
+                for row in one_variant(values, train_n, grid, variants[batch.column("_variant")[i].as_py()], extra, common):
                     row["train_n"] = train_n
                     if split and row["predicted"] is not None:
                         row |= split_scores(values, row["predicted"], labels)

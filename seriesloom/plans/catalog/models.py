@@ -419,10 +419,12 @@ def arima_scores(spark, sf):
 
 @query("M-14 E-23 J-09")
 def seasonal_grid_search(spark, sf):
-    """All 216 seasonal orders of every member, scored; the best by validation error of each."""
+    """All 216 seasonal orders of every member, scored; the best by validation error of each, with the number of orders that converged and that were dropped."""
     rows = tn.split_rows(bd.filled_panel(spark, sf), "member", "ts")
-    scored = tn.arima_candidates(rows, "member", "ts", "total", ar.seasonal_grid(), "SARIMA")
-    sizes = scored.groupBy("member").agg(F.count(F.lit(1)).alias("n_orders"))
+    fits = tn.arima_fits(rows, "member", "ts", "total", ar.seasonal_grid())
+    scored = tn.arima_scored(fits, ["member"], ar.seasonal_grid(), "SARIMA")
+    kept = F.count(F.when(F.col("status") == "ok", 1))
+    sizes = fits.groupBy("member").agg(kept.alias("n_orders"), (F.count(F.lit(1)) - kept).alias("n_dropped"))
     return sel.best_per_member(scored, "member", "params").join(sizes, "member")
 
 
@@ -457,7 +459,7 @@ def driver_forecasts(spark, sf):
 def automatic_orders(spark, sf):
     """Order of least AIC per region among p, q up to 5 and d up to 2."""
     rows = splits.ranked(bd.filled_panel(spark, sf, "region"), "member", "ts")
-    fits = ar.fit_grid(rows, "member", "ts", "total", F.lit(True), ar.auto_grid(), common=True)
+    fits = ar.fit_grid(rows, "member", "ts", "total", F.lit(True), ar.auto_grid(), common=True, method="css")
     best = ar.pick_by_aic(fits, "member")
     return best.select("member", "p", "d", "q", "n", "aic", "aicc")
 

@@ -133,9 +133,18 @@ def theta_candidate(rows: DataFrame, key, ts: str, y: str, season: int = 12) ->
 
 
 def arima_candidates(rows: DataFrame, key, ts: str, y: str, grid: ar.Grid, model: str) -> DataFrame:
-    """All orders of a grid, each its own candidate named by its parameters, with their errors and information criteria."""
+    """All orders of a grid that converge, each its own candidate named by its parameters, with their errors and information criteria."""
     key = as_list(key)
-    fits = ar.fit_grid(rows, key, ts, y, F.col("split") == "TRAIN", grid, split="split").where(F.col("status") == "ok")
+    return arima_scored(arima_fits(rows, key, ts, y, grid), key, grid, model)
+
+
+def arima_fits(rows: DataFrame, key, ts: str, y: str, grid: ar.Grid) -> DataFrame:
+    """Conditional-sum-of-squares fits of every order to the train rows, with status and the errors of each split."""
+    return ar.fit_grid(rows, key, ts, y, F.col("split") == "TRAIN", grid, split="split", method="css")
+
+
+def arima_scored(fits: DataFrame, key: list[str], grid: ar.Grid, model: str) -> DataFrame:
+    fits = fits.where(F.col("status") == "ok")
     params = F.format_string(
         '{"order": [%d, %d, %d], "seasonal_order": [%d, %d, %d, ' + str(grid.season) + "]}", *[F.col(c) for c in ar.ORDER]
     )
