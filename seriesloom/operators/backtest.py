@@ -10,6 +10,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,6 +73,62 @@ def lag_line(df: DataFrame, key, ts: str, value: str) -> DataFrame:
     return base.withColumn("predicted", ahead).drop("_y", "_x", "_n", "_sx", "_sy", "_sxx", "_sxy")
 
 
+def refits_by_updates(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """One-step forecasts of a least-squares regression with a constant, refitted on all earlier rows before each one; NaN until the earlier rows determine it.
+
+    After the first fit every row changes the inverse cross-product by one rank (Sherman and Morrison), so a fold costs the square of the number of drivers. Rows with a missing value
+    neither get a forecast nor change the fit.
+    """
+    out = np.full(len(y), np.nan)
+    known = np.isfinite(x).all(axis=1) & np.isfinite(y)
+    usable = np.isfinite(x).all(axis=1)
+    size = x.shape[1] + 1
+    first = np.flatnonzero(known)[: size + 1]
+    if len(first) <= size:
+        return out
+    middle, spread_ = x[first].mean(axis=0), x[first].std(axis=0)
+    z = np.column_stack([np.ones(len(y)), (x - middle) / np.where(spread_ > 0, spread_, 1.0)])
+    level = y[first].mean()
+    inverse, beta, seen = None, None, 0
+    for t in range(len(y)):
+        if beta is not None and usable[t]:
+            out[t] = z[t] @ beta + level
+        if not known[t]:
+            continue
+        seen += 1
+        if beta is None:
+            if seen > size:
+                rows = np.flatnonzero(known[: t + 1])
+                cross = z[rows].T @ z[rows]
+                if np.linalg.matrix_rank(z[rows]) == size:
+                    inverse = np.linalg.inv(cross)
+                    beta = inverse @ (z[rows].T @ (y[rows] - level))
+        else:
+            gain = inverse @ z[t] / (1.0 + z[t] @ inverse @ z[t])
+            beta = beta + gain * (y[t] - level - z[t] @ beta)
+            inverse = inverse - np.outer(gain, z[t] @ inverse)
+    return out
+
+
+def driver_line(drivers: list[str]) -> Evaluator:
+    """Regression on drivers of the same row, refitted for every fold; a series, bounded by the calendar, is one row of arrays in one pass."""
+
+    def run(df: DataFrame, key, ts: str, value: str) -> DataFrame:
+        keys = as_list(key)
+        item = F.struct(F.col(ts).alias("t"), F.col(value).cast("double").alias("y"), F.array(*(F.col(d).cast("double") for d in drivers)).alias("x"))
+        packed = df.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("_rows"))
+        ready = packed.select(*keys, F.col("_rows.t").alias("_t"), F.col("_rows.y").alias("_y"), F.col("_rows.x").alias("_x"))
+
+        @F.pandas_udf("array<double>")
+        def ahead(ys: pd.Series, xs: pd.Series) -> pd.Series:
+            return pd.Series([refits_by_updates(np.array([[np.nan if v is None else v for v in row] for row in x], dtype=float), np.array(y, dtype=float)) for y, x in zip(ys, xs, strict=True)])
+
+        made = ready.select(*keys, F.inline(F.arrays_zip(F.col("_t").alias("t"), ahead("_y", "_x").alias("p")))).toDF(*keys, ts, "_p")
+        return df.join(made, [*keys, ts], "left").withColumn("predicted", F.when(~F.isnan("_p"), F.col("_p"))).drop("_p")
+
+    return run
+
+
 def arima_refit(grid: ar.Grid, min_train: int) -> Evaluator:
     """One order refitted for every fold on its earlier rows: the folds of a series are dealt to tasks, each fits its prefix of the array."""
 

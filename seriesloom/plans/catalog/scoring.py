@@ -289,6 +289,38 @@ def walk_forward_summary(spark, sf):
     )
 
 
+_DRIVEN = """
+dv AS (SELECT member, ts, total AS y, d.density - avg(d.density) OVER (PARTITION BY member) AS a, d.birth_rate - avg(d.birth_rate) OVER (PARTITION BY member) AS c, row_number() OVER (PARTITION BY member ORDER BY ts) AS i
+  FROM panel JOIN drv d USING (ts)),
+sm AS (SELECT *, count(*) OVER w AS n, avg(a) OVER w AS ma, avg(c) OVER w AS mc, avg(y) OVER w AS my, sum(a * a) OVER w AS aa, sum(a * c) OVER w AS ac, sum(c * c) OVER w AS cc, sum(a * y) OVER w AS ay, sum(c * y) OVER w AS cy
+  FROM dv WINDOW w AS (PARTITION BY member ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ct AS (SELECT *, aa - n * ma * ma AS p, ac - n * ma * mc AS q, cc - n * mc * mc AS r, ay - n * ma * my AS u, cy - n * mc * my AS v FROM sm WHERE i > 24),
+drf AS (SELECT member, ts AS fold, 'DRIVERS' AS pipeline, y AS actual, my + (u * r - v * q) / (p * r - q * q) * (a - ma) + (v * p - u * q) / (p * r - q * q) * (c - mc) AS predicted FROM ct
+  UNION ALL SELECT member, ts, 'TREND', y, my_ + sl * (i - mi) FROM (SELECT *, avg(i) OVER w AS mi, avg(y) OVER w AS my_, regr_slope(y, i) OVER w AS sl FROM dv WINDOW w AS (PARTITION BY member ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) WHERE i > 24)
+"""
+
+
+@query(
+    "M-25 K-05 E-28",
+    ctes(b.PANEL, b.DRIVERS_SQL, _DRIVEN)
+    + "SELECT pipeline, count(*) AS n_folds, round(sqrt(avg((actual - predicted) ** 2)), 2) AS rmse, round(avg(abs(actual - predicted)), 2) AS mae, round(avg(abs(predicted - actual) / actual) * 100, 5) AS mape FROM drf GROUP BY 1",
+)
+def walk_forward_drivers(spark, sf):
+    """Folds of a regression on two drivers, refitted in every fold, beside the trend."""
+    panel = bd.filled_panel(spark, sf).join(bd.drivers(spark, sf).select("ts", "density", "birth_rate"), "ts")
+    folds = bt.walk_forward(panel, "member", "ts", "total", {"DRIVERS": bt.driver_line(["density", "birth_rate"]), "TREND": bt.line}, min_train=24)
+    out = mt.fold_summary(folds, "pipeline", "member")
+    return out.select("pipeline", "n_folds", rd("rmse", 2).alias("rmse"), rd("mae", 2).alias("mae"), rd("mape", 5).alias("mape"))
+
+
+@query("M-25")
+def walk_forward_all_pipelines(spark, sf):
+    """The default pipelines and a regression on all five drivers, one summary row each."""
+    panel = checkpointed(bd.filled_panel(spark, sf).join(bd.drivers(spark, sf), "ts"))
+    folds = bt.walk_forward(panel, "member", "ts", "total", {**bt.DEFAULT_EVALUATORS, "DRIVERS": bt.driver_line(bd.DRIVERS)}, min_train=24)
+    return mt.fold_summary(folds, "pipeline", "member")
+
+
 _HOLT_GRID = [{"alpha": a, "beta": 0.1, "phi": p, "gamma": 0.0} for a in (0.2, 0.5, 0.8) for p in (0.9, 1.0)]
 
 
