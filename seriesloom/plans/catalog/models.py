@@ -14,6 +14,7 @@ from seriesloom.operators import fill, joins, ranking, splits
 from seriesloom.operators import forecasting as fc
 from seriesloom.operators import metrics as mt
 from seriesloom.operators import piecewise as pw
+from seriesloom.operators import registry as rgy
 from seriesloom.operators import regression as rg
 from seriesloom.operators import selection as sel
 from seriesloom.operators import smoothing as sm
@@ -24,7 +25,8 @@ from seriesloom.plans import bindings as bd
 from seriesloom.plans import tuning as tn
 from seriesloom.plans.catalog import base as b
 from seriesloom.plans.catalog.base import big, ctes, query, rd
-from seriesloom.session import checkpointed
+from seriesloom.session import checkpointed, scratch_path
+from seriesloom.sources import sinks
 
 def _is_train():
     return F.col("split") == "TRAIN"
@@ -840,6 +842,45 @@ def driver_share_predictions(spark, sf):
     return out.select("member", "ts", *[rd(c, 0).alias(c) for c in ("total_line", "total_held", "ensemble")], rd("proportion", 6).alias("proportion"))
 
 
+_REGISTERED = ["linear", "piecewise", "trees", "arima"]
+
+
+@query("M-27 A-14 M-04 M-08 M-13 M-18 E-24 J-07")
+def registered_predictions(spark, sf):
+    """Every distinct (member, order date): the total by four fitted models from the versioned model store, their mean, and the member's share of it by its line.
+
+    Drivers are those of the last month at or before the date. Every fourth customer asks three years later, beyond the data.
+    """
+    panel, total = bd.panel_and_total(spark, sf)
+    nat = total.select("ts", F.col("total").alias("national"))
+    known = checkpointed(
+        nat.join(bd.drivers(spark, sf), "ts").select(F.lit("TOTAL").alias("member"), "ts", "national", *bd.DRIVERS, tm.fractional_year(F.col("ts")).alias("fractional_year"), tm.month_sin(F.col("ts")).alias("month_sin"), tm.month_cos(F.col("ts")).alias("month_cos"))
+    )
+    xs = ["fractional_year", "month_sin", "month_cos", "density", "urban"]
+    rows = checkpointed(splits.two_way(known, "member", "ts", 0.85).withColumn("watched", F.col("split") == "TEST"))
+    arrays = checkpointed(sm.as_arrays(known, "member", "ts", "national"))
+    first, last = rgy.month_number(F.element_at("tss", 1)), rgy.month_number(F.element_at("tss", -1))
+    order = ar.fit_grid(rows, "member", "ts", "national", F.lit(True), ar.Grid(), method="css")
+    models = rgy.linear_models(rg.fit(rows, "member", xs, "national", F.lit(True)), "member", xs)
+    models = models.unionByName(rgy.piecewise_models(pw.fit_trend(arrays), "member", first))
+    models = models.unionByName(rgy.tree_model(spark, bo.fit(rows, xs, "national", [te.BOOSTED_GRID[1]], "watched")[0], "TOTAL"))
+    models = models.unionByName(rgy.arima_models(order, arrays.select("member", "ys", last.alias("last_month")), "member", F.col("last_month"), 12))
+    store = sinks.KeyedStore(spark, scratch_path(spark, "models"), ["name", "member"])
+    store.put(models)
+    later = F.when(F.col("o_custkey") % 4 == 0, 36).otherwise(0)
+    orders = bd.table(spark, sf, "orders").select("o_custkey", F.add_months(F.to_date("o_orderdate"), later).alias("ts")).distinct()
+    requests = checkpointed(orders.join(bd.customer_members(spark, sf), F.col("o_custkey") == F.col("c_custkey")).select("member", "ts").distinct())
+    dates = requests.select(F.lit("TOTAL").alias("member"), "ts").distinct()
+    asked = joins.asof_backward(dates, known, "member", "ts", ["density", "urban"])
+    asked = checkpointed(asked.withColumns({"month": rgy.month_number(F.col("ts")).cast("long"), "fractional_year": tm.fractional_year(F.col("ts")), "month_sin": tm.month_sin(F.col("ts")), "month_cos": tm.month_cos(F.col("ts"))}))
+    scored = rgy.wide(rgy.score(store.read(), asked, xs), _REGISTERED, ["month"])
+    shares = ft.proportion(panel.join(nat, "ts"), "total", "national").withColumn("fy", tm.fractional_year(F.col("ts")))
+    lines = tr.linear_trend(shares, "member", "fy", "proportion", F.lit(True)).select("member", "intercept", "slope")
+    out = requests.withColumn("month", rgy.month_number(F.col("ts")).cast("long")).join(scored, "month").join(lines, "member")
+    share = F.col("intercept") + F.col("slope") * tm.fractional_year(F.col("ts"))
+    return out.select("member", "ts", *_REGISTERED, "n_models", "ensemble", share.alias("proportion"), (share * F.col("ensemble")).alias("member_value"))
+
+
 @query(
     "M-28 J-11 C-15",
     ctes(
