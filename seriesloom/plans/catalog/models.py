@@ -482,6 +482,25 @@ def piecewise_trend_scores(spark, sf):
     return mt.bundle(parts[0].unionByName(parts[1]), ["growth", "split"])
 
 
+@query("M-18")
+def piecewise_regressor_scores(spark, sf):
+    """Trends with few bends and two regressors beside the time, fitted on the train rows of each member: errors, and how many bends stay on average."""
+    wide = bd.filled_panel(spark, sf).join(bd.drivers(spark, sf).select("ts", "density", "birth_rate"), "ts")
+    rows = tn.split_rows(wide, "member", "ts")
+    item = F.struct("ts", "total", "density", "birth_rate")
+    packed = rows.where(_is_train()).groupBy("member").agg(F.array_sort(F.collect_list(item)).alias("r"))
+    series = packed.select("member", F.col("r.total").alias("ys"), F.col("r.density").alias("density_s"), F.col("r.birth_rate").alias("birth_s"))
+    parts = []
+    for growth in ("linear", "logistic"):
+        model = checkpointed(pw.fit_trend(series, growth, prior_scale=0.05, regressors=["density_s", "birth_s"], penalty="absolute").select("member", "m", "cap", "n_obs"))
+        value = pw.forecast(model, F.col("rn") - 1, growth, [F.col("density"), F.col("birth_rate")])
+        bends = F.size(F.filter(F.slice("m.beta", 3, F.size("m.knots")), lambda v: v != 0))
+        scored = rows.join(model, "member").select("member", F.lit(growth).alias("growth"), "split", F.col("total").alias("actual"), value.alias("predicted"), bends.alias("bends"))
+        parts.append(scored)
+    both = checkpointed(parts[0].unionByName(parts[1]))
+    return mt.bundle(both, ["growth", "split"]).join(both.groupBy("growth").agg(F.avg("bends").alias("mean_bends")), "growth")
+
+
 # -- small settings of the same fits, which SQL can state -------------------------------------------
 
 
