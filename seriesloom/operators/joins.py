@@ -110,9 +110,19 @@ def latest_source_wins(sources: list[DataFrame], key: str | list[str]) -> DataFr
     return keep_best(merged, key, F.max_by, F.col("_prio")).drop("_prio")
 
 
+_FIXED_WIDTH = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+
+
 def keep_best(df: DataFrame, key: list[str], pick, order: Column) -> DataFrame:
-    """One whole row per key, chosen by ``max_by``/``min_by`` on ``order``."""
+    """One whole row per key, chosen by ``max_by``/``min_by`` on ``order``.
+
+    Where all columns and the order have a fixed width, every column is picked by itself: such an aggregate hashes, one over structs sorts its rows. All columns follow the same
+    comparisons, so the row is whole also at a tie.
+    """
     rest = [c for c in df.columns if c not in key]
+    kinds = [df.schema[c].dataType for c in rest] + [df.select(order.alias("o")).schema["o"].dataType]
+    if rest and all(isinstance(k, _FIXED_WIDTH) for k in kinds):
+        return df.groupBy(*key).agg(*(pick(c, order).alias(c) for c in rest)).select(*key, *rest)
     return df.groupBy(*key).agg(pick(F.struct(*rest), order).alias("_r")).select(*key, "_r.*")
 
 

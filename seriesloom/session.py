@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -40,6 +41,7 @@ def ship_package(spark: SparkSession) -> None:
         return
     root = Path(__file__).resolve().parent
     folder = tempfile.mkdtemp(prefix="seriesloom-package-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     context.addPyFile(shutil.make_archive(f"{folder}/seriesloom", "zip", root.parent, root.name))
     context._seriesloom_sent = True
 

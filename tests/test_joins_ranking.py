@@ -111,6 +111,14 @@ def test_first_per_group_is_one_whole_row(spark):
     assert ranking.first_per_group(df, "g", F.col("o")).first().asDict() == {"g": "g", "o": 1, "v": None, "s": "early"}
 
 
+def test_last_row_by_number_hashes(spark):
+    df = spark.createDataFrame([("g", 2, 5), ("g", 3, None), ("h", 1, 7), ("g", 3, None)], "g string, o long, v int")
+    last = ranking.last_per_group(df, "g", F.col("o"))
+    assert {tuple(r) for r in last.collect()} == {("g", 3, None), ("h", 1, 7)}
+    plan = last._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
 def test_global_rank_with_hot_value(spark):
     rnd = random.Random(1)
     rows = [(i, 1.0 if rnd.random() < 0.4 else rnd.random()) for i in range(5000)]
