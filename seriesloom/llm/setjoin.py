@@ -37,6 +37,7 @@ FILTER_BITS = 20  # of a text's hash: at most 2 ** 20 values are broadcast to le
 LEAST_CROWD = 50
 MOST_CROWDED = 10_000
 BLOCK_ROWS = 2048
+PAIRS_AT_ONCE = 1 << 16
 CACHE_WORDS = 150_000
 
 
@@ -188,8 +189,8 @@ def _open_pairs(table: pa.Table, percent: int, forest: bool) -> tuple[np.ndarray
     bits = table["bits"].to_pylist()
     sizes = np.array([len(b) for b in bits])
     label = np.unique(table["class"].to_numpy(), return_inverse=True)[1]
-    found_i: list[int] = []
-    found_j: list[int] = []
+    found_i: list[np.ndarray] = [np.zeros(0, np.int32)]
+    found_j: list[np.ndarray] = [np.zeros(0, np.int32)]
     for size in np.unique(sizes[part == low]).tolist():
         first = np.flatnonzero((part == low) & (sizes == size))
         for other in (size // 2, size, size * 2):  # sets of further lengths cannot reach the threshold
@@ -214,9 +215,10 @@ def _open_pairs(table: pa.Table, percent: int, forest: bool) -> tuple[np.ndarray
                         groups, single = np.unique(label[near], return_index=True)
                         near = near[single]
                         label[np.isin(label, groups)] = label[i]
-                    found_i += [i] * len(near)
-                    found_j += near.tolist()
-    return np.array(found_i, np.int64), np.array(found_j, np.int64)
+                    if len(near):
+                        found_i.append(np.full(len(near), i, np.int32))
+                        found_j.append(near.astype(np.int32))
+    return np.concatenate(found_i), np.concatenate(found_j)
 
 
 def _can_reach(n_a: Column, n_b: Column, pos_a: Column, pos_b: Column, percent: int) -> Column:
@@ -280,6 +282,7 @@ class Join:
                 for (u, v), at in kinds.items():
                     differ[at] = np.bitwise_count(_folded([x[i] for i in at], min(u, v)) ^ _folded([y[i] for i in at], min(u, v))).sum(axis=1, dtype=np.int64)
                 yield batch.select(["a", "b"]).filter(pa.array(differ <= n_a + n_b - 2 * _least_overlap(n_a, n_b, percent)))
+            common.give_back()
 
         return pairs.join(one, "a").join(two, "b").mapInArrow(check, "a long, b long")
 
@@ -361,8 +364,10 @@ class Join:
             for table in blocks(batches):
                 i, j = _open_pairs(table, percent, forest)
                 sets = table["set"].to_numpy()
-                if len(i):
-                    yield pa.record_batch([pa.array(np.minimum(sets[i], sets[j])), pa.array(np.maximum(sets[i], sets[j]))], names=["a", "b"])
+                for at in range(0, len(i), PAIRS_AT_ONCE):
+                    x, y = sets[i[at : at + PAIRS_AT_ONCE]], sets[j[at : at + PAIRS_AT_ONCE]]
+                    yield pa.record_batch([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+            common.give_back()
 
         self.test(dealt.mapInArrow(compare, "a long, b long").distinct())
 
