@@ -20,7 +20,7 @@ from seriesloom.plans import masters
 from seriesloom.plans.catalog import base as b
 from seriesloom.plans.catalog.base import big, ctes, query, rd
 from seriesloom.session import checkpointed, scratch_path
-from seriesloom.sources import pages, readers, sinks
+from seriesloom.sources import grids, pages, readers, sinks
 
 # -- scans, sources, sinks -------------------------------------------------------------------------
 
@@ -115,6 +115,55 @@ def year_table_choice(spark, sf):
     return chosen.select("role", "table_key", big("min_year").alias("min_year"), big("max_year").alias("max_year"))
 
 
+@query(
+    "A-06",
+    r"""
+WITH t AS (SELECT page_id, unnest(l) AS body, unnest(range(len(l))) AS table_id FROM
+    (SELECT page_id, regexp_extract_all(html, '(?is)<ul(?:\s[^>]*)?>(.*?)</ul>', 1) AS l FROM pages)),
+r AS (SELECT page_id, table_id, unnest(l) AS body, unnest(range(len(l))) AS row_no FROM
+    (SELECT page_id, table_id, regexp_extract_all(body, '(?is)<li(?:\s[^>]*)?>(.*?)</li>', 1) AS l FROM t)),
+c AS (SELECT page_id, table_id, row_no, regexp_extract_all(body, '(?is)<a(?:\s[^>]*)?>(.*?)</a>', 1) AS l FROM r)
+SELECT page_id, table_id, CAST(0 AS BIGINT) AS depth, row_no,
+  array_to_string(list_transform(l, lambda x: trim(regexp_replace(replace(regexp_replace(x, '<[^>]*>', '', 'g'), '&amp;', '&'), '\s+', ' ', 'g'))), '|') AS cells FROM c
+""",
+)
+def page_list_grid(spark, sf):
+    """Lists of links as grids, by the markup reader that also takes spans, nesting and broken markup."""
+    rows = grids.extract_grids(bd.table(spark, sf, "pages"), "page_id", "html", container="ul", row="li", cells={"a": False})
+    return rows.select("page_id", big("table_id").alias("table_id"), big("depth").alias("depth"), big("row_no").alias("row_no"), F.concat_ws("|", "cells").alias("cells"))
+
+
+@query(
+    "A-06 A-07 A-08",
+    ctes(
+        b.YEARLY,
+        "parts AS (SELECT *, year > (SELECT max(year) FROM yearly) - 3 AS late FROM yearly)",
+        "usable AS (SELECT member, late FROM parts GROUP BY 1, 2 HAVING count(*) >= 3)",
+        "rows_ AS (SELECT member, year, total FROM parts JOIN usable USING (member, late))",
+        "stepped AS (SELECT member, year, total, coalesce(lead(total) OVER w - total, total - lag(total) OVER w) AS d, count(*) OVER (PARTITION BY member) AS n FROM rows_ WINDOW w AS (PARTITION BY member ORDER BY year))",
+    )
+    + "SELECT member, CAST(make_date(year, CAST(m AS INT), 1) AS DATE) AS ts, round((total + (m - 1) / 12.0::DOUBLE * d) / 7, 4) AS weekly FROM stepped, range(1, 13) AS t(m) WHERE n >= 2",
+)
+def page_tables_to_panel(spark, sf):
+    """A page per member with yearly figures in nested tables with spans, brought back to a monthly panel: grids, candidates, choice, months."""
+    yearly = checkpointed(bd.yearly_members(spark, sf))
+    late = F.col("year") > one_value(yearly, F.max("year")) - 3
+    line = F.struct("year", F.format_string("<td>%d<td> <b>%s</b>&nbsp;<td>n/a", "year", F.format_number("total", 2)).alias("cells"))
+    lines = yearly.groupBy("member", late.alias("late")).agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    heads = "<thead><tr><th rowspan=2>Era<th rowspan=2>Year<th colspan=2>Counts</tr><tr><th> Population <th>Share %</tr></thead><tbody>"
+    era = F.when(F.col("late"), "to come").otherwise("until now")
+    body = F.concat(F.format_string("<tr><td rowspan=%d>%s", F.size("lines"), era), F.array_join(F.transform("lines", lambda x: x["cells"]), "</tr><tr>"))
+    inner = F.concat(F.lit("<table class=figures>" + heads), body, F.lit("</tbody></table>"))
+    html = F.concat(F.lit("<html><table><tr><td>Year<td>"), F.array_join(F.array_sort(F.collect_list(inner)), "<td>"), F.lit("</table>"))
+    stored = lines.groupBy("member").agg(html.alias("html"))
+    rows = checkpointed(grids.extract_grids(stored, "member", "html"))
+    tables = readers.table_or_pages(spark, None, "year_text string, value_text string", pages.year_tables(rows, "member"))
+    chosen = pages.choose_tables_per_group(pages.table_spans(tables, ["member", "table_id"], "year_text"), ["member"], ["table_id"])
+    found = tables.join(chosen, ["member", "table_id"]).select("member", tx.to_number(F.col("year_text")).cast("int").alias("year"), tx.to_number(F.col("value_text")).alias("total"))
+    months = cal.yearly_to_monthly(found, "member", "year", ["total"])
+    return months.select("member", "ts", rd(F.col("total") / 7).alias("weekly"))
+
+
 @query(
     "A-10 B-19 I-15",
     ctes(b.NATIONAL, "rates(season, item, rate) AS (VALUES ('Yala', 'rice', 100.0), ('Yala', 'maize', 12.5), ('Maha', 'rice', 110.0))")

@@ -119,3 +119,31 @@ def choose_tables(
         )
     )
     return both.where(F.col("_p").isNotNull()).select("role", "_p.t.*", "_p.min_year", "_p.max_year")
+
+
+def choose_tables_per_group(
+    spans: DataFrame,
+    group: list[str],
+    table_key: list[str],
+    history_from: int = HISTORY_FROM,
+    history_to: tuple[int, int] = HISTORY_TO,
+    forecast_to: int = FORECAST_TO,
+) -> DataFrame:
+    """:func:`choose_tables` within every group (a page, a site): ``group, role, table_key, min_year, max_year``.
+
+    Two aggregates that are combined map-side and one join on the group; a group without a forecast table has one row.
+    """
+    tag = F.struct(*table_key)
+    is_history = (F.col("min_year") <= history_from) & F.col("max_year").between(*history_to)
+    picked = F.struct(tag.alias("t"), "min_year", "max_year")
+    choice = spans.groupBy(*group).agg(
+        F.max_by(F.when(is_history, picked), F.when(is_history, tag)).alias("_h1"),
+        F.min_by(picked, F.struct("min_year", (-F.col("max_year")).alias("m"), *table_key)).alias("_h2"),
+    ).select(*group, F.coalesce("_h1", "_h2").alias("_h"))
+    is_forecast, beyond = F.col("max_year") >= forecast_to, F.col("max_year") > F.col("_h.max_year")
+    both = spans.join(choice, group).groupBy(*group).agg(
+        F.any_value("_h").alias("history"),
+        F.coalesce(F.max_by(F.when(is_forecast, picked), F.when(is_forecast, tag)), F.min_by(F.when(beyond, picked), F.when(beyond, tag))).alias("forecast"),
+    )
+    roles = F.array(*[F.struct(F.lit(r).alias("role"), F.col(r).alias("_p")) for r in ("history", "forecast")])
+    return both.select(*group, F.inline(roles)).where(F.col("_p").isNotNull()).select(*group, "role", "_p.t.*", "_p.min_year", "_p.max_year")
