@@ -20,6 +20,7 @@ LEVEL_GRID = (0.1, 0.3, 0.5, 0.7, 0.9)
 TREND_GRID = (0.05, 0.1, 0.3, 0.5)
 DAMPING_GRID = (0.8, 0.9, 0.98)
 SEASON_GRID = (0.05, 0.2, 0.4)
+THETA_GRID = tuple(a / 20 for a in range(1, 20))
 
 _PARAM_TYPES = {"alpha": "double", "beta": "double", "phi": "double", "gamma": "double"}
 

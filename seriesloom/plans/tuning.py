@@ -14,6 +14,7 @@ from seriesloom.operators import arima as ar
 from seriesloom.operators import boosting as bo
 from seriesloom.operators import metrics as mt
 from seriesloom.operators import regression as rg
+from seriesloom.operators import simplex as sx
 from seriesloom.operators import smoothing as sm
 from seriesloom.operators import splits
 from seriesloom.operators import trees as te
@@ -74,22 +75,22 @@ def seasonal_naive_candidate(rows: DataFrame, key, y: str, season: int = 12) ->
 
 
 def _smoothing_candidate(rows: DataFrame, key, ts: str, y: str, model: str, season: int) -> DataFrame:
-    """Fit on train for the train and validation rows, refit on train and validation for the test rows."""
+    """Weights by simplex search on train for the train and validation rows, on train and validation for the test rows."""
     key = as_list(key)
-    parts = []
-    for used, scored in (("TRAIN", ["TRAIN", "VAL"]), ("TRAIN+VAL", ["TEST"])):
-        part = F.col("split").isin(*used.split("+"))
-        series = sm.as_arrays(rows, key, ts, y, part)
-        if model == "ETS":
-            fits = sm.best_params(sm.holt_winters(sm.with_grid(series, sm.param_rows(seasonal=True)), season), key)
-            ahead = sm.holt_winters_forecast(F.col("_h"), season)
-        else:
-            fits = sm.best_params(sm.holt(sm.with_grid(series, sm.param_rows(damped=True)), fitted=True), key)
-            ahead = sm.holt_forecast(fits, F.col("_h"))
-        joined = rows.where(F.col("split").isin(*scored)).join(fits, key).withColumn("_h", F.col("rn") - F.size("ys"))
-        value = F.when(F.col("_h") > 0, ahead).otherwise(F.get("f", (F.col("rn") - 1).cast("int")))
-        parts.append(joined.withColumn("predicted", value).select(*rows.columns, "predicted"))
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    known = rows.where(F.col("split") != "TEST").withColumn("_train", (F.col("split") == "TRAIN").cast("int"))
+    pairs = F.array_sort(F.collect_list(F.struct(F.col(ts).alias("t"), F.col(y).alias("y"))))
+    arrays = known.groupBy(*key).agg(F.transform(pairs, lambda p: p["y"]).alias("_all"), F.sum("_train").cast("int").alias("_n"))
+    fits_of = F.array(
+        F.struct(F.lit(False).alias("_refit"), F.slice("_all", F.lit(1), F.col("_n")).alias("ys")), F.struct(F.lit(True).alias("_refit"), F.col("_all").alias("ys"))
+    )
+    series = arrays.select(*key, F.inline(fits_of))
+    if model == "ETS":
+        fits, ahead = sm.holt_winters(sx.with_best_weights(series, "ETS", season), season), sm.holt_winters_forecast(F.col("_h"), season)
+    else:
+        fits, ahead = sm.holt(sx.with_best_weights(series, "HOLT"), fitted=True), sm.holt_forecast(series, F.col("_h"))
+    joined = rows.withColumn("_refit", F.col("split") == "TEST").join(fits, [*key, "_refit"]).withColumn("_h", F.col("rn") - F.size("ys"))
+    value = F.when(F.col("_h") > 0, ahead).otherwise(F.get("f", (F.col("rn") - 1).cast("int")))
+    return joined.withColumn("predicted", value).select(*rows.columns, "predicted")
 
 
 def ets_candidate(rows: DataFrame, key, ts: str, y: str, season: int = 12) -> DataFrame:
@@ -117,13 +118,12 @@ def seasonal_factors(rows: DataFrame, key, ts: str, y: str, part, season: int =
 def theta_candidate(rows: DataFrame, key, ts: str, y: str, season: int = 12) -> DataFrame:
     """Seasonally adjusted theta forecasts. There are no fitted values, so train rows have no prediction."""
     key = as_list(key)
-    grid = [{"alpha": a / 20, "beta": 0.0, "phi": 1.0, "gamma": 0.0} for a in range(1, 20)]
     parts = []
     for used, scored in (("TRAIN", "VAL"), ("TRAIN+VAL", "TEST")):
         part = F.col("split").isin(*used.split("+"))
         factors = seasonal_factors(rows, key, ts, y, part, season)
         adjusted = rows.withColumn("_month", F.month(ts)).join(factors, [*key, "_month"]).withColumn("_adj", F.col(y) / F.col("factor"))
-        fits = sm.best_params(sm.theta(sm.with_grid(sm.as_arrays(adjusted, key, ts, "_adj", part), grid), season), key)
+        fits = sm.theta(sx.with_best_weights(sm.as_arrays(adjusted, key, ts, "_adj", part), "THETA"), season)
         joined = adjusted.where(F.col("split") == scored).join(fits, key)
         value = sm.theta_forecast(F.col("rn") - F.size("ys")) * F.col("factor")
         parts.append(joined.withColumn("predicted", value).select(*rows.columns, "predicted"))
