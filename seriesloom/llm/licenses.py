@@ -1,9 +1,10 @@
 """Licence statements in documents, by a positional index of rare template words.
 
-The postings say at which place of which template a word stands. Each template has one: the word of its mandatory phrases with the highest inverse document
-frequency. In a document that holds all words of a template's mandatory phrases, every place of that word gives a shift of the template against the text. The template stands
-there if all its mandatory phrases are found at the shift, word for word, so no statement is missed; all places where it stands are returned, scored by the share of template words at their places.
-Base phrases are found wherever their words stand consecutively.
+The postings say at which places of which templates a mandatory word stands. In a document the words of all templates that can stand there (all their mandatory words occur)
+are looked up from the highest inverse document frequency on; each look-up gives the shifts of the templates against the text at which the word is in place, and the shifts of a template's
+words are intersected. A template takes part until ``looked_up`` of its words have been intersected or no shift is left; it has them all looked up if it has fewer, so the
+number decides how many shifts are verified and never which statements are found. At a shift that is left, all mandatory phrases must stand word for word.
+All places where a template stands are returned, scored by the share of template words at their places. Base phrases are found wherever their words stand consecutively.
 
 NULL texts are empty; texts without words or licences have no labels and score 0. Repeated rows are alike; other columns are not looked at.
 """
@@ -24,10 +25,13 @@ from seriesloom.llm import common
 
 _WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
+# Words of a template whose places are intersected before its phrases are verified.
+LOOKED_UP = 4
+
 # Base phrases and their labels.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
-# Opening sentences of public licences, with the phrases that must be there.
+# Sentences, names and tags of public licences, with the phrases that must be there.
 TEMPLATES = (
     ("mit", "Released under the MIT License.", ("the MIT License",)),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", ("permission is hereby granted", "of this software and associated documentation")),
@@ -47,6 +51,36 @@ TEMPLATES = (
     ("cc-by-nd", "Licensed under CC BY-ND 4.0.", ("CC BY-ND",)),
     ("cc-by", "licensed under a Creative Commons Attribution 4.0 International License", ("Creative Commons Attribution", "International License")),
     ("cc0", "To the extent possible under law, the author has waived all copyright under CC0", ("has waived all copyright", "CC0")),
+    ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", ("above copyright notice and this permission notice shall be included in all copies",)),
+    ("apache-2", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.", ("unless required by applicable law or agreed to in writing software distributed under the license", "without warranties or conditions of any kind")),
+    ("apache-2", "Apache License 2.0", ("Apache License 2",)),
+    ("bsd", "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.", ("provided by the copyright holders and contributors as is and any express or implied warranties", "are disclaimed")),
+    ("bsd", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", ("neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products",)),
+    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.", ("provided as is without any express or implied warranty", "will the authors be held liable")),
+    ("zlib", "zlib License", ("zlib license",)),
+    ("boost", "Boost Software License, Version 1.0", ("Boost Software License",)),
+    ("epl", "Eclipse Public License, Version 2.0", ("Eclipse Public License",)),
+    ("gpl-3", "GNU General Public License v3.0", ("GNU General Public License v3",)),
+    ("gpl-2", "GNU General Public License v2.0", ("GNU General Public License v2",)),
+    ("gpl-3", "GNU GPL v3", ("GNU GPL v3",)),
+    ("gpl-2", "GNU GPL v2", ("GNU GPL v2",)),
+    ("gpl-3", "GNU GPLv3", ("GNU GPLv3",)),
+    ("gpl-2", "GNU GPLv2", ("GNU GPLv2",)),
+    ("mit", "SPDX-License-Identifier: MIT", ("SPDX-License-Identifier: MIT",)),
+    ("apache-2", "SPDX-License-Identifier: Apache-2.0", ("SPDX-License-Identifier: Apache-2",)),
+    ("gpl-3", "SPDX-License-Identifier: GPL-3.0", ("SPDX-License-Identifier: GPL-3",)),
+    ("gpl-2", "SPDX-License-Identifier: GPL-2.0", ("SPDX-License-Identifier: GPL-2",)),
+    ("lgpl", "SPDX-License-Identifier: LGPL", ("SPDX-License-Identifier: LGPL",)),
+    ("agpl-3", "SPDX-License-Identifier: AGPL-3.0", ("SPDX-License-Identifier: AGPL-3",)),
+    ("bsd", "SPDX-License-Identifier: BSD", ("SPDX-License-Identifier: BSD",)),
+    ("mpl-2", "SPDX-License-Identifier: MPL-2.0", ("SPDX-License-Identifier: MPL-2",)),
+    ("isc", "SPDX-License-Identifier: ISC", ("SPDX-License-Identifier: ISC",)),
+    ("unlicense", "SPDX-License-Identifier: Unlicense", ("SPDX-License-Identifier: Unlicense",)),
+    ("zlib", "SPDX-License-Identifier: Zlib", ("SPDX-License-Identifier: Zlib",)),
+    ("boost", "SPDX-License-Identifier: BSL-1.0", ("SPDX-License-Identifier: BSL-1",)),
+    ("epl", "SPDX-License-Identifier: EPL-2.0", ("SPDX-License-Identifier: EPL",)),
+    ("cc0", "SPDX-License-Identifier: CC0-1.0", ("SPDX-License-Identifier: CC0",)),
+    ("cc-by", "SPDX-License-Identifier: CC-BY-4.0", ("SPDX-License-Identifier: CC-BY-4",)),
 )
 
 
@@ -82,30 +116,48 @@ class Template:
 
 
 class Index:
-    """Postings of the rarest mandatory word of every template."""
+    """Postings of the mandatory words of every template: word to template to places."""
 
-    def __init__(self, templates: list[Template], idf: dict[bytes, float]):
-        self.templates = templates
-        self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
+    def __init__(self, templates: list[Template], idf: dict[bytes, float], looked_up: int = LOOKED_UP):
+        self.templates, self.looked_up = templates, looked_up
+        self.postings: dict[bytes, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
         for number, template in enumerate(templates):
-            mandatory = [(idf.get(w, math.inf), w, at + i) for at, phrase in template.phrases for i, w in enumerate(phrase)]
-            _, word, place = max(mandatory)
-            self.postings[word].append((number, place))
+            for at, phrase in template.phrases:
+                for i, word in enumerate(phrase):
+                    self.postings[word][number].append(at + i)
+        self.rank = {word: (-idf.get(word, math.inf), word) for word in self.postings}  # rarest first
         self.needed = [{w for _, phrase in t.phrases for w in phrase} for t in templates]
+        self.rarest: dict[bytes, list[int]] = defaultdict(list)
+        for number, needed in enumerate(self.needed):
+            self.rarest[min(needed, key=self.rank.__getitem__)].append(number)
+
+    def candidates(self, words: list[bytes], different: set[bytes]) -> dict[int, set[int]]:
+        """Shifts against the text at which the looked-up words of a template are all in place, by template."""
+        wanted = {n: self.looked_up for word in self.rarest.keys() & different for n in self.rarest[word] if self.needed[n] <= different}
+        shifts: dict[int, set[int]] = {}
+        for word in sorted({w for n in wanted for w in self.needed[n]}, key=self.rank.__getitem__):
+            holders = [n for n in self.postings[word] if wanted.get(n)]
+            found = places(words, [word]) if holders else []
+            for n in holders:
+                wanted[n] -= 1
+                for place in self.postings[word][n]:
+                    here = {at - place for at in found}
+                    shifts[n] = shifts[n] & here if n in shifts else here
+                if not shifts[n]:
+                    wanted[n] = 0
+        return shifts
 
     def matches(self, words: list[bytes], different: set[bytes]) -> list[tuple[str, int, int, float]]:
         """(label, start, stop, share of template words in place), best first, of every place where a template stands in the text."""
         best: dict[tuple[str, int, int], float] = {}
-        for word in self.postings.keys() & different:
-            open_ = [(number, place) for number, place in self.postings[word] if self.needed[number] <= different]
-            for at in places(words, [word]) if open_ else ():
-                for number, place in open_:
-                    template, shift = self.templates[number], at - place
-                    if any(shift + i < 0 or tuple(words[shift + i : shift + i + len(phrase)]) != phrase for i, phrase in template.phrases):
-                        continue
-                    share = sum(0 <= shift + i < len(words) and words[shift + i] == w for i, w in enumerate(template.words)) / len(template.words)
-                    stands = (template.label, max(0, shift), min(len(words), shift + len(template.words)))
-                    best[stands] = max(share, best.get(stands, 0.0))
+        for number, shifts in self.candidates(words, different).items():
+            template = self.templates[number]
+            for shift in shifts:
+                if any(shift + i < 0 or tuple(words[shift + i : shift + i + len(phrase)]) != phrase for i, phrase in template.phrases):
+                    continue
+                share = sum(0 <= shift + i < len(words) and words[shift + i] == w for i, w in enumerate(template.words)) / len(template.words)
+                stands = (template.label, max(0, shift), min(len(words), shift + len(template.words)))
+                best[stands] = max(share, best.get(stands, 0.0))
         return sorted(((*stands, share) for stands, share in best.items()), key=lambda m: (-m[3], m[0], m[1], m[2]))
 
 

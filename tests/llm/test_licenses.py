@@ -89,5 +89,44 @@ def test_several_licences_under_skewed_frequencies(spark):
             assert sorted(index.matches(words, set(words))) == plain_matches(text)
 
 
+def test_names_tags_and_bodies(spark):
+    wanted = {
+        "released as GNU GPL v3 code": "gpl-3",
+        "// SPDX-License-Identifier: MIT": "mit",
+        "# SPDX-License-Identifier: GPL-2.0-or-later": "gpl-2",
+        "/* SPDX-License-Identifier: BSD-3-Clause */": "bsd",
+        "SPDX-License-Identifier: CC-BY-4.0": "cc-by",
+        "the GNU General Public License v3.0.": "gpl-3",
+        "Apache License 2.0": "apache-2",
+        "Distributed under the Boost Software License, Version 1.0.": "boost",
+        "the Eclipse Public License": "epl",
+        "this is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable": "zlib",
+        "x" * 50 + " " + STATEMENTS[18] + " " + STATEMENTS[21]: "bsd,mit",
+        "license identifier spdx mit; general gnu v3 license public": "",
+        "provided as is. The authors will be held liable without any express or implied warranty": "",
+    }
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(wanted)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in licenses.summary(docs).collect()}
+    assert [rows[i].labels for i in range(len(wanted))] == list(wanted.values())
+
+
+def test_the_number_of_looked_up_words_changes_no_result():
+    """Any number finds what every template at every shift finds; more words leave fewer shifts to verify."""
+    rnd = random.Random(8)
+    known = [licenses.Template.of(*t) for t in licenses.TEMPLATES]
+    vocabulary = sorted({w for t in known for w in t.words})
+    filler = [w.decode() for w in vocabulary]
+    for _ in range(15):
+        parts = rnd.choices(STATEMENTS, k=3) + [" ".join(rnd.choices(filler, k=60)) for _ in range(4)]
+        rnd.shuffle(parts)
+        words = licenses.words_of(" ".join(parts))
+        idf, left = {w: rnd.expovariate(1) for w in vocabulary}, []
+        for looked_up in (1, 2, 4, 100):
+            index = licenses.Index(known, idf, looked_up)
+            assert sorted(index.matches(words, set(words))) == plain_matches(" ".join(parts))
+            left.append(sum(map(len, index.candidates(words, set(words)).values())))
+        assert left == sorted(left, reverse=True)
+
+
 def test_empty_table(no_docs):
     assert licenses.summary(no_docs).collect() == []
