@@ -1,12 +1,11 @@
-"""Multi-feature least squares and ridge, one fit per series, from moment sums."""
+"""Multi-feature least squares and ridge, one fit per series, from orthogonal factors."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.functions import linalg as la
-from seriesloom.operators.features import scaler
+from seriesloom.functions import orthogonal as ol
 from seriesloom.operators.keys import as_list
 
 
@@ -14,25 +13,15 @@ def fit(df: DataFrame, key: str | list[str], xs: list[str], y: str, train: Colum
     """Coefficients per series on standardised features (train mean and population deviation).
 
     For ``ridge=0`` this is ordinary least squares; otherwise the penalty acts on standardised
-    coefficients and never on the intercept. One row per series: ``beta``, ``mu``, ``sd``,
+    coefficients and never on the intercept. Flat columns get weight 0 and a deviation of 1. One row per series: ``beta``, ``mu``, ``sd``,
     ``y_mean``, ``n`` and ``status``.
     """
     key = as_list(key)
-    rows = df.where(train).na.drop(subset=[*xs, y])
-    stats = scaler(rows, key, [*xs, y], F.lit(True))
-    z = [(F.col(x) - F.col(f"mean_{x}")) / F.col(f"std_{x}") for x in xs]
-    centred = F.col(y) - F.col(f"mean_{y}")
-    carried = [F.first(f"{p}_{c}").alias(f"{p}_{c}") for c in [*xs, y] for p in ("mean", "std")]
-    sums = rows.join(stats, key).groupBy(*key).agg(*la.moment_sums(z, centred), *carried)
+    rows = df.where(train).na.drop(subset=[*key, *xs, y])
+    found = ol.solved(ol.factors(rows, key, [F.lit(1.0), *[F.col(x) for x in xs], F.col(y)]), key, len(xs), ridge)
     enough = F.col("n") > len(xs)
-    return sums.select(
-        *key,
-        F.when(enough, la.solve(len(xs), ridge)).alias("beta"),
-        F.array(*[F.col(f"mean_{x}") for x in xs]).alias("mu"),
-        F.array(*[F.col(f"std_{x}") for x in xs]).alias("sd"),
-        F.col(f"mean_{y}").alias("y_mean"),
-        "n",
-        F.when(enough, "ok").otherwise("too few rows").alias("status"),
+    return found.select(
+        *key, F.when(enough, F.col("beta")).alias("beta"), "mu", "sd", "y_mean", "n", F.when(enough, "ok").otherwise("too few rows").alias("status")
     )
 
 
